@@ -237,15 +237,16 @@ def margin_summary(props: DataFrame) -> DataFrame:
         "median_margin", mid)
 
 
-def cv_band_hits(props: DataFrame, band: Column) -> DataFrame:
-    return props.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("props"), F.count_if("hit").alias("hits"))
+def hits_by_consistency(props: DataFrame, cv: str = "cv", limit: float = 0.40) -> DataFrame:
+    """Hits by players whose CV is under the limit and by the others; unknown CVs count in neither."""
+    hits = props.filter("hit").agg(F.count_if(F.col(cv) < limit).alias("consistent"), F.count_if(F.col(cv) >= limit).alias("inconsistent"))
+    return hits.unpivot([], ["consistent", "inconsistent"], "band", "hits")
 
 
-def reliable_players(props: DataFrame, min_props: int = 2) -> DataFrame:
-    """Players with enough settled props, best hit rate first."""
-    table = props.groupBy("player").agg(F.count(F.lit(1)).alias("total"), F.count_if("hit").alias("hits"), F.avg("margin").alias("avg_margin"))
-    return table.filter(F.col("total") >= min_props).withColumn("hit_pct", ratio("hits", "total") * 100.0).orderBy(
-        F.col("hit_pct").desc(), F.col("total").desc(), "player")
+def reliable_players(props: DataFrame) -> DataFrame:
+    """Settled hits and mean margin per player, most hits first."""
+    table = props.groupBy("player").agg(F.count_if("hit").alias("hits"), F.avg("margin").alias("avg_margin"))
+    return table.filter(F.col("hits") > 0).orderBy(F.col("hits").desc(), "player")
 
 
 def close_calls(props: DataFrame, within: float = 2.0) -> DataFrame:

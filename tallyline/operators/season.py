@@ -108,10 +108,10 @@ def season_summary(df: DataFrame, *, game: str, entity: str, team: str, date: st
     w = F.col(win).cast("double")
     one = df.agg(
         F.min(date).cast("string").alias("first_date"), F.max(date).cast("string").alias("last_date"),
-        *[F.format_number(F.avg(m), "0.00").alias(f"avg_{m}") for m in measures],
-        F.format_number(F.avg(w) * 100, "0.0").alias("win_rate_pct"),
-        F.format_number(F.avg(F.when(F.col(home), w)) * 100, "0.0").alias("home_win_rate_pct"),
-        F.format_number(F.avg(F.when(~F.col(home), w)) * 100, "0.0").alias("away_win_rate_pct"))
+        *[F.format_string("%.2f", F.avg(m)).alias(f"avg_{m}") for m in measures],
+        F.format_string("%.1f", F.avg(w) * 100).alias("win_rate_pct"),
+        F.format_string("%.1f", F.avg(F.when(F.col(home), w)) * 100).alias("home_win_rate_pct"),
+        F.format_string("%.1f", F.avg(F.when(~F.col(home), w)) * 100).alias("away_win_rate_pct"))
     out = distinct(game, "games").unionByName(distinct(entity, "players")).unionByName(distinct(team, "teams"))
     return out.unionByName(one.unpivot([], one.columns, "metric", "value"))
 

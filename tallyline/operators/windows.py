@@ -22,8 +22,9 @@ def rest_days(df: DataFrame, *, entity: str = "player_id", date: str = "game_dat
     )
     days = df.filter(F.col(entity).isNotNull()).groupBy(entity, date).agg(F.count(F.lit(1)).alias("rows"))
     by_day = Window.partitionBy(entity).orderBy(date)
-    gaps = days.select(F.explode(F.array(
-        F.struct(F.datediff(F.col(date), F.lag(date).over(by_day)).alias("gap"), F.lit(1).cast("long").alias("rows")),
+    spaced = days.withColumn("gap", F.datediff(F.col(date), F.lag(date).over(by_day)))
+    gaps = spaced.select(F.explode(F.array(
+        F.struct("gap", F.lit(1).cast("long").alias("rows")),
         F.struct(F.lit(0).alias("gap"), (F.col("rows") - 1).alias("rows")),
     )).alias("g")).select("g.*").filter("gap is not null and rows > 0")
     # Gaps are whole days, so this table has at most one row per day of the data's span.
