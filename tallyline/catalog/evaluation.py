@@ -1 +1,194 @@
+"""Returns by segment, stake sizing, calibration, classifier measures, folds, model and backtests."""
 
+from pyspark.sql import functions as F
+
+from ..operators import betting as ops, folds, outcome
+from ..operators.folds import FoldConfig
+from . import fixtures as fx
+from .registry import R, query
+
+PROFIT = "CASE WHEN y = 1 THEN stake * (decimal_odds - 1) ELSE -stake END"
+UNIT = "CASE WHEN y = 1 THEN decimal_odds - 1 ELSE -1.0 END"
+METRICS = f"""CAST(COUNT(*) AS BIGINT) AS n_obs, {R('AVG(y)')} AS hit_rate, {R('AVG(p)')} AS pred_hit_rate, {R('AVG((p - y) * (p - y))')} AS brier,
+  {R(f'SUM({PROFIT}) / SUM(stake)')} AS roi, {R(f'SUM({PROFIT})')} AS profit, {R(f'SUM({PROFIT}) / COUNT(*)')} AS yield,
+  {R(f'COALESCE(AVG({UNIT}) / NULLIF(STDDEV_SAMP({UNIT}), 0), 0)')} AS sharpe_ratio, {R('SUM(stake)')} AS total_stake"""
+
+
+@query("evaluate_predictions", f"SELECT {METRICS} FROM scored", ("scored",))
+def evaluate_predictions(spark, folder):
+    return ops.evaluate(fx.scored(spark, folder), "p", hit="y")
+
+
+@query("roi_by_segment", f"SELECT lang, {METRICS} FROM scored GROUP BY lang", ("scored",))
+def roi_by_segment(spark, folder):
+    return ops.evaluate(fx.scored(spark, folder), "p", keys=["lang"], hit="y")
+
+
+@query("stake_sizing", f"""
+WITH k AS (SELECT y, decimal_odds, {UNIT} AS unit, p, GREATEST(COALESCE(((decimal_odds - 1) * p - (1 - p)) / NULLIF(decimal_odds - 1, 0), 0), 0) AS kelly FROM scored),
+s AS (SELECT 'unit_stake' AS strategy, unit, 1.0 AS st FROM k UNION ALL SELECT 'full_kelly', unit, kelly FROM k UNION ALL SELECT 'fractional_kelly', unit, kelly * 0.25 FROM k
+      UNION ALL SELECT 'probability_weighted', unit, p FROM k)
+SELECT strategy, {R('COALESCE(SUM(st * unit) / NULLIF(SUM(st), 0), 0)')} AS roi,
+  {R('SUM(st * unit) * CASE WHEN SUM(st) > 0 THEN COUNT(*) / SUM(st) ELSE 1 END', 4)} AS profit,
+  {R('COALESCE(AVG(unit) / NULLIF(STDDEV_SAMP(unit), 0), 0)')} AS sharpe, {R('SUM(st) * CASE WHEN SUM(st) > 0 THEN COUNT(*) / SUM(st) ELSE 1 END / COUNT(*)')} AS avg_stake,
+  {R('MAX(st) * CASE WHEN SUM(st) > 0 THEN COUNT(*) / SUM(st) ELSE 1 END')} AS max_stake FROM s GROUP BY strategy""", ("scored",))
+def stake_sizing(spark, folder):
+    return ops.stake_sizing(fx.scored(spark, folder), "p", hit="y").withColumn("profit", F.rint(F.col("profit") * 1e4) / 1e4)
+
+
+EDGES = ", ".join(f"quantile_cont(p, {i / 10})" for i in range(1, 10))
+fx.SQL["calibrated"] = f"""
+SELECT CAST((SELECT COUNT(*) FROM UNNEST(e) AS t(x) WHERE x < p) AS BIGINT) AS bin, COUNT(*) AS n, AVG(p) AS predicted_prob, AVG(y) AS actual_rate
+FROM scored, (SELECT [{EDGES}] AS e FROM scored) q GROUP BY 1"""
+
+
+@query("calibration", f"""SELECT bin, CAST(n AS BIGINT) AS n, {R('predicted_prob')} AS predicted_prob, {R('actual_rate')} AS actual_rate,
+{R('actual_rate - predicted_prob')} AS calibration_error FROM calibrated""", ("scored", "calibrated"))
+def calibration(spark, folder):
+    return ops.calibration_table(fx.scored(spark, folder), "p", "y")
+
+
+@query("calibration_error", f"SELECT {R('AVG(ABS(actual_rate - predicted_prob))')} AS mean_abs_error FROM calibrated", ("scored", "calibrated"))
+def calibration_error(spark, folder):
+    return ops.calibration_error(ops.calibration_table(fx.scored(spark, folder), "p", "y"))
+
+
+@query("calibration_by_segment", f"""
+SELECT s.lang, CAST((SELECT COUNT(*) FROM UNNEST(e) AS t(x) WHERE x < p) AS BIGINT) AS bin, CAST(COUNT(*) AS BIGINT) AS n, {R('AVG(p)')} AS predicted_prob, {R('AVG(y)')} AS actual_rate,
+       {R('AVG(y) - AVG(p)')} AS calibration_error
+FROM scored s JOIN (SELECT lang, [{EDGES}] AS e FROM scored GROUP BY lang) q ON s.lang = q.lang GROUP BY 1, 2""", ("scored",))
+def calibration_by_segment(spark, folder):
+    return ops.calibration_table(fx.scored(spark, folder), "p", "y", keys=["lang"])
+
+
+fx.SQL["roc"] = """
+SELECT p AS threshold, pos, neg, SUM(neg) OVER w AS fp, SUM(pos) OVER w AS tp, SUM(pos) OVER () AS np, SUM(neg) OVER () AS nn,
+       LEAD(pos) OVER w AS next_pos, LEAD(neg) OVER w AS next_neg
+FROM (SELECT p, SUM(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS pos, SUM(CASE WHEN y <> 1 THEN 1 ELSE 0 END) AS neg FROM scored GROUP BY p) c
+WINDOW w AS (ORDER BY p DESC)"""
+
+
+@query("roc_points", f"""SELECT {R('threshold')} AS threshold, {R('fp * 1.0 / nn')} AS fpr, {R('tp * 1.0 / np')} AS tpr FROM roc
+WHERE next_pos IS NULL OR NOT (next_pos = pos AND next_neg = neg)""", ("scored", "roc"))
+def roc_points(spark, folder):
+    return ops.roc_points(fx.scored(spark, folder), "p", "y")
+
+
+@query("classifier_metrics", f"""
+SELECT {R('AVG(CAST((p >= 0.5) = (y = 1) AS INTEGER))')} AS accuracy, {R('AVG((p - y) * (p - y))')} AS brier,
+  {R('AVG(-CASE WHEN y = 1 THEN ln(GREATEST(LEAST(p, 1 - 1e-7), 1e-7)) ELSE ln(1 - GREATEST(LEAST(p, 1 - 1e-7), 1e-7)) END)')} AS log_loss,
+  CAST(COUNT(*) AS BIGINT) AS n_obs, {R('AVG(y)')} AS positive_rate, {R('AVG(CAST(p >= 0.5 AS INTEGER))')} AS pred_positive_rate,
+  (SELECT {R('SUM(pos * ((nn - fp) + neg / 2.0)) / (MAX(np) * MAX(nn))')} FROM roc) AS roc_auc FROM scored""", ("scored", "roc"))
+def classifier_metrics(spark, folder):
+    return ops.classifier_metrics(fx.scored(spark, folder), "p", "y")
+
+
+@query("confusion_counts", """SELECT CAST(y AS BIGINT) AS actual, CAST(p >= 0.5 AS BIGINT) AS predicted, CAST(COUNT(*) AS BIGINT) AS "rows" FROM scored GROUP BY 1, 2""", ("scored",))
+def confusion_counts(spark, folder):
+    return ops.confusion_counts(fx.scored(spark, folder), "p", "y")
+
+
+@query("class_report", f"""
+SELECT CAST(c AS BIGINT) AS label, {R('COALESCE(both_ * 1.0 / NULLIF(said, 0), 0)')} AS precision, {R('COALESCE(both_ * 1.0 / NULLIF(actual, 0), 0)')} AS recall,
+  {R('COALESCE(2.0 * both_ / NULLIF(said + actual, 0), 0)')} AS f1, CAST(actual AS BIGINT) AS support FROM (
+  SELECT c, SUM(CASE WHEN y = c AND CAST(p >= 0.5 AS INTEGER) = c THEN 1 ELSE 0 END) AS both_, SUM(CASE WHEN CAST(p >= 0.5 AS INTEGER) = c THEN 1 ELSE 0 END) AS said,
+         SUM(CASE WHEN y = c THEN 1 ELSE 0 END) AS actual FROM scored, (VALUES (0), (1)) v(c) GROUP BY c) t""", ("scored",))
+def class_report(spark, folder):
+    return ops.class_report(fx.scored(spark, folder), "p", "y")
+
+
+# Walk-forward folds over the order dates; the implied probability stands in for a model where SQL has to follow.
+CFG = FoldConfig(train_days=180, test_days=30, min_train=200)
+
+
+def _folds_sql(kind):
+    low = "lo" if kind == "expanding" else "lo + CAST(slot * 30 AS INTEGER)"
+    return f"""
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY slot) - 1 AS BIGINT) AS fold, * FROM (
+  SELECT slot, MIN(game_date) FILTER (tr) AS train_start, MAX(game_date) FILTER (tr) AS train_end, MIN(game_date) FILTER (te) AS test_start,
+         MAX(game_date) FILTER (te) AS test_end, COUNT(*) FILTER (tr) AS train_size, COUNT(*) FILTER (te) AS test_size
+  FROM (SELECT slot, game_date, game_date >= {low} AND game_date < lo + CAST(slot * 30 + 180 AS INTEGER) AS tr,
+               game_date >= lo + CAST(slot * 30 + 180 AS INTEGER) AND game_date < lo + CAST(slot * 30 + 210 AS INTEGER) AS te
+        FROM tickets, (SELECT MIN(game_date) AS lo, MAX(game_date) AS hi FROM tickets) b, generate_series(0, 400) AS g(slot)
+        WHERE lo + CAST(slot * 30 + 210 AS INTEGER) <= hi) x
+  GROUP BY slot HAVING COUNT(*) FILTER (tr) >= 200 AND COUNT(*) FILTER (te) > 0) f"""
+
+
+fx.SQL["rolling"] = _folds_sql("rolling")
+fx.SQL["expanding"] = _folds_sql("expanding")
+FOLD_COLUMNS = """fold, CAST(train_start AS VARCHAR) AS train_start, CAST(train_end AS VARCHAR) AS train_end, CAST(test_start AS VARCHAR) AS test_start,
+CAST(test_end AS VARCHAR) AS test_end, CAST(train_size AS BIGINT) AS train_size, CAST(test_size AS BIGINT) AS test_size"""
+
+
+@query("rolling_folds", f"SELECT {FOLD_COLUMNS} FROM rolling", (*fx.TICKET_FIXTURES, "rolling"))
+def rolling_folds(spark, folder):
+    return folds.split_summary(fx.tickets(spark, folder), CFG).drop("slot")
+
+
+@query("expanding_folds", f"SELECT {FOLD_COLUMNS} FROM expanding", (*fx.TICKET_FIXTURES, "expanding"))
+def expanding_folds(spark, folder):
+    return folds.split_summary(fx.tickets(spark, folder), CFG, "expanding").drop("slot")
+
+
+TP = "CASE WHEN builder_hit = 1 THEN stake * (decimal_odds - 1) ELSE -stake END"
+TU = "CASE WHEN builder_hit = 1 THEN decimal_odds - 1 ELSE -1.0 END"
+fx.SQL["fold_results"] = f"""
+SELECT fold, ANY_VALUE(f.test_start) AS test_start, COUNT(*) AS n_obs, AVG(builder_hit) AS hit_rate, AVG(book_implied_prob) AS pred_hit_rate,
+  AVG((book_implied_prob - builder_hit) * (book_implied_prob - builder_hit)) AS brier, SUM({TP}) / SUM(stake) AS roi, SUM({TP}) AS profit,
+  COALESCE(AVG({TU}) / NULLIF(STDDEV_SAMP({TU}), 0), 0) AS sharpe_ratio, SUM(stake) AS total_stake
+FROM rolling f, tickets t, (SELECT MIN(game_date) AS lo FROM tickets) b
+WHERE game_date >= lo + CAST(slot * 30 + 180 AS INTEGER) AND game_date < lo + CAST(slot * 30 + 210 AS INTEGER) GROUP BY fold"""
+FR = (*fx.TICKET_FIXTURES, "rolling", "fold_results")
+
+
+@query("fold_metrics", f"""SELECT fold, n_obs, {R('hit_rate')} AS hit_rate, {R('pred_hit_rate')} AS pred_hit_rate, {R('brier')} AS brier, {R('roi')} AS roi,
+{R('profit', 4)} AS profit, {R('sharpe_ratio')} AS sharpe_ratio, {R('total_stake', 4)} AS total_stake FROM fold_results""", FR)
+def fold_metrics(spark, folder):
+    table = folds.fold_metrics(fx.tickets(spark, folder), CFG, "book_implied_prob")
+    return table.drop("yield").withColumns({c: F.rint(F.col(c) * 1e4) / 1e4 for c in ("profit", "total_stake")})
+
+
+@query("backtest_summary", f"""
+SELECT CAST(COUNT(*) AS BIGINT) AS n_folds, {R('AVG(roi)')} AS mean_roi, {R('quantile_cont(roi, 0.5)')} AS median_roi, {R('STDDEV_SAMP(roi)')} AS std_roi, {R('MIN(roi)')} AS min_roi,
+  {R('MAX(roi)')} AS max_roi, {R('SUM(profit)', 3)} AS total_profit, {R('SUM(total_stake)', 3)} AS total_stake, {R('SUM(profit) / SUM(total_stake)')} AS overall_roi,
+  {R('AVG(CAST(roi > 0 AS INTEGER))')} AS win_rate, arg_max(fold, roi) AS best_fold, arg_min(fold, roi) AS worst_fold, {R('regr_slope(roi, x)')} AS slope,
+  {R('regr_intercept(roi, x)')} AS intercept, {R('regr_r2(roi, x)')} AS r_squared
+FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY test_start) - 1 AS x FROM fold_results) r""", FR)
+def backtest_summary(spark, folder):
+    t = fx.tickets(spark, folder)
+    results = folds.fold_metrics(t, CFG, "book_implied_prob").join(folds.split_summary(t, CFG).select("fold", "test_start"), "fold")
+    table = folds.backtest_summary(results).drop("p_value", "significant")
+    return table.withColumns({c: F.rint(F.col(c) * 1e3) / 1e3 for c in ("total_profit", "total_stake")})
+
+
+@query("train_predict")
+def train_predict(spark, folder):
+    t = fx.tickets(spark, folder)
+    return outcome.predict(outcome.train(t), t).select("builder_id", "pred_prob", "pred_hit", "builder_hit")
+
+
+@query("model_metrics")
+def model_metrics(spark, folder):
+    t = fx.tickets(spark, folder)
+    return outcome.evaluate_model(outcome.train(t, outcome.PRE_GAME_FEATURES), t)
+
+
+@query("feature_impact")
+def feature_impact(spark, folder):
+    t = fx.tickets(spark, folder)
+    return outcome.feature_impact(outcome.train(t), t)
+
+
+@query("rolling_backtest")
+def rolling_backtest(spark, folder):
+    return folds.run_backtest(fx.tickets(spark, folder), CFG, outcome.FEATURES)[0]
+
+
+@query("rolling_predictions")
+def rolling_predictions(spark, folder):
+    return folds.run_backtest(fx.tickets(spark, folder), CFG, outcome.PRE_GAME_FEATURES)[1]
+
+
+@query("expanding_backtest")
+def expanding_backtest(spark, folder):
+    return folds.run_backtest(fx.tickets(spark, folder), CFG, outcome.FEATURES, kind="expanding")[0]

@@ -1 +1,166 @@
+"""Goodness of fit, histograms, densities and box summaries."""
 
+from pyspark.sql import functions as F
+
+from ..operators import cleaning, goodness as ops
+from . import fixtures as fx
+from .dependence import VARS, item
+from .registry import R, query
+
+M2 = "AVG((value - mu) * (value - mu))"
+MOMENTS = f"""
+SELECT variable, COUNT(*) AS n, AVG((value - mu) * (value - mu) * (value - mu)) / pow({M2}, 1.5) AS skew,
+       AVG((value - mu) * (value - mu) * (value - mu) * (value - mu)) / pow({M2}, 2) - 3 AS kurt
+FROM (SELECT *, AVG(value) OVER (PARTITION BY variable) AS mu FROM item_long) m GROUP BY variable
+"""
+
+
+@query("normality_moments", f"""WITH m AS ({MOMENTS}) SELECT variable, n, {R('skew')} AS skewness, {R('kurt')} AS kurtosis,
+{R('n / 6.0 * (skew * skew + kurt * kurt / 4)', 3)} AS jb, {R('exp(-(n / 6.0 * (skew * skew + kurt * kurt / 4)) / 2)')} AS jb_p FROM m""", ("item", "item_long"))
+def normality_moments(spark, folder):
+    return ops.normality_moments(item(spark, folder), VARS).withColumn("jb", F.rint(F.col("jb") * 1e3) / 1e3)
+
+
+@query("ks_exponential", f"""
+WITH c AS (SELECT variable, value, COUNT(*) AS w FROM item_long GROUP BY 1, 2),
+r AS (SELECT variable, value, w, SUM(w) OVER (PARTITION BY variable ORDER BY value) AS up, SUM(w) OVER (PARTITION BY variable) AS n,
+       SUM(w * value) OVER (PARTITION BY variable) / SUM(w) OVER (PARTITION BY variable) AS mu FROM c),
+f AS (SELECT *, CASE WHEN value > 0 THEN 1 - exp(-value / mu) ELSE 0 END AS cdf FROM r)
+SELECT variable, 'exponential' AS family, {R('ANY_VALUE(mu)')} AS a, CAST(ANY_VALUE(n) AS BIGINT) AS n,
+       {R('MAX(GREATEST(cdf - (up - w) * 1.0 / n, up * 1.0 / n - cdf))')} AS ks FROM f GROUP BY variable""", ("item", "item_long"))
+def ks_exponential(spark, folder):
+    return ops.fit_families(item(spark, folder), VARS).filter("family = 'exponential'").select("variable", "family", "a", "n", "ks")
+
+
+@query("ks_poisson", f"""
+WITH c AS (SELECT variable, value, COUNT(*) AS w FROM item_long GROUP BY 1, 2),
+r AS (SELECT variable, value, w, SUM(w) OVER (PARTITION BY variable ORDER BY value) AS up, SUM(w) OVER (PARTITION BY variable) AS n,
+       SUM(w * value) OVER (PARTITION BY variable) / SUM(w) OVER (PARTITION BY variable) AS mu FROM c),
+f AS (SELECT *, (SELECT SUM(exp(i * ln(mu) - mu - lgamma(i + 1))) FROM generate_series(0, CAST(value AS BIGINT)) AS t(i)) AS cdf FROM r)
+SELECT variable, {R('ANY_VALUE(mu)')} AS a, {R('MAX(GREATEST(cdf - (up - w) * 1.0 / n, up * 1.0 / n - cdf))')} AS ks FROM f GROUP BY variable""", ("item", "item_long"))
+def ks_poisson(spark, folder):
+    return ops.fit_families(item(spark, folder), VARS).filter("family = 'poisson'").select("variable", "a", "ks")
+
+
+@query("anderson_darling_exponential", f"""
+WITH c AS (SELECT variable, value, COUNT(*) AS w FROM item_long WHERE variable IN ('l_quantity', 'l_linenumber') GROUP BY 1, 2),
+r AS (SELECT variable, value, CAST(w AS DOUBLE) AS w, CAST(SUM(w) OVER (PARTITION BY variable ORDER BY value) AS DOUBLE) AS up,
+       CAST(SUM(w) OVER (PARTITION BY variable) AS DOUBLE) AS n, SUM(w * value) OVER (PARTITION BY variable) / SUM(w) OVER (PARTITION BY variable) AS mu FROM c),
+f AS (SELECT *, up * up - (up - w) * (up - w) AS low, 1 - exp(-value / mu) AS cdf FROM r)
+SELECT variable, CAST(ANY_VALUE(n) AS BIGINT) AS n, {R('-ANY_VALUE(n) - SUM(low * ln(cdf) + (2 * n * w - low) * ln(1 - cdf)) / ANY_VALUE(n)', 3)} AS ad
+FROM f GROUP BY variable""", ("item", "item_long"))
+def anderson_darling_exponential(spark, folder):
+    table = ops.anderson_darling(item(spark, folder), ["l_quantity", "l_linenumber"]).filter("family = 'exponential'")
+    return table.select("variable", "n", (F.rint(F.col("ad") * 1e3) / 1e3).alias("ad"))
+
+
+@query("gof_table")
+def gof_table(spark, folder):
+    """The fitted gamma, beta and normal CDFs have no SQL counterpart."""
+    return ops.goodness_table(item(spark, folder), VARS)
+
+
+@query("family_mix")
+def family_mix(spark, folder):
+    return ops.family_mix(ops.goodness_table(item(spark, folder), VARS))
+
+
+@query("anderson_darling")
+def anderson_darling(spark, folder):
+    return ops.anderson_darling(item(spark, folder), VARS)
+
+
+@query("histogram", f"""
+SELECT CAST(l_quantity - (SELECT MIN(l_quantity) FROM item) AS BIGINT) AS bin, {R('l_quantity')} AS "left", {R('l_quantity + 1')} AS "right",
+  CAST(COUNT(*) AS DOUBLE) AS weight, {R('COUNT(*) * 1.0 / (SELECT COUNT(*) FROM item)')} AS density,
+  {R('(SELECT LEAST(MAX(l_quantity), 1.2 * quantile_cont(l_quantity, 0.95)) FROM item)')} AS x_max FROM item GROUP BY l_quantity""", ("item",))
+def histogram(spark, folder):
+    return ops.histogram(item(spark, folder), "l_quantity", discrete=True)
+
+
+@query("histogram_equal_width", f"""
+WITH l AS (SELECT MIN(l_extendedprice) AS lo, MAX(l_extendedprice) AS hi, COUNT(*) AS n, LEAST(MAX(l_extendedprice), 1.2 * quantile_cont(l_extendedprice, 0.95)) AS x FROM lineitem),
+b AS (SELECT LEAST(floor((l_extendedprice - lo) / ((hi - lo) / 40)), 39) AS bin, COUNT(*) AS w, ANY_VALUE(lo) AS lo, ANY_VALUE((hi - lo) / 40) AS width, ANY_VALUE(n) AS n,
+       ANY_VALUE(x) AS x FROM lineitem, l GROUP BY 1)
+SELECT CAST(bin AS BIGINT) AS bin, {R('lo + bin * width', 3)} AS "left", {R('lo + (bin + 1) * width', 3)} AS "right", CAST(w AS DOUBLE) AS weight,
+       {R('w * 1.0 / n / width')} AS density, {R('x', 3)} AS x_max FROM b""")
+def histogram_equal_width(spark, folder):
+    table = ops.histogram(fx.table(spark, folder, "lineitem"), "l_extendedprice")
+    return table.withColumns({c: F.rint(F.col(c) * 1e3) / 1e3 for c in ("left", "right", "x_max")})
+
+
+# A percentage with attempts: discount points out of ten, tried l_quantity times.
+fx.SQL["pct"] = "SELECT round_even(l_discount * 100, 0) / 10 AS pct, l_quantity AS tries FROM lineitem"
+
+
+def pct(spark, folder):
+    return fx.table(spark, folder, "lineitem").select((F.rint(F.col("l_discount") * 100) / 10).alias("pct"), F.col("l_quantity").alias("tries"))
+
+
+@query("weighted_histogram", f"""
+WITH k AS (SELECT * FROM pct WHERE tries >= 3 AND pct > 0), l AS (SELECT MIN(pct) AS lo, MAX(pct) AS hi, SUM(tries) AS n FROM k),
+b AS (SELECT LEAST(floor((pct - lo) / ((hi - lo) / 7.0)), 6) AS bin, SUM(tries) AS w, ANY_VALUE(n) AS n, ANY_VALUE((hi - lo) / 7.0) AS width FROM k, l GROUP BY 1)
+SELECT CAST(bin AS BIGINT) AS bin, w AS weight, {R('w / n / width')} AS density FROM b""", ("pct",))
+def weighted_histogram(spark, folder):
+    return ops.histogram(pct(spark, folder), "pct", bins=7, attempts="tries", min_attempts=3, percentage=True).select("bin", "weight", "density")
+
+
+@query("attempt_filter_summary", f"""
+SELECT 'pct' AS stat, CAST(COUNT(*) AS BIGINT) AS original_n, CAST(SUM(CASE WHEN tries < 3 THEN 1 ELSE 0 END) AS BIGINT) AS low_attempts_removed,
+       CAST(SUM(CASE WHEN tries >= 3 AND pct = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zeros_removed,
+       CAST(SUM(CASE WHEN tries >= 3 AND pct <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS final_n,
+       {R('SUM(CASE WHEN tries >= 3 AND pct <> 0 THEN 0 ELSE 1 END) * 100.0 / COUNT(*)')} AS pct_filtered FROM pct""", ("pct",))
+def attempt_filter_summary(spark, folder):
+    return cleaning.attempt_filter_summary(pct(spark, folder), {"pct": ("tries", 3)})
+
+
+fx.SQL["kde_in"] = "SELECT CAST(p_size AS DOUBLE) AS v FROM part"
+
+
+@query("kde_grid", f"""
+WITH l AS (SELECT COUNT(*) AS n, STDDEV_SAMP(v) * pow(COUNT(*), -0.2) AS h, MIN(v) AS lo, LEAST(MAX(v), 1.2 * quantile_cont(v, 0.95)) AS hi FROM kde_in),
+c AS (SELECT v, COUNT(*) AS w FROM kde_in GROUP BY v)
+SELECT point, {R('ANY_VALUE(lo + point * (hi - lo) / 199.0)')} AS x,
+       {R('SUM(w * exp(-pow((v - (lo + point * (hi - lo) / 199.0)) / h, 2) / 2)) / ANY_VALUE(n * h * sqrt(2 * pi()))')} AS density
+FROM c, l, generate_series(0, 199) AS g(point) GROUP BY point""", ("kde_in",))
+def kde_grid(spark, folder):
+    return ops.kde_grid(fx.table(spark, folder, "part"), "p_size")
+
+
+@query("kde_bounded", f"""
+WITH k AS (SELECT pct AS v FROM pct WHERE pct > 0),
+l AS (SELECT COUNT(*) AS n, STDDEV_SAMP(v) * pow(COUNT(*), -0.2) * 1.8 AS h, GREATEST(MIN(v) - 0.05, 0) AS lo, LEAST(LEAST(MAX(v), 1.2 * quantile_cont(v, 0.95)) + 0.05, 1) AS hi FROM k),
+c AS (SELECT v, COUNT(*) AS w FROM k GROUP BY v)
+SELECT point, {R('ANY_VALUE(lo + point * (hi - lo) / 299.0)')} AS x,
+       {R('SUM(w * exp(-pow((v - (lo + point * (hi - lo) / 299.0)) / h, 2) / 2)) / ANY_VALUE(n * h * sqrt(2 * pi()))')} AS density
+FROM c, l, generate_series(0, 299) AS g(point) GROUP BY point""", ("pct",))
+def kde_bounded(spark, folder):
+    return ops.kde_grid(pct(spark, folder), "pct", 300, bandwidth_scale=1.8, clip_unit=True)
+
+
+def _box(source, value, by=None):
+    key = f"{by}, " if by else ""
+    part = f"PARTITION BY {by}" if by else ""
+    return f"""
+WITH q AS (SELECT *, quantile_cont({value}, 0.25) OVER ({part}) AS q1, quantile_cont({value}, 0.75) OVER ({part}) AS q3 FROM {source})
+SELECT {key}'{value}' AS "column", CAST(COUNT(*) AS BIGINT) AS n, {R(f'AVG({value})')} AS mean, {R(f'STDDEV_SAMP({value})')} AS std, {R('ANY_VALUE(q1)')} AS q1,
+  {R(f'quantile_cont({value}, 0.5)')} AS median, {R('ANY_VALUE(q3)')} AS q3, {R(f'MIN({value}) FILTER ({value} >= q1 - 1.5 * (q3 - q1))')} AS whisker_low,
+  {R(f'MAX({value}) FILTER ({value} <= q3 + 1.5 * (q3 - q1))')} AS whisker_high, {R('ANY_VALUE(q3 - q1)')} AS iqr FROM q {f'GROUP BY {by}' if by else ''}"""
+
+
+@query("box_summary", _box("box", "pts"), ("box",))
+def box_summary(spark, folder):
+    return ops.box_summary(fx.box(spark, folder), ["pts"])
+
+
+@query("box_summary_by_side", _box("box", "pts", "home_away"), ("box",))
+def box_summary_by_side(spark, folder):
+    return ops.box_summary(fx.box(spark, folder), ["pts"], by="home_away")
+
+
+@query("skew_notes", f"""WITH m AS ({MOMENTS}), s AS (SELECT variable, skew * sqrt(CAST(n AS DOUBLE) * (n - 1)) / (n - 2) AS g FROM m),
+q AS (SELECT variable, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM item_long GROUP BY variable)
+SELECT variable AS "column", {R('g')} AS skew, {R('iqr')} AS iqr, CASE WHEN ABS(g) < 0.5 THEN 'symmetric' WHEN ABS(g) < 1 THEN 'moderate' ELSE 'strong' END AS shape
+FROM s JOIN q USING (variable)""", ("item", "item_long"))
+def skew_notes(spark, folder):
+    return ops.skew_notes(item(spark, folder), VARS)

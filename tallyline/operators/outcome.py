@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.exprs import unpivot
 from ..functions.ordered import quantiles
+from ..session import ensure_checkpoint_dir
 from .betting import classifier_metrics
 
 # The default inputs.  The two edge features are computed from the
@@ -21,11 +22,16 @@ PRE_GAME_FEATURES = ("n_legs", "book_implied_prob", "pct_over", "n_unique_player
 
 
 def train(df: DataFrame, features: Sequence[str] = FEATURES, label: str = "builder_hit") -> PipelineModel:
-    """Median fill, standardising, class-balanced L2 logistic regression (C = 1)."""
+    """Median fill, standardising, class-balanced L2 logistic regression (C = 1).
+
+    The training columns are written once to the checkpoint folder, since medians,
+    scaling and every optimiser step read them.
+    """
     missing = sorted(set(features) - set(df.columns))
     if missing:
         raise ValueError(f"missing features {missing}")
-    data = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias(label))
+    ensure_checkpoint_dir(df.sparkSession)
+    data = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias(label)).checkpoint()
     medians = {r["feature"]: r["median"] for r in quantiles(
         unpivot(data, [], features, "feature", "value"), ["feature"], "value", {"median": 0.5}).collect()}
     filled = data.select(label, *[F.coalesce(F.col(f), F.lit(float(medians.get(f) or 0.0))).alias(f) for f in features])
@@ -42,7 +48,7 @@ def train(df: DataFrame, features: Sequence[str] = FEATURES, label: str = "build
     # Class weights sum to n, so an L2 strength of 1/n equals C = 1 on summed losses.
     fit = LogisticRegression(featuresCol="features", labelCol=label, weightCol="_w", regParam=1.0 / n, elasticNetParam=0.0,
                              standardization=False, maxIter=1000, tol=1e-12)
-    weighted = df.withColumn(label, F.col(label).cast("double")).withColumn(
+    weighted = data.withColumn(
         "_w", F.when(F.col(label) == 1, n / (2.0 * n1)).otherwise(n / (2.0 * (n - n1))))
     return Pipeline(stages=[prepare, gather, fit]).fit(weighted)
 

@@ -28,7 +28,7 @@ def rest_days(df: DataFrame, *, entity: str = "player_id", date: str = "game_dat
         F.struct(F.lit(0).alias("gap"), (F.col("rows") - 1).alias("rows")),
     )).alias("g")).select("g.*").filter("gap is not null and rows > 0")
     # Gaps are whole days, so this table has at most one row per day of the data's span.
-    median = gaps.groupBy("gap").agg(F.sum("rows").alias("rows")).agg(F.percentile("gap", 0.5, "rows")).scalar()
+    median = gaps.groupBy("gap").agg(F.sum("rows").alias("rows")).agg(F.percentile("gap", 0.5, F.col("rows"))).scalar()
     return dated.withColumn(out, F.coalesce(F.col(out), median))
 
 
