@@ -120,27 +120,27 @@ def _fold_scaling(train: DataFrame, features: Sequence[str], label: str) -> list
     medians = quantiles_of_counts(cumulative_counts(counted, ["fold", "feature"], "value", "rows"),
                                   ["fold", "feature"], "value", {"median": 0.5})
     wide = medians.groupBy("fold").pivot("feature", list(features)).agg(F.first("median"))
-    wide = wide.select("fold", *[F.col(f"`{f}`").alias(f"med_{f}") for f in features])
+    wide = wide.select("fold", *[F.col(f"`{f}`").alias(f"_med_{f}") for f in features])
     filled = train.join(F.broadcast(wide), "fold", "left").select(
-        "fold", label, *[F.coalesce(F.col(f).cast("double"), F.col(f"med_{f}"), F.lit(0.0)).alias(f) for f in features],
-        *[f"med_{f}" for f in features])
+        "fold", label, *[F.coalesce(F.col(f).cast("double"), F.col(f"_med_{f}"), F.lit(0.0)).alias(f) for f in features],
+        *[f"_med_{f}" for f in features])
     return filled.groupBy("fold").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("n1"),
-        *[F.first(f"med_{f}").alias(f"med_{f}") for f in features],
+        *[F.first(f"_med_{f}").alias(f"_med_{f}") for f in features],
         *[F.avg(f).alias(f"mu_{f}") for f in features], *[F.stddev_pop(f).alias(f"sd_{f}") for f in features],
     ).collect()
 
 
 def _score(df: DataFrame, params: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Add standardised features z<i>, the margin and pred_prob with the fold's parameters."""
+    """Add standardised features _z<i>, the margin and pred_prob with the fold's parameters."""
     joined = df.join(F.broadcast(params), "fold")
-    z = {f"z{i}": (F.coalesce(F.col(f).cast("double"), F.col(f"m{i}")) - F.col(f"u{i}")) / F.col(f"s{i}")
+    z = {f"_z{i}": (F.coalesce(F.col(f).cast("double"), F.col(f"_m{i}")) - F.col(f"_u{i}")) / F.col(f"_s{i}")
          for i, f in enumerate(features)}
     scaled = joined.withColumns(z)
-    margin = F.col("b")
+    margin = F.col("_b")
     for i in range(len(features)):
-        margin = margin + F.col(f"w{i}") * F.col(f"z{i}")
-    return scaled.withColumn("margin", margin).withColumn("pred_prob", 1.0 / (1.0 + F.exp(-F.col("margin"))))
+        margin = margin + F.col(f"_w{i}") * F.col(f"_z{i}")
+    return scaled.withColumn("_margin", margin).withColumn("pred_prob", 1.0 / (1.0 + F.exp(-F.col("_margin"))))
 
 
 def fit_folds(train: DataFrame, features: Sequence[str], label: str, tolerance: float = 1e-9, rounds: int = 40) -> DataFrame:
@@ -156,10 +156,10 @@ def fit_folds(train: DataFrame, features: Sequence[str], label: str, tolerance:
     fits = {}
     for r in stats:
         fits[r["fold"]] = dict(
-            med=[r[f"med_{f}"] or 0.0 for f in features], mu=[r[f"mu_{f}"] for f in features],
+            med=[r[f"_med_{f}"] or 0.0 for f in features], mu=[r[f"mu_{f}"] for f in features],
             sd=[r[f"sd_{f}"] or 1.0 for f in features], c0=r["n"] / (2.0 * (r["n"] - r["n1"])), c1=r["n"] / (2.0 * r["n1"]),
             beta=np.zeros(d + 1), step=np.zeros(d + 1), loss=np.inf, done=False)
-    names = ["fold", "c0", "c1", "b", *[f"{k}{i}" for k in "wmus" for i in range(d)]]
+    names = ["fold", "_c0", "_c1", "_b", *[f"_{k}{i}" for k in "wmus" for i in range(d)]]
     schema = ", ".join(f"{n} {'int' if n == 'fold' else 'double'}" for n in names)
 
     def table(rows: dict) -> DataFrame:
@@ -173,11 +173,11 @@ def fit_folds(train: DataFrame, features: Sequence[str], label: str, tolerance:
             break
         scored = _score(train, table(open_fits), features)
         y, p = F.col(label), F.col("pred_prob")
-        weight = F.when(y == 1, F.col("c1")).otherwise(F.col("c0"))
-        x = [F.lit(1.0), *[F.col(f"z{i}") for i in range(d)]]
+        weight = F.when(y == 1, F.col("_c1")).otherwise(F.col("_c0"))
+        x = [F.lit(1.0), *[F.col(f"_z{i}") for i in range(d)]]
         curve = weight * p * (1 - p)
         # log(1 + exp(m)) - y*m without overflow
-        loss = weight * (F.greatest(F.col("margin"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("margin"))) - y * F.col("margin"))
+        loss = weight * (F.greatest(F.col("_margin"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("_margin"))) - y * F.col("_margin"))
         sums = scored.groupBy("fold").agg(
             F.sum(loss).alias("loss"),
             *[F.sum(weight * (p - y) * x[i]).alias(f"g{i}") for i in range(d + 1)],
