@@ -43,30 +43,30 @@ fx.SQL["global_spearman"] = _global("global_ranks")
 
 @query("entity_corr_pearson", f"SELECT player_id, stat_x, stat_y, {R('corr')} AS corr, n_games, 'pearson' AS method FROM entity_pearson", ("box", "entity_pearson"))
 def entity_corr_pearson(spark, folder):
-    return ops.entity_correlations(fx.box(spark, folder), method="pearson")
+    return ops.entity_correlations(fx.stored(fx.box(spark, folder)), method="pearson")
 
 
 @query("entity_corr_spearman", f"SELECT player_id, stat_x, stat_y, {R('corr')} AS corr, n_games, 'spearman' AS method FROM entity_spearman",
        ("box", "entity_ranks", "entity_spearman"))
 def entity_corr_spearman(spark, folder):
-    return ops.entity_correlations(fx.box(spark, folder))
+    return ops.entity_correlations(fx.stored(fx.box(spark, folder)))
 
 
 @query("global_corr_pearson", f"SELECT stat_x, stat_y, {R('corr')} AS corr, n_obs, 'pearson' AS method FROM global_pearson", ("box", "global_pearson"))
 def global_corr_pearson(spark, folder):
-    return ops.global_correlation(fx.box(spark, folder), method="pearson")
+    return ops.global_correlation(fx.stored(fx.box(spark, folder)), method="pearson")
 
 
 @query("global_corr_spearman", f"SELECT stat_x, stat_y, {R('corr')} AS corr, n_obs, 'spearman' AS method FROM global_spearman",
        ("box", "global_ranks", "global_spearman"))
 def global_corr_spearman(spark, folder):
-    return ops.global_correlation(fx.box(spark, folder))
+    return ops.global_correlation(fx.stored(fx.box(spark, folder)))
 
 
 @query("corr_summary", f"""SELECT stat_x, stat_y, {R('AVG(corr)')} AS mean_corr, {R('STDDEV_SAMP(corr)')} AS std_corr, {R('MIN(corr)')} AS min_corr,
 {R('MAX(corr)')} AS max_corr, {R('quantile_cont(corr, 0.5)')} AS median_corr FROM entity_pearson WHERE stat_x <> stat_y GROUP BY stat_x, stat_y""", ("box", "entity_pearson"))
 def corr_summary(spark, folder):
-    return ops.correlation_summary(ops.entity_correlations(fx.box(spark, folder), method="pearson"))
+    return ops.correlation_summary(ops.entity_correlations(fx.stored(fx.box(spark, folder)), method="pearson"))
 
 
 @query("corr_vs_global", f"""SELECT g.stat_x, g.stat_y, {R('ANY_VALUE(g.corr)')} AS global_corr, {R('AVG(e.corr)')} AS player_mean_corr,
@@ -74,7 +74,7 @@ def corr_summary(spark, folder):
 FROM global_pearson g JOIN entity_pearson e ON g.stat_x = e.stat_x AND g.stat_y = e.stat_y WHERE g.stat_x <> g.stat_y GROUP BY g.stat_x, g.stat_y""",
        ("box", "entity_pearson", "global_pearson"))
 def corr_vs_global(spark, folder):
-    b = fx.box(spark, folder)
+    b = fx.stored(fx.box(spark, folder))
     swapped = ops.entity_correlations(b, ("reb", "ast", "fg3m", "pts"), method="pearson")
     return ops.compare_with_global(swapped, ops.global_correlation(b, method="pearson"))
 
@@ -82,31 +82,31 @@ def corr_vs_global(spark, folder):
 @query("high_corr_pairs", f"SELECT player_id, stat_x, stat_y, {R('corr')} AS corr, n_games FROM entity_pearson WHERE stat_x <> stat_y AND ABS(corr) >= 0.15",
        ("box", "entity_pearson"))
 def high_corr_pairs(spark, folder):
-    return ops.high_correlation_pairs(ops.entity_correlations(fx.box(spark, folder), method="pearson"), 0.15).drop("method")
+    return ops.high_correlation_pairs(ops.entity_correlations(fx.stored(fx.box(spark, folder)), method="pearson"), 0.15).drop("method")
 
 
 @query("high_corr_pair_counts", """SELECT stat_x, stat_y, CAST(COUNT(*) AS BIGINT) AS n_players FROM entity_pearson
 WHERE stat_x <> stat_y AND ABS(corr) >= 0.15 GROUP BY stat_x, stat_y""", ("box", "entity_pearson"))
 def high_corr_pair_counts(spark, folder):
-    return ops.pair_counts(ops.high_correlation_pairs(ops.entity_correlations(fx.box(spark, folder), method="pearson"), 0.15))
+    return ops.pair_counts(ops.high_correlation_pairs(ops.entity_correlations(fx.stored(fx.box(spark, folder)), method="pearson"), 0.15))
 
 
 @query("strongest_corr", f"""SELECT stat_x, stat_y, {R('corr')} AS corr FROM global_pearson WHERE stat_x <> stat_y ORDER BY corr DESC, stat_x, stat_y LIMIT 3""",
        ("box", "global_pearson"))
 def strongest_corr(spark, folder):
-    return ops.strongest_correlations(ops.global_correlation(fx.box(spark, folder), method="pearson")).select("stat_x", "stat_y", "corr")
+    return ops.strongest_correlations(ops.global_correlation(fx.stored(fx.box(spark, folder)), method="pearson")).select("stat_x", "stat_y", "corr")
 
 
 @query("corr_matrix", f"""SELECT v.variable, {', '.join(f'''{R(f"""CASE WHEN v.variable = '{s}' THEN 1.0 ELSE MAX(g.corr) FILTER
   ((g.stat_x = v.variable AND g.stat_y = '{s}') OR (g.stat_y = v.variable AND g.stat_x = '{s}')) END""")} AS {s}''' for s in STATS)}
 FROM (VALUES {', '.join(f"('{s}')" for s in STATS)}) v(variable), global_pearson g GROUP BY v.variable""", ("box", "global_pearson"))
 def corr_matrix(spark, folder):
-    return ops.correlation_matrix(ops.global_correlation(fx.box(spark, folder), method="pearson"), STATS)
+    return ops.correlation_matrix(ops.global_correlation(fx.stored(fx.box(spark, folder)), method="pearson"), STATS)
 
 
 @query("corr_matrix_pairs", f"SELECT stat_x, stat_y, {R('corr')} AS corr FROM global_pearson WHERE stat_x <> stat_y", ("box", "global_pearson"))
 def corr_matrix_pairs(spark, folder):
-    matrix = ops.correlation_matrix(ops.global_correlation(fx.box(spark, folder), method="pearson"), STATS)
+    matrix = ops.correlation_matrix(ops.global_correlation(fx.stored(fx.box(spark, folder)), method="pearson"), STATS)
     return ops.matrix_to_pairs(matrix, STATS)
 
 

@@ -122,12 +122,12 @@ CAST(test_end AS VARCHAR) AS test_end, CAST(train_size AS BIGINT) AS train_size,
 
 @query("rolling_folds", f"SELECT {FOLD_COLUMNS} FROM rolling", (*fx.TICKET_FIXTURES, "rolling"))
 def rolling_folds(spark, folder):
-    return folds.split_summary(fx.tickets(spark, folder), CFG).drop("slot")
+    return folds.split_summary(fx.stored(fx.tickets(spark, folder)), CFG).drop("slot")
 
 
 @query("expanding_folds", f"SELECT {FOLD_COLUMNS} FROM expanding", (*fx.TICKET_FIXTURES, "expanding"))
 def expanding_folds(spark, folder):
-    return folds.split_summary(fx.tickets(spark, folder), CFG, "expanding").drop("slot")
+    return folds.split_summary(fx.stored(fx.tickets(spark, folder)), CFG, "expanding").drop("slot")
 
 
 TP = "CASE WHEN builder_hit = 1 THEN stake * (decimal_odds - 1) ELSE -stake END"
@@ -144,7 +144,7 @@ FR = (*fx.TICKET_FIXTURES, "rolling", "fold_results")
 @query("fold_metrics", f"""SELECT fold, n_obs, {R('hit_rate')} AS hit_rate, {R('pred_hit_rate')} AS pred_hit_rate, {R('brier')} AS brier, {R('roi')} AS roi,
 {R('profit', 4)} AS profit, {R('sharpe_ratio')} AS sharpe_ratio, {R('total_stake', 4)} AS total_stake FROM fold_results""", FR)
 def fold_metrics(spark, folder):
-    table = folds.fold_metrics(fx.tickets(spark, folder), CFG, "book_implied_prob")
+    table = folds.fold_metrics(fx.stored(fx.tickets(spark, folder)), CFG, "book_implied_prob")
     return table.drop("yield").withColumns({c: F.rint(F.col(c) * 1e4) / 1e4 for c in ("profit", "total_stake")})
 
 
@@ -155,7 +155,7 @@ SELECT CAST(COUNT(*) AS BIGINT) AS n_folds, {R('AVG(roi)')} AS mean_roi, {R('qua
   {R('regr_intercept(roi, x)')} AS intercept, {R('regr_r2(roi, x)')} AS r_squared
 FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY test_start) - 1 AS x FROM fold_results) r""", FR)
 def backtest_summary(spark, folder):
-    t = fx.tickets(spark, folder)
+    t = fx.stored(fx.tickets(spark, folder))
     results = folds.fold_metrics(t, CFG, "book_implied_prob").join(folds.split_summary(t, CFG).select("fold", "test_start"), "fold")
     table = folds.backtest_summary(results).drop("p_value", "significant")
     return table.withColumns({c: F.rint(F.col(c) * 1e3) / 1e3 for c in ("total_profit", "total_stake")})
@@ -163,32 +163,32 @@ def backtest_summary(spark, folder):
 
 @query("train_predict")
 def train_predict(spark, folder):
-    t = fx.tickets(spark, folder)
+    t = fx.stored(fx.tickets(spark, folder))
     return outcome.predict(outcome.train(t), t).select("builder_id", "pred_prob", "pred_hit", "builder_hit")
 
 
 @query("model_metrics")
 def model_metrics(spark, folder):
-    t = fx.tickets(spark, folder)
+    t = fx.stored(fx.tickets(spark, folder))
     return outcome.evaluate_model(outcome.train(t, outcome.PRE_GAME_FEATURES), t)
 
 
 @query("feature_impact")
 def feature_impact(spark, folder):
-    t = fx.tickets(spark, folder)
+    t = fx.stored(fx.tickets(spark, folder))
     return outcome.feature_impact(outcome.train(t), t)
 
 
 @query("rolling_backtest")
 def rolling_backtest(spark, folder):
-    return folds.run_backtest(fx.tickets(spark, folder), CFG, outcome.FEATURES)[0]
+    return folds.run_backtest(fx.stored(fx.tickets(spark, folder)), CFG, outcome.FEATURES)[0]
 
 
 @query("rolling_predictions")
 def rolling_predictions(spark, folder):
-    return folds.run_backtest(fx.tickets(spark, folder), CFG, outcome.PRE_GAME_FEATURES)[1]
+    return folds.run_backtest(fx.stored(fx.tickets(spark, folder)), CFG, outcome.PRE_GAME_FEATURES)[1]
 
 
 @query("expanding_backtest")
 def expanding_backtest(spark, folder):
-    return folds.run_backtest(fx.tickets(spark, folder), CFG, outcome.FEATURES, kind="expanding")[0]
+    return folds.run_backtest(fx.stored(fx.tickets(spark, folder)), CFG, outcome.FEATURES, kind="expanding")[0]

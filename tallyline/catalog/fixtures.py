@@ -8,10 +8,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.legs import leg_table, ticket_table
+from ..session import ensure_checkpoint_dir
 
 SQL: dict[str, str] = {}
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Written once to the checkpoint folder: operators that pass over their input several times read it there."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

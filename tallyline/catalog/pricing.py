@@ -24,7 +24,7 @@ COLUMNS = ("mean", "std", "var", "p10", "p25", "p50", "p75", "p90", "min", "max"
 
 
 def summary(spark, folder):
-    return ops.distribution_summary(fx.box(spark, folder))
+    return ops.distribution_summary(fx.stored(fx.box(spark, folder)))
 
 
 def models(spark, folder):
@@ -75,7 +75,7 @@ T = ("box", "long_box", "summary", "models", "quoted", "tails")
 
 
 def tails(spark, folder):
-    return ops.line_tail_probabilities(models(spark, folder), fx.quoted(spark, folder))
+    return ops.line_tail_probabilities(models(spark, folder), fx.stored(fx.quoted(spark, folder)))
 
 
 @query("line_tail_probs", f"""
@@ -97,7 +97,7 @@ SELECT game_id, player_id, stat, book, line, {R('edge_over')} AS edge_over, {R('
        CASE WHEN edge_over > edge_under THEN 'over' ELSE 'under' END AS best_direction, {R('GREATEST(edge_over, edge_under)')} AS best_edge
 FROM value_rows WHERE edge_over >= 0.05000001 OR edge_under >= 0.05000001""", (*T, "value_rows"))
 def value_bets(spark, folder):
-    return ops.value_bets(tails(spark, folder), fx.quoted(spark, folder), min_edge=0.05000001).select(
+    return ops.value_bets(tails(spark, folder), fx.stored(fx.quoted(spark, folder)), min_edge=0.05000001).select(
         "game_id", "player_id", "stat", "book", "line", "edge_over", "edge_under", "best_direction", "best_edge")
 
 
@@ -107,7 +107,7 @@ SELECT t.stat, CASE WHEN e_over > e_under THEN 'over' ELSE 'under' END AS best_d
   FROM tails t JOIN quoted o ON t.game_id = o.game_id AND t.player_id = o.player_id AND t.stat = o.stat) t
 WHERE e_over >= 0.05000001 OR e_under >= 0.05000001 GROUP BY 1, 2""", T)
 def value_bets_any_book(spark, folder):
-    bets = ops.value_bets(tails(spark, folder), fx.quoted(spark, folder), min_edge=0.05000001, keys=("game_id", "player_id", "stat"))
+    bets = ops.value_bets(tails(spark, folder), fx.stored(fx.quoted(spark, folder)), min_edge=0.05000001, keys=("game_id", "player_id", "stat"))
     return bets.groupBy("stat", "best_direction").agg(F.count(F.lit(1)).alias("bets"))
 
 
@@ -115,7 +115,7 @@ def value_bets_any_book(spark, folder):
 SELECT stat, CAST(COUNT(*) AS BIGINT) AS n_lines, CAST(SUM(CASE WHEN line = floor(line) THEN 1 ELSE 0 END) AS BIGINT) AS whole_lines,
        {R('AVG(prob_under)', 5)} AS mean_under FROM tails WHERE prob_under IS NOT NULL GROUP BY stat""", T)
 def push_probabilities(spark, folder):
-    priced = ops.line_tail_probabilities(models(spark, folder), fx.quoted(spark, folder), push="void").filter("prob_under is not null")
+    priced = ops.line_tail_probabilities(models(spark, folder), fx.stored(fx.quoted(spark, folder)), push="void").filter("prob_under is not null")
     whole = F.col("prob_push") + F.col("prob_over") + F.col("prob_under")
     return priced.filter(F.abs(whole - 1) < 1e-9).groupBy("stat").agg(
         F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("line") == F.floor("line")).alias("whole_lines"),

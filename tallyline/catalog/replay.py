@@ -63,18 +63,19 @@ SELECT d.date, COALESCE(won, FALSE) AS acca_won, CAST(COALESCE(won, FALSE) AS IN
   FROM night_box WHERE contains(player_name, 'u1')) f WHERE k = 1) s USING (date)"""
 
 
-def night_season(spark, folder):
-    return season_ops.player_season(fx.night_box(spark, folder), entity_id="gameId", team=None, averages={"PPG": "PTS", "RPG": "REB"},
+def night_season(nights):
+    return season_ops.player_season(nights, entity_id="gameId", team=None, averages={"PPG": "PTS", "RPG": "REB"},
                                     spread={"PTS": "PPG", "REB": "RPG"}, composites={})
 
 
 def replayed(spark, folder):
-    lookup = ops.season_lookup(night_season(spark, folder), TEMPLATE["legs"], averages={"PTS": "PPG", "REB": "RPG"})
-    return ops.replay_template(fx.night_box(spark, folder), TEMPLATE, FACTS, lookup=lookup)
+    nights = fx.stored(fx.night_box(spark, folder))
+    lookup = ops.season_lookup(night_season(nights), TEMPLATE["legs"], averages={"PTS": "PPG", "REB": "RPG"})
+    return ops.replay_template(nights, TEMPLATE, FACTS, lookup=lookup)
 
 
 def easy(spark, folder):
-    return ops.replay_template(fx.night_box(spark, folder), EASY, FACTS).nights
+    return ops.replay_template(fx.stored(fx.night_box(spark, folder)), EASY, FACTS).nights
 
 
 @query("parlay_replay_props", f"""SELECT CAST(date AS VARCHAR) AS date, CAST(leg AS BIGINT) AS leg, CAST(prop AS BIGINT) AS prop, player, stat, {R('line')} AS line,
@@ -97,7 +98,7 @@ def parlay_replay_nights(spark, folder):
 @query("parlay_replay_range", """SELECT CAST(COUNT(*) AS BIGINT) AS nights_tested, CAST(SUM(w) AS BIGINT) AS accas_won FROM easy_nights
 WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'""", ("night_box", "easy_nights"))
 def parlay_replay_range(spark, folder):
-    run = ops.replay_template(fx.night_box(spark, folder), EASY, FACTS, start="2024-01-05", end="2024-01-20")
+    run = ops.replay_template(fx.stored(fx.night_box(spark, folder)), EASY, FACTS, start="2024-01-05", end="2024-01-20")
     return ops.replay_summary(run.nights).select("nights_tested", "accas_won")
 
 
@@ -202,7 +203,8 @@ D = ("night_box", "ticket_props", "ticket_settled", "dated")
 
 
 def dated(spark, folder):
-    return ops.settle_tickets(fx.night_box(spark, folder), TICKETS, FACTS, season=night_season(spark, folder), averages={"PTS": "PPG", "REB": "RPG"})
+    nights = fx.stored(fx.night_box(spark, folder))
+    return ops.settle_tickets(nights, TICKETS, FACTS, season=night_season(nights), averages={"PTS": "PPG", "REB": "RPG"})
 
 
 @query("dated_tickets", f"""SELECT CAST(ticket AS BIGINT) AS ticket, CAST(date AS VARCHAR) AS date, {R('odds')} AS odds, CAST(total_props AS BIGINT) AS total_props,
@@ -254,10 +256,10 @@ q AS (SELECT ticket, n_legs, odds, CASE WHEN known = n_legs THEN p END AS p FROM
 SELECT ticket, CAST(n_legs AS BIGINT) AS n_legs, {R('odds')} AS odds, {R('p')} AS probability, {R('1 / NULLIF(p, 0)')} AS fair_odds, {R('p - 1 / odds')} AS edge, p - 1 / odds > 0 AS positive_ev
 FROM q""", (*RATES, "rate_legs"))
 def ticket_edge(spark, folder):
-    g = fx.games(spark, folder)
+    g = fx.stored(fx.games(spark, folder))
     legs = g.select(F.col("gameId").alias("ticket"), "player_name", F.explode(F.array(F.lit("PTS"), F.lit("AST"))).alias("stat"),
                     F.when(F.col("AST") >= 4, 5.0).otherwise(-5.0).alias("offset"), (F.col("AST") + 1.5).alias("odds"))
-    return ops.ticket_edge(rates(spark, folder), legs)
+    return ops.ticket_edge(rates(g), legs)
 
 
 @query("offered_line_rate", f"""
@@ -268,5 +270,5 @@ SELECT l.player_id, l.stat, l.line, CAST(COUNT(*) AS BIGINT) AS games, {R('AVG(C
 FROM l JOIN v ON l.player_id = v.player_id AND l.stat = v.stat GROUP BY l.player_id, l.stat, l.line""", ("box", "quoted"))
 def offered_line_rate(spark, folder):
     from ..functions.exprs import unpivot
-    facts = unpivot(fx.box(spark, folder), ["player_id"], ["pts", "fg3m", "ast", "reb"], "stat", "value")
+    facts = unpivot(fx.stored(fx.box(spark, folder)), ["player_id"], ["pts", "fg3m", "ast", "reb"], "stat", "value")
     return ops.offered_line_rates(facts, fx.quoted(spark, folder))

@@ -157,24 +157,24 @@ FROM games g JOIN season s USING (player_name) GROUP BY g.player_name, s.team, s
 RATES = ("games", "season", "rates")
 
 
-def rates(spark, folder):
-    return ops.line_hit_rates(fx.games(spark, folder), season(spark, folder), RATE_STATS)
+def rates(games):
+    return ops.line_hit_rates(games, ops.player_season(games, spread=SPREAD), RATE_STATS)
 
 
 @query("line_hit_rates", f"""SELECT player_name, team, games, stat, {R('average')} AS average, "offset", {R('hit_rate')} AS hit_rate FROM rates""", RATES)
 def line_hit_rates(spark, folder):
-    return rates(spark, folder)
+    return rates(fx.stored(fx.games(spark, folder)))
 
 
 @query("league_line_summary", f"""SELECT stat, "offset", {R('AVG(hit_rate)')} AS hit_rate FROM rates GROUP BY stat, "offset" """, RATES)
 def league_line_summary(spark, folder):
-    return ops.league_line_summary(rates(spark, folder))
+    return ops.league_line_summary(rates(fx.stored(fx.games(spark, folder))))
 
 
 @query("team_top15", f"""SELECT player_name, team, games, stat, {R('average')} AS average, "offset", {R('hit_rate')} AS hit_rate, team_rank FROM (
 SELECT *, ROW_NUMBER() OVER (PARTITION BY team, stat, "offset" ORDER BY average DESC, player_name) AS team_rank FROM rates) t WHERE team_rank <= 15""", RATES)
 def team_top15(spark, folder):
-    return ops.top_by_team(rates(spark, folder))
+    return ops.top_by_team(rates(fx.stored(fx.games(spark, folder))))
 
 
 @query("topk_games", """SELECT "gameId", player_name, "PTS", "AST", "REB" FROM games ORDER BY "PTS" DESC, "gameId" LIMIT 20""", ("games",))

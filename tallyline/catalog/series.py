@@ -22,7 +22,7 @@ WITH g AS (SELECT *, date_diff('day', LAG(game_date) OVER (PARTITION BY player_i
 SELECT player_id, {R("AVG(CASE WHEN home_away = 'H' THEN 1 ELSE 0 END)")} AS home_share,
        {R('AVG(COALESCE(gap, (SELECT quantile_cont(gap, 0.5) FROM g)))')} AS mean_rest FROM g GROUP BY player_id""", ("box",))
 def context_features(spark, folder):
-    return cleaning.context_features(fx.box(spark, folder)).groupBy("player_id").agg(
+    return cleaning.context_features(fx.stored(fx.box(spark, folder))).groupBy("player_id").agg(
         F.avg("is_home").alias("home_share"), F.avg("days_rest").alias("mean_rest"))
 
 

@@ -97,17 +97,23 @@ def auc_table(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -
 
 
 def classifier_metrics(df: DataFrame, prob: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
-    """accuracy, brier, log_loss (probabilities clipped at 1e-7), roc_auc, counts and rates."""
-    known = df.filter(F.col(prob).isNotNull() & F.col(label).isNotNull())
-    p, y = F.col(prob), F.col(label)
+    """accuracy, brier, log_loss (probabilities clipped at 1e-7), roc_auc, counts and rates.
+
+    Everything follows from the hits and misses at each score, so the rows are read once.
+    """
+    counts = _score_counts(df, prob, label, keys)
+    ran = finish(running(arrange(counts, keys, [F.col("threshold").asc()]), {"below": ("sum", F.col("neg"))}))
+    p, pos, neg = F.col("threshold"), F.col("pos"), F.col("neg")
+    n = F.sum(pos + neg)
     clipped = F.greatest(F.least(p, F.lit(1 - 1e-7)), F.lit(1e-7))
-    hit = (p >= 0.5).cast("int")
-    main = known.groupBy(*keys).agg(
-        F.avg((hit == y).cast("int")).alias("accuracy"), F.avg((p - y) * (p - y)).alias("brier"),
-        F.avg(-F.when(y == 1, F.ln(clipped)).otherwise(F.ln(1 - clipped))).alias("log_loss"),
-        F.count(F.lit(1)).alias("n_obs"), F.avg(y).alias("positive_rate"), F.avg(hit).alias("pred_positive_rate"))
-    area = auc_table(known, prob, label, keys)
-    return main.join(area, list(keys)) if keys else main.withColumn("roc_auc", area.scalar())
+    wins = F.sum(pos * (F.col("below") - neg / 2.0))
+    return ran.groupBy(*keys).agg(
+        (F.sum(F.when(p >= 0.5, pos).otherwise(neg)) / n).alias("accuracy"),
+        (F.sum(pos * (1 - p) * (1 - p) + neg * p * p) / n).alias("brier"),
+        (F.sum(-pos * F.ln(clipped) - neg * F.ln(1 - clipped)) / n).alias("log_loss"),
+        n.alias("n_obs"), (F.sum(pos) / n).alias("positive_rate"),
+        (F.sum(F.when(p >= 0.5, pos + neg).otherwise(0)) / n).alias("pred_positive_rate"),
+        F.try_divide(wins, F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
 
 
 def confusion_counts(df: DataFrame, prob: str, label: str) -> DataFrame:

@@ -64,36 +64,44 @@ def line_tail_probabilities(models: DataFrame, lines: DataFrame, *, keys: Sequen
     A whole-number line counts a tie as over; push="void" reports it apart in
     prob_push.  Lines above the exact sum's length use the normal approximation
     with continuity correction and are marked in `approximate`.
+
+    Every (model, whole number) pair is priced once, however many lines ask for it.
     """
-    table = lines.join(models.select(*keys, "family", "params"), list(keys)).filter(F.col("family").isNotNull())
-    k = F.floor(F.col(line) - 1e-9)
-    near = table.withColumn("_k", F.when(k > MAX_TERMS, F.lit(None)).otherwise(k))
-    priced = near.withColumn("prob_under", _cdf(F.col("_k")))
-    priced = _far_lines(priced, line)
+    keys = list(keys)
+    known = lines.dropna(subset=keys).withColumn("_k", F.greatest(F.floor(F.col(line) - 1e-9), F.lit(-1)))
+    # A missing line keeps its row through the join and gets no price.
+    known = known.withColumn("_k", F.coalesce("_k", F.lit(-1)))
+    asked = known.select(*keys, "_k").distinct().join(models.select(*keys, "family", "params"), keys).filter(F.col("family").isNotNull())
+    near = F.when(F.col("_k") <= MAX_TERMS, F.col("_k"))
+    priced = asked.withColumn("_under", _cdf(near))
+    if push == "void":
+        priced = priced.withColumn("_upto", _cdf(near + 1))
+    priced = _far_lines(priced).drop("family", "params")
+    table = known.join(priced, [*keys, "_k"])
+    has_line = F.col(line).isNotNull()
+    out = table.withColumn("prob_under", F.when(has_line, F.col("_under")))
     if push == "void":
-        tie = F.when(F.col(line) == F.floor(line), F.col(line)).otherwise(F.col("_k"))
-        priced = priced.withColumn("_upto", _cdf(tie)).withColumns({
-            "prob_over": 1.0 - F.coalesce("_upto", "prob_under"),
-            "prob_push": F.coalesce(F.col("_upto") - F.col("prob_under"), F.when(F.col("prob_under").isNotNull(), 0.0)),
-        }).drop("_upto")
+        tie = F.when(F.col(line) >= 0, F.col(line) == F.floor(line)) & ~F.col("approximate")
+        out = out.withColumn("prob_push", F.when(has_line & F.col("_under").isNotNull(), F.when(tie, F.col("_upto") - F.col("_under")).otherwise(0.0)))
+        out = out.withColumn("prob_over", 1.0 - F.col("prob_under") - F.col("prob_push")).drop("_upto")
     else:
-        priced = priced.withColumn("prob_over", 1.0 - F.col("prob_under"))
-    return priced.withColumns({
+        out = out.withColumn("prob_over", 1.0 - F.col("prob_under"))
+    return out.withColumns({
         "implied_odds_over": F.when(F.col("prob_over") > 0, 1.0 / F.col("prob_over")),
         "implied_odds_under": F.when(F.col("prob_under") > 0, 1.0 / F.col("prob_under")),
-    }).drop("_k", "family", "params")
+    }).drop("_k", "_under")
 
 
-def _far_lines(priced: DataFrame, line: str) -> DataFrame:
+def _far_lines(priced: DataFrame) -> DataFrame:
     """Continuity-corrected normal approximation where the exact sum is too long."""
     p = F.col("params")
-    mean = F.when(F.col("family") == "poisson", p["mu"]).otherwise(p["n"] * (1 - p["p"]) / p["p"])
-    var = F.when(F.col("family") == "poisson", p["mu"]).otherwise(p["n"] * (1 - p["p"]) / (p["p"] * p["p"]))
-    z = F.try_divide(F.floor(F.col(line) - 1e-9) + 0.5 - mean, F.sqrt(var))
-    far = F.col("_k").isNull() & F.col(line).isNotNull() & F.col("family").isin("poisson", "nbinom")
+    poisson = F.col("family") == "poisson"
+    mean = F.when(poisson, p["mu"]).otherwise(p["n"] * (1 - p["p"]) / p["p"])
+    var = F.when(poisson, p["mu"]).otherwise(p["n"] * (1 - p["p"]) / (p["p"] * p["p"]))
+    far = (F.col("_k") > MAX_TERMS) & F.col("family").isin("poisson", "nbinom")
     return priced.withColumns({
         "approximate": far,
-        "prob_under": F.when(far, normal_cdf(z)).otherwise(F.col("prob_under")),
+        "_under": F.when(far, normal_cdf(F.try_divide(F.col("_k") + 0.5 - mean, F.sqrt(var)))).otherwise(F.col("_under")),
     })
 
 

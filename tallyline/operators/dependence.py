@@ -7,7 +7,7 @@ rows that are combined before the shuffle.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -16,7 +16,7 @@ from ..functions.exprs import safe_corr, unpivot
 from ..functions.ordered import (
     average_ranks, arrange, cumulative_counts, finish, largest_group, quantiles, quantiles_of_counts, running, value_counts,
 )
-from ..session import MAX_GROUP_ROWS, setting
+from ..session import MAX_GROUP_ROWS, ensure_checkpoint_dir, setting
 
 STATS = ("pts", "fg3m", "ast", "reb")
 
@@ -81,19 +81,19 @@ def _pearson(rows: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
         safe_corr("x", "y").alias("pearson"), F.count(F.lit(1)).alias("n"))
 
 
-def _rank_cells(rows: DataFrame, variables: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+def _rank_cells(rows: DataFrame, cells: DataFrame, variables: Sequence[str]) -> DataFrame:
     """Pair cells with ranks centred on (n+1)/2."""
     long = unpivot(rows, [], variables, "variable", "value")
     ranks = average_ranks(long, ["variable"], "value").select(
         "variable", "value", (F.col("avg_rank") - (F.col("n") + 1) / 2.0).alias("rank"))
     rx = ranks.select(F.col("variable").alias("var_x"), F.col("value").alias("x"), F.col("rank").alias("rx"))
     ry = ranks.select(F.col("variable").alias("var_y"), F.col("value").alias("y"), F.col("rank").alias("ry"))
-    return _pair_cells(rows, pairs).join(rx, ["var_x", "x"]).join(ry, ["var_y", "y"])
+    return cells.join(rx, ["var_x", "x"]).join(ry, ["var_y", "y"])
 
 
-def _spearman(rows: DataFrame, variables: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+def _spearman(rows: DataFrame, cells: DataFrame, variables: Sequence[str]) -> DataFrame:
     w, rx, ry = F.col("cell"), F.col("rx"), F.col("ry")
-    return _rank_cells(rows, variables, pairs).groupBy("var_x", "var_y").agg(
+    return _rank_cells(rows, cells, variables).groupBy("var_x", "var_y").agg(
         F.try_divide(F.sum(w * rx * ry), F.sqrt(F.sum(w * rx * rx) * F.sum(w * ry * ry))).alias("spearman"),
         F.sum(w).alias("n"))
 
@@ -102,7 +102,7 @@ def global_correlation(df: DataFrame, stats: Sequence[str] = STATS, *, method: s
     """(stat_x, stat_y, corr, n_obs, method) over complete rows."""
     rows, pairs = _complete(df, stats), _pairs(stats, True)
     if method == "spearman":
-        table = _spearman(rows, stats, pairs)
+        table = _spearman(rows, _pair_cells(rows, pairs), stats)
     elif method == "pearson":
         table = _pearson(rows, pairs)
     else:
@@ -115,23 +115,30 @@ def _off_diagonal(df: DataFrame) -> DataFrame:
     return df.filter(F.col("stat_x") != F.col("stat_y"))
 
 
+def _corr_spread(df: DataFrame, keys: Sequence[str], names: Mapping[str, str]) -> DataFrame:
+    """mean, median, std, min and max of `corr` per key from one pass of value counts.
+
+    Correlations lie in [-1, 1], so sums of squares lose nothing.
+    """
+    c, w = F.col("corr"), F.col("weight")
+    table = quantiles_of_counts(cumulative_counts(df, keys, "corr"), keys, "corr", {"median": 0.5}, [
+        F.sum(w).alias("_w"), F.sum(w * c).alias("_s"), F.sum(w * c * c).alias("_q"), F.min(c).alias("min"), F.max(c).alias("max")])
+    n = F.col("_w")
+    var = F.when(n > 1, F.greatest((F.col("_q") - F.col("_s") * F.col("_s") / n) / F.when(n > 1, n - 1), F.lit(0.0)))
+    full = table.withColumns({"mean": F.col("_s") / n, "std": F.sqrt(var)})
+    return full.select(*keys, *[F.col(k).alias(v) for k, v in names.items()])
+
+
 def correlation_summary(entity_corr: DataFrame) -> DataFrame:
     """mean, median, std, min and max of the entities' correlation per pair."""
-    off = _off_diagonal(entity_corr)
-    spread = quantiles(off, ["stat_x", "stat_y"], "corr", {"median_corr": 0.5})
-    return off.groupBy("stat_x", "stat_y").agg(
-        F.avg("corr").alias("mean_corr"), F.stddev_samp("corr").alias("std_corr"),
-        F.min("corr").alias("min_corr"), F.max("corr").alias("max_corr")).join(spread, ["stat_x", "stat_y"], "left")
+    return _corr_spread(_off_diagonal(entity_corr), ["stat_x", "stat_y"], {k: f"{k}_corr" for k in ("mean", "median", "std", "min", "max")})
 
 
 def compare_with_global(entity_corr: DataFrame, global_corr: DataFrame) -> DataFrame:
     """Global correlation next to the entities' mean, median and std, whichever way round the pair is named."""
     def named(df: DataFrame) -> DataFrame:
         return _off_diagonal(df).withColumns({"_a": F.least("stat_x", "stat_y"), "_b": F.greatest("stat_x", "stat_y")})
-    per = named(entity_corr).select("_a", "_b", "corr")
-    mid = quantiles(per, ["_a", "_b"], "corr", {"player_median_corr": 0.5})
-    stats = per.groupBy("_a", "_b").agg(F.avg("corr").alias("player_mean_corr"),
-                                        F.stddev_samp("corr").alias("player_std_corr")).join(mid, ["_a", "_b"], "left")
+    stats = _corr_spread(named(entity_corr).select("_a", "_b", "corr"), ["_a", "_b"], {k: f"player_{k}_corr" for k in ("mean", "median", "std")})
     return named(global_corr).join(stats, ["_a", "_b"]).select(
         "stat_x", "stat_y", F.col("corr").alias("global_corr"), "player_mean_corr", "player_median_corr", "player_std_corr")
 
@@ -179,8 +186,7 @@ def _discordance(cells: DataFrame) -> DataFrame:
 
 def kendall_table(rows: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Kendall tau-b with the tie-corrected normal p-value per pair."""
-    cells = _pair_cells(rows, pairs)
-    return _kendall(cells)
+    return _kendall(_pair_cells(rows, pairs))
 
 
 def _tie_sums(cells: DataFrame, side: str) -> DataFrame:
@@ -224,13 +230,19 @@ def tail_dependence(rows: DataFrame, pairs: Sequence[tuple[str, str]], *, upper:
 
 
 def pair_dependence(df: DataFrame, variables: Sequence[str], *, min_rows: int = 50) -> DataFrame:
-    """Pearson, Spearman and Kendall with p-values, tail correlations, type and strength per pair."""
+    """Pearson, Spearman and Kendall with p-values, tail correlations, type and strength per pair.
+
+    The (pair, x, y) counts are written once to the checkpoint folder: ranks, ties
+    and every step of the discordance count read them.
+    """
     rows, pairs = _complete(df, variables), _pairs(variables, False)
     keys = ["var_x", "var_y"]
+    ensure_checkpoint_dir(df.sparkSession)
+    cells = _pair_cells(rows, pairs).checkpoint()
     table = (
         _pearson(rows, pairs).filter(F.col("n") >= min_rows)
-        .join(_spearman(rows, variables, pairs).drop("n"), keys)
-        .join(kendall_table(rows, pairs), keys)
+        .join(_spearman(rows, cells, variables).drop("n"), keys)
+        .join(_kendall(cells), keys)
         .join(tail_dependence(rows, pairs), keys)
     )
     rho, r, n = F.col("spearman"), F.col("pearson"), F.col("n").cast("double")

@@ -52,7 +52,8 @@ def leg_table(legs: DataFrame, games: DataFrame, lines: DataFrame | None, stats:
 
 
 def _order(order: Sequence[str]) -> Column:
-    return F.struct(*order)
+    """One numeric column orders inside a hash aggregate; text or several columns need a sorting one."""
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
 
 def _outcome_aggs(order: Sequence[str]) -> list[Column]:
