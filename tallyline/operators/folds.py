@@ -16,7 +16,7 @@ from ..functions.dist import family_cdf
 from ..functions.exprs import unpivot
 from ..functions.ordered import cumulative_counts, quantiles_of_counts
 from ..session import ensure_checkpoint_dir
-from .betting import auc_table, prediction_metrics
+from .betting import classifier_metrics, prediction_metrics
 
 
 @dataclass(frozen=True)
@@ -131,16 +131,36 @@ def _fold_scaling(train: DataFrame, features: Sequence[str], label: str) -> list
     ).collect()
 
 
-def _score(df: DataFrame, params: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Add standardised features _z<i>, the margin and pred_prob with the fold's parameters."""
-    joined = df.join(F.broadcast(params), "fold")
-    z = {f"_z{i}": (F.coalesce(F.col(f).cast("double"), F.col(f"_m{i}")) - F.col(f"_u{i}")) / F.col(f"_s{i}")
-         for i, f in enumerate(features)}
-    scaled = joined.withColumns(z)
-    margin = F.col("_b")
-    for i in range(len(features)):
-        margin = margin + F.col(f"_w{i}") * F.col(f"_z{i}")
-    return scaled.withColumn("_margin", margin).withColumn("pred_prob", 1.0 / (1.0 + F.exp(-F.col("_margin"))))
+class _Scorer:
+    """Column expressions for a fold's parameters, built once and used in every step."""
+
+    def __init__(self, features: Sequence[str]) -> None:
+        self.d = len(features)
+        self.names = ["fold", "_c0", "_c1", "_b", *[f"_{k}{i}" for k in "wmus" for i in range(self.d)]]
+        self.schema = ", ".join(f"{n} {'int' if n == 'fold' else 'double'}" for n in self.names)
+        self.z = {f"_z{i}": (F.coalesce(F.col(f).cast("double"), F.col(f"_m{i}")) - F.col(f"_u{i}")) / F.col(f"_s{i}")
+                  for i, f in enumerate(features)}
+        self.margin = F.col("_b")
+        for i in range(self.d):
+            self.margin = self.margin + F.col(f"_w{i}") * F.col(f"_z{i}")
+        self.prob = 1.0 / (1.0 + F.exp(-F.col("_margin")))
+
+    def __call__(self, df: DataFrame, params: DataFrame) -> DataFrame:
+        """Add standardised features _z<i>, _margin and pred_prob; folds without parameters drop out."""
+        joined = df.join(F.broadcast(params), "fold")  # one row per fold
+        return joined.withColumns(self.z).withColumn("_margin", self.margin).withColumn("pred_prob", self.prob)
+
+    def sums(self, label: str) -> list[Column]:
+        """Loss, gradient and half Hessian of the weighted log-likelihood."""
+        y, p, n = F.col(label), F.col("pred_prob"), self.d + 1
+        weight = F.when(y == 1, F.col("_c1")).otherwise(F.col("_c0"))
+        x = [F.lit(1.0), *[F.col(f"_z{i}") for i in range(self.d)]]
+        # log(1 + exp(m)) - y*m without overflow
+        loss = weight * (F.greatest(F.col("_margin"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("_margin"))) - y * F.col("_margin"))
+        return [
+            F.sum(loss).alias("loss"),
+            *[F.sum(weight * (p - y) * x[i]).alias(f"g{i}") for i in range(n)],
+            *[F.sum(weight * p * (1 - p) * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(n) for j in range(i + 1)]]
 
 
 def fit_folds(train: DataFrame, features: Sequence[str], label: str, tolerance: float = 1e-9, rounds: int = 40) -> DataFrame:
@@ -159,30 +179,20 @@ def fit_folds(train: DataFrame, features: Sequence[str], label: str, tolerance:
             med=[r[f"_med_{f}"] or 0.0 for f in features], mu=[r[f"mu_{f}"] for f in features],
             sd=[r[f"sd_{f}"] or 1.0 for f in features], c0=r["n"] / (2.0 * (r["n"] - r["n1"])), c1=r["n"] / (2.0 * r["n1"]),
             beta=np.zeros(d + 1), step=np.zeros(d + 1), loss=np.inf, done=False)
-    names = ["fold", "_c0", "_c1", "_b", *[f"_{k}{i}" for k in "wmus" for i in range(d)]]
-    schema = ", ".join(f"{n} {'int' if n == 'fold' else 'double'}" for n in names)
+    score = _Scorer(features)
+    sums = score.sums(label)
 
     def table(rows: dict) -> DataFrame:
         return spark.createDataFrame(
             [(k, float(f["c0"]), float(f["c1"]), *map(float, f["beta"]), *map(float, f["med"]), *map(float, f["mu"]), *map(float, f["sd"]))
-             for k, f in rows.items()], schema)
+             for k, f in rows.items()], score.schema)
 
     for _ in range(rounds):
         open_fits = {k: f for k, f in fits.items() if not f["done"]}
         if not open_fits:
             break
-        scored = _score(train, table(open_fits), features)
-        y, p = F.col(label), F.col("pred_prob")
-        weight = F.when(y == 1, F.col("_c1")).otherwise(F.col("_c0"))
-        x = [F.lit(1.0), *[F.col(f"_z{i}") for i in range(d)]]
-        curve = weight * p * (1 - p)
-        # log(1 + exp(m)) - y*m without overflow
-        loss = weight * (F.greatest(F.col("_margin"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("_margin"))) - y * F.col("_margin"))
-        sums = scored.groupBy("fold").agg(
-            F.sum(loss).alias("loss"),
-            *[F.sum(weight * (p - y) * x[i]).alias(f"g{i}") for i in range(d + 1)],
-            *[F.sum(curve * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(d + 1) for j in range(i + 1)])
-        for r in sums.collect():  # one row per fold
+        step = score(train, table(open_fits)).groupBy("fold").agg(*sums)
+        for r in step.collect():  # one row per fold
             f = fits[r["fold"]]
             ridge = np.r_[0.0, np.ones(d)]
             now = r["loss"] + 0.5 * float(np.sum(ridge * f["beta"] ** 2))
@@ -212,23 +222,33 @@ def run_backtest(df: DataFrame, cfg: FoldConfig, features: Sequence[str], *, lab
     its number and has no result.  The needed columns are written once to the
     checkpoint folder because every Newton step reads them.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    base = df.select(ticket, cfg.date, label, odds, stake, *features).checkpoint()
-    folds = split_summary(base, cfg, kind).checkpoint()
-    train = fold_rows(base, cfg, kind, "train", folds)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    base = df.select(ticket, cfg.date, label, odds, stake, *features).filter(F.col(cfg.date).isNotNull()).checkpoint()
+    folds = split_summary(base, cfg, kind).collect()  # one row per fold
+    ends = base.agg(F.min(cfg.date).alias("first"), F.max(cfg.date).alias("last")).first()
+    bounds = F.struct(F.lit(ends["first"]).cast("date").alias("first"), F.lit(ends["last"]).cast("date").alias("last"))
+    number = spark.createDataFrame([(r["slot"], r["fold"] + 1) for r in folds], "slot int, number int")
+    usable = F.broadcast(number.select(F.col("slot").alias("fold")))  # one row per fold
+
+    def part(name: str) -> DataFrame:
+        placed = _with_slots(base, bounds, cfg, kind, name).withColumnRenamed("slot", "fold")
+        return placed.join(usable, "fold", "left_semi")
+
+    # Inside the fit a fold goes by its grid slot.
+    train = part("train")
     params = fit_folds(train, features, label)
-    keep = [ticket, cfg.date, "pred_prob", label, odds, stake, "fold"]
-    predictions = _score(fold_rows(base, cfg, kind, "test", folds), params, features).select(*keep)
-    fitted = _score(train, params, features).select("fold", label, "pred_prob")
-    on_train = fitted.groupBy("fold").agg(
-        F.avg(((F.col("pred_prob") >= 0.5).cast("int") == F.col(label)).cast("int")).alias("train_accuracy"))
-    area = auc_table(fitted, "pred_prob", label, ["fold"]).withColumnRenamed("roc_auc", "train_roc_auc")
+    score = _Scorer(features)
+    named = F.broadcast(number.withColumnRenamed("slot", "fold"))
+    keep = [ticket, cfg.date, "pred_prob", label, odds, stake]
+    predictions = score(part("test"), params).join(named, "fold").select(*keep, F.col("number").alias("fold"))
+    on_train = classifier_metrics(score(train, params).select("fold", label, "pred_prob"), "pred_prob", label, ["fold"]).join(named, "fold").select(
+        F.col("number").alias("fold"), F.col("accuracy").alias("train_accuracy"), F.col("roc_auc").alias("train_roc_auc"))
     measured = predictions.groupBy("fold").agg(*prediction_metrics("pred_prob", label, odds, stake))
-    dates = folds.select("fold", F.col("train_size").alias("train_n"), F.col("test_size").alias("test_n"),
-                         "train_start", "train_end", "test_start", "test_end")
-    results = measured.join(dates, "fold").join(on_train, "fold").join(area, "fold")
-    one_up = F.col("fold") + 1
-    return results.withColumn("fold", one_up), predictions.withColumn("fold", one_up)
+    dates = spark.createDataFrame(
+        [(r["fold"] + 1, r["train_size"], r["test_size"], r["train_start"], r["train_end"], r["test_start"], r["test_end"]) for r in folds],
+        "fold int, train_n long, test_n long, train_start date, train_end date, test_start date, test_end date")
+    return measured.join(F.broadcast(dates), "fold").join(on_train, "fold"), predictions
 
 
 def backtest_summary(results: DataFrame, order: str = "test_start") -> DataFrame:
