@@ -31,7 +31,7 @@ def test_wager_workflow(spark, tmp_path):
     wagers.fit_outcome(spark, out, out)
     assert spark.read.parquet(f"{out}/feature_importance").count() == 4
     row = wagers.backtest(spark, out, out, FoldConfig(30, 10, 50)).first()
-    assert row["n_folds"] == spark.read.parquet(f"{out}/fold_results").count() == 4
+    assert row["n_folds"] == spark.read.parquet(f"{out}/fold_results").count() == 5
     report = spark.read.option("header", True).csv(f"{out}/analysis")
     assert {r["section"] for r in report.collect()} == {"overall", "trend"}
 
