@@ -156,6 +156,17 @@ def with_row_frames(
     return finish(repeated.withColumns(columns(spec)).filter(own))
 
 
+def join_spread(left: DataFrame, right: DataFrame, keys: Sequence[str], salts: int = 8) -> DataFrame:
+    """Inner join to a table with one row per key, a hot key's rows going to several tasks.
+
+    A grouping by the same keys right after a plain join would keep a hot key in the
+    join's one partition.  The salt is a hash of the row, so a repeated task agrees.
+    """
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """(keys, value, weight): combined on the map side, spread by value."""
     weighed = F.count(F.lit(1)) if weight is None else F.sum(weight)
@@ -174,7 +185,7 @@ def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str, weight: st
     totals = arranged.df.groupBy(*keys).agg(F.sum("weight").alias("n"))
     if not keys:
         return ran.withColumn("n", totals.scalar())
-    return ran.join(totals, list(keys))
+    return join_spread(ran, totals, keys)
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:

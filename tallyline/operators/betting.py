@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exprs import ratio
-from ..functions.ordered import arrange, finish, quantiles, running, with_row_frames
+from ..functions.ordered import arrange, finish, join_spread, quantiles, running, with_row_frames
 from .windows import profit
 
 METRICS = ("n_obs", "hit_rate", "pred_hit_rate", "roi", "profit", "yield", "sharpe_ratio", "brier", "total_stake")
@@ -50,7 +50,7 @@ def calibration_table(df: DataFrame, prob: str, label: str, n_bins: int = 10, ke
     edges = {f"e{i}": i / n_bins for i in range(1, n_bins)}
     cuts = quantiles(df, keys, prob, edges).select(*keys, F.array(*edges).alias("_edges"))
     scored = df.filter(F.col(prob).isNotNull()).select(*keys, F.col(prob).alias("_p"), F.col(label).alias("_y"))
-    placed = scored.join(cuts, list(keys)) if keys else scored.withColumn("_edges", cuts.scalar())
+    placed = join_spread(scored, cuts, keys) if keys else scored.withColumn("_edges", cuts.scalar())
     binned = placed.withColumn("bin", F.size(F.filter("_edges", lambda e: e < F.col("_p"))))
     table = binned.groupBy(*keys, "bin").agg(
         F.count(F.lit(1)).alias("n"), F.avg("_p").alias("predicted_prob"), F.avg("_y").alias("actual_rate"))

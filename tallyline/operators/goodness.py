@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dist import family_cdf
 from ..functions.exprs import unpivot
-from ..functions.ordered import cumulative_counts, quantiles_of_counts
+from ..functions.ordered import cumulative_counts, join_spread, quantiles_of_counts
 from .cleaning import attempt_filter
 
 # Anderson-Darling 5 % points for a normal and an exponential with fitted parameters.
@@ -208,7 +208,7 @@ def box_summary(df: DataFrame, columns: Sequence[str], by: str | None = None) ->
     counted = cumulative_counts(long, keys, "value")
     spread = quantiles_of_counts(counted, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    whiskers = counted.select(*keys, "value").join(spread, keys).groupBy(*keys).agg(
+    whiskers = join_spread(counted.select(*keys, "value"), spread, keys).groupBy(*keys).agg(
         F.min(F.when(F.col("value") >= F.col("q1") - reach, F.col("value"))).alias("whisker_low"),
         F.max(F.when(F.col("value") <= F.col("q3") + reach, F.col("value"))).alias("whisker_high"))
     return sums.join(spread, keys).join(whiskers, keys).withColumn("iqr", F.col("q3") - F.col("q1"))

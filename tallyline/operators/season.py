@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import first_known, flag, ratio, round_half_even, unpivot
-from ..functions.ordered import cumulative_counts, quantiles_of_counts
+from ..functions.ordered import cumulative_counts, join_spread, quantiles_of_counts
 
 # The averages reported per player and the input stat of each.
 PLAYER_AVERAGES = {
@@ -159,12 +159,12 @@ def line_hit_rates(df: DataFrame, season: DataFrame, stats: Mapping[str, str], *
                    offsets: Sequence[float] = (-10, -5, 5, 10), min_games: int = 10) -> DataFrame:
     """% of a player's rows above (rounded average + offset), as (entity, team, games, stat, average, offset, hit_rate).
 
-    The season table joins back once and every line is a conditional average in
-    the same grouping: rows are neither multiplied nor re-read per line.
+    The season table joins back once, spread over salts, and every line is a
+    conditional average in one grouping: rows are neither multiplied nor re-read per line.
     """
     known = season.select(entity, *(["team"] if "team" in season.columns else []),
                           *[F.col(avg).alias(f"_avg_{s}") for s, avg in stats.items()])
-    joined = df.select(entity, *stats).join(known, entity)
+    joined = join_spread(df.select(entity, *stats), known, [entity])
     rate = {}
     for s in stats:
         usable = F.col(f"_avg_{s}").isNotNull() & (F.col(f"_avg_{s}") != 0)
