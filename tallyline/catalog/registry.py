@@ -1,4 +1,4 @@
-"""Registration of queries with their reference SQL, and the shared output form."""
+"""Registration of queries with their SQL statement, and the shared output form."""
 
 from __future__ import annotations
 

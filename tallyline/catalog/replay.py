@@ -156,6 +156,11 @@ def close_calls(spark, folder):
     return ops.close_calls(replayed(spark, folder).props).select("date", "player", "stat", "margin")
 
 
+@query("top_margins", f"""SELECT CAST(date AS VARCHAR) AS date, player, stat, {R('margin')} AS margin FROM settled ORDER BY margin DESC NULLS LAST, date, leg, prop LIMIT 5""", P)
+def top_margins(spark, folder):
+    return season_ops.top_rows(replayed(spark, folder).props, "margin", 5, ["date", "leg", "prop"]).select("date", "player", "stat", "margin")
+
+
 @query("margin_summary", f"""SELECT {R('AVG(margin)')} AS mean_margin, {R('MIN(margin)')} AS min_margin, {R('MAX(margin)')} AS max_margin, {R('quantile_cont(margin, 0.5)')} AS median_margin FROM settled""", P)
 def margin_summary(spark, folder):
     return ops.margin_summary(replayed(spark, folder).props)

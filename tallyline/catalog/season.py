@@ -177,6 +177,12 @@ def team_top15(spark, folder):
     return ops.top_by_team(rates(fx.stored(fx.games(spark, folder))))
 
 
+@query("stat_top30", f"""SELECT player_name, team, games, stat, {R('average')} AS average, "offset", {R('hit_rate')} AS hit_rate, stat_rank FROM (
+SELECT *, ROW_NUMBER() OVER (PARTITION BY stat, "offset" ORDER BY average DESC, player_name) AS stat_rank FROM rates) t WHERE stat_rank <= 30""", RATES)
+def stat_top30(spark, folder):
+    return ops.top_by_stat(rates(fx.stored(fx.games(spark, folder))))
+
+
 @query("topk_games", """SELECT "gameId", player_name, "PTS", "AST", "REB" FROM games ORDER BY "PTS" DESC, "gameId" LIMIT 20""", ("games",))
 def topk_games(spark, folder):
     return ops.top_rows(fx.games(spark, folder), "PTS", 20, ["gameId"]).select("gameId", "player_name", "PTS", "AST", "REB")

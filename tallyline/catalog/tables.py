@@ -204,3 +204,10 @@ def guarded_ratios(spark, folder):
 CAST(week(o_orderdate) AS BIGINT) AS week FROM orders""")
 def date_parts(spark, folder):
     return cleaning.date_parts(fx.table(spark, folder, "orders"), "o_orderdate").select("o_orderkey", "game_date_only", "day_of_week", "month", "week")
+
+
+@query("category_codes", """SELECT event_id, DENSE_RANK() OVER (ORDER BY event_type) - 1 AS event_type_code, CASE WHEN event_id % 4 = 0 THEN -1
+ELSE DENSE_RANK() OVER (ORDER BY CASE WHEN event_id % 4 = 0 THEN NULL ELSE user_id END NULLS LAST) - 1 END AS who_code FROM events""")
+def category_codes(spark, folder):
+    rows = fx.table(spark, folder, "events").select("event_id", "event_type", F.when(F.col("event_id") % 4 != 0, F.col("user_id")).alias("who"))
+    return cleaning.category_codes(rows, ["event_type", "who", "absent"]).select("event_id", "event_type_code", "who_code")

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.exprs import flag, ratio_or_zero, unpivot
-from ..functions.ordered import quantiles
+from ..functions.ordered import quantiles, row_numbers
 from .windows import rest_days
 
 # Source column names and the short stat names derived from them.
@@ -99,6 +99,18 @@ def impute(df: DataFrame, strategy: str = "median", columns: Sequence[str] | Non
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(v)) for c, v in known.items()})
 
 
+def category_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """<column>_code: the position of each value among the sorted distinct values, -1 when missing.
+
+    Storage needs no such marking (Parquet keeps a dictionary); codes are for models.
+    """
+    for c in [c for c in columns if c in df.columns]:
+        values = df.filter(F.col(c).isNotNull()).select(c).distinct()
+        codes = row_numbers(values, [], [F.col(c).asc()], f"{c}_code").withColumn(f"{c}_code", F.col(f"{c}_code") - 1)
+        df = df.join(codes, c, "left").withColumn(f"{c}_code", F.coalesce(f"{c}_code", F.lit(-1)))
+    return df
+
+
 def attempt_filter(df: DataFrame, percentage: str, attempts: str | None, min_attempts: int) -> DataFrame:
     """Rows of a percentage stat with enough attempts and a non-zero value."""
     kept = df.filter(F.col(percentage).isNotNull() & (F.col(percentage) > 0))

@@ -198,6 +198,11 @@ def top_by_team(rates: DataFrame, *, entity: str = "player_name", n: int = 15) -
                          rank="team_rank")
 
 
+def top_by_stat(rates: DataFrame, *, entity: str = "player_name", n: int = 30) -> DataFrame:
+    """Per stat and line the n best averages of the whole league."""
+    return top_per_group(rates, ["stat", "offset"], [F.col("average").desc_nulls_last(), F.col(entity).asc()], n, rank="stat_rank")
+
+
 def top_rows(df: DataFrame, by: str, n: int, tiebreak: Sequence[str] = ()) -> DataFrame:
     return df.orderBy(F.col(by).desc_nulls_last(), *tiebreak).limit(n)
 

@@ -473,3 +473,8 @@ def test_ticket_edge_needs_every_rate(spark):
     bets = frame(spark, "ticket int, player_name string, stat string, offset double, odds double", (1, "a", "PTS", 5.0, 6.0), (1, "b", "PTS", 5.0, 6.0), (2, "a", "PTS", 5.0, 9.0), (2, "c", "PTS", 5.0, 9.0))
     got = {r["ticket"]: r for r in replay.ticket_edge(rates, bets).collect()}
     assert math.isclose(got[1]["probability"], 0.2) and math.isclose(got[1]["fair_odds"], 5.0) and got[1]["positive_ev"] and got[2]["probability"] is None
+
+
+def test_category_codes(spark):
+    df = frame(spark, "id int, c string", (1, "b"), (2, None), (3, "a"), (4, "b"))
+    assert [r["c_code"] for r in rows(cleaning.category_codes(df, ["c", "absent"]), "id")] == [1, -1, 0, 1]
