@@ -101,6 +101,10 @@ def class_report(spark, folder):
 CFG = FoldConfig(train_days=180, test_days=30, min_train=200)
 
 
+def settled(spark, folder):
+    return fx.stored(fx.tickets(spark, folder).select("game_date", "book_implied_prob", "builder_hit", "decimal_odds", "stake"))
+
+
 def _folds_sql(kind):
     low = "lo" if kind == "expanding" else "lo + CAST(slot * 30 AS INTEGER)"
     return f"""
@@ -122,12 +126,12 @@ CAST(test_end AS VARCHAR) AS test_end, CAST(train_size AS BIGINT) AS train_size,
 
 @query("rolling_folds", f"SELECT {FOLD_COLUMNS} FROM rolling", (*fx.TICKET_FIXTURES, "rolling"))
 def rolling_folds(spark, folder):
-    return folds.split_summary(fx.stored(fx.tickets(spark, folder)), CFG).drop("slot")
+    return folds.split_summary(fx.stored(fx.tickets(spark, folder).select("game_date")), CFG).drop("slot")
 
 
 @query("expanding_folds", f"SELECT {FOLD_COLUMNS} FROM expanding", (*fx.TICKET_FIXTURES, "expanding"))
 def expanding_folds(spark, folder):
-    return folds.split_summary(fx.stored(fx.tickets(spark, folder)), CFG, "expanding").drop("slot")
+    return folds.split_summary(fx.stored(fx.tickets(spark, folder).select("game_date")), CFG, "expanding").drop("slot")
 
 
 TP = "CASE WHEN builder_hit = 1 THEN stake * (decimal_odds - 1) ELSE -stake END"
@@ -144,8 +148,10 @@ FR = (*fx.TICKET_FIXTURES, "rolling", "fold_results")
 @query("fold_metrics", f"""SELECT fold, n_obs, {R('hit_rate')} AS hit_rate, {R('pred_hit_rate')} AS pred_hit_rate, {R('brier')} AS brier, {R('roi')} AS roi,
 {R('profit', 4)} AS profit, {R('sharpe_ratio')} AS sharpe_ratio, {R('total_stake', 4)} AS total_stake FROM fold_results""", FR)
 def fold_metrics(spark, folder):
-    table = folds.fold_metrics(fx.stored(fx.tickets(spark, folder)), CFG, "book_implied_prob")
-    return table.drop("yield").withColumns({c: F.rint(F.col(c) * 1e4) / 1e4 for c in ("profit", "total_stake")})
+    table = folds.fold_metrics(settled(spark, folder), CFG, "book_implied_prob")
+    # Stakes and odds have two decimals: sums at four places are exact, and so is their ratio on a rounding tie.
+    exact = table.drop("yield").withColumns({c: F.rint(F.col(c) * 1e4) / 1e4 for c in ("profit", "total_stake")})
+    return exact.withColumn("roi", F.col("profit") / F.col("total_stake"))
 
 
 @query("backtest_summary", f"""
@@ -155,7 +161,7 @@ SELECT CAST(COUNT(*) AS BIGINT) AS n_folds, {R('AVG(roi)')} AS mean_roi, {R('qua
   {R('regr_intercept(roi, x)')} AS intercept, {R('regr_r2(roi, x)')} AS r_squared
 FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY test_start) - 1 AS x FROM fold_results) r""", FR)
 def backtest_summary(spark, folder):
-    t = fx.stored(fx.tickets(spark, folder))
+    t = settled(spark, folder)
     results = folds.fold_metrics(t, CFG, "book_implied_prob").join(folds.split_summary(t, CFG).select("fold", "test_start"), "fold")
     table = folds.backtest_summary(results).drop("p_value", "significant")
     return table.withColumns({c: F.rint(F.col(c) * 1e3) / 1e3 for c in ("total_profit", "total_stake")})

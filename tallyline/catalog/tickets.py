@@ -139,10 +139,14 @@ d AS (SELECT *, peak - cum AS drawdown, SUM(CASE WHEN peak - cum > 0 THEN 0 ELSE
 """
 
 
+def outcomes(spark, folder):
+    return fx.stored(fx.tickets(spark, folder).select("builder_id", "game_date", "builder_hit", "decimal_odds", "stake"))
+
+
 @query("equity_curve", f"""{CURVE} SELECT builder_id, {R('profit', 4)} AS profit, {R('cum', 4)} AS cum_profit, {R('peak', 4)} AS running_max,
        {R('drawdown', 4)} AS drawdown FROM d""", TICKET)
 def equity_curve(spark, folder):
-    curve = windows.equity_curve(fx.stored(fx.tickets(spark, folder)), order=["game_date", "builder_id"])
+    curve = windows.equity_curve(outcomes(spark, folder), order=["game_date", "builder_id"])
     return curve.select("builder_id", *[(F.rint(F.col(c) * 1e4) / 1e4).alias(c) for c in ("profit", "cum_profit", "running_max", "drawdown")])
 
 
@@ -150,5 +154,5 @@ def equity_curve(spark, folder):
 SELECT {R('MAX(drawdown)', 4)} AS max_drawdown, (SELECT CAST(MAX(n) AS BIGINT) FROM r) AS max_drawdown_period, {R('SUM(profit)', 4)} AS final_profit,
        {R('MAX(cum)', 4)} AS max_profit, {R('SUM(profit) / SUM(stake) * 100')} AS roi_pct, CAST(COUNT(*) AS BIGINT) AS n_bets FROM d""", TICKET)
 def drawdown(spark, folder):
-    table = windows.drawdown_summary(fx.stored(fx.tickets(spark, folder)), order=["game_date", "builder_id"])
+    table = windows.drawdown_summary(outcomes(spark, folder), order=["game_date", "builder_id"])
     return table.withColumns({c: F.rint(F.col(c) * 1e4) / 1e4 for c in ("max_drawdown", "final_profit", "max_profit")})
