@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .line_dedup import dedup_lines
 from .packing import pack_documents
 from .simhash import near_groups
 
@@ -85,3 +86,18 @@ def public_tokenizer(name: str) -> str:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     found = pack_documents(table(spark, folder, "documents"), public_tokenizer(PACKING_TOKENIZER))
     return found.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
+
+
+@query("op4_line_dedup", r"""
+WITH l AS (SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line
+           FROM documents, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS g(i)),
+k AS (SELECT doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, min(doc_id) AS owner FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+m AS (SELECT k.doc_id, k.i, k.line, c.key IS NOT NULL AND k.doc_id <> c.owner AS dropped FROM k LEFT JOIN c USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+""")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    found = dedup_lines(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
