@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .common import remainder
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .line_dedup import dedup_lines
 from .packing import pack_documents
 from .simhash import near_groups
+from .toxicity import fit_labels as fit_toxicity, toxicity
 
 # The contract's tokenizer file; the operator takes any path.
 PACKING_TOKENIZER = "word_bpe_49k.json"
@@ -101,3 +103,15 @@ FROM m GROUP BY doc_id
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     found = dedup_lines(table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+TOXIC_FOLDS, TOXIC_HELD_OUT = 4, 2
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = fit_toxicity(docs, table(spark, folder, "labels"), lambda c: remainder(c, TOXIC_FOLDS) != TOXIC_HELD_OUT)
+    return toxicity(docs, model).select(
+        F.col("id").alias("doc_id"), (remainder(F.col("id"), TOXIC_FOLDS) == TOXIC_HELD_OUT).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
