@@ -11,6 +11,7 @@ from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .line_dedup import dedup_lines
 from .packing import pack_documents
+from .quality import fit_labels as fit_quality, quality
 from .simhash import near_groups
 from .toxicity import fit_labels as fit_toxicity, toxicity
 
@@ -115,3 +116,15 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(docs, model).select(
         F.col("id").alias("doc_id"), (remainder(F.col("id"), TOXIC_FOLDS) == TOXIC_HELD_OUT).alias("held_out"), "score",
         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+QUALITY_FOLDS, QUALITY_HELD_OUT = 5, 0
+
+
+@query("op9_quality")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = fit_quality(docs, table(spark, folder, "labels"), lambda c: remainder(c, QUALITY_FOLDS) != QUALITY_HELD_OUT)
+    return quality(docs, model).select(
+        F.col("id").alias("doc_id"), (remainder(F.col("id"), QUALITY_FOLDS) == QUALITY_HELD_OUT).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
