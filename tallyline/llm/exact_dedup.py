@@ -142,7 +142,7 @@ def same_bytes(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) ->
     """(sha, size) of the pairs (sha, size, old_id, new_id) whose two normalised texts are identical."""
     ends = pairs.select("sha", "size", F.explode(F.array("old_id", "new_id")).alias("of")).distinct()
     texts = keyed_text(docs, id_col, text_col).select("id", normalised(F.col("text")).alias("plain"))
-    met = texts.join(ends, same_key(F.col("id"), F.col("of"))).filter(F.unhex(F.sha2("plain", 256)) == F.col("sha"))
+    met = texts.join(ends.hint("merge"), same_key(F.col("id"), F.col("of"))).filter(F.unhex(F.sha2("plain", 256)) == F.col("sha"))
     ends_seen = met.groupBy("sha", "size").agg(F.min("plain").alias("low"), F.max("plain").alias("high"))
     return ends_seen.filter(F.col("low") == F.col("high")).select("sha", "size")
 
