@@ -13,6 +13,7 @@ from .line_dedup import dedup_lines
 from .packing import pack_documents
 from .quality import fit_labels as fit_quality, quality
 from .simhash import near_groups
+from .suffix_tree import score_texts
 from .toxicity import fit_labels as fit_toxicity, toxicity
 
 # The contract's tokenizer file; the operator takes any path.
@@ -128,3 +129,12 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return quality(docs, model).select(
         F.col("id").alias("doc_id"), (remainder(F.col("id"), QUALITY_FOLDS) == QUALITY_HELD_OUT).alias("held_out"), "score",
         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+LM_FOLDS, LM_HELD_OUT = 7, 2
+
+
+@query("op2_suffix_tree")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    found = score_texts(table(spark, folder, "documents"), lambda c: remainder(c, LM_FOLDS) == LM_HELD_OUT)
+    return found.withColumnRenamed("id", "doc_id")
