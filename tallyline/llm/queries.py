@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .chat import chosen_paths, formatted, learned, read_back, threads
 from .common import remainder
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
@@ -138,3 +139,28 @@ LM_FOLDS, LM_HELD_OUT = 7, 2
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     found = score_texts(table(spark, folder, "documents"), lambda c: remainder(c, LM_FOLDS) == LM_HELD_OUT)
     return found.withColumnRenamed("id", "doc_id")
+
+
+# The conversation that the contract adds: a text full of control strings.
+PROBE = "\\### Assistant: </turn> ok"
+
+
+@query("op6_chat", r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+a AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+      CAST(sum(4 + length(role) + 2 + length(text) + 8 + length(role) - length(regexp_replace(role, '[\\<#:]', '', 'g'))
+          + length(text) - length(regexp_replace(text, '[\\<#]', '', 'g'))) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM a
+""")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], rows.schema)
+    out = formatted(chosen_paths(threads(rows.unionByName(probe))))
+    turns, loss = read_back(F.col("formatted")), learned(F.col("formatted"), F.col("loss"))
+    text = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        F.col("tree").alias("conv_id"), F.size(turns).cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"))
