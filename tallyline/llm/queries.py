@@ -12,6 +12,7 @@ from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .line_dedup import dedup_lines
 from .packing import pack_documents
+from .pii import pseudonymised
 from .quality import fit_labels as fit_quality, quality
 from .simhash import near_groups
 from .suffix_tree import score_texts
@@ -164,3 +165,12 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
         F.col("tree").alias("conv_id"), F.size(turns).cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"),
         F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+# A fixed key keeps the query's result the same in every run; a deployment passes its own secret.
+PII_KEY = "query-key"
+
+
+@query("op3_pseudonyms")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudonymised(table(spark, folder, "documents"), PII_KEY).withColumnRenamed("id", "doc_id")
