@@ -24,6 +24,14 @@ def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(named(id_col).alias("id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A name that no column has, in any letter case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def id_text(column: Column) -> Column:
     """The id as the text that splits and samples hash; a NULL id counts as empty."""
     return F.coalesce(column.cast("string"), F.lit(""))

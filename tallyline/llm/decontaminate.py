@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from .common import keyed_text, map_batches, named, stored
+from .common import keyed_text, map_batches, named, stored, unused
 
 _WORDY = bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
 _TABLE = bytes(b + 32 if 65 <= b < 91 else b if b in _WORDY else 32 for b in range(256))
@@ -119,6 +119,7 @@ def scan_documents(
     blocks = [context.broadcast(block) for block in item_blocks(items, item_col, item_text_col, block_chars)]
     item_type = items.schema[item_col].dataType.simpleString()
     width, at = len(docs.columns), docs.columns.index(text_col)
+    carried = [unused("ranges", docs.columns), unused("items", docs.columns)]
 
     def scanned(batch: pa.RecordBatch, block: Broadcast):
         scanner, found = _scanner(block, size), []
@@ -136,7 +137,7 @@ def scan_documents(
             found = scanned(batch, block)
             ranges = pa.array([[{"a": a, "b": b} for a, b in f[1]] for f in found], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
             met = pa.array([list(f[2]) for f in found], pa.list_(pa.from_numpy_dtype("int64") if item_type == "bigint" else pa.string() if item_type == "string" else pa.int32()))
-            return pa.RecordBatch.from_arrays([*batch.columns[:width], ranges, met], [*batch.schema.names[:width], "_ranges", "_items"])
+            return pa.RecordBatch.from_arrays([*batch.columns[:width], ranges, met], [*batch.schema.names[:width], *carried])
         return work
 
     def finishing(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -145,7 +146,7 @@ def scan_documents(
 
     base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     for block in blocks[:-1]:
-        docs = stored(map_batches(docs, passing(block), f"{base}, _ranges array<struct<a:int,b:int>>, _items array<{item_type}>"))
+        docs = stored(map_batches(docs, passing(block), f"{base}, `{carried[0]}` array<struct<a:int,b:int>>, `{carried[1]}` array<{item_type}>"))
     return map_batches(docs, finishing, schema)
 
 

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import id_text, keyed_text, named, same_key, stored
+from .common import id_text, keyed_text, named, same_key, stored, unused
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -188,4 +188,5 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if more.isEmpty():
         return rows
     again = docs.join(more, same_key(docs[id_col], more["_kept"]), "left_semi")
-    return rows.unionByName(again.withColumn("_plain", normalised(F.coalesce(named(text_col), F.lit("")))).dropDuplicates([id_col, "_plain"]).drop("_plain"))
+    plain = unused("plain", docs.columns)
+    return rows.unionByName(again.withColumn(plain, normalised(F.coalesce(named(text_col), F.lit("")))).dropDuplicates([id_col, plain]).drop(plain))
