@@ -7,8 +7,10 @@ slots, each saying where the pieces of one length, by rank, go.  Spark ranks the
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -17,41 +19,55 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from .common import keyed_text, map_batches, stored
 
 _SPLIT = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?%$&*#|]*)")
-_CACHE_LIMIT = 600_000
+# Fixed value: the pre-tokens of tokenizers whose ids can be put together from letters and marks.
+_PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_CACHE_LIMIT = 800_000
 
 
 class WordIds(dict):
     """Ids, as little-endian bytes, of what stands between two breaks (space or line feed), kept in a bounded cache.
 
-    The tokenizer drops white space and no token spans it, so the ids of a text are those of its stretches in a row.
-    A stretch of letters and trailing marks reuses the ids of the letters and of the marks.
+    For tokenizers that lower case, drop white space and know the pre-tokens above, no token spans a break and a stretch of
+    letters with marks behind it is two pre-tokens; their ids come from the model alone.  Any other stretch, and with any
+    other tokenizer the whole text, goes through the tokenizer.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        cases = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        self.by_word = (cases == ["NFC", "Replace", "Lowercase"] and [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": _PRE_TOKENS}
+                        and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and not steps[1]["add_prefix_space"])
+        self.model = self.tokenizer.model
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.written = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
         self.runs: dict[str, bytes] = {}
 
-    def _encoded(self, text: str) -> bytes:
+    def encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def run(self, text: str) -> bytes:
+        """Ids of one pre-token of lower-case letters or of marks."""
+        if not text:
+            return b""
         ids = self.runs.get(text)
         if ids is None:
             if len(self.runs) >= _CACHE_LIMIT:
                 self.runs.clear()
-            ids = self.runs[text] = self._encoded(text)
+            found = self.model.tokenize(text if text.isascii() else text.translate(self.written))
+            ids = self.runs[text] = array("I", [t.id for t in found]).tobytes()
         return ids
 
     def __missing__(self, stretch: str) -> bytes:
         parts = _SPLIT.fullmatch(stretch)
-        # Letters, then marks: two pre-tokens, whatever stands around them.  Anything else goes to the tokenizer as it is.
-        ids = self.run(parts[1].lower()) + self.run(parts[2]) if parts else self.run(stretch)
+        ids = self.run(parts[1].lower()) + self.run(parts[2]) if parts else self.encoded(stretch)
         if len(stretch) <= 64:
             if len(self) >= _CACHE_LIMIT:
                 self.clear()
@@ -59,6 +75,8 @@ class WordIds(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
+        if not self.by_word:
+            return self.encoded(text)
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
