@@ -156,9 +156,20 @@ def pair_dependence(spark, folder):
     return table.drop("spearman_p", "kendall_p").withColumn("tail_asymmetry", F.rint(F.col("tail_asymmetry") * 1e5) / 1e5)
 
 
-@query("pair_p_values")
+# Student's t and the normal tail as the series of the incomplete beta and gamma functions.
+TIE = "(SELECT var_x, var_y, SUM(s * (s - 1) / 2) AS t{0}, SUM(s * (s - 1) * (s - 2)) AS h{0}, SUM(s * (s - 1) * (2 * s + 5)) AS v{0} FROM (SELECT var_x, var_y, {0}, SUM(c) AS s FROM item_cells GROUP BY 1, 2, 3) a GROUP BY 1, 2)"
+
+
+@query("pair_p_values", f"""
+WITH p AS ({PEARSON}), s AS ({SPEARMAN}), k AS ({KENDALL}),
+z AS (SELECT var_x, var_y, kendall * sqrt((n * (n - 1) / 2 - tx) * (n * (n - 1) / 2 - ty)) / sqrt((n * (n - 1) * (2 * n + 5) - vx - vy) / 18 + 2 * tx * ty / (n * (n - 1))
+      + hx * hy / (9 * n * (n - 1) * (n - 2))) AS z, spearman * spearman AS r2, (n - 2) / 2.0 AS h
+      FROM (SELECT var_x, var_y, CAST(n AS DOUBLE) AS n FROM p) p JOIN s USING (var_x, var_y) JOIN k USING (var_x, var_y)
+      JOIN {TIE.format('x')} tx USING (var_x, var_y) JOIN {TIE.format('y')} ty USING (var_x, var_y))
+SELECT var_x, var_y, {R('GREATEST(1 - SUM(CASE WHEN r2 > 0 AND r2 < 1 THEN exp(lgamma(0.5 + h + i) - lgamma(h) - lgamma(1.5 + i) + (0.5 + i) * ln(r2) + h * ln(1 - r2)) ELSE 0 END), 0)')} AS spearman_p,
+       {R('GREATEST(1 - SUM(CASE WHEN z <> 0 THEN exp((0.5 + i) * ln(z * z / 2) - z * z / 2 - lgamma(1.5 + i)) ELSE 0 END), 0)')} AS kendall_p
+FROM z, generate_series(0, 20000) AS g(i) GROUP BY var_x, var_y""", I3)
 def pair_p_values(spark, folder):
-    """p-values need the incomplete beta and the error function, which the SQL engine lacks."""
     return ops.pair_dependence(item(spark, folder), VARS).select("var_x", "var_y", "spearman_p", "kendall_p")
 
 

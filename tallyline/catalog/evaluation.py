@@ -63,13 +63,13 @@ def calibration_by_segment(spark, folder):
 
 fx.SQL["roc"] = """
 SELECT p AS threshold, pos, neg, SUM(neg) OVER w AS fp, SUM(pos) OVER w AS tp, SUM(pos) OVER () AS np, SUM(neg) OVER () AS nn,
-       LEAD(pos) OVER w AS next_pos, LEAD(neg) OVER w AS next_neg
+       LEAD(pos) OVER w AS next_pos, LEAD(neg) OVER w AS next_neg, LAG(pos) OVER w AS last_pos
 FROM (SELECT p, SUM(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS pos, SUM(CASE WHEN y <> 1 THEN 1 ELSE 0 END) AS neg FROM scored GROUP BY p) c
 WINDOW w AS (ORDER BY p DESC)"""
 
 
 @query("roc_points", f"""SELECT {R('threshold')} AS threshold, {R('fp * 1.0 / nn')} AS fpr, {R('tp * 1.0 / np')} AS tpr FROM roc
-WHERE next_pos IS NULL OR NOT (next_pos = pos AND next_neg = neg)""", ("scored", "roc"))
+WHERE next_pos IS NULL OR last_pos IS NULL OR NOT (next_pos = pos AND next_neg = neg) UNION ALL SELECT NULL, 0.0, 0.0""", ("scored", "roc"))
 def roc_points(spark, folder):
     return ops.roc_points(fx.scored(spark, folder), "p", "y")
 

@@ -43,31 +43,100 @@ def ks_poisson(spark, folder):
 
 
 @query("anderson_darling_exponential", f"""
-WITH c AS (SELECT variable, value, COUNT(*) AS w FROM item_long WHERE variable IN ('l_quantity', 'l_linenumber') GROUP BY 1, 2),
+WITH c AS (SELECT variable, value, COUNT(*) AS w FROM item_long GROUP BY 1, 2),
 r AS (SELECT variable, value, CAST(w AS DOUBLE) AS w, CAST(SUM(w) OVER (PARTITION BY variable ORDER BY value) AS DOUBLE) AS up,
        CAST(SUM(w) OVER (PARTITION BY variable) AS DOUBLE) AS n, SUM(w * value) OVER (PARTITION BY variable) / SUM(w) OVER (PARTITION BY variable) AS mu FROM c),
 f AS (SELECT *, up * up - (up - w) * (up - w) AS low, 1 - exp(-value / mu) AS cdf FROM r)
-SELECT variable, CAST(ANY_VALUE(n) AS BIGINT) AS n, {R('-ANY_VALUE(n) - SUM(low * ln(cdf) + (2 * n * w - low) * ln(1 - cdf)) / ANY_VALUE(n)', 3)} AS ad
+SELECT variable, CAST(ANY_VALUE(n) AS BIGINT) AS n, CASE WHEN MIN(value) = 0 THEN CAST('Infinity' AS DOUBLE) ELSE
+       {R('-ANY_VALUE(n) - SUM(CASE WHEN cdf > 0 THEN low * ln(cdf) - (2 * n * w - low) * value / mu END) / ANY_VALUE(n)', 3)} END AS ad
 FROM f GROUP BY variable""", ("item", "item_long"))
 def anderson_darling_exponential(spark, folder):
-    table = ops.anderson_darling(item(spark, folder), ["l_quantity", "l_linenumber"]).filter("family = 'exponential'")
+    """Two of the variables hold zeros, which an exponential cannot take."""
+    table = ops.anderson_darling(item(spark, folder), VARS).filter("family = 'exponential'")
     return table.select("variable", "n", (F.rint(F.col("ad") * 1e3) / 1e3).alias("ad"))
 
 
-@query("gof_table")
+# Every candidate family fitted by moments and its distance; the incomplete gamma and beta functions as positive series,
+# the Weibull shape by bisection.
+fx.SQL["fits"] = """
+WITH RECURSIVE m AS (
+  SELECT variable, CAST(COUNT(*) AS DOUBLE) AS n, AVG(value) AS mean, STDDEV_SAMP(value) AS std, VAR_SAMP(value) AS var, STDDEV_POP(value) AS sigma, MIN(value) AS low, MAX(value) AS high,
+         AVG(CASE WHEN value > 0 THEN ln(value) END) AS log_mean, STDDEV_POP(CASE WHEN value > 0 THEN ln(value) END) AS log_sigma, BOOL_AND(value = floor(value)) AS whole
+  FROM item_long GROUP BY variable),
+b AS (SELECT variable, ln(1 + var / (mean * mean)) AS target, ln(0.001) AS lo, ln(1e9) AS hi, 0 AS step FROM m WHERE mean > 0 AND var > 0
+  UNION ALL
+  SELECT variable, target, CASE WHEN wide THEN mid ELSE lo END, CASE WHEN wide THEN hi ELSE mid END, step + 1
+  FROM (SELECT *, (lo + hi) / 2 AS mid, lgamma(1 + 2 / exp((lo + hi) / 2)) - 2 * lgamma(1 + 1 / exp((lo + hi) / 2)) > target AS wide FROM b WHERE step < 100) x),
+shape AS (SELECT variable, exp((lo + hi) / 2) AS k FROM b WHERE step = 100),
+f AS (
+  SELECT variable, 'normal' AS family, mean AS a, sigma AS b FROM m WHERE sigma > 0
+  UNION ALL SELECT variable, 'lognormal', log_mean, log_sigma FROM m WHERE low > 0 AND log_sigma > 0
+  UNION ALL SELECT variable, 'exponential', mean, 0 FROM m WHERE low >= 0 AND mean > 0
+  UNION ALL SELECT variable, 'gamma', mean * mean / var, var / mean FROM m WHERE low >= 0 AND var > 0 AND mean > 0
+  UNION ALL SELECT variable, 'beta', mean * (mean * (1 - mean) / var - 1), (1 - mean) * (mean * (1 - mean) / var - 1) FROM m WHERE low >= 0 AND high <= 1 AND mean > 0 AND var > 0 AND mean * (1 - mean) / var > 1
+  UNION ALL SELECT variable, 'weibull', k, mean / exp(lgamma(1 + 1 / k)) FROM m JOIN shape USING (variable) WHERE low >= 0
+  UNION ALL SELECT variable, 'poisson', mean, 0 FROM m WHERE whole AND low >= 0 AND mean > 0
+  UNION ALL SELECT variable, 'nbinom', mean * mean / (var - mean), mean / var FROM m WHERE whole AND low >= 0 AND var > mean AND mean > 0),
+c AS (SELECT variable, value, CAST(COUNT(*) AS DOUBLE) AS w FROM item_long GROUP BY 1, 2),
+r AS (SELECT *, SUM(w) OVER (PARTITION BY variable ORDER BY value) AS up, SUM(w) OVER (PARTITION BY variable) AS n FROM c),
+t AS (SELECT r.*, f.family, f.a, f.b,
+  CASE family WHEN 'normal' THEN pow((value - a) / b, 2) / 2 WHEN 'lognormal' THEN pow((ln(GREATEST(value, 1e-300)) - a) / b, 2) / 2 WHEN 'gamma' THEN value / b WHEN 'poisson' THEN a END AS gx,
+  CASE family WHEN 'gamma' THEN a WHEN 'poisson' THEN value + 1 ELSE 0.5 END AS ga,
+  CASE family WHEN 'beta' THEN value WHEN 'nbinom' THEN b END AS bx, CASE family WHEN 'beta' THEN b WHEN 'nbinom' THEN value + 1 END AS bb FROM r JOIN f USING (variable)),
+u AS (SELECT *, bx > (a + 1) / (a + bb + 2) AS swapped FROM t),
+v AS (SELECT *, CASE WHEN swapped THEN bb ELSE a END AS p, CASE WHEN swapped THEN a ELSE bb END AS q, CASE WHEN swapped THEN 1 - bx ELSE bx END AS x FROM u),
+g AS (SELECT variable, family, value, ANY_VALUE(swapped) AS swapped, SUM(CASE WHEN gx > 0 THEN exp((ga + i) * ln(GREATEST(gx, 1e-300)) - gx - lgamma(ga + i + 1)) WHEN x > 0 AND x < 1 THEN
+        exp(lgamma(p + q + i) - lgamma(q) - lgamma(p + i + 1) + (p + i) * ln(x) + q * ln(1 - x)) ELSE 0 END) AS part
+      FROM v, generate_series(0, 1500) AS s(i) GROUP BY 1, 2, 3),
+d AS (SELECT t.*, CASE family WHEN 'normal' THEN 0.5 + sign(value - a) * part / 2 WHEN 'lognormal' THEN 0.5 + sign(ln(GREATEST(value, 1e-300)) - a) * part / 2
+        WHEN 'exponential' THEN 1 - exp(-value / a) WHEN 'weibull' THEN 1 - exp(-pow(value / b, a)) WHEN 'poisson' THEN 1 - part WHEN 'beta' THEN CASE WHEN value >= 1 THEN 1 WHEN swapped THEN 1 - part ELSE part END WHEN 'nbinom' THEN CASE WHEN swapped THEN 1 - part ELSE part END ELSE part END AS cdf
+      FROM t JOIN g USING (variable, family, value))
+SELECT variable, family, ANY_VALUE(n) AS n, MAX(GREATEST(cdf - (up - w) / n, up / n - cdf)) AS ks FROM d GROUP BY variable, family"""
+fx.SQL["gof"] = f"""
+WITH m AS ({MOMENTS}), s AS (SELECT variable, AVG(value) AS mean, STDDEV_SAMP(value) AS std FROM item_long GROUP BY variable),
+best AS (SELECT variable, arg_min(family, ks) AS family, MIN(ks) AS ks, ANY_VALUE(n) AS kn FROM fits GROUP BY variable),
+j AS (SELECT *, n / 6.0 * (skew * skew + kurt * kurt / 4) AS jb, sqrt(kn) * ks AS x FROM m JOIN s USING (variable) JOIN best USING (variable))
+SELECT variable, n, mean, std, skew, kurt, family, ks, CASE WHEN x < 0.2 THEN 1.0 ELSE GREATEST(0, LEAST(1, 2 * (SELECT SUM(CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * k * k * x * x)) FROM generate_series(1, 100) AS g(k)))) END AS ks_p,
+       jb, exp(-jb / 2) AS jb_p, exp(-jb / 2) > 0.05 AS is_normal FROM j"""
+GOF = ("item", "item_long", "fits", "gof")
+
+
+@query("gof_table", f"""SELECT variable, n, {R('mean')} AS mean, {R('std')} AS std, {R('skew')} AS skewness, {R('kurt')} AS kurtosis, family AS best_family, {R('ks')} AS ks, {R('ks_p')} AS ks_p,
+{R('jb', 3)} AS jb, {R('jb_p')} AS jb_p, is_normal FROM gof""", GOF)
 def gof_table(spark, folder):
-    """The fitted gamma, beta and normal CDFs have no SQL counterpart."""
-    return ops.goodness_table(item(spark, folder), VARS)
+    return ops.goodness_table(item(spark, folder), VARS).withColumn("jb", F.rint(F.col("jb") * 1e3) / 1e3)
+
+
+@query("family_distances", f"SELECT variable, family, {R('ks')} AS ks FROM fits", GOF[:3])
+def family_distances(spark, folder):
+    """Every candidate family, not the best alone."""
+    return ops.fit_families(item(spark, folder), VARS).select("variable", "family", "ks")
 
 
-@query("family_mix")
+@query("family_mix", f"""SELECT family AS best_family, CAST(COUNT(*) AS BIGINT) AS variables, {R('COUNT(*) * 100.0 / (SELECT COUNT(*) FROM gof)')} AS share_pct,
+{R('(SELECT SUM(CAST(is_normal AS INTEGER)) FROM gof) * 100.0 / (SELECT COUNT(*) FROM gof)')} AS normal_pct FROM gof GROUP BY family""", GOF)
 def family_mix(spark, folder):
     return ops.family_mix(ops.goodness_table(item(spark, folder), VARS))
 
 
-@query("anderson_darling")
+AD = f"""
+WITH c AS (SELECT variable, value, CAST(COUNT(*) AS DOUBLE) AS w FROM item_long GROUP BY 1, 2),
+r AS (SELECT *, SUM(w) OVER (PARTITION BY variable ORDER BY value) AS up, SUM(w) OVER (PARTITION BY variable) AS n FROM c),
+m AS (SELECT variable, AVG(value) AS mean, STDDEV_SAMP(value) AS std FROM item_long GROUP BY variable),
+t AS (SELECT r.*, mean, up * up - (up - w) * (up - w) AS low, (value - mean) / std AS z FROM r JOIN m USING (variable)),
+p AS (SELECT variable, value, 0.5 + sign(ANY_VALUE(z)) / 2 * SUM(CASE WHEN z <> 0 THEN exp((0.5 + i) * ln(z * z / 2) - z * z / 2 - lgamma(1.5 + i)) ELSE 0 END) AS cdf
+      FROM t, generate_series(0, 400) AS g(i) GROUP BY 1, 2),
+a AS (SELECT variable, 'normal' AS family, ANY_VALUE(n) AS n, -ANY_VALUE(n) - SUM(low * ln(cdf) + (2 * n * w - low) * ln(1 - cdf)) / ANY_VALUE(n) AS ad,
+             rint(0.787 / (1 + 4 / ANY_VALUE(n) - 25 / (ANY_VALUE(n) * ANY_VALUE(n))) * 1000) / 1000 AS crit FROM t JOIN p USING (variable, value) GROUP BY variable
+      UNION ALL SELECT variable, 'exponential', ANY_VALUE(n), CASE WHEN MIN(value) = 0 THEN CAST('Infinity' AS DOUBLE)
+             ELSE -ANY_VALUE(n) - SUM(CASE WHEN value > 0 THEN low * ln(1 - exp(-value / mean)) - (2 * n * w - low) * value / mean END) / ANY_VALUE(n) END,
+             rint(1.341 / (1 + 0.6 / ANY_VALUE(n)) * 1000) / 1000 FROM t GROUP BY variable)
+SELECT variable, family, CAST(n AS BIGINT) AS n, CASE WHEN isinf(ad) THEN ad ELSE {R('CASE WHEN isinf(ad) THEN 0 ELSE ad END', 3)} END AS ad, crit AS ad_critical, ad > crit AS rejected FROM a"""
+
+
+@query("anderson_darling", AD.replace("rint(", "round("), ("item", "item_long"))
 def anderson_darling(spark, folder):
-    return ops.anderson_darling(item(spark, folder), VARS)
+    return ops.anderson_darling(item(spark, folder), VARS).withColumn("ad", F.rint(F.col("ad") * 1e3) / 1e3)
 
 
 @query("histogram", f"""

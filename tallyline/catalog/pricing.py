@@ -87,8 +87,7 @@ def line_tail_probs(spark, folder):
 
 
 fx.SQL["value_rows"] = """
-SELECT t.game_id, t.player_id, t.stat, t.book, t.line, (1 - prob_under) * o.over_odds - 1 AS edge_over, prob_under * o.under_odds - 1 AS edge_under
-FROM tails t JOIN quoted o ON t.game_id = o.game_id AND t.player_id = o.player_id AND t.stat = o.stat AND t.book = o.book AND t.line = o.line
+SELECT game_id, player_id, stat, book, line, (1 - prob_under) * over_odds - 1 AS edge_over, prob_under * under_odds - 1 AS edge_under FROM tails
 """
 
 
@@ -97,7 +96,7 @@ SELECT game_id, player_id, stat, book, line, {R('edge_over')} AS edge_over, {R('
        CASE WHEN edge_over > edge_under THEN 'over' ELSE 'under' END AS best_direction, {R('GREATEST(edge_over, edge_under)')} AS best_edge
 FROM value_rows WHERE edge_over >= 0.05000001 OR edge_under >= 0.05000001""", (*T, "value_rows"))
 def value_bets(spark, folder):
-    return ops.value_bets(tails(spark, folder), fx.quoted(spark, folder), min_edge=0.05000001).select(
+    return ops.value_bets(tails(spark, folder), min_edge=0.05000001).select(
         "game_id", "player_id", "stat", "book", "line", "edge_over", "edge_under", "best_direction", "best_edge")
 
 
@@ -112,11 +111,11 @@ def value_bets_any_book(spark, folder):
 
 
 @query("push_probabilities", f"""
-SELECT stat, CAST(COUNT(*) AS BIGINT) AS n_lines, CAST(SUM(CASE WHEN line = floor(line) THEN 1 ELSE 0 END) AS BIGINT) AS whole_lines,
-       {R('AVG(prob_under)', 5)} AS mean_under FROM tails WHERE prob_under IS NOT NULL GROUP BY stat""", T)
+SELECT t.game_id, t.player_id, t.stat, t.book, t.line, {R('prob_under')} AS prob_under, {R('push')} AS prob_push, {R('1 - prob_under - push')} AS prob_over
+FROM (SELECT t.*, CASE WHEN t.line <> floor(t.line) THEN 0 WHEN t.family = 'poisson' THEN exp(t.line * ln(m.mean) - m.mean - lgamma(t.line + 1))
+        ELSE exp(lgamma(t.line + r) - lgamma(r) - lgamma(t.line + 1) + r * ln(r / (r + m.mean)) + t.line * ln(1 - r / (r + m.mean))) END AS push
+      FROM tails t JOIN models m ON t.player_id = m.player_id AND t.stat = m.stat WHERE prob_under IS NOT NULL) t""", T)
 def push_probabilities(spark, folder):
+    """Every line, half of them whole numbers, so that the share of ties itself is compared."""
     priced = ops.line_tail_probabilities(models(spark, folder), fx.quoted(spark, folder), push="void").filter("prob_under is not null")
-    whole = F.col("prob_push") + F.col("prob_over") + F.col("prob_under")
-    return priced.filter(F.abs(whole - 1) < 1e-9).groupBy("stat").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("line") == F.floor("line")).alias("whole_lines"),
-        (F.rint(F.avg("prob_under") * 1e5) / 1e5).alias("mean_under"))
+    return priced.select("game_id", "player_id", "stat", "book", "line", "prob_under", "prob_push", "prob_over")

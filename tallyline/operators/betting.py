@@ -68,9 +68,9 @@ def _score_counts(df: DataFrame, score: str, label: str, keys: Sequence[str]) ->
 
 
 def roc_points(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), drop_collinear: bool = True) -> DataFrame:
-    """threshold, fpr and tpr from the highest score down.
+    """threshold, fpr and tpr from the highest score down, after the start (0, 0), which has no threshold.
 
-    Points on a straight run are left out, as plotting libraries do.
+    Points inside a straight run of equal steps are left out, as plotting libraries do; the first and last stay.
     """
     counts = _score_counts(df, score, label, keys)
     arranged = arrange(counts, keys, [F.col("threshold").desc()])
@@ -83,9 +83,11 @@ def roc_points(df: DataFrame, score: str, label: str, keys: Sequence[str] = (),
         # Ascending order makes the next lower score the previous row.
         whole = with_row_frames(whole, keys, [F.col("threshold").asc()], lambda w: {
             "_same": (F.lag("pos").over(w) == F.col("pos")) & (F.lag("neg").over(w) == F.col("neg"))}, reach=1)
-        corner = F.col("threshold") == F.col("_last")
+        corner = (F.col("threshold") == F.col("_last")) | (F.col("threshold") == F.col("_first"))
         whole = whole.filter(corner | ~F.coalesce(F.col("_same"), F.lit(False)))
-    return whole.select(*keys, "threshold", ratio("fp", "q").alias("fpr"), ratio("tp", "p").alias("tpr"))
+    points = whole.select(*keys, "threshold", ratio("fp", "q").alias("fpr"), ratio("tp", "p").alias("tpr"))
+    start = sums.filter("_last IS NOT NULL").select(*keys, F.lit(None).cast(points.schema["threshold"].dataType).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return points.unionByName(start)
 
 
 def auc_table(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:

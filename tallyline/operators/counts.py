@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.dist import MAX_TERMS, nbinom_cdf, normal_cdf, poisson_cdf
+from ..functions.dist import family_cdf, family_sf
 from ..functions.exprs import greatest_or_null, unpivot
 from ..functions.ordered import profile
 
@@ -51,10 +51,10 @@ def family_shares(models: DataFrame) -> DataFrame:
     return counts.withColumn("share_pct", F.col("n_models") / counts.agg(F.sum("n_models")).scalar() * 100.0)
 
 
-def _cdf(k: Column) -> Column:
+def _priced(tail, k: Column) -> Column:
     p = F.col("params")
-    return F.when(F.col("family") == "poisson", poisson_cdf(k, p["mu"])).when(
-        F.col("family") == "nbinom", nbinom_cdf(k, p["n"], p["p"]))
+    made = tail("family", k.cast("double"), F.coalesce(p["mu"], p["n"]), F.coalesce(p["p"], F.lit(0.0)))
+    return F.when(F.col("family").isin("poisson", "nbinom"), made)
 
 
 def line_tail_probabilities(models: DataFrame, lines: DataFrame, *, keys: Sequence[str] = ("player_id", "stat"),
@@ -62,58 +62,49 @@ def line_tail_probabilities(models: DataFrame, lines: DataFrame, *, keys: Sequen
     """prob_over, prob_under and fair odds for every line that has a model.
 
     A whole-number line counts a tie as over; push="void" reports it apart in
-    prob_push.  Lines above the exact sum's length use the normal approximation
-    with continuity correction and are marked in `approximate`.
-
-    Every (model, whole number) pair is priced once, however many lines ask for it.
+    prob_push.  Every (model, whole number) pair is priced once, however many lines
+    ask for it, and exactly, however long the line.
     """
     keys = list(keys)
-    known = lines.dropna(subset=keys).withColumn("_k", F.greatest(F.floor(F.col(line) - 1e-9), F.lit(-1)))
+    whole = F.col(line) == F.floor(line)
+    below = F.greatest(F.when(whole, F.col(line) - 1).otherwise(F.floor(F.col(line) - 1e-9)).cast("long"), F.lit(-1).cast("long"))
     # A missing line keeps its row through the join and gets no price.
-    known = known.withColumn("_k", F.coalesce("_k", F.lit(-1)))
+    known = lines.dropna(subset=keys).withColumn("_k", F.coalesce(below, F.lit(-1).cast("long")))
     asked = known.select(*keys, "_k").distinct().join(models.select(*keys, "family", "params"), keys).filter(F.col("family").isNotNull())
-    near = F.when(F.col("_k") <= MAX_TERMS, F.col("_k"))
-    priced = asked.withColumn("_under", _cdf(near))
+    priced = asked.withColumns({"_under": _priced(family_cdf, F.col("_k")), "_over": _priced(family_sf, F.col("_k"))})
     if push == "void":
-        priced = priced.withColumn("_upto", _cdf(near + 1))
-    priced = _far_lines(priced).drop("family", "params")
-    table = known.join(priced, [*keys, "_k"])
+        priced = priced.withColumns({"_upto": _priced(family_cdf, F.col("_k") + 1), "_beyond": _priced(family_sf, F.col("_k") + 1)})
+    table = known.join(priced.drop("family", "params"), [*keys, "_k"])
     has_line = F.col(line).isNotNull()
     out = table.withColumn("prob_under", F.when(has_line, F.col("_under")))
     if push == "void":
-        tie = F.when(F.col(line) >= 0, F.col(line) == F.floor(line)) & ~F.col("approximate")
-        out = out.withColumn("prob_push", F.when(has_line & F.col("_under").isNotNull(), F.when(tie, F.col("_upto") - F.col("_under")).otherwise(0.0)))
-        out = out.withColumn("prob_over", 1.0 - F.col("prob_under") - F.col("prob_push")).drop("_upto")
+        tie = (F.col(line) >= 0) & whole
+        out = out.withColumns({
+            "prob_push": F.when(has_line & F.col("_under").isNotNull(), F.when(tie, F.col("_upto") - F.col("_under")).otherwise(0.0)),
+            "prob_over": F.when(has_line, F.when(tie, F.col("_beyond")).otherwise(F.col("_over"))),
+        }).drop("_upto", "_beyond")
     else:
-        out = out.withColumn("prob_over", 1.0 - F.col("prob_under"))
+        out = out.withColumn("prob_over", F.when(has_line, F.col("_over")))
     return out.withColumns({
         "implied_odds_over": F.when(F.col("prob_over") > 0, 1.0 / F.col("prob_over")),
         "implied_odds_under": F.when(F.col("prob_under") > 0, 1.0 / F.col("prob_under")),
-    }).drop("_k", "_under")
+    }).drop("_k", "_under", "_over")
 
 
-def _far_lines(priced: DataFrame) -> DataFrame:
-    """Continuity-corrected normal approximation where the exact sum is too long."""
-    p = F.col("params")
-    poisson = F.col("family") == "poisson"
-    mean = F.when(poisson, p["mu"]).otherwise(p["n"] * (1 - p["p"]) / p["p"])
-    var = F.when(poisson, p["mu"]).otherwise(p["n"] * (1 - p["p"]) / (p["p"] * p["p"]))
-    far = (F.col("_k") > MAX_TERMS) & F.col("family").isin("poisson", "nbinom")
-    return priced.withColumns({
-        "approximate": far,
-        "_under": F.when(far, normal_cdf(F.try_divide(F.col("_k") + 0.5 - mean, F.sqrt(var)))).otherwise(F.col("_under")),
-    })
+# What ties a probability to its own quote.
+QUOTE = ("game_id", "player_id", "stat", "book", "line")
 
 
-def value_bets(tails: DataFrame, lines: DataFrame, *, min_edge: float = 0.05,
-               keys: Sequence[str] = ("game_id", "player_id", "stat", "book", "line")) -> DataFrame:
+def value_bets(tails: DataFrame, lines: DataFrame | None = None, *, min_edge: float = 0.05, keys: Sequence[str] = QUOTE) -> DataFrame:
     """Lines whose model edge (prob*odds-1) on either side reaches `min_edge`, with the better side.
 
-    The default keys tie a probability to its own quote; dropping book and line
-    from them pairs every quote of a player's stat with every other.
+    Without `lines`, or with the default keys where `tails` carries its own odds, each quote meets its own price and no
+    join is needed.  Dropping book and line from the keys pairs every quote of a player's stat with every other.
     """
-    odds = lines.select(*keys, "over_odds", "under_odds")
-    joined = tails.drop("over_odds", "under_odds").join(odds, list(keys))
+    if lines is None or (tuple(keys) == QUOTE and {"over_odds", "under_odds"} <= set(tails.columns)):
+        joined = tails
+    else:
+        joined = tails.drop("over_odds", "under_odds").join(lines.select(*keys, "over_odds", "under_odds"), list(keys))
     edged = joined.withColumns({
         "edge_over": F.col("prob_over") * F.col("over_odds") - 1,
         "edge_under": F.col("prob_under") * F.col("under_odds") - 1,

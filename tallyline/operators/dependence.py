@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.dist import family_cdf, two_sided_normal_p
+from ..functions.dist import correlation_p, two_sided_normal_p
 from ..functions.exprs import safe_corr, unpivot
 from ..functions.ordered import (
     average_ranks, arrange, cumulative_counts, finish, largest_group, quantiles, quantiles_of_counts, running, value_counts,
@@ -125,7 +125,9 @@ def _corr_spread(df: DataFrame, keys: Sequence[str], names: Mapping[str, str]) -
         F.sum(w).alias("_w"), F.sum(w * c).alias("_s"), F.sum(w * c * c).alias("_q"), F.min(c).alias("min"), F.max(c).alias("max")])
     n = F.col("_w")
     var = F.when(n > 1, F.greatest((F.col("_q") - F.col("_s") * F.col("_s") / n) / F.when(n > 1, n - 1), F.lit(0.0)))
-    full = table.withColumns({"mean": F.col("_s") / n, "std": F.sqrt(var)})
+    measured = table.withColumns({"mean": F.col("_s") / n, "std": F.sqrt(var)})
+    # A pair without any correlation keeps its row.
+    full = df.select(*keys).distinct().join(measured, list(keys), "left")
     return full.select(*keys, *[F.col(k).alias(v) for k, v in names.items()])
 
 
@@ -246,9 +248,7 @@ def pair_dependence(df: DataFrame, variables: Sequence[str], *, min_rows: int =
         .join(tail_dependence(rows, pairs), keys)
     )
     rho, r, n = F.col("spearman"), F.col("pearson"), F.col("n").cast("double")
-    # Two-sided t test of rho: P = I_{1-rho^2}((n-2)/2, 1/2).
-    tested = table.withColumn("spearman_p", F.when(
-        rho.isNotNull() & (n > 2), family_cdf(F.lit("beta"), 1.0 - rho * rho, (n - 2) / 2.0, F.lit(0.5))))
+    tested = table.withColumn("spearman_p", F.when(rho.isNotNull() & (n > 2), correlation_p(rho, n)))
     return tested.withColumns({
         "dependency_type": F.when(F.abs(rho - r) < 0.1, "Linear")
         .when(F.abs(rho) > F.abs(r) + 0.1, "Monotonic (Non-linear)").otherwise("Non-monotonic"),

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.dist import family_cdf
+from ..functions.dist import correlation_p
 from ..functions.exprs import unpivot
 from ..functions.ordered import cumulative_counts, quantiles_of_counts
 from ..session import ensure_checkpoint_dir
@@ -257,17 +257,18 @@ def backtest_summary(results: DataFrame, order: str = "test_start") -> DataFrame
     The input has one row per fold, so numbering it in one window is small.
     """
     numbered = results.withColumn("_x", F.row_number().over(Window.orderBy(order)) - 1)
+    known = F.col("roi").isNotNull()  # of folds with the same return the first counts
     overall = numbered.agg(
         F.count(F.lit(1)).alias("n_folds"), F.avg("roi").alias("mean_roi"), F.percentile("roi", 0.5).alias("median_roi"),
         F.stddev_samp("roi").alias("std_roi"), F.min("roi").alias("min_roi"), F.max("roi").alias("max_roi"),
         F.sum("profit").alias("total_profit"), F.sum("total_stake").alias("total_stake"),
         F.try_divide(F.sum("profit"), F.sum("total_stake")).alias("overall_roi"),
         F.avg((F.col("roi") > 0).cast("int")).alias("win_rate"),
-        F.max_by("fold", "roi").alias("best_fold"), F.min_by("fold", "roi").alias("worst_fold"),
+        F.max_by("fold", F.when(known, F.struct("roi", (-F.col("fold")).alias("first")))).alias("best_fold"),
+        F.min_by("fold", F.when(known, F.struct("roi", "fold"))).alias("worst_fold"),
         F.regr_slope("roi", "_x").alias("slope"), F.regr_intercept("roi", "_x").alias("intercept"),
         F.regr_r2("roi", "_x").alias("r_squared"))
     free = (F.col("n_folds") - 2).cast("double")
-    # Two-sided t test of the slope: P = I_{1-r2}(free/2, 1/2).
-    p = family_cdf(F.lit("beta"), 1.0 - F.col("r_squared"), free / 2.0, F.lit(0.5))
+    p = correlation_p(F.sqrt("r_squared"), F.col("n_folds"))
     tested = overall.withColumn("p_value", F.when((free > 0) & F.col("r_squared").isNotNull(), p))
     return tested.withColumn("significant", F.col("p_value") < 0.05)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.dist import family_cdf
+from ..functions.dist import family_cdf, family_log_cdf, family_log_sf, ln_gamma, weibull_shape
 from ..functions.exprs import unpivot
 from ..functions.ordered import cumulative_counts, join_spread, quantiles_of_counts
 from .cleaning import attempt_filter
@@ -30,13 +30,8 @@ def _candidates() -> Column:
     """Families whose support fits, with closed-form or moment parameters (a, b)."""
     m, v = F.col("mean"), F.col("var")
     low, high, whole = F.col("min"), F.col("max"), F.col("whole")
-    cv = F.try_divide(F.sqrt(v), m)
-    shape = F.pow(cv, F.lit(-1.086))  # Weibull shape from the coefficient of variation
-    # Gamma function by Stirling's series, good to 1e-9 for the arguments above 1 used here.
-    arg = 1.0 + F.try_divide(F.lit(1.0), shape)
-    z = arg + 6
-    ln_gamma = ((z - 0.5) * F.ln(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * F.pow(z, F.lit(5.0)))
-                - F.ln(arg * (arg + 1) * (arg + 2) * (arg + 3) * (arg + 4) * (arg + 5)))
+    shape = weibull_shape(F.try_divide(F.sqrt(v), m))
+    scale = m / F.exp(ln_gamma(1.0 + F.try_divide(F.lit(1.0), shape)))
     spread = F.try_divide(m * (1 - m), v) - 1
     r = F.try_divide(m * m, v - m)
 
@@ -50,7 +45,7 @@ def _candidates() -> Column:
         cand("exponential", (low >= 0) & (m > 0), m, zero),
         cand("gamma", (low >= 0) & (v > 0) & (m > 0), F.try_divide(m * m, v), F.try_divide(v, m)),
         cand("beta", (low >= 0) & (high <= 1) & (spread > 0) & (m > 0), m * spread, (1 - m) * spread),
-        cand("weibull", (low >= 0) & (v > 0) & (m > 0), shape, m / F.exp(ln_gamma)),
+        cand("weibull", (low >= 0) & (v > 0) & (m > 0), shape, scale),
         cand("poisson", whole & (low >= 0) & (m > 0), m, zero),
         cand("nbinom", whole & (low >= 0) & (v > m) & (m > 0), r, F.try_divide(r, r + m)),
     )
@@ -88,7 +83,8 @@ def anderson_darling(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     """(variable, family, n, ad, ad_critical, rejected) for the normal and the exponential.
 
     The i-th smallest value enters with weight 2i-1; rows tied on a value share it,
-    so a run of ranks a+1..b contributes b*b-a*a.
+    so a run of ranks a+1..b contributes b*b-a*a.  A value that the fitted family
+    cannot take (0 for the exponential) makes the statistic infinite.
     """
     long = unpivot(df, [], variables, "variable", "value").filter(F.col("value").isNotNull())
     m = _moments(long)
@@ -98,11 +94,11 @@ def anderson_darling(df: DataFrame, variables: Sequence[str]) -> DataFrame:
                F.struct(F.lit("exponential").alias("family"), F.col("mean").alias("a"), F.lit(0.0).alias("b"))),
     ), lambda c: c.isNotNull())).alias("f")).select("variable", "f.*")
     counted = cumulative_counts(long, ["variable"], "value")
-    cdf = counted.join(F.broadcast(fits), "variable").withColumn("cdf", family_cdf("family", "value", "a", "b"))
+    cdf = counted.join(F.broadcast(fits), "variable").withColumns({
+        "below": family_log_cdf("family", "value", "a", "b"), "above": family_log_sf("family", "value", "a", "b")})
     n, up, w = F.col("n").cast("double"), F.col("upto").cast("double"), F.col("weight").cast("double")
     low = up * up - (up - w) * (up - w)
-    c = F.greatest(F.least(F.col("cdf"), F.lit(1 - 1e-16)), F.lit(1e-300))
-    terms = low * F.ln(c) + (2 * n * w - low) * F.ln(1 - c)
+    terms = low * F.col("below") + (2 * n * w - low) * F.col("above")
     table = cdf.groupBy("variable", "family").agg(F.max("n").alias("n"), F.sum(terms).alias("_s"))
     k = F.col("n").cast("double")
     critical = F.when(F.col("family") == "normal", AD_NORMAL_5PCT / (1 + 4 / k - 25 / (k * k))).otherwise(
@@ -153,16 +149,18 @@ def histogram(df: DataFrame, column: str, *, discrete: bool = False, bins: int =
     rows = rows.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"), weight.cast("double").alias("w"))
     spread = quantiles_of_counts(cumulative_counts(rows, [], "v"), [], "v", {"p95": 0.95})
     limits = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("w").alias("total"))
-    small = rows.groupBy("v").agg(F.sum("w").alias("w")).withColumn("_l", limits.select(F.struct("lo", "hi", "total")).scalar())
-    lo, hi = F.col("_l.lo"), F.col("_l.hi")
+    lo, hi = F.col("lo"), F.col("hi")
     start = F.when(lo < 0, F.ceil(lo)).otherwise(F.floor(lo)).cast("double") if discrete else F.when(lo == hi, lo - 0.5).otherwise(lo)
     stop = F.when(hi < 0, F.ceil(hi)).otherwise(F.floor(hi)).cast("double") + 1 if discrete else F.when(lo == hi, hi + 0.5).otherwise(hi)
     n_bins = (stop - start) if discrete else F.lit(float(bins))
     width = F.lit(1.0) if discrete else (stop - start) / float(bins)
-    number = F.least(F.floor((F.col("v") - start) / width), n_bins - 1).cast("int")
-    placed = small.filter(F.col("v") >= start).select(number.alias("bin"), start.alias("start"), width.alias("width"),
-                                                      F.col("_l.total").alias("total"), hi.alias("hi"), "w")
-    table = placed.groupBy("bin").agg(F.sum("w").alias("weight"), *[F.first(c).alias(c) for c in ("start", "width", "total", "hi")])
+    frame = limits.filter("lo IS NOT NULL").select(start.alias("start"), width.alias("width"), n_bins.alias("n_bins"), "total", "hi")
+    number = F.least(F.floor((F.col("v") - F.col("_f.start")) / F.col("_f.width")), F.col("_f.n_bins") - 1).cast("int")
+    small = rows.groupBy("v").agg(F.sum("w").alias("w")).withColumn("_f", frame.select(F.struct("start", "width", "n_bins")).scalar())
+    sums = small.filter(F.col("v") >= F.col("_f.start")).select(number.alias("bin"), "w").groupBy("bin").agg(F.sum("w").alias("weight"))
+    # Every bin has a row, also one that nothing falls into.
+    table = frame.select(F.explode(F.sequence(F.lit(0), F.col("n_bins").cast("int") - 1)).alias("bin"), "start", "width", "total", "hi").join(
+        sums, "bin", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     return table.select("bin", (F.col("start") + F.col("bin") * F.col("width")).alias("left"),
                         (F.col("start") + (F.col("bin") + 1) * F.col("width")).alias("right"), "weight",
                         (F.col("weight") / F.col("total") / F.col("width")).alias("density"),

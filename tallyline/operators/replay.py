@@ -69,7 +69,7 @@ def season_lookup(season: DataFrame, legs: Sequence[Mapping], *, name: str = "pl
     """
     matched = season.select("*", F.explode(F.filter(_literal_props(legs), lambda p: _matches(F.col(name), p["player"], match))).alias("_p"))
     best = matched.groupBy(F.col("_p.leg").alias("leg"), F.col("_p.prop").alias("prop"), F.col("_p.stat").alias("stat")).agg(
-        F.min_by(F.struct(*[c for c in season.columns]), F.struct((-F.col(rank_by)).alias("r"), F.col(name))).alias("s"))
+        F.min_by(F.struct(*[c for c in season.columns]), F.struct(F.col(rank_by).isNull().alias("unranked"), (-F.col(rank_by)).alias("r"), F.col(name))).alias("s"))
     avg = F.lit(None).cast("double")
     cv = F.lit(None).cast("double")
     for s, column in averages.items():

@@ -13,14 +13,14 @@ def rest_days(df: DataFrame, *, entity: str = "player_id", date: str = "game_dat
               tiebreak: str = "game_id", out: str = "days_rest") -> DataFrame:
     """Days since the entity's previous row; the first row gets the median gap of all rows.
 
-    The median is taken over per-(entity, date) counts: of c rows on a date one
+    A row without a date has no gap and gets the median.  The median is taken over per-(entity, date) counts: of c rows on a date one
     carries the gap to the date before and c-1 carry 0, so only dates are ordered.
     """
     dated = with_row_frames(
         df.filter(F.col(entity).isNotNull()), [entity], [F.col(date).asc(), F.col(tiebreak).asc()],
         lambda w: {out: F.datediff(F.col(date), F.lag(date).over(w)).cast("double")}, reach=1,
     )
-    days = df.filter(F.col(entity).isNotNull()).groupBy(entity, date).agg(F.count(F.lit(1)).alias("rows"))
+    days = df.filter(F.col(entity).isNotNull() & F.col(date).isNotNull()).groupBy(entity, date).agg(F.count(F.lit(1)).alias("rows"))
     by_day = Window.partitionBy(entity).orderBy(date)
     spaced = days.withColumn("gap", F.datediff(F.col(date), F.lag(date).over(by_day)))
     gaps = spaced.select(F.explode(F.array(

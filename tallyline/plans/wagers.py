@@ -33,7 +33,7 @@ def price_lines(spark: SparkSession, tables: str, lines: DataFrame, out: str, *,
     games = spark.read.parquet(f"{tables}/player_games")
     write_table(counts.attach_count_models(counts.distribution_summary(games, min_games=min_games)), f"{out}/distribution_models")
     write_table(counts.line_tail_probabilities(spark.read.parquet(f"{out}/distribution_models"), lines), f"{out}/tail_probabilities")
-    write_table(counts.value_bets(spark.read.parquet(f"{out}/tail_probabilities"), lines, min_edge=min_edge), f"{out}/value_bets")
+    write_table(counts.value_bets(spark.read.parquet(f"{out}/tail_probabilities"), min_edge=min_edge), f"{out}/value_bets")
 
 
 def measure_dependence(spark: SparkSession, tables: str, out: str, *, min_games: int = 20, method: str = "spearman", threshold: float = 0.7) -> None:

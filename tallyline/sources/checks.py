@@ -16,7 +16,9 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     columns = list(columns or df.columns)
     types = dict(df.dtypes)
     cells = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("type"), F.col(c).cast("string").alias("value"))
+        # Adding zero makes -0.0 the same value as 0.0.
+        F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("type"),
+                 (F.col(c) + 0.0 if types[c] in ("double", "float") else F.col(c)).cast("string").alias("value"))
         for c in columns
     ])).alias("cell")).select("cell.*")
     counted = cells.groupBy("column", "type", "value").agg(F.count(F.lit(1)).alias("rows"))

@@ -77,7 +77,11 @@ def read_season_box(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """A Parquet table; NaN in a floating-point column becomes NULL."""
+    table = spark.read.parquet(path)
+    return table.select(*[
+        F.when(~F.isnan(c), c).alias(name) if kind in ("double", "float") else c
+        for (name, kind), c in ((f, F.col(f"`{f[0]}`")) for f in table.dtypes)])
 
 
 def template_props(spark: SparkSession, template: Mapping) -> DataFrame:

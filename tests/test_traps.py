@@ -60,7 +60,7 @@ def test_ticket_legs(spark, tmp_path):
 
 def test_template_and_tickets(spark):
     props = rows(readers.template_props(spark, replay_template()), "leg", "prop")
-    assert [(p["leg"], p["prop"], p["player"]) for p in props] == [(1, 1, "Bridges"), (1, 2, "Wagner"), (2, 1, "Ghost")]
+    assert [(p["leg"], p["prop"], p["player"]) for p in props] == [(1, 1, "Corwin"), (1, 2, "Tolley"), (2, 1, "Ghost")]
     tickets = rows(readers.ticket_props(spark, [{"date": "2024-01-01", "props": [{"player": "A", "stat": "PTS", "line": 1, "over": True}]}]), "ticket")
     assert tickets[0]["odds"] == 1.0 and tickets[0]["date"] == date(2024, 1, 1)
 
@@ -259,13 +259,18 @@ def test_line_probabilities(spark):
     assert math.isclose(pushed[("a", 3.0)]["prob_push"], pois(3, 4.2) - pois(2, 4.2)) and pushed[("a", 9.5)]["prob_push"] == 0.0
 
 
-def test_cdf_is_monotone_and_very_long_lines_are_approximate(spark):
-    models = counts.attach_count_models(frame(spark, "player_id string, stat string, mean double, var double", ("a", "s", 30000.0, 30000.0)))
-    lines = frame(spark, "player_id string, stat string, line double", *[("a", "s", float(x)) for x in (29500, 29900, 30000, 30100)])
-    got = rows(counts.line_tail_probabilities(models, lines), "line")
-    assert all(r["approximate"] for r in got)
-    probs = [r["prob_under"] for r in got]
-    assert probs == sorted(probs) and abs(probs[2] - 0.5) < 0.01
+def test_lines_of_any_length_are_exact(spark):
+    """Around 20,000 and at a million: against the Poisson probabilities themselves, ties included."""
+    models = counts.attach_count_models(frame(spark, "player_id string, stat string, mean double, var double", ("a", "s", 20000.0, 20000.0), ("m", "s", 1e6, 1e6)))
+    asked = [("a", float(x)) for x in (19999, 20000, 20000.5, 20001, 20002)] + [("m", 1e6), ("m", 1e6 + 0.5), ("m", 999_000.0)]
+    lines = frame(spark, "player_id string, stat string, line double", *[(p, "s", x) for p, x in asked])
+    got = {(r["player_id"], r["line"]): r for r in counts.line_tail_probabilities(models, lines, push="void").collect()}
+    log_pmf = lambda k, mu: k * math.log(mu) - mu - math.lgamma(k + 1)
+    for x in (19999.0, 20000.0, 20001.0, 20002.0):
+        assert math.isclose(got["a", x]["prob_push"], math.exp(log_pmf(x, 20000.0)), rel_tol=1e-6)
+        assert math.isclose(got["a", x]["prob_push"] + got["a", x]["prob_over"] + got["a", x]["prob_under"], 1.0)
+    exact = math.fsum(math.exp(log_pmf(k, 1e6)) for k in range(990_000, 1_000_001))
+    assert math.isclose(got["m", 1e6 + 0.5]["prob_under"], exact, rel_tol=1e-6) and got["m", 1e6 + 0.5]["prob_push"] == 0.0
 
 
 def test_value_bets(spark):
@@ -277,21 +282,58 @@ def test_value_bets(spark):
     assert got["A"]["best_direction"] == "over" and math.isclose(got["A"]["best_edge"], 0.2)
     assert got["B"]["best_direction"] == "under" and got["B"]["best_edge"] is None
     assert counts.value_bets(tails, lines, min_edge=-1.0, keys=("game_id", "player_id", "stat")).count() == 4
+    own = tails.join(lines, ["game_id", "player_id", "stat", "book", "line"])
+    repeated = own.unionByName(own)  # repeated quotes give a row each, and no join is planned
+    assert counts.value_bets(repeated).count() == 4
+    edge = frame(spark, "game_id string, player_id string, stat string, book string, line double, prob_over double, prob_under double, over_odds double, under_odds double",
+                 ("g", "p", "s", "A", 1.5, 0.5, 0.5, 2.5, 2.0), ("g", "p", "s", "B", 1.5, 0.5, 0.5, 2.4, 2.0))
+    assert [r["book"] for r in counts.value_bets(edge, min_edge=0.25).collect()] == ["A"]  # an edge equal to the limit counts
+    assert "Join" not in counts.value_bets(edge)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_special_functions():
     x = np.array([0.0, 0.4, 1.0, 3.0, 30.0])
-    assert np.allclose(dist.cdf_values("gamma", x, np.full(5, 1.0), np.full(5, 2.0)), 1 - np.exp(-x / 2))
-    assert np.allclose(dist.cdf_values("beta", np.array([0, .25, .5, 1.0]), np.full(4, 1.0), np.full(4, 2.0)), 1 - (1 - np.array([0, .25, .5, 1.0])) ** 2)
+    assert np.allclose(cdf_values("gamma", x, np.full(5, 1.0), np.full(5, 2.0)), 1 - np.exp(-x / 2))
+    assert np.allclose(cdf_values("beta", np.array([0, .25, .5, 1.0]), np.full(4, 1.0), np.full(4, 2.0)), 1 - (1 - np.array([0, .25, .5, 1.0])) ** 2)
     k = np.arange(-1, 30.0)
-    assert np.allclose(dist.cdf_values("poisson", k, np.full(31, 7.5), np.zeros(31)), [pois(i, 7.5) for i in k])
-    assert np.allclose(dist.cdf_values("nbinom", k, np.full(31, 2.5), np.full(31, 0.3)), [nb(i, 2.5, 0.3) for i in k])
+    assert np.allclose(cdf_values("poisson", k, np.full(31, 7.5), np.zeros(31)), [pois(i, 7.5) for i in k])
+    assert np.allclose(cdf_values("nbinom", k, np.full(31, 2.5), np.full(31, 0.3)), [nb(i, 2.5, 0.3) for i in k])
 
 
-def test_normal_cdf_expression(spark):
-    zs = [-9.0, -3.0, -0.5, 0.0, 1.0, 2.5, 8.0]
-    got = [r["p"] for r in frame(spark, "z double", *[(z,) for z in zs]).select(dist.normal_cdf(F.col("z")).alias("p")).collect()]
-    assert np.allclose(got, [0.5 * math.erfc(-z / math.sqrt(2)) for z in zs], atol=1e-12)
+def cdf_values(family, x, a, b):
+    return np.exp(dist.log_tails(family, np.asarray(x, float), a, b)[0])
+
+
+def test_normal_tails():
+    zs = np.array([-9.0, -3.0, -0.5, 0.0, 1.0, 2.5, 8.0])
+    low, high = dist.log_normal_tails(zs)
+    assert np.allclose(np.exp(low), [0.5 * math.erfc(-z / math.sqrt(2)) for z in zs], rtol=1e-13, atol=0)
+    assert np.allclose(np.exp(high), [0.5 * math.erfc(z / math.sqrt(2)) for z in zs], rtol=1e-13, atol=0)
+    assert math.isclose(dist.log_normal_tails(np.array([40.0]))[1][0], -804.608442, rel_tol=1e-8)
+
+
+def test_correlation_p_values_hold_at_any_size(spark):
+    """z = 1: the p-value tends to the normal one and stays there."""
+    ns = [1e4, 1e8, 1e10, 1e12]
+    got = frame(spark, "r double, n double", *[(1 / math.sqrt(n), n) for n in ns], (1.0, 5.0), (0.0, 5.0)).select(dist.correlation_p("r", "n").alias("p")).collect()
+    assert all(abs(r["p"] - 0.31731) < 1e-4 for r in got[:4]) and got[4]["p"] == 0.0 and got[5]["p"] == 1.0
+
+
+def test_weibull_shape_solves_the_moment_equation(spark):
+    got = [r["k"] for r in frame(spark, "cv double", (2.0,), (3.0,), (1.0,), (0.2,)).select(dist.weibull_shape("cv").alias("k")).collect()]
+    assert np.allclose(got, [0.543, 0.411, 1.0, 5.797], atol=1e-3)
+
+
+def test_anderson_darling_counts_far_values(spark):
+    """Values far in the tail weigh by their distance; a value outside the support makes the statistic infinite."""
+    rng = np.random.default_rng(4)
+    x = np.sort(np.concatenate((rng.exponential(1.0, 500), np.linspace(60, 120, 20))))
+    mean, n = x.mean(), len(x)
+    i = np.arange(1, n + 1)
+    want = -n - np.sum((2 * i - 1) * np.log(-np.expm1(-x / mean)) - (2 * n - 2 * i + 1) * x / mean) / n
+    table = goodness.anderson_darling(spark.createDataFrame([(float(v), float(v) * (k > 0)) for k, v in enumerate(x)], "a double, b double"), ["a", "b"]).filter("family = 'exponential'")
+    got = {r["variable"]: r for r in table.collect()}
+    assert math.isclose(got["a"]["ad"], want, rel_tol=1e-9) and got["b"]["ad"] == math.inf and got["b"]["rejected"]
 
 
 # --- betting -----------------------------------------------------------------
@@ -339,8 +381,8 @@ def test_calibration_edges_go_down_and_empty_bins_are_absent(spark):
 
 def test_roc_leaves_out_straight_runs(spark):
     df = frame(spark, "p double, y int", (0.9, 1), (0.8, 1), (0.7, 1), (0.6, 0), (0.5, 1), (0.4, 0))
-    got = sorted(r["threshold"] for r in betting.roc_points(df, "p", "y").collect())
-    assert got == [0.4, 0.5, 0.6, 0.7]
+    got = sorted(r["threshold"] for r in betting.roc_points(df, "p", "y").collect() if r["threshold"] is not None)
+    assert got == [0.4, 0.5, 0.6, 0.7, 0.9]
 
 
 def test_metrics_when_one_class_only(spark):
@@ -418,21 +460,21 @@ def test_kolmogorov_p(spark):
 
 def replay_template():
     return {"name": "t", "legs": [
-        {"name": "one", "props": [{"player": "Bridges", "stat": "PTS", "line": 10.0, "over": True}, {"player": "Wagner", "stat": "REB", "line": 5.0, "over": False}]},
+        {"name": "one", "props": [{"player": "Corwin", "stat": "PTS", "line": 10.0, "over": True}, {"player": "Tolley", "stat": "REB", "line": 5.0, "over": False}]},
         {"name": "two", "props": [{"player": "Ghost", "stat": "PTS", "line": 1.0, "over": True}]}]}
 
 
 def night_facts(spark):
     return frame(spark, "player_name string, game_date_only date, gameId string, PTS double, REB double",
-                 ("Mikal Bridges", D1, "g1", 12.0, 3.0), ("Miles Bridges", D1, "g1", 2.0, 3.0), ("Franz WAGNER", D1, "g1", 1.0, 5.0),
-                 ("Miles Bridges", date(2024, 1, 2), "g2", None, 3.0), ("Nobody", date(2024, 1, 3), "g3", 1.0, 1.0))
+                 ("Mabel Corwin", D1, "g1", 12.0, 3.0), ("Miles Corwin", D1, "g1", 2.0, 3.0), ("Frans TOLLEY", D1, "g1", 1.0, 5.0),
+                 ("Miles Corwin", date(2024, 1, 2), "g2", None, 3.0), ("Nobody", date(2024, 1, 3), "g3", 1.0, 1.0))
 
 
 def test_template_replay(spark):
     facts = replay.Facts(stats=("PTS", "REB"))
     run = replay.replay_template(night_facts(spark), replay_template(), facts)
     props = rows(run.props, "date", "leg", "prop")
-    assert [(p["player"], p["hit"]) for p in props] == [("Mikal Bridges", True), ("Franz WAGNER", False), ("Miles Bridges", False)]
+    assert [(p["player"], p["hit"]) for p in props] == [("Mabel Corwin", True), ("Frans TOLLEY", False), ("Miles Corwin", False)]
     assert props[2]["margin"] is None
     nights = rows(run.nights, "date")
     assert [(n["legs_evaluated"], n["legs_won"], n["acca_won"]) for n in nights] == [(2, 0, False)] * 3
@@ -446,8 +488,8 @@ def test_void_nights_and_exact_names(spark):
     facts = replay.Facts(stats=("PTS", "REB"))
     nights, _ = replay.replay_sampled(night_facts(spark), replay_template()["legs"][0]["props"], 99, facts)
     assert nights.count() == 2  # nothing could be tested on the third night
-    exact = replay.settle_props(night_facts(spark), [{"name": "x", "props": [{"player": "miles bridges", "stat": "PTS", "line": 1.0, "over": True}]}], facts, match="exact")
-    assert [p["player"] for p in rows(exact, "date")] == ["Miles Bridges", "Miles Bridges"]
+    exact = replay.settle_props(night_facts(spark), [{"name": "x", "props": [{"player": "miles corwin", "stat": "PTS", "line": 1.0, "over": True}]}], facts, match="exact")
+    assert [p["player"] for p in rows(exact, "date")] == ["Miles Corwin", "Miles Corwin"]
 
 
 def test_sample_is_fixed(spark):
@@ -459,8 +501,8 @@ def test_sample_is_fixed(spark):
 
 def test_tickets(spark):
     facts = replay.Facts(stats=("PTS", "REB"))
-    tickets = [{"date": "2024-01-01", "odds": 0.0, "props": [{"player": "Mikal Bridges", "stat": "PTS", "line": 10, "over": True}]},
-               {"date": "2024-01-09", "odds": 3.0, "props": [{"player": "Mikal Bridges", "stat": "PTS", "line": 10, "over": True}]},
+    tickets = [{"date": "2024-01-01", "odds": 0.0, "props": [{"player": "Mabel Corwin", "stat": "PTS", "line": 10, "over": True}]},
+               {"date": "2024-01-09", "odds": 3.0, "props": [{"player": "Mabel Corwin", "stat": "PTS", "line": 10, "over": True}]},
                {"date": "2024-01-03", "props": [{"player": "Nobody", "stat": "BLK", "line": 1, "over": True}]}]
     table, props = replay.settle_tickets(night_facts(spark), tickets, facts)
     got = rows(table, "ticket")
@@ -478,3 +520,57 @@ def test_ticket_edge_needs_every_rate(spark):
 def test_category_codes(spark):
     df = frame(spark, "id int, c string", (1, "b"), (2, None), (3, "a"), (4, "b"))
     assert [r["c_code"] for r in rows(cleaning.category_codes(df, ["c", "absent"]), "id")] == [1, -1, 0, 1]
+
+
+# --- missing and extreme values ----------------------------------------------
+
+def test_nan_in_parquet_is_missing(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    frame(spark, "k int, x double, f float, s string", (1, float("nan"), float("nan"), "a"), (2, 1.5, 2.0, None), (3, None, None, "b")).write.parquet(path)
+    got = rows(readers.read_table(spark, path), "k")
+    assert [(r["x"], r["f"], r["s"]) for r in got] == [(None, None, "a"), (1.5, 2.0, None), (None, None, "b")]
+
+
+def test_rows_without_dates_do_not_shift_the_median_gap(spark):
+    dated = [("p", date(2024, 1, d), f"g{d}") for d in (1, 5, 9)]
+    got = windows.rest_days(frame(spark, "player_id string, game_date date, game_id string", *dated, *[("p", None, f"n{i}") for i in range(4)])).collect()
+    assert {r["days_rest"] for r in got} == {4.0} and len(got) == 7
+
+
+def test_roc_starts_at_zero_and_keeps_the_first_point(spark):
+    got = betting.roc_points(frame(spark, "p double, y int", (.9, 1), (.8, 1), (.7, 0), (.6, 1), (.5, 0)), "p", "y").collect()
+    points = sorted(((r["fpr"], r["tpr"]), r["threshold"]) for r in got)
+    assert points[0] == ((0.0, 0.0), None) and points[1] == ((0.0, 1 / 3), .9) and points[2] == ((0.0, 2 / 3), .8) and points[-1] == ((1.0, 1.0), .5)
+    assert betting.roc_points(frame(spark, "p double, y int"), "p", "y").count() == 0
+
+
+def test_pairs_without_any_correlation_stay(spark):
+    table = frame(spark, "player_id string, stat_x string, stat_y string, corr double, n_games long", ("p", "a", "b", None, 20), ("q", "a", "b", None, 20), ("p", "a", "c", 0.5, 20))
+    got = {(r["stat_x"], r["stat_y"]): r for r in dependence.correlation_summary(table).collect()}
+    assert got["a", "b"]["mean_corr"] is None and got["a", "c"]["mean_corr"] == 0.5
+
+
+def test_a_missing_rank_comes_last(spark):
+    season_rows = frame(spark, "player_name string, PPG double, PTS_CV double", ("Ann Ray", None, 1.0), ("Ann Rayburn", 7.0, 2.0))
+    legs_ = [{"name": "l", "props": [{"player": "Ann", "stat": "PTS", "line": 1.5, "over": True}]}]
+    (r,) = replay.season_lookup(season_rows, legs_, averages={"PTS": "PPG"}).collect()
+    assert r["player_avg"] == 7.0
+
+
+def test_empty_bins_have_rows(spark):
+    got = rows(goodness.histogram(frame(spark, "v double", (1.0,), (1.0,), (5.0,)), "v", discrete=True), "bin")
+    assert [(r["bin"], r["weight"]) for r in got] == [(0, 2.0), (1, 0.0), (2, 0.0), (3, 0.0), (4, 1.0)]
+    assert goodness.histogram(frame(spark, "v double", (None,)), "v").count() == 0
+
+
+def test_signed_zeros_are_one_value(spark):
+    got = {r["column"]: r for r in checks.column_profile(frame(spark, "v double", (0.0,), (-0.0,), (1.0,))).collect()}
+    assert got["v"]["distinct"] == 2
+
+
+def test_first_fold_wins_a_tie(spark):
+    from tallyline.operators.folds import backtest_summary
+    days = [date(2024, 1, d) for d in (1, 2, 3, 4)]
+    table = frame(spark, "fold int, test_start date, roi double, profit double, total_stake double", *[(i, d, r, r, 1.0) for i, (d, r) in enumerate(zip(days, (0.1, 0.5, 0.1, 0.5)))])
+    r = backtest_summary(table).first()
+    assert (r["best_fold"], r["worst_fold"]) == (1, 0)
