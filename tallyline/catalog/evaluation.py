@@ -113,7 +113,7 @@ SELECT CAST(ROW_NUMBER() OVER (ORDER BY slot) - 1 AS BIGINT) AS fold, * FROM (
          MAX(game_date) FILTER (te) AS test_end, COUNT(*) FILTER (tr) AS train_size, COUNT(*) FILTER (te) AS test_size
   FROM (SELECT slot, game_date, game_date >= {low} AND game_date < lo + CAST(slot * 30 + 180 AS INTEGER) AS tr,
                game_date >= lo + CAST(slot * 30 + 180 AS INTEGER) AND game_date < lo + CAST(slot * 30 + 210 AS INTEGER) AS te
-        FROM tickets, (SELECT MIN(game_date) AS lo, MAX(game_date) AS hi FROM tickets) b, generate_series(0, 400) AS g(slot)
+        FROM tickets, (SELECT MIN(game_date) AS lo, MAX(game_date) AS hi FROM tickets) b, UNNEST(generate_series(0, CAST(date_diff('day', lo, hi) AS BIGINT) // 30)) AS g(slot)
         WHERE lo + CAST(slot * 30 + 210 AS INTEGER) <= hi) x
   GROUP BY slot HAVING COUNT(*) FILTER (tr) >= 200 AND COUNT(*) FILTER (te) > 0) f"""
 
@@ -145,23 +145,26 @@ WHERE game_date >= lo + CAST(slot * 30 + 180 AS INTEGER) AND game_date < lo + CA
 FR = (*fx.TICKET_FIXTURES, "rolling", "fold_results")
 
 
-@query("fold_metrics", f"""SELECT fold, n_obs, {R('hit_rate')} AS hit_rate, {R('pred_hit_rate')} AS pred_hit_rate, {R('brier')} AS brier, {R('roi')} AS roi,
+@query("fold_metrics", f"""SELECT fold, n_obs, {R('hit_rate')} AS hit_rate, {R('pred_hit_rate')} AS pred_hit_rate, {R('brier')} AS brier, {R('roi + 1e-10')} AS roi,
 {R('profit', 4)} AS profit, {R('sharpe_ratio')} AS sharpe_ratio, {R('total_stake', 4)} AS total_stake FROM fold_results""", FR)
 def fold_metrics(spark, folder):
-    table = folds.fold_metrics(settled(spark, folder), CFG, "book_implied_prob")
+    """A fold's return can lie half-way between two sixth digits; both sides shift it by 1e-10 before rounding."""
+    table = folds.fold_metrics(settled(spark, folder), CFG, "book_implied_prob").withColumn("roi", F.col("roi") + 1e-10)
     return table.drop("yield").withColumns({c: F.rint(F.col(c) * 1e4) / 1e4 for c in ("profit", "total_stake")})
 
 
 @query("backtest_summary", f"""
-SELECT CAST(COUNT(*) AS BIGINT) AS n_folds, {R('AVG(roi)')} AS mean_roi, {R('quantile_cont(roi, 0.5)')} AS median_roi, {R('STDDEV_SAMP(roi)')} AS std_roi, {R('MIN(roi)')} AS min_roi,
+SELECT * EXCLUDE (r2, h), {R("1 - (SELECT SUM(exp(lgamma(0.5 + h + i) - lgamma(h) - lgamma(1.5 + i) + (0.5 + i) * ln(r2) + h * ln(1 - r2))) FROM generate_series(0, 2000) AS g(i))")} AS p_value,
+       1 - (SELECT SUM(exp(lgamma(0.5 + h + i) - lgamma(h) - lgamma(1.5 + i) + (0.5 + i) * ln(r2) + h * ln(1 - r2))) FROM generate_series(0, 2000) AS g(i)) < 0.05 AS significant
+FROM (SELECT CAST(COUNT(*) AS BIGINT) AS n_folds, {R('AVG(roi)')} AS mean_roi, {R('quantile_cont(roi, 0.5)')} AS median_roi, {R('STDDEV_SAMP(roi)')} AS std_roi, {R('MIN(roi)')} AS min_roi,
   {R('MAX(roi)')} AS max_roi, {R('SUM(profit)', 3)} AS total_profit, {R('SUM(total_stake)', 3)} AS total_stake, {R('SUM(profit) / SUM(total_stake)')} AS overall_roi,
   {R('AVG(CAST(roi > 0 AS INTEGER))')} AS win_rate, arg_max(fold, roi) AS best_fold, arg_min(fold, roi) AS worst_fold, {R('regr_slope(roi, x)')} AS slope,
-  {R('regr_intercept(roi, x)')} AS intercept, {R('regr_r2(roi, x)')} AS r_squared
-FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY test_start) - 1 AS x FROM fold_results) r""", FR)
+  {R('regr_intercept(roi, x)')} AS intercept, {R('regr_r2(roi, x)')} AS r_squared, regr_r2(roi, x) AS r2, (COUNT(*) - 2) / 2.0 AS h
+FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY test_start) - 1 AS x FROM fold_results) r) s""", FR)
 def backtest_summary(spark, folder):
     t = settled(spark, folder)
     results = folds.fold_metrics(t, CFG, "book_implied_prob").join(folds.split_summary(t, CFG).select("fold", "test_start"), "fold")
-    table = folds.backtest_summary(results).drop("p_value", "significant")
+    table = folds.backtest_summary(results)
     return table.withColumns({c: F.rint(F.col(c) * 1e3) / 1e3 for c in ("total_profit", "total_stake")})
 
 

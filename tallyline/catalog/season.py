@@ -177,6 +177,17 @@ def team_top15(spark, folder):
     return ops.top_by_team(rates(fx.stored(fx.games(spark, folder))))
 
 
+@query("team_roster_top15", f"""
+WITH roster AS (SELECT DISTINCT CAST(CAST("AST" AS BIGINT) AS VARCHAR) AS team, player_name FROM games WHERE "AST" IS NOT NULL AND player_name IS NOT NULL)
+SELECT player_name, team, games, stat, {R('average')} AS average, "offset", {R('hit_rate')} AS hit_rate, team_rank FROM (
+SELECT r.player_name, o.team, games, stat, average, "offset", hit_rate, ROW_NUMBER() OVER (PARTITION BY o.team, stat, "offset" ORDER BY average DESC, r.player_name) AS team_rank
+FROM rates r JOIN roster o USING (player_name)) t WHERE team_rank <= 15""", RATES)
+def team_roster_top15(spark, folder):
+    """The assist count stands in for the team, so that players change teams."""
+    games = fx.stored(fx.games(spark, folder))
+    return ops.top_by_roster(rates(games), games.withColumn("player_team", F.col("AST").cast("bigint").cast("string")))
+
+
 @query("stat_top30", f"""SELECT player_name, team, games, stat, {R('average')} AS average, "offset", {R('hit_rate')} AS hit_rate, stat_rank FROM (
 SELECT *, ROW_NUMBER() OVER (PARTITION BY stat, "offset" ORDER BY average DESC, player_name) AS stat_rank FROM rates) t WHERE stat_rank <= 30""", RATES)
 def stat_top30(spark, folder):

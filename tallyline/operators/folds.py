@@ -163,12 +163,13 @@ class _Scorer:
             *[F.sum(weight * p * (1 - p) * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(n) for j in range(i + 1)]]
 
 
-def fit_folds(train: DataFrame, features: Sequence[str], label: str, tolerance: float = 1e-9, rounds: int = 40) -> DataFrame:
+def fit_folds(train: DataFrame, features: Sequence[str], label: str, tolerance: float = 1e-9, rounds: int = 200) -> DataFrame:
     """Class-balanced L2 logistic fits of every fold together, by Newton steps.
 
     Each step is one grouped sum over the training rows: per fold the gradient and
     the half Hessian, (d+1)(d+4)/2+1 numbers.  Only those sums reach the driver.
-    A fold whose training rows have one class is left out.
+    A fold whose training rows have one class is left out, and so is one whose steps
+    have not come below `tolerance` after `rounds`: no result stands for an unfinished fit.
     """
     spark = train.sparkSession
     d = len(features)
@@ -210,7 +211,7 @@ def fit_folds(train: DataFrame, features: Sequence[str], label: str, tolerance:
             f["step"] = -np.linalg.solve(h, g)
             f["beta"] = f["beta"] + f["step"]
             f["done"] = bool(np.max(np.abs(f["step"])) < tolerance)
-    return table(fits)
+    return table({k: f for k, f in fits.items() if f["done"]})
 
 
 def run_backtest(df: DataFrame, cfg: FoldConfig, features: Sequence[str], *, label: str = "builder_hit",

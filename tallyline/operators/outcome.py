@@ -50,7 +50,10 @@ def train(df: DataFrame, features: Sequence[str] = FEATURES, label: str = "build
                              standardization=False, maxIter=1000, tol=1e-12)
     weighted = data.withColumn(
         "_w", F.when(F.col(label) == 1, n / (2.0 * n1)).otherwise(n / (2.0 * (n - n1))))
-    return Pipeline(stages=[prepare, gather, fit]).fit(weighted)
+    model = Pipeline(stages=[prepare, gather, fit]).fit(weighted)
+    if model.stages[-1].summary.totalIterations >= fit.getMaxIter():
+        raise ArithmeticError("the outcome model did not converge")
+    return model
 
 
 def coefficients(model: PipelineModel, features: Sequence[str] = FEATURES) -> DataFrame:

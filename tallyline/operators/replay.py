@@ -129,12 +129,15 @@ def replay_template(df: DataFrame, template: Mapping, facts: Facts = Facts(), *,
     return Replay(props, legs, settle_nights(legs))
 
 
-def replay_sampled(df: DataFrame, props: Sequence[Mapping], n_nights: int, facts: Facts = Facts(), *, seed: int = 42,
+def replay_sampled(df: DataFrame, props: Sequence[Mapping], n_nights: int | None = None, facts: Facts = Facts(), *, seed: int = 42,
                    lookup: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nights, props) of a flat prop list on a fixed hash sample of nights; a night on which nothing could be tested is void."""
+    """(nights, props) of a flat prop list on a fixed hash sample of nights, or on all; a night on which nothing could be tested is void."""
     nights = df.select(F.col(facts.date).alias("date")).dropna().distinct()
-    chosen = nights.orderBy(F.xxhash64("date", F.lit(seed)), "date").limit(n_nights)
-    inside = df.join(F.broadcast(chosen.withColumnRenamed("date", facts.date)), facts.date, "left_semi")  # n_nights rows
+    if n_nights is None:
+        inside = df.filter(F.col(facts.date).isNotNull())
+    else:
+        chosen = nights.orderBy(F.md5(F.concat_ws("|", F.col("date").cast("string"), F.lit(str(seed)))), "date").limit(n_nights)
+        inside = df.join(chosen.withColumnRenamed("date", facts.date), facts.date, "left_semi")
     settled = settle_props(inside, [{"name": "all", "props": list(props)}], facts, lookup=lookup)
     table = settled.groupBy("date").agg(F.count_if("hit").alias("props_hit"), F.count(F.lit(1)).alias("props_tested"),
                                         F.bool_and("hit").alias("acca_hit"))

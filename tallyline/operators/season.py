@@ -198,6 +198,12 @@ def top_by_team(rates: DataFrame, *, entity: str = "player_name", n: int = 15) -
                          rank="team_rank")
 
 
+def top_by_roster(rates: DataFrame, games: DataFrame, *, entity: str = "player_name", team: str = "player_team", n: int = 15) -> DataFrame:
+    """Per team, stat and line the n best averages of everyone who ever played for the team: a traded player stands in each roster."""
+    rosters = games.select(F.col(team).alias("team"), entity).dropna().distinct()
+    return top_by_team(rates.drop("team").join(rosters, entity), entity=entity, n=n)
+
+
 def top_by_stat(rates: DataFrame, *, entity: str = "player_name", n: int = 30) -> DataFrame:
     """Per stat and line the n best averages of the whole league."""
     return top_per_group(rates, ["stat", "offset"], [F.col("average").desc_nulls_last(), F.col(entity).asc()], n, rank="stat_rank")

@@ -20,12 +20,27 @@ RATES = {"PTS": "PPG", "AST": "APG", "REB": "RPG"}
 KEY_STATS = ("PTS", "AST", "REB", "FG_PCT", "FG3_PCT", "MIN", "TOV", "STL", "BLK")
 
 
-def season_report(df: DataFrame, variables: Sequence[str] = KEY_STATS, template: Mapping | None = None) -> dict[str, DataFrame]:
+# The stats of the printed rankings and of the leg candidates.
+RANKED = ("PPG", "APG", "RPG")
+NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def numeric_columns(df: DataFrame) -> list[str]:
+    return [name for name, kind in df.dtypes if kind in NUMERIC or kind.startswith("decimal")]
+
+
+def season_report(df: DataFrame, variables: Sequence[str] | None = None, template: Mapping | None = None, *,
+                  pair_variables: Sequence[str] = KEY_STATS, tickets: Sequence[Mapping] | None = None) -> dict[str, DataFrame]:
     """Named tables of a stored, cleaned season; nothing runs until a table is read,
-    apart from the size checks and stored counts the ordered operators need."""
+    apart from the size checks and stored counts the ordered operators need.
+
+    Fits, entropy, mutual information, skew and boxes take every numeric column unless
+    `variables` names some; the pair table takes `pair_variables` that the season has.
+    """
+    variables = numeric_columns(df) if variables is None else list(variables)
     players = season.player_season(df, spread=SPREAD)
     rates = season.line_hit_rates(df, players, RATES)
-    pairs = dependence.pair_dependence(df, variables)
+    pairs = dependence.pair_dependence(df, [v for v in pair_variables if v in df.columns])
     fits = goodness.goodness_table(df, variables)
     tables = {
         "summary": season.season_summary(df, game="gameId", entity="player_name", team="player_team", date="game_date_only", measures=["PTS", "AST", "REB"]),
@@ -36,10 +51,15 @@ def season_report(df: DataFrame, variables: Sequence[str] = KEY_STATS, template:
         "team_rates": season.top_by_team(rates), "fits": fits, "family_mix": goodness.family_mix(fits),
         "entropy": dependence.entropy_table(df, variables), "mutual_information": dependence.mutual_information(df, variables),
         "dependence": pairs, "dependence_mix": dependence.dependence_mix(pairs), "skew": goodness.skew_notes(df, variables),
-        "boxes": goodness.box_summary(df, variables),
+        "boxes": goodness.box_summary(df, variables), "roster_rates": season.top_by_roster(rates, df),
+        **{f"top_{c}": season.top_rows(players, c, 10, ["player_name"]) for c in RANKED},
+        **{f"steady_{c}": season.two_stage_top(players, c, f"{s}_CV", 20, ["player_name"]) for s, c in RATES.items() if f"{s}_CV" in players.columns},
     }
     if template is not None:
         lookup = replay.season_lookup(players, template["legs"], averages=RATES)
         run = replay.replay_template(df, template, lookup=lookup)
+        if tickets is not None:
+            table, props = replay.settle_tickets(df, tickets, season=players, averages=RATES)
+            tables |= {"tickets": table, "ticket_props": props}
         tables |= {"nights": run.nights, "props": run.props, "prop_success": replay.prop_success(run.props), "replay_summary": replay.replay_summary(run.nights)}
     return tables

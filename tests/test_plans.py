@@ -49,7 +49,10 @@ def test_season_workflow(spark, tmp_path):
     pd.DataFrame(rows, columns=names).to_csv(tmp_path / "season.csv", index=False)
     clean = clean_season(readers.read_season_box(spark, str(tmp_path / "season.csv"))).checkpoint()
     template = {"name": "t", "legs": [{"name": "a", "props": [{"player": "Last1", "stat": "PTS", "line": 10.5, "over": True}]}]}
-    tables = season.season_report(clean, ("PTS", "AST", "REB", "TOV"), template)
+    tickets = [{"date": "2024-01-03", "odds": 2.0, "props": [{"player": "Last1", "stat": "PTS", "line": 1, "over": True}]}]
+    tables = season.season_report(clean, None, template, pair_variables=("PTS", "AST", "REB", "TOV"), tickets=tickets)
     sizes = {n: t.count() for n, t in tables.items()}
     assert sizes["players"] == 8 and sizes["teams"] == 3 and sizes["line_rates"] == 96 and sizes["nights"] == 24 and sizes["dependence"] == 6 and sizes["daily"] == 24
-    assert all(k in sizes for k in ("fits", "entropy", "mutual_information")) and sizes["home_away"] == 3
+    numeric = season.numeric_columns(clean)
+    assert len(numeric) > 15 and sizes["fits"] == sizes["boxes"] == len(numeric) and sizes["home_away"] == 3
+    assert sizes["top_PPG"] == 8 and sizes["roster_rates"] == 96 and sizes["tickets"] == 1 and all(k in sizes for k in ("entropy", "mutual_information"))
