@@ -168,34 +168,109 @@ def backtest_summary(spark, folder):
     return table.withColumns({c: F.rint(F.col(c) * 1e3) / 1e3 for c in ("total_profit", "total_stake")})
 
 
-@query("train_predict")
+# One feature keeps the fit a 2 x 2 system, which SQL solves by Newton steps in a recursive query; unit tests hold fits of
+# several features against a direct solve.
+ONE = ("book_implied_prob",)
+
+
+def _newton(rows, keys):
+    """Coefficients (b0, b1) for each key of balanced, ridge-penalised logistic fits; rows: keys, y, x (filled)."""
+    k = ", ".join(keys)
+    return f"""
+WITH RECURSIVE s AS (SELECT {k}, COUNT(*) AS n, SUM(y) AS n1, AVG(x) AS mu, COALESCE(NULLIF(STDDEV_POP(x), 0), 1) AS sd FROM {rows} GROUP BY {k}),
+d AS (SELECT {k}, y, (x - mu) / sd AS z, COUNT(*) * CASE WHEN y = 1 THEN n / (2.0 * n1) ELSE n / (2.0 * (n - n1)) END AS w FROM {rows} JOIN s USING ({k}) WHERE n1 > 0 AND n1 < n GROUP BY {k}, y, x, mu, sd, n, n1),
+it AS (
+  SELECT {k}, 0 AS step, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1 FROM s WHERE n1 > 0 AND n1 < n
+  UNION ALL
+  SELECT {k}, step + 1, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+    SELECT {k}, step, b0, b1, SUM(w * (p - y)) AS g0, SUM(w * (p - y) * z) + b1 AS g1, SUM(w * p * (1 - p)) AS h00, SUM(w * p * (1 - p) * z) AS h01, SUM(w * p * (1 - p) * z * z) + 1 AS h11
+    FROM (SELECT {k}, step, b0, b1, y, z, w, 1 / (1 + exp(-(b0 + b1 * z))) AS p FROM it JOIN d USING ({k}) WHERE step < 20) e GROUP BY {k}, step, b0, b1) q)
+SELECT {k}, b0, b1, mu, sd FROM it JOIN s USING ({k}) WHERE step = 20"""
+
+
+fx.SQL["one_train"] = """SELECT 0 AS g, builder_hit AS y, COALESCE(book_implied_prob, m) AS x, m FROM tickets, (SELECT quantile_cont(book_implied_prob, 0.5) AS m FROM tickets) q"""
+fx.SQL["one_fit"] = _newton("one_train", ["g"])
+fx.SQL["one_scored"] = """
+SELECT t.*, 1 / (1 + exp(-(b0 + b1 * (COALESCE(book_implied_prob, m) - mu) / sd))) AS p FROM tickets t, one_fit, (SELECT quantile_cont(book_implied_prob, 0.5) AS m FROM tickets) q"""
+ONE_FIT = (*fx.TICKET_FIXTURES, "one_train", "one_fit", "one_scored")
+
+
+@query("train_predict", f"SELECT builder_id, {R('p')} AS pred_prob, CAST(p >= 0.5 AS BIGINT) AS pred_hit, CAST(builder_hit AS BIGINT) AS builder_hit FROM one_scored", ONE_FIT)
 def train_predict(spark, folder):
     t = fx.stored(fx.tickets(spark, folder))
-    return outcome.predict(outcome.train(t), t).select("builder_id", "pred_prob", "pred_hit", "builder_hit")
+    return outcome.predict(outcome.train(t, ONE), t).select("builder_id", "pred_prob", "pred_hit", "builder_hit")
+
+
+def _auc(rows, keys=""):
+    part, group = (f"PARTITION BY {keys}", f"GROUP BY {keys}") if keys else ("", "")
+    return f"""SELECT {keys + ', ' if keys else ''}SUM(pos * (below - neg / 2.0)) / NULLIF(SUM(pos) * SUM(neg), 0) AS auc FROM (
+  SELECT *, SUM(neg) OVER ({part} ORDER BY p) AS below FROM (SELECT {keys + ', ' if keys else ''}p, CAST(SUM(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS pos, CAST(SUM(CASE WHEN y <> 1 THEN 1 ELSE 0 END) AS DOUBLE) AS neg
+    FROM {rows} GROUP BY {keys + ', ' if keys else ''}p) c) r {group}"""
 
 
-@query("model_metrics")
+@query("model_metrics", f"""
+SELECT {R('AVG(CAST((p >= 0.5) = (builder_hit = 1) AS INTEGER))')} AS accuracy, {R('AVG((p - builder_hit) * (p - builder_hit))')} AS brier,
+  {R('AVG(-CASE WHEN builder_hit = 1 THEN ln(GREATEST(LEAST(p, 1 - 1e-7), 1e-7)) ELSE ln(1 - GREATEST(LEAST(p, 1 - 1e-7), 1e-7)) END)')} AS log_loss,
+  CAST(COUNT(*) AS BIGINT) AS n_obs, {R('AVG(builder_hit)')} AS positive_rate, {R('AVG(CAST(p >= 0.5 AS INTEGER))')} AS pred_positive_rate,
+  {R(f"(SELECT auc FROM ({_auc('(SELECT p, builder_hit AS y FROM one_scored) o')}) a)")} AS roc_auc FROM one_scored""", ONE_FIT)
 def model_metrics(spark, folder):
     t = fx.stored(fx.tickets(spark, folder))
-    return outcome.evaluate_model(outcome.train(t, outcome.PRE_GAME_FEATURES), t)
+    return outcome.evaluate_model(outcome.train(t, ONE), t)
 
 
-@query("feature_impact")
+@query("feature_impact", f"""SELECT 'book_implied_prob' AS feature, {R('b1')} AS coefficient, {R('ABS(b1)')} AS abs_coefficient, {R('(SELECT AVG(book_implied_prob) FROM tickets)')} AS mean,
+  {R('(SELECT STDDEV_SAMP(book_implied_prob) FROM tickets)')} AS std, {R('(SELECT MIN(book_implied_prob) FROM tickets)')} AS "min", {R('(SELECT MAX(book_implied_prob) FROM tickets)')} AS "max" FROM one_fit""", ONE_FIT[:-1])
 def feature_impact(spark, folder):
     t = fx.stored(fx.tickets(spark, folder))
-    return outcome.feature_impact(outcome.train(t), t)
+    return outcome.feature_impact(outcome.train(t, ONE), t, ONE)
+
+
+def _walk_sql(kind):
+    """Training rows, fits and test predictions of every fold."""
+    low = "lo" if kind == "expanding" else "lo + CAST(slot * 30 AS INTEGER)"
+    fx.SQL[f"{kind}_rows"] = f"""
+SELECT fold, y, COALESCE(v, m) AS x, m FROM (SELECT fold, builder_hit AS y, book_implied_prob AS v, quantile_cont(book_implied_prob, 0.5) OVER (PARTITION BY fold) AS m
+  FROM {kind} f, tickets t, (SELECT MIN(game_date) AS lo FROM tickets) b WHERE game_date >= {low} AND game_date < lo + CAST(slot * 30 + 180 AS INTEGER)) r"""
+    fx.SQL[f"{kind}_fit"] = _newton(f"{kind}_rows", ["fold"])
+    fx.SQL[f"{kind}_tested"] = f"""
+SELECT f.fold + 1 AS fold, t.*, 1 / (1 + exp(-(b0 + b1 * (COALESCE(book_implied_prob, m) - mu) / sd))) AS p
+FROM {kind} f JOIN {kind}_fit USING (fold) JOIN (SELECT fold, ANY_VALUE(m) AS m FROM {kind}_rows GROUP BY fold) q USING (fold), tickets t, (SELECT MIN(game_date) AS lo FROM tickets) b
+WHERE game_date >= lo + CAST(slot * 30 + 180 AS INTEGER) AND game_date < lo + CAST(slot * 30 + 210 AS INTEGER)"""
+    fx.SQL[f"{kind}_trained"] = f"SELECT fold + 1 AS fold, y, 1 / (1 + exp(-(b0 + b1 * (x - mu) / sd))) AS p FROM {kind}_rows JOIN {kind}_fit USING (fold)"
+    return (*fx.TICKET_FIXTURES, kind, *(f"{kind}_{x}" for x in ("rows", "fit", "tested", "trained")))
+
+
+def _backtest_sql(kind):
+    return f"""
+WITH m AS (SELECT fold, COUNT(*) AS n_obs, AVG(builder_hit) AS hit_rate, AVG(p) AS pred_hit_rate, AVG((p - builder_hit) * (p - builder_hit)) AS brier, SUM({TP}) / SUM(stake) AS roi, SUM({TP}) AS profit,
+  SUM({TP}) / COUNT(*) AS yield, COALESCE(AVG({TU}) / NULLIF(STDDEV_SAMP({TU}), 0), 0) AS sharpe_ratio, SUM(stake) AS total_stake FROM {kind}_tested GROUP BY fold),
+a AS ({_auc(f'{kind}_trained', 'fold')}), c AS (SELECT fold, AVG(CAST((p >= 0.5) = (y = 1) AS INTEGER)) AS accuracy FROM {kind}_trained GROUP BY fold)
+SELECT m.fold, CAST(n_obs AS BIGINT) AS n_obs, {R('hit_rate')} AS hit_rate, {R('pred_hit_rate', 5)} AS pred_hit_rate, {R('brier', 5)} AS brier, {R('roi + 1e-10')} AS roi, {R('profit', 4)} AS profit, {R('yield + 1e-10', 5)} AS yield,
+  {R('sharpe_ratio')} AS sharpe_ratio, {R('total_stake', 4)} AS total_stake, CAST(train_size AS BIGINT) AS train_n, CAST(test_size AS BIGINT) AS test_n, CAST(train_start AS VARCHAR) AS train_start, CAST(train_end AS VARCHAR) AS train_end,
+  CAST(test_start AS VARCHAR) AS test_start, CAST(test_end AS VARCHAR) AS test_end, {R('accuracy')} AS train_accuracy, {R('auc')} AS train_roc_auc
+FROM m JOIN a USING (fold) JOIN c USING (fold) JOIN {kind} f ON f.fold + 1 = m.fold"""
+
+
+def _rounded(table):
+    digits = {"pred_hit_rate": 5, "brier": 5, "profit": 4, "yield": 5, "total_stake": 4}
+    shifted = table.withColumns({c: F.col(c) + 1e-10 for c in ("roi", "yield")})
+    return shifted.withColumns({c: F.rint(F.col(c) * 10.0**d) / 10.0**d for c, d in digits.items()})
+
+
+ROLLING, EXPANDING = _walk_sql("rolling"), _walk_sql("expanding")
 
 
-@query("rolling_backtest")
+@query("rolling_backtest", _backtest_sql("rolling"), ROLLING)
 def rolling_backtest(spark, folder):
-    return folds.run_backtest(fx.stored(fx.tickets(spark, folder)), CFG, outcome.FEATURES)[0]
+    return _rounded(folds.run_backtest(fx.stored(fx.tickets(spark, folder)), CFG, ONE)[0])
 
 
-@query("rolling_predictions")
+@query("rolling_predictions", f"""SELECT builder_id, CAST(game_date AS VARCHAR) AS game_date, {R('p')} AS pred_prob, CAST(builder_hit AS BIGINT) AS builder_hit, {R('decimal_odds')} AS decimal_odds,
+{R('stake')} AS stake, fold FROM rolling_tested""", ROLLING[:-1])
 def rolling_predictions(spark, folder):
-    return folds.run_backtest(fx.stored(fx.tickets(spark, folder)), CFG, outcome.PRE_GAME_FEATURES)[1]
+    return folds.run_backtest(fx.stored(fx.tickets(spark, folder)), CFG, ONE)[1]
 
 
-@query("expanding_backtest")
+@query("expanding_backtest", _backtest_sql("expanding"), EXPANDING)
 def expanding_backtest(spark, folder):
-    return folds.run_backtest(fx.stored(fx.tickets(spark, folder)), CFG, outcome.FEATURES, kind="expanding")[0]
+    return _rounded(folds.run_backtest(fx.stored(fx.tickets(spark, folder)), CFG, ONE, kind="expanding")[0])
