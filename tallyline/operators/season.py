@@ -101,19 +101,16 @@ def daily_series(df: DataFrame, date: str, averages: Mapping[str, str], *, game:
 
 def season_summary(df: DataFrame, *, game: str, entity: str, team: str, date: str, measures: Sequence[str],
                    win: str = "win", home: str = "home") -> DataFrame:
-    """The headline figures as (metric, value) text rows; distinct counts are separate narrow scans."""
-    def distinct(column: str, name: str) -> DataFrame:
-        return df.select(column).dropna().distinct().agg(F.count(F.lit(1)).cast("string").alias("value")).select(
-            F.lit(name).alias("metric"), "value")
+    """The headline figures as (metric, value) text rows, from one scan."""
     w = F.col(win).cast("double")
     one = df.agg(
+        *[F.count_distinct(c).cast("string").alias(name) for name, c in (("games", game), ("players", entity), ("teams", team))],
         F.min(date).cast("string").alias("first_date"), F.max(date).cast("string").alias("last_date"),
         *[F.format_string("%.2f", F.avg(m)).alias(f"avg_{m}") for m in measures],
         F.format_string("%.1f", F.avg(w) * 100).alias("win_rate_pct"),
         F.format_string("%.1f", F.avg(F.when(F.col(home), w)) * 100).alias("home_win_rate_pct"),
         F.format_string("%.1f", F.avg(F.when(~F.col(home), w)) * 100).alias("away_win_rate_pct"))
-    out = distinct(game, "games").unionByName(distinct(entity, "players")).unionByName(distinct(team, "teams"))
-    return out.unionByName(one.unpivot([], one.columns, "metric", "value"))
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in one.columns])).alias("r")).select("r.*")
 
 
 def modal_team(df: DataFrame, *, entity: str = "player_name", team: str = "player_team") -> DataFrame:

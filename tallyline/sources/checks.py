@@ -43,29 +43,27 @@ def consistency_counts(
 ) -> DataFrame:
     """One (check, value) row per count or date bound; the caller decides what is acceptable.
 
-    Each distinct count is its own narrow aggregate, so no row is multiplied.
+    Each table is read once: its keys become narrow (kind, key) rows, combined before they move.
     """
-    def count_of(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit(name).alias("check"), "value")
-
-    def bound(df: DataFrame, how, name: str) -> DataFrame:
-        return df.agg(how(date).cast("string").alias("value")).select(F.lit(name).alias("check"), "value")
-
-    parts = [
-        count_of(missing_keys(legs, games, game), "games_missing_from_logs"),
-        count_of(missing_keys(legs, games, player), "players_missing_from_logs"),
-        count_of(games.select(game).dropna().distinct(), "n_games_logs"),
-        count_of(legs.select(game).dropna().distinct(), "n_games_tickets"),
-        count_of(games.select(player).dropna().distinct(), "n_players_logs"),
-        count_of(legs.select(player).dropna().distinct(), "n_players_tickets"),
-        count_of(legs.select(ticket).dropna().distinct(), "n_tickets"),
-        bound(games, F.min, "first_date_logs"), bound(games, F.max, "last_date_logs"),
-        bound(legs, F.min, "first_date_tickets"), bound(legs, F.max, "last_date_tickets"),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    def cells(df: DataFrame, side: str, kinds: dict[str, str]) -> DataFrame:
+        rows = df.select(F.explode(F.array(*[
+            F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("key")) for kind, c in kinds.items()])).alias("c"))
+        return rows.select("c.*", F.lit(side).alias("side")).filter("key IS NOT NULL")
+
+    both = cells(games, "logs", {"games": game, "players": player, "dates": date}).unionByName(
+        cells(legs, "tickets", {"games": game, "players": player, "tickets": ticket, "dates": date}))
+    keys = both.groupBy("kind", "key").agg(F.bool_or(F.col("side") == "logs").alias("logs"), F.bool_or(F.col("side") == "tickets").alias("tickets"))
+    kind, logs, bets = F.col("kind"), F.col("logs"), F.col("tickets")
+    checks = {
+        "games_missing_from_logs": F.count_if((kind == "games") & ~logs), "players_missing_from_logs": F.count_if((kind == "players") & ~logs),
+        "n_games_logs": F.count_if((kind == "games") & logs), "n_games_tickets": F.count_if((kind == "games") & bets),
+        "n_players_logs": F.count_if((kind == "players") & logs), "n_players_tickets": F.count_if((kind == "players") & bets),
+        "n_tickets": F.count_if(kind == "tickets"),
+        "first_date_logs": F.min(F.when((kind == "dates") & logs, F.col("key"))), "last_date_logs": F.max(F.when((kind == "dates") & logs, F.col("key"))),
+        "first_date_tickets": F.min(F.when((kind == "dates") & bets, F.col("key"))), "last_date_tickets": F.max(F.when((kind == "dates") & bets, F.col("key"))),
+    }
+    one = keys.agg(*[value.cast("string").alias(name) for name, value in checks.items()])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("value")) for n in checks])).alias("r")).select("r.*")
 
 
 def invalid_odds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -82,18 +80,11 @@ def observe_invalid_odds(df: DataFrame, columns: Sequence[str], name: str = "inv
 
 def run_summary(logs: DataFrame, tickets: DataFrame) -> DataFrame:
     """Games, players, tickets, legs, mean legs per ticket and hit rate as (metric, value)."""
-    def one(df: DataFrame, name: str, value) -> DataFrame:
-        return df.agg(value.cast("double").alias("value")).select(F.lit(name).alias("metric"), "value")
-
-    parts = [
-        one(logs.select("game_id").dropna().distinct(), "n_games", F.count(F.lit(1))),
-        one(logs.select("player_id").dropna().distinct(), "n_players", F.count(F.lit(1))),
-    ]
+    kept = logs.agg(F.count_distinct("game_id").cast("double").alias("n_games"), F.count_distinct("player_id").cast("double").alias("n_players"))
     rolled = tickets.agg(
         F.count(F.lit(1)).cast("double").alias("n_tickets"),
         F.sum("n_legs").cast("double").alias("n_legs"),
         F.avg("n_legs").alias("mean_legs"),
         F.avg("builder_hit").alias("hit_rate"),
     )
-    long = rolled.unpivot([], rolled.columns, "metric", "value")
-    return parts[0].unionByName(parts[1]).unionByName(long)
+    return kept.unpivot([], kept.columns, "metric", "value").unionByName(rolled.unpivot([], rolled.columns, "metric", "value"))
