@@ -84,8 +84,7 @@ def player_diversity(spark, folder):
 SELECT CAST(n_unique_players = 1 AS BIGINT) AS high_correlation_risk, CAST(COUNT(*) AS BIGINT) AS n_tickets, CAST(SUM(builder_hit) AS BIGINT) AS hits
 FROM tickets GROUP BY 1""", TICKET)
 def correlation_risk(spark, folder):
-    from ..operators.dependence import global_correlation
-    risky = ops.correlation_risk(fx.tickets(spark, folder), global_correlation(fx.stored(fx.box(spark, folder)), method="pearson"))
+    risky = ops.correlation_risk(fx.tickets(spark, folder))
     return risky.groupBy("high_correlation_risk").agg(F.count(F.lit(1)).alias("n_tickets"), F.sum("builder_hit").alias("hits"))
 
 

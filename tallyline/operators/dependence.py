@@ -249,6 +249,7 @@ def pair_dependence(df: DataFrame, variables: Sequence[str], *, min_rows: int =
     )
     rho, r, n = F.col("spearman"), F.col("pearson"), F.col("n").cast("double")
     tested = table.withColumn("spearman_p", F.when(rho.isNotNull() & (n > 2), correlation_p(rho, n)))
+    # The labels of type and strength.
     return tested.withColumns({
         "dependency_type": F.when(F.abs(rho - r) < 0.1, "Linear")
         .when(F.abs(rho) > F.abs(r) + 0.1, "Monotonic (Non-linear)").otherwise("Non-monotonic"),

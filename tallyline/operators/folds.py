@@ -216,12 +216,13 @@ def fit_folds(train: DataFrame, features: Sequence[str], label: str, tolerance:
 
 def run_backtest(df: DataFrame, cfg: FoldConfig, features: Sequence[str], *, label: str = "builder_hit",
                  ticket: str = "builder_id", odds: str = "decimal_odds", stake: str = "stake",
-                 kind: str = "rolling") -> tuple[DataFrame, DataFrame]:
+                 kind: str = "rolling", train_metrics: bool = True) -> tuple[DataFrame, DataFrame]:
     """(results per fold, predictions per ticket and fold) of a rolling or expanding walk-forward test.
 
     Folds count from 1 over the usable ones; a fold that cannot be fitted keeps
     its number and has no result.  The needed columns are written once to the
-    checkpoint folder because every Newton step reads them.
+    checkpoint folder because every Newton step reads them.  `train_metrics=False` leaves out the
+    accuracy and AUC on the training rows, whose scores the AUC has to order.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -243,13 +244,15 @@ def run_backtest(df: DataFrame, cfg: FoldConfig, features: Sequence[str], *, lab
     named = F.broadcast(number.withColumnRenamed("slot", "fold"))
     keep = [ticket, cfg.date, "pred_prob", label, odds, stake]
     predictions = score(part("test"), params).join(named, "fold").select(*keep, F.col("number").alias("fold"))
-    on_train = classifier_metrics(score(train, params).select("fold", label, "pred_prob"), "pred_prob", label, ["fold"]).join(named, "fold").select(
-        F.col("number").alias("fold"), F.col("accuracy").alias("train_accuracy"), F.col("roc_auc").alias("train_roc_auc"))
-    measured = predictions.groupBy("fold").agg(*prediction_metrics("pred_prob", label, odds, stake))
     dates = spark.createDataFrame(
         [(r["fold"] + 1, r["train_size"], r["test_size"], r["train_start"], r["train_end"], r["test_start"], r["test_end"]) for r in folds],
         "fold int, train_n long, test_n long, train_start date, train_end date, test_start date, test_end date")
-    return measured.join(F.broadcast(dates), "fold").join(on_train, "fold"), predictions
+    measured = predictions.groupBy("fold").agg(*prediction_metrics("pred_prob", label, odds, stake)).join(F.broadcast(dates), "fold")
+    if not train_metrics:
+        return measured, predictions
+    on_train = classifier_metrics(score(train, params).select("fold", label, "pred_prob"), "pred_prob", label, ["fold"]).join(named, "fold").select(
+        F.col("number").alias("fold"), F.col("accuracy").alias("train_accuracy"), F.col("roc_auc").alias("train_roc_auc"))
+    return measured.join(on_train, "fold"), predictions
 
 
 def backtest_summary(results: DataFrame, order: str = "test_start") -> DataFrame:

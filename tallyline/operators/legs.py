@@ -131,8 +131,6 @@ def ticket_table(leg_df: DataFrame, *, ticket: str = "builder_id", order: Sequen
     return _diversity_columns(_stat_total(mix_flags(grouped), stats))
 
 
-def correlation_risk(tickets: DataFrame, correlations: DataFrame | None = None) -> DataFrame:
-    """With a correlation table at hand, single-player tickets are flagged as risky."""
-    if correlations is None:
-        return tickets
+def correlation_risk(tickets: DataFrame) -> DataFrame:
+    """Tickets whose legs are all of one player are flagged as risky."""
     return tickets.withColumn("high_correlation_risk", F.col("is_single_player"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from ..operators import dependence, goodness, replay, season
 
+# The names of the reported columns.
 SPREAD = {"PTS": "PPG", "AST": "APG", "REB": "RPG", "FG3M": "FG3M_PG"}
 HOME = {"avg_PTS": "PTS", "avg_AST": "AST", "avg_REB": "REB", "FG_PCT": "FG_PCT", "FG3_PCT": "FG3_PCT", "win_rate": "win", "avg_plus_minus": "PLUS_MINUS"}
 WIN = {"avg_PTS": "PTS", "avg_AST": "AST", "avg_REB": "REB", "FG_PCT": "FG_PCT", "FG3_PCT": "FG3_PCT", "avg_TOV": "TOV", "avg_plus_minus": "PLUS_MINUS",

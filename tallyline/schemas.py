@@ -1,4 +1,7 @@
-"""Column types of the input tables; extra columns in a file are kept as text."""
+"""Column types of the input tables; extra columns in a file are kept as text.
+
+Fixed values: the column names are those of the input files.
+"""
 
 from pyspark.sql import types as T
 
