@@ -58,13 +58,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply a function of one Arrow batch to every batch; a batch may give none."""
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int | None = None) -> DataFrame:
+    """Apply a function of one Arrow batch to every batch, or to stretches of `rows` rows of it; each may give none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = function(batch)
-            if out is not None:
-                yield out
+            for at in range(0, batch.num_rows, rows or max(1, batch.num_rows)):
+                out = function(batch.slice(at, rows) if rows else batch)
+                if out is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

@@ -26,7 +26,9 @@ from .common import keyed_text, map_batches, stored
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 END = b"\n"  # the end mark; no word holds a line feed
-_HELD = 300_000
+_HELD = 200_000
+# Texts worked on at once: the arrays of a stretch, several numbers for each word, stay small beside a batch.
+_STRETCH = 500
 DISCOUNT = 0.5
 
 
@@ -83,7 +85,7 @@ def numbered(rows: DataFrame, index: dict[bytes, int]) -> DataFrame:
         return pa.RecordBatch.from_arrays([*batch.columns[:2], *lists], ["id", "held_out", "words", "rare"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return map_batches(rows.select("id", "held_out", "text"), work, f"id {kind}, held_out boolean, words array<int>, rare array<binary>")
+    return map_batches(rows.select("id", "held_out", "text"), work, f"id {kind}, held_out boolean, words array<int>, rare array<binary>", _STRETCH)
 
 
 def laid_out(lists: pa.ListArray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +190,7 @@ def count_runs(texts: DataFrame, tree: SuffixTree, m: int, end: int, least: floa
         found, n = np.unique(keys[keys >= 0], return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["run", "n"])
 
-    parts = map_batches(texts.filter("NOT held_out").select("words"), work, "run bigint, n bigint")
+    parts = map_batches(texts.filter("NOT held_out").select("words"), work, "run bigint, n bigint", 4 * _STRETCH)
     rows = parts.groupBy("run").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
     return rows["run"].to_numpy().astype(np.int64), rows["n"].to_numpy().astype(np.int64)
 
@@ -238,7 +240,7 @@ def score_texts(
                                            pa.array(base), pa.array(add(of >= 0, gain[of >= 0]))], ["id", "n_tokens", "n_known", "base_score", "gain"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    own = map_batches(texts.select("id", "words"), read, f"id {kind}, n_tokens bigint, n_known bigint, base_score double, gain double")
+    own = map_batches(texts.select("id", "words"), read, f"id {kind}, n_tokens bigint, n_known bigint, base_score double, gain double", _STRETCH)
     met = texts.select("id", F.explode("rare").alias("word")).join(words.filter(~inside).select("word", "train"), "word")
     rest = met.select("id", F.lit(0).cast("long").alias("n_tokens"), (F.col("train") > 0).cast("long").alias("n_known"),
                       (F.log10(F.col("train") + 1) - F.lit(norm)).alias("base_score"), F.lit(0.0).alias("gain"))
