@@ -57,21 +57,24 @@ def threads(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     return ranged.join(linked, "row").select("tree", F.col("row").alias("node"), "parent", F.lit(0.0).alias("score"), "role", "text")
 
 
-def jumps(nodes: DataFrame) -> list[DataFrame]:
-    """Tables (node, up, score, steps), level k looking up to 2**k replies further: the node reached, or NULL at the root, and
-    what the nodes passed add up to.  Nodes on a cycle never reach a root; the rounds end when a level no longer moves."""
-    level = stored(nodes.select("node", F.col("parent").alias("up"), "score", F.lit(1).cast("long").alias("steps")))
-    levels = [level]
-    open_now = level.filter("up IS NOT NULL").count()
-    most = max(1, nodes.count()).bit_length() + 1
-    while open_now and len(levels) <= most:
-        above = level.select(F.col("node").alias("up"), F.col("up").alias("further"), F.col("score").alias("more"), F.col("steps").alias("passed"))
-        moved = level.join(above, "up", "left")
-        level = stored(moved.select("node", F.col("further").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
-                                    (F.col("steps") + F.coalesce("passed", F.lit(0))).alias("steps")))
-        levels.append(level)
-        open_now = level.filter("up IS NOT NULL").count()
-    return levels
+def jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Levels (node, up, score, steps), level k looking up to 2**k replies further, and (node, score, steps) up to the root.
+
+    `up` is the node reached, `score` and `steps` add up what was passed.  A node that has reached its root is settled and
+    takes no part in further rounds but as a target.  Nodes on a cycle never settle; the rounds end when they would exceed
+    the length of any path.
+    """
+    first = stored(nodes.select("node", F.col("parent").alias("up"), "score", F.lit(1).cast("long").alias("steps")))
+    settled, active = first.filter("up IS NULL").drop("up"), first.filter("up IS NOT NULL")
+    levels, most = [active], max(1, nodes.count()).bit_length() + 1
+    while not active.isEmpty() and len(levels) <= most:
+        targets = active.select(F.col("node").alias("up"), F.col("up").alias("further"), F.col("score").alias("more"), F.col("steps").alias("passed")).unionByName(
+            settled.select(F.col("node").alias("up"), F.lit(None).cast(first.schema["up"].dataType).alias("further"), F.col("score").alias("more"), F.col("steps").alias("passed")))
+        moved = stored(active.join(targets, "up").select(
+            "node", F.col("further").alias("up"), (F.col("score") + F.col("more")).alias("score"), (F.col("steps") + F.col("passed")).alias("steps")))
+        settled, active = settled.unionByName(moved.filter("up IS NULL").drop("up")), moved.filter("up IS NOT NULL")
+        levels.append(active)
+    return levels, settled
 
 
 def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
@@ -85,9 +88,9 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     rows = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"), "role", "text").filter("node IS NOT NULL")
     first = rows.groupBy("node").agg(F.min(F.struct("role", "text", "tree", "parent", "score")).alias("m")).select("node", "m.*")
     known = first.select(F.col("node").alias("parent"), F.lit(True).alias("there"))
-    nodes = stored(first.join(known, "parent", "left").withColumn("parent", F.when(F.col("there"), F.col("parent"))).drop("there"))
-    levels = jumps(nodes)
-    top = levels[-1].filter("up IS NULL")
+    replies = first.filter("parent IS NOT NULL").join(known, "parent", "left").withColumn("parent", F.when(F.col("there"), F.col("parent"))).drop("there")
+    nodes = stored(replies.unionByName(first.filter("parent IS NULL")))  # roots need no look-up
+    levels, top = jumps(nodes)
     replied = nodes.select(F.col("parent").alias("node")).filter("node IS NOT NULL").distinct()
     leaves = nodes.select("tree", "node").join(replied, "node", "left_anti").join(top.select("node", "score", "steps"), "node")
     best = F.struct((-F.col("score")).alias("less"), (-F.col("steps")).alias("shorter"), F.col("node").alias("leaf"))
@@ -98,7 +101,7 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         picked = leaves.withColumn("branch", rank).filter(F.col("branch") <= branches).select("tree", "branch", F.col("node").alias("leaf"))
     on_path = picked.select("tree", "branch", F.col("leaf").alias("node"))
     for level in reversed(levels):  # each level adds, for every message found, the one 2**k replies up
-        up = on_path.join(level.select("node", "up"), "node").filter("up IS NOT NULL").select("tree", "branch", F.col("up").alias("node"))
+        up = on_path.join(level.select("node", "up"), "node").select("tree", "branch", F.col("up").alias("node"))
         on_path = stored(on_path.unionByName(up).distinct())
     depth = top.select("node", F.col("steps").alias("depth"))
     return on_path.join(depth, "node").join(nodes.select("node", "role", "text"), "node").select("tree", "branch", "depth", "node", "role", "text")
