@@ -1,18 +1,23 @@
 """Language-model scores from a probabilistic suffix tree over words, beside a smoothed unigram score.
 
-A text is its words and an end mark; the end mark also stands before the first word.  The tree predicts a word from a
-context of variable length, the words just before it.  Words, and runs of words, enter the tree when their share of all
-tokens reaches `min_share`: there cannot be more than 1 / min_share of any length, whatever the size of the corpus, so the
-tree has a proven bound and is broadcast.  A context is retained when its next words diverge from what its parent (the
-longest retained suffix) predicts: when the likelihood gained over all its occurrences exceeds the cost of its parameters.
-Its distribution keeps the discounted counts of the listed next words and hands the rest to the parent; the root is the
-smoothed unigram distribution over all words.  Each word is scored in the longest retained suffix of what precedes it.
-
-Counts of all words stay a Spark table: a word that is not in the tree meets its count in a join.
+A text is its words and an end mark; a start mark stands before the first word.  The tree predicts a word from a context of
+variable length, the words just before it.  Every run of words that occurs `LEAST` times in training texts enters the tree,
+so the tree grows with the corpus: it is a Spark table keyed by the hash of the run, and no part of it reaches the driver
+but the runs above `min_share` of all tokens, which are broadcast for speed alone.  A context is retained when its next
+words diverge from what its parent (the longest retained suffix) predicts: when the likelihood gained over all its
+occurrences exceeds the cost of its parameters.  Its distribution keeps the discounted counts of the listed next words and
+hands the rest to the parent; the root is the smoothed unigram distribution over all words.  Each word is scored in the
+longest retained suffix of what precedes it.
+
+The score is a sum over runs.  A run is listed only with all its parts, so with D(run) = log P(last word | context) less
+what the parent says of it and less R(context), and R(context) = log of the share a retained context hands on, the score of
+a word is its root score plus R of every context before it plus D of every listed run that it ends.  Each run thus has one
+value, and the longest suffixes of all words are resolved by one join.  Words and runs are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -30,6 +35,9 @@ _HELD = 200_000
 # Texts worked on at once: the arrays of a stretch, several numbers for each word, stay small beside a batch.
 _STRETCH = 500
 DISCOUNT = 0.5
+# Occurrences in training texts from which a run of words is listed, whatever the size of the corpus.
+LEAST = 2
+MEMO = 400_000
 
 
 def tokens(text: str) -> list[bytes]:
@@ -37,16 +45,31 @@ def tokens(text: str) -> list[bytes]:
     return text.encode().translate(_LOWER).split()
 
 
+class Hashes(dict):
+    """Maps a word to its hash; a bounded memo."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
+        if len(self) >= MEMO:
+            self.clear()
+        self[word] = value
+        return value
+
+
+_HASHES = Hashes()
+START = _HASHES[b"\n\n"]  # the start mark; no word and no end mark
+
+
 def word_table(rows: DataFrame) -> DataFrame:
-    """(word, train, times): occurrences of every word of (text, held_out) in training texts and in all; END is the end mark."""
+    """(run, train, times): occurrences of every word of (text, held_out) in training texts and in all, END being one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
 
         def flushed() -> pa.RecordBatch:
             words = list(counts[0].keys() | counts[1].keys())
             train = [counts[0][w] for w in words]
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(train, pa.int64()), pa.array([n + counts[1][w] for n, w in zip(train, words)], pa.int64())],
-                                             ["word", "train", "times"])
+            out = pa.RecordBatch.from_arrays([pa.array([_HASHES[w] for w in words], pa.int64()), pa.array(train, pa.int64()), pa.array([n + counts[1][w] for n, w in zip(train, words)], pa.int64())],
+                                             ["run", "train", "times"])
             counts[0].clear()
             counts[1].clear()
             return out
@@ -61,45 +84,64 @@ def word_table(rows: DataFrame) -> DataFrame:
         if counts[0] or counts[1]:
             yield flushed()
 
-    parts = rows.select("text", "held_out").mapInArrow(run, "word binary, train bigint, times bigint")
-    return parts.groupBy("word").agg(F.sum("train").alias("train"), F.sum("times").alias("times"))
+    parts = rows.select("text", "held_out").mapInArrow(run, "run bigint, train bigint, times bigint")
+    return parts.groupBy("run").agg(F.sum("train").alias("train"), F.sum("times").alias("times"))
 
 
-def numbered(rows: DataFrame, index: dict[bytes, int]) -> DataFrame:
-    """(id, held_out, words, rare): the words of each text as numbers, -1 for those without one, which `rare` spells out."""
-    shared = rows.sparkSession.sparkContext.broadcast(index)
-
+def hashed(rows: DataFrame) -> DataFrame:
+    """(id, held_out, words): the words of each text and its end mark as hashes."""
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known = shared.value.get
-        numbers, rare, ends, rare_ends = [], [], [0], [0]
+        known = _HASHES.__getitem__
+        numbers, ends = [np.zeros(0, np.int64)], [0]
         for text in batch.column(2).to_pylist():
             words = tokens(text)
             words.append(END)
-            own = np.fromiter([known(w, -1) for w in words], np.int32, len(words))
-            numbers.append(own)
-            rare += [words[i] for i in np.flatnonzero(own < 0)]
-            ends.append(ends[-1] + len(own))
-            rare_ends.append(len(rare))
-        lists = (pa.ListArray.from_arrays(pa.array(e, pa.int32()), v) for e, v in (
-            (ends, pa.array(np.concatenate(numbers) if numbers else np.zeros(0, np.int32))), (rare_ends, pa.array(rare, pa.binary()))))
-        return pa.RecordBatch.from_arrays([*batch.columns[:2], *lists], ["id", "held_out", "words", "rare"])
+            numbers.append(np.fromiter(map(known, words), np.int64, len(words)))
+            ends.append(ends[-1] + len(words))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(numbers)))
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], lists], ["id", "held_out", "words"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return map_batches(rows.select("id", "held_out", "text"), work, f"id {kind}, held_out boolean, words array<int>, rare array<binary>", _STRETCH)
+    return map_batches(rows.select("id", "held_out", "text"), work, f"id {kind}, held_out boolean, words array<bigint>", _STRETCH)
 
 
-def laid_out(lists: pa.ListArray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """(the words of all texts in a row, which text each belongs to).  Before each text stand -1, which no run spans, and
-    an end mark; both belong to no text (-1)."""
+def run_hashes(lists: pa.ListArray, longest: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(which text each place belongs to, for each length m from 1 the run of m words that ends at each place and whether there
+    is one).  A start mark stands before each text; runs do not span texts."""
     lengths = np.asarray(lists.value_lengths(), np.int64)
-    texts = np.repeat(np.arange(len(lengths)), lengths + 2)
-    first = np.cumsum(lengths + 2) - lengths - 2
-    words, inside = np.full(len(texts), -1, np.int64), np.ones(len(texts), bool)
-    inside[first] = inside[first + 1] = False
-    words[first + 1] = end
-    words[inside] = lists.flatten().to_numpy()
-    texts[~inside] = -1
-    return words, texts
+    texts = np.repeat(np.arange(len(lengths)), lengths + 1)
+    first = np.cumsum(lengths + 1) - lengths - 1
+    offset = np.arange(len(texts)) - np.repeat(first, lengths + 1)
+    words = np.full(len(texts), START, np.int64)
+    words[offset > 0] = lists.flatten().to_numpy()
+    own = words.view(np.uint64)
+    out, run = [(words, offset >= 0)], own
+    for m in range(2, longest + 1):
+        with np.errstate(over="ignore"):
+            before = np.concatenate((run[:1], run[:-1]))
+            run = before * np.uint64(0x9E3779B97F4A7C15) + own + np.uint64(m)
+            for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+                run = (run ^ (run >> np.uint64(33))) * np.uint64(factor)
+            run ^= run >> np.uint64(33)
+        out.append((run.view(np.int64), offset >= m - 1))
+    return texts, out
+
+
+def run_table(texts: DataFrame, longest: int) -> DataFrame:
+    """(size, run, context, shorter, n): every run of 2 to `longest` words that occurs LEAST times in training texts, the run
+    without its last word, and the run without its first."""
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        _, runs = run_hashes(batch.column(0), longest)
+        parts = []
+        for m in range(2, longest + 1):
+            at = np.flatnonzero(runs[m - 1][1])
+            found, place, n = np.unique(runs[m - 1][0][at], return_index=True, return_counts=True)
+            at = at[place]
+            parts.append((np.full(len(found), m, np.int8), found, runs[m - 2][0][at - 1], runs[m - 2][0][at], n.astype(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["size", "run", "context", "shorter", "n"])
+
+    parts = map_batches(texts.filter("NOT held_out").select("words"), work, "size tinyint, run bigint, context bigint, shorter bigint, n bigint", 4 * _STRETCH)
+    return parts.groupBy("size", "run").agg(F.min("context").alias("context"), F.min("shorter").alias("shorter"), F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
 
 
 def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -114,7 +156,9 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 class SuffixTree:
-    """Runs of words by length.  `keys[m]` are the sorted runs of m words, each the position of the run without its last
+    """The same tree in memory, for a corpus of which all runs fit: the rules of `learned` stated on arrays.
+
+    Runs of words by length.  `keys[m]` are the sorted runs of m words, each the position of the run without its last
     word times `width` plus the last word; runs of one word are the word numbers themselves."""
 
     def __init__(self, root: np.ndarray, train: np.ndarray, total: int):
@@ -179,28 +223,36 @@ class SuffixTree:
         self.rest[k], self.listed[m] = np.log10(safe_rest), np.log10(share)
 
 
-def count_runs(texts: DataFrame, tree: SuffixTree, m: int, end: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts) of the runs of m words, within training texts, that occur at least `least` times."""
-    shared = texts.sparkSession.sparkContext.broadcast(tree)
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, _ = laid_out(batch.column(0), end)
-        before = np.concatenate(([-1], shared.value.runs(words, m - 1)[-1][:-1]))
-        keys = np.where((before >= 0) & (words >= 0), before * shared.value.width + words, -1)
-        found, n = np.unique(keys[keys >= 0], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["run", "n"])
-
-    parts = map_batches(texts.filter("NOT held_out").select("words"), work, "run bigint, n bigint", 4 * _STRETCH)
-    rows = parts.groupBy("run").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
-    return rows["run"].to_numpy().astype(np.int64), rows["n"].to_numpy().astype(np.int64)
-
-
-def learn_tree(texts: DataFrame, root: np.ndarray, train: np.ndarray, end: int, total: int, depth: int, min_share: float) -> SuffixTree:
-    """Grow the tree one word of context at a time; each pass counts runs of words that are already in the tree."""
-    tree = SuffixTree(root, train, total)
-    for m in range(2, depth + 2):
-        tree.grow(*count_runs(texts, tree, m, end, max(2, min_share * total)))
-    return tree
+def learned(words: DataFrame, runs: DataFrame, total: int, longest: int, norm: float) -> DataFrame:
+    """(run, train, base, known, gain): what an occurrence of each word and each listed run adds to the scores, where that is
+    not nothing; words come from (run, train), with the start mark."""
+    cost = 0.5 * math.log(max(total, 2))
+    word = F.col("run") != F.lit(START)
+    values = [words.select("run", "train", F.when(word, F.log10(F.col("train") + 1) - F.lit(norm)).otherwise(0.0).alias("base"),
+                           (word & (F.col("train") > 0)).cast("long").alias("known"), F.lit(0.0).alias("gain"))]
+    # Of the runs one word shorter: how often each occurs, and the log of what the tree so far says of its last word.
+    last = words.select("run", F.col("train").alias("n"), ((F.log10(F.col("train") + 1) - F.lit(norm)) * math.log(10)).alias("said"))
+    for m in range(2, longest + 1):
+        own = runs.filter(F.col("size") == m).select("run", "context", "shorter", "n")
+        met = own.join(last.select(F.col("run").alias("shorter"), F.col("said").alias("parent")), "shorter").drop("shorter")
+        sums = own.groupBy("context").agg(F.sum("n").alias("held"), F.count(F.lit(1)).alias("kinds"))
+        states = sums.join(last.select(F.col("run").alias("context"), F.col("n").alias("seen")), "context")
+        states = states.withColumn("seen", F.greatest("seen", "held")).withColumn("rest", (F.col("seen") - F.col("held") + DISCOUNT * F.col("kinds")) / F.col("seen"))
+        share = F.log((F.col("n") - DISCOUNT) / F.col("seen") + F.col("rest") * F.exp("parent"))
+        met = stored(met.join(states, "context").withColumn("share", share))
+        gained = F.sum(F.col("n") * (F.col("share") - F.col("parent"))) + F.first(F.col("seen") - F.col("held")) * F.log(F.first("rest"))
+        kept = met.groupBy("context").agg(gained.alias("gained"), F.first("kinds").alias("kinds"), F.first("rest").alias("rest"), F.first("seen").alias("seen"))
+        kept = stored(kept.filter(F.col("gained") > cost * (F.col("kinds") + 1)).select("context", "seen", F.log("rest").alias("handed")))
+        told = met.select("run", "context", "n", "parent", "share").join(kept.drop("seen"), "context", "left")
+        last = stored(told.select("run", "n", F.when(F.col("handed").isNull(), F.col("parent")).otherwise(F.col("share")).alias("said"),
+                                  F.coalesce(F.col("share") - F.col("parent") - F.col("handed"), F.lit(0.0)).alias("gain")))
+        # The contexts just tested are the runs of the step before.
+        values.append(kept.select(F.col("context").alias("run"), F.col("seen").alias("train"), F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known"), (F.col("handed") / math.log(10)).alias("gain")))
+        values.append(last.filter("gain <> 0").select("run", F.col("n").alias("train"), F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known"), (F.col("gain") / math.log(10)).alias("gain")))
+    every = values[0]
+    for more in values[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("run").agg(F.max("train").alias("train"), *[F.sum(c).alias(c) for c in ("base", "known", "gain")])
 
 
 def score_texts(
@@ -210,40 +262,54 @@ def score_texts(
 
     Learns from the documents of which `held_out(id)` does not hold.  `base_score` sums log10((c + 1) / (N + V + 1)) over the
     tokens, the root's distribution with one share for all unseen words; `score` is the tree's log10 probability of the text.
+    Runs from `min_share` of all tokens are looked up in a broadcast and the others in a join; the scores do not depend on it.
     A NULL text is empty: its end mark alone.  Rows repeating an id are one document, each adding its tokens.  An empty table
     gives no rows.
     """
     spark = docs.sparkSession
     rows = keyed_text(docs, id_col, text_col).withColumn("held_out", held_out(F.col("id")))
     words = stored(word_table(rows))
-    total, kinds, everything = words.agg(
-        F.coalesce(F.sum("train"), F.lit(0)), F.count(F.when(F.col("train") > 0, 1)), F.coalesce(F.sum("times"), F.lit(0))).first()
+    total, kinds = words.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count(F.when(F.col("train") > 0, 1))).first()
     norm = math.log10(total + kinds + 1)
-    inside = (F.col("times") >= min_share * everything) & (F.octet_length("word") <= 64) | (F.col("word") == F.lit(END))
-    top = words.filter(inside).select("word", "train").toArrow()
-    index = {w: i for i, w in enumerate(top["word"].to_pylist())}
-    end = index.setdefault(END, len(index))
-    train = np.zeros(len(index), np.int64)
-    train[:top.num_rows] = top["train"].to_numpy()
-    texts = stored(numbered(rows, index))
-    tree = spark.sparkContext.broadcast(learn_tree(texts, np.log10(train + 1) - norm, train, end, total, depth, min_share))
+    texts = stored(hashed(rows))
+    longest = depth + 1
+    # The start mark stands as often as the end mark.
+    started = words.filter(F.col("run") == F.lit(_HASHES[END])).select(F.lit(START).alias("run"), "train")
+    values = stored(learned(words.select("run", "train").unionByName(started), stored(run_table(texts, longest)), total, longest, norm))
+    frequent = F.col("train") >= max(LEAST, min_share * total)
+    head = values.filter(frequent).orderBy("run").select("run", "base", "known", "gain").toArrow()  # at most 1 / min_share of each length
+    shared = spark.sparkContext.broadcast((head["run"].to_numpy(), np.stack([head[c].to_numpy().astype(float) for c in ("base", "known", "gain")])))
+    kind = rows.schema["id"].dataType.simpleString()
 
-    def read(batch: pa.RecordBatch) -> pa.RecordBatch:
-        numbers, of = laid_out(batch.column(1), end)
-        gain = tree.value.gains(numbers, depth)
-        known = (of >= 0) & (numbers >= 0)
-        n = batch.num_rows
-        add = lambda at, values: np.bincount(of[at], weights=values, minlength=n)
-        base = add(known, tree.value.root[numbers[known]])
-        seen = add(known, (tree.value.counts[1][numbers[known]] > 0).astype(float))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.asarray(batch.column(1).value_lengths(), np.int64)), pa.array(seen.astype(np.int64)),
-                                           pa.array(base), pa.array(add(of >= 0, gain[of >= 0]))], ["id", "n_tokens", "n_known", "base_score", "gain"])
+    def found(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions among the frequent runs, whether each is one)."""
+        keys = shared.value[0]
+        if not len(keys):
+            return np.zeros(len(runs), np.int64), np.zeros(len(runs), bool)
+        place = np.minimum(np.searchsorted(keys, runs), len(keys) - 1)
+        return place, keys[place] == runs
 
-    kind = rows.schema["id"].dataType.simpleString()
-    own = map_batches(texts.select("id", "words"), read, f"id {kind}, n_tokens bigint, n_known bigint, base_score double, gain double", _STRETCH)
-    met = texts.select("id", F.explode("rare").alias("word")).join(words.filter(~inside).select("word", "train"), "word")
-    rest = met.select("id", F.lit(0).cast("long").alias("n_tokens"), (F.col("train") > 0).cast("long").alias("n_known"),
-                      (F.log10(F.col("train") + 1) - F.lit(norm)).alias("base_score"), F.lit(0.0).alias("gain"))
-    sums = own.unionByName(rest).groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "gain")])
-    return sums.select("id", held_out(F.col("id")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
-                       "base_score", (F.col("base_score") + F.col("gain")).alias("score"))
+    def read(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, runs = run_hashes(batch.column(1), longest)
+        sums = np.zeros((3, batch.num_rows))
+        for run, real in runs:
+            place, hit = found(run)
+            hit &= real
+            for i in range(3):
+                sums[i] += np.bincount(texts[hit], weights=shared.value[1][i][place[hit]], minlength=batch.num_rows)
+        lengths = np.asarray(batch.column(1).value_lengths(), np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths), pa.array(sums[0]), pa.array(sums[1].round().astype(np.int64)), pa.array(sums[2])], ["id", "n_tokens", "base", "known", "gain"])
+
+    def others(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, runs = run_hashes(batch.column(1), longest)
+        at = [np.flatnonzero(real & ~found(run)[1]) for run, real in runs]
+        of = pa.array(np.concatenate([texts[a] for a in at]))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(of), pa.array(np.concatenate([run[a] for (run, _), a in zip(runs, at)]))], ["id", "run"])
+
+    sources = texts.select("id", "words")
+    own = map_batches(sources, read, f"id {kind}, n_tokens bigint, base double, known bigint, gain double", _STRETCH)
+    met = map_batches(sources, others, f"id {kind}, run bigint", _STRETCH).join(values.filter(~frequent), "run")
+    rest = met.select("id", F.lit(0).cast("long").alias("n_tokens"), "base", "known", "gain")
+    sums = own.unionByName(rest).groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "base", "known", "gain")])
+    return sums.select("id", held_out(F.col("id")).alias("held_out"), "n_tokens", F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+                       F.col("base").alias("base_score"), (F.col("base") + F.col("gain")).alias("score"))

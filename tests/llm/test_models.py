@@ -91,6 +91,33 @@ def test_held_out_texts_score_better_than_words_alone(spark):
     assert got and all(r["score"] > r["base_score"] for r in got)
 
 
+@pytest.mark.parametrize("min_share", [2e-6, 0.01, 1.0])
+def test_scores_are_those_of_the_whole_tree(spark, min_share):
+    """Whatever the share from which runs are broadcast, scores equal those of the tree of all runs seen twice."""
+    rng, phrases = random.Random(5), ["new york city hall", "hot and cold", "salt and pepper", "cats and dogs", "a b", "red", "blue", "very rare words here now"]
+    rows = [(i, " ".join(rng.choice(phrases if i % 10 == 0 else phrases[:7]) for _ in range(rng.randint(0, 25)))) for i in range(150)]
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2}
+    lines = {i: ["\n", *words(t)] for i, t in rows}
+    counts = Counter(w for i, line in lines.items() if i not in held for w in line[1:])
+    index = {w: n for n, w in enumerate(counts)}
+    train = np.array([counts[w] for w in index])
+    total, width = int(train.sum()), len(index)
+    tree = suffix_tree.SuffixTree(np.log10((train + 1) / (total + width + 1)), train, total)
+    laid = {i: np.array([-1] + [index.get(w, -1) for w in line]) for i, line in lines.items()}
+    for m in (2, 3, 4):
+        keys = Counter()
+        for i in laid.keys() - held:
+            before, ids = np.concatenate(([-1], tree.runs(laid[i], m - 1)[-1][:-1])), laid[i]
+            keys.update((before * width + ids)[(before >= 0) & (ids >= 0)].tolist())
+        keys = {k: n for k, n in keys.items() if n >= 2}
+        tree.grow(np.array(list(keys), np.int64), np.array(list(keys.values()), np.int64))
+    assert sum(tree.kept[1]) > 5 and sum(tree.kept[2]) > 0
+    got = suffix_tree.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), lambda c: remainder(c, 7) == 2, min_share=min_share).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["score"] - r["base_score"] == pytest.approx(tree.gains(laid[r["id"]], 3)[2:].sum(), abs=1e-8)
+
+
 # ---- labels
 
 def test_labelled_sample(spark, docs):
