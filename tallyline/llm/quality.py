@@ -20,6 +20,8 @@ from .common import keyed_text, labelled_sample, map_batches
 
 BITS = 18
 MEMO = 400_000
+# Longer tokens, as in writing without blanks or in encoded data, are read in pieces, so that all of them counts.
+LONG, PIECE = 64, 2
 _WORD = re.compile(r"[^\W\d_]+")
 _KINDS = re.compile(r"([A-ZÀ-ÖØ-Þ]+)|([^\W\d_A-ZÀ-ÖØ-Þ]+)|(\d+)|(\s+)")
 _EDGE = ".,;:!?\"'()[]"
@@ -28,7 +30,7 @@ _EDGE = ".,;:!?\"'()[]"
 def shape(token: str) -> str:
     """A run of capitals, of other letters or of digits as one sign; marks as they stand, three equal ones at most."""
     plain = _KINDS.sub(lambda m: "A" if m[1] else "a" if m[2] else "9" if m[3] else " ", token)
-    return re.sub(r"(.)\1{3,}", r"\1\1\1", plain)[:32]
+    return re.sub(r"(.)\1{3,}", r"\1\1\1", plain)
 
 
 class Tokens(dict):
@@ -37,7 +39,7 @@ class Tokens(dict):
     def __missing__(self, token: str) -> int:
         word = token.strip(_EDGE).lower()
         value = zlib.crc32(word.encode()) << 31 | zlib.crc32(shape(token).encode()) >> 1
-        if len(token) <= 64:
+        if len(token) <= LONG:
             if len(self) >= MEMO:
                 self.clear()
             self[token] = value
@@ -57,9 +59,17 @@ def _bucket(kind: int, *parts: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - BITS)).astype(np.int32)
 
 
+def cut(text: str) -> list[str]:
+    """The tokens of a text; a token of more than LONG characters is its consecutive pieces of PIECE characters."""
+    tokens = text.split()
+    if all(len(t) <= LONG for t in tokens):
+        return tokens
+    return [piece for t in tokens for piece in ([t] if len(t) <= LONG else [t[i:i + PIECE] for i in range(0, len(t), PIECE)])]
+
+
 def indicators(text: str) -> np.ndarray:
     """The distinct features of a whole text, sorted; a text without tokens has none."""
-    tokens = text.split()
+    tokens = cut(text)
     if not tokens:
         return np.zeros(0, np.int32)
     packed = np.fromiter(map(_TOKENS.__getitem__, tokens), np.uint64, len(tokens))

@@ -164,6 +164,18 @@ def test_quality_without_two_classes(graded, none):
         assert quality.quality(frame.limit(3), model).filter("score >= 0.5").count() == 3
 
 
+def test_quality_reads_the_whole_of_long_tokens(spark):
+    """Texts without blanks that differ only far behind their beginning have different features, shapes and scores."""
+    assert quality.shape("a1" * 20 + "-") != quality.shape("a1" * 20 + "!")
+    rng, head = random.Random(3), "x1" * 60
+    rows = [(i, head + "".join(rng.choice("漢字文書記" if i % 2 else "%#9Aq") for _ in range(200))) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.fit_labels(frame, labels, lambda c: remainder(c, 5) != 0)
+    scores = {r["id"]: r["score"] for r in quality.quality(frame, model).collect()}
+    assert all((scores[i] >= 0.5) == bool(i % 2) for i in scores if zlib.crc32(str(i).encode()) % 5 == 0)
+
+
 def test_dual_coordinate_descent():
     """At the optimum no margin row is wrongly bounded: the duality gap closes."""
     rng = np.random.default_rng(1)
