@@ -273,6 +273,23 @@ def test_toxicity_without_labels(judged, none):
     assert {r["score"] for r in toxicity.toxicity(frame.limit(5), model).collect()} == {0.5}
 
 
+def test_rarer_toxic_words_beside_common_ones_are_learned(spark):
+    """A pure toxic word counts by itself, however common its company; words of near copies of one toxic text do not."""
+    rng, rows, labels = random.Random(12), [], []
+    copied = prose(rng, 60) + " " + " ".join(["onlyhere"] * 2)
+    for i in range(1200):
+        tokens, bad = prose(rng).split(), i < 260
+        if bad:
+            tokens[3] = SLURS[i % 2]
+            if i % 8 == 0:
+                tokens[20] = "quargel"
+        rows.append((i, " ".join(tokens) if i < 1170 else f"{copied} brolk {i}"))
+        labels.append((i, int(bad or i >= 1170)))
+    model = toxicity.fit_labels(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), lambda c: c >= 0)
+    assert model.score("ba ne tiso quargel lu maki") >= 0.3
+    assert not any(f.startswith("onlyh") for f in model.weights) and model.score("ba ne onlyhere lu") < 0.3
+
+
 # ---- pipeline
 
 def test_pipeline(spark, tmp_path, judged):
