@@ -290,6 +290,22 @@ def test_rarer_toxic_words_beside_common_ones_are_learned(spark):
     assert not any(f.startswith("onlyh") for f in model.weights) and model.score("ba ne onlyhere lu") < 0.3
 
 
+@pytest.fixture(scope="module")
+def reader():
+    grams = Counter(g for w, n in (("ass", 60), ("trash", 60), ("idiot", 60), ("bane", 200), ("soti", 200)) for g in toxicity.CharModel.grams(w) for _ in range(n))
+    return toxicity.Reader({"ass$": 5.0, "trash$": 5.0, "idiot$": 5.0}, toxicity.CharModel([(*g, n) for g, n in grams.items()]))
+
+
+@pytest.mark.parametrize("written", ["a s s", "t!r!a!$!h", "455", "4$$", "i     d    i     o     t", '"i d i o t"', "(t r a s h)", "id iot", "tra sh", "1d i0t", '"id - iot"'])
+def test_disguises_beside_the_plain_ones(reader, written):
+    assert reader.found(f"bane {written} soti")
+
+
+@pytest.mark.parametrize("written", ["b a n e", "bane soti", "as bane", "12 34 56 78", "- " * 500, "! " * 500, "1 " * 2000, "tra bane sh"])
+def test_other_runs_stay_clean(reader, written):
+    assert not reader.found(f"bane {written} soti")
+
+
 # ---- pipeline
 
 def test_pipeline(spark, tmp_path, judged):
