@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .align import align
 from .chat import chosen_paths, formatted, learned, read_back, threads
-from .common import remainder
+from .common import remainder, same_key
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .first_fit import pack_padded
 from .line_dedup import dedup_lines
 from .packing import pack_documents
 from .pii import pseudonymised
@@ -17,6 +19,7 @@ from .quality import fit_labels as fit_quality, quality
 from .simhash import near_groups
 from .suffix_tree import score_texts
 from .toxicity import fit_labels as fit_toxicity, toxicity
+from .turn_repair import damaged, repair
 
 # The contract's tokenizer file; the operator takes any path.
 PACKING_TOKENIZER = "word_bpe_49k.json"
@@ -174,3 +177,71 @@ PII_KEY = "query-key"
 @query("op3_pseudonyms")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return pseudonymised(table(spark, folder, "documents"), PII_KEY).withColumnRenamed("id", "doc_id")
+
+
+# The contract's tokenizer files of the alignment and of the padded packing.
+BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+@query("op11_align")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    found = align(table(spark, folder, "documents"), public_tokenizer(BYTE_TOKENIZER), public_tokenizer(PIECE_TOKENIZER))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@query("op12_first_fit")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    found = pack_padded(table(spark, folder, "documents"), public_tokenizer(BYTE_TOKENIZER))
+    return found.withColumnsRenamed({"id": "doc_id", "crc": "ids_crc32"})
+
+
+# Costs to come are carried from the last row to the first, with the audit and the rows left for each of the four states.
+_TURN_SQL = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(list_reduce(range(8), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, CAST(b AS BIGINT)) ORDER BY b) AS t FROM range(256) AS r(b)),
+h AS (SELECT c.*, xor(list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+      lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295), 4294967295) % 20 AS fault FROM conversations AS c, tab),
+g AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+      CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+      unnest(CASE fault WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM h),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM g),
+b AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+      NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut, left(role, 1) AS c, left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) AS before FROM n),
+f AS (SELECT *, blank OR again AS doomed, CASE WHEN cut AND NOT blank AND NOT again THEN 1 ELSE 0 END AS trunc FROM b),
+d AS (
+  SELECT conv_id, max(i) + 1 AS i, {c: 0, a: '', t: CAST([] AS VARCHAR[])} AS s0, {c: 4, a: 'II', t: ['user:', 'assistant:']} AS s1,
+         {c: 2, a: 'I', t: ['assistant:']} AS s2, {c: 0, a: '', t: CAST([] AS VARCHAR[])} AS s3 FROM f GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, list_sort([b0, {c: u.c + 2, a: 'I' || u.a, t: ['user:'] || u.t}])[1], list_sort([b1, {c: u.c + 2, a: 'I' || u.a, t: ['user:'] || u.t}])[1], u, v
+  FROM (SELECT conv_id, i, b0, b1, list_sort([b2, {c: b3.c + 2, a: 'I' || b3.a, t: ['assistant:'] || b3.t}])[1] AS u,
+               list_sort([b3, {c: b2.c + 2, a: 'I' || b2.a, t: ['user:'] || b2.t}])[1] AS v
+        FROM (SELECT f.conv_id, f.i,
+                list_sort([{c: s0.c + 3, a: 'D' || s0.a, t: s0.t}, {c: CASE WHEN doomed THEN 999999 ELSE s2.c + 2 + trunc END, a: 'R' || s2.a, t: ['user:' || text] || s2.t},
+                  {c: CASE WHEN doomed OR f.c <> 's' THEN 999999 ELSE s1.c + trunc END, a: 'K' || s1.a, t: [role || ':' || text] || s1.t},
+                  {c: CASE WHEN doomed OR f.c <> 'u' THEN 999999 ELSE s2.c + trunc END, a: 'K' || s2.a, t: [role || ':' || text] || s2.t}])[1] AS b0,
+                list_sort([{c: s1.c + 3, a: 'D' || s1.a, t: s1.t}, {c: CASE WHEN doomed THEN 999999 ELSE s2.c + 2 + trunc END, a: 'R' || s2.a, t: ['user:' || text] || s2.t},
+                  {c: CASE WHEN doomed OR f.c <> 'u' THEN 999999 ELSE s2.c + trunc END, a: 'K' || s2.a, t: [role || ':' || text] || s2.t}])[1] AS b1,
+                list_sort([{c: s2.c + 3, a: 'D' || s2.a, t: s2.t}, {c: CASE WHEN doomed THEN 999999 ELSE s3.c + 2 + trunc END, a: 'R' || s3.a, t: ['assistant:' || text] || s3.t},
+                  {c: CASE WHEN doomed OR f.c <> 'a' THEN 999999 ELSE s3.c + trunc END, a: 'K' || s3.a, t: [role || ':' || text] || s3.t}])[1] AS b2,
+                list_sort([{c: s3.c + 3, a: 'D' || s3.a, t: s3.t}, {c: CASE WHEN doomed THEN 999999 ELSE s2.c + 2 + trunc END, a: 'R' || s2.a, t: ['user:' || text] || s2.t},
+                  {c: CASE WHEN doomed OR f.c <> 'u' THEN 999999 ELSE s2.c + trunc END, a: 'K' || s2.a, t: [role || ':' || text] || s2.t}])[1] AS b3
+              FROM d JOIN f ON f.conv_id = d.conv_id AND f.i = d.i - 1))),
+q AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+      count(*) FILTER (WHERE again AND NOT blank) AS duplicate, CAST(sum(trunc) AS BIGINT) AS truncated,
+      count(*) FILTER (WHERE before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+e AS (SELECT conv_id, CAST(s0.c AS BIGINT) AS cost, s0.a AS audit, sha256(coalesce(array_to_string(s0.t, chr(10)), '')) AS repaired_sha256 FROM d WHERE i = 1)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS o LEFT JOIN q USING (conv_id) LEFT JOIN e USING (conv_id)
+"""
+
+
+@query("op13_turn_repair", _TURN_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    found = repair(damaged(rows)).conversations
+    ids = rows.select(F.col("conv_id").alias("id")).distinct()
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return ids.join(found, same_key(F.col("id"), F.col("conv")), "left").select(
+        F.col("id").alias("conv_id"), *[F.coalesce(n, F.lit(0)).alias(n) for n in numbers], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
