@@ -168,37 +168,87 @@ def backtest_summary(spark, folder):
     return table.withColumns({c: F.rint(F.col(c) * 1e3) / 1e3 for c in ("total_profit", "total_stake")})
 
 
-# One feature keeps the fit a 2 x 2 system, which SQL solves by Newton steps in a recursive query; unit tests hold fits of
-# several features against a direct solve.
-ONE = ("book_implied_prob",)
-
-
-def _newton(rows, keys):
-    """Coefficients (b0, b1) for each key of balanced, ridge-penalised logistic fits; rows: keys, y, x (filled)."""
-    k = ", ".join(keys)
+# The model's features: the default four, and the five known before the game.
+FOUR, FIVE = outcome.FEATURES, outcome.PRE_GAME_FEATURES
+
+
+def _solved(size, inner):
+    """SQL of the solution x0, x1 ... of a symmetric system a<i>_<j> (i <= j), r<i>, one row each, by elimination."""
+    for k in range(size - 1):
+        changed = {f"a{i}_{j}": f"a{i}_{j} - a{k}_{i} * a{k}_{j} / a{k}_{k}" for i in range(k + 1, size) for j in range(i, size)}
+        changed |= {f"r{i}": f"r{i} - a{k}_{i} * r{k} / a{k}_{k}" for i in range(k + 1, size)}
+        inner = f"SELECT * REPLACE ({', '.join(f'{e} AS {n}' for n, e in changed.items())}) FROM ({inner}) e{k}"
+    for i in reversed(range(size)):
+        rest = "".join(f" - a{i}_{j} * x{j}" for j in range(i + 1, size))
+        inner = f"SELECT *, (r{i}{rest}) / a{i}_{i} AS x{i} FROM ({inner}) b{i}"
+    return inner
+
+
+def _margin(d, z="z{i}"):
+    return "b0" + "".join(f" + b{i + 1} * {z.format(i=i)}" for i in range(d))
+
+
+def _newton(rows, keys, d):
+    """Coefficients b0 ... b<d> for each key of balanced, ridge-penalised logistic fits; rows: keys, y, v0 ... (filled)."""
+    k, m = ", ".join(keys), d + 1
+    zs = ["1", *(f"z{i}" for i in range(d))]
+    sums = [f"SUM(w * p * (1 - p) * {zs[i]} * {zs[j]}) + {int(i == j > 0)} AS a{i}_{j}" for i in range(m) for j in range(i, m)]
+    sums += [f"-SUM(w * (p - y) * {zs[i]}) - {f'b{i}' if i else 0} AS r{i}" for i in range(m)]
+    bs = ", ".join(f"b{i}" for i in range(m))
+    system = f"""SELECT {k}, step, {bs}, {', '.join(sums)}
+      FROM (SELECT it.*, y, w, {', '.join(zs[1:])}, 1 / (1 + exp(-({_margin(d)}))) AS p FROM it JOIN d USING ({k}) WHERE step < 20) e GROUP BY {k}, step, {bs}"""
+    moments = ", ".join(f"AVG(v{i}) AS mu{i}, COALESCE(NULLIF(STDDEV_POP(v{i}), 0), 1) AS sd{i}" for i in range(d))
     return f"""
-WITH RECURSIVE s AS (SELECT {k}, COUNT(*) AS n, SUM(y) AS n1, AVG(x) AS mu, COALESCE(NULLIF(STDDEV_POP(x), 0), 1) AS sd FROM {rows} GROUP BY {k}),
-d AS (SELECT {k}, y, (x - mu) / sd AS z, COUNT(*) * CASE WHEN y = 1 THEN n / (2.0 * n1) ELSE n / (2.0 * (n - n1)) END AS w FROM {rows} JOIN s USING ({k}) WHERE n1 > 0 AND n1 < n GROUP BY {k}, y, x, mu, sd, n, n1),
+WITH RECURSIVE s AS (SELECT {k}, COUNT(*) AS n, SUM(y) AS n1, {moments} FROM {rows} GROUP BY {k}),
+d AS (SELECT {k}, y, {', '.join(f'(v{i} - mu{i}) / sd{i} AS z{i}' for i in range(d))}, CASE WHEN y = 1 THEN n / (2.0 * n1) ELSE n / (2.0 * (n - n1)) END AS w FROM {rows} JOIN s USING ({k}) WHERE n1 > 0 AND n1 < n),
 it AS (
-  SELECT {k}, 0 AS step, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1 FROM s WHERE n1 > 0 AND n1 < n
+  SELECT {k}, 0 AS step, {', '.join(f'CAST(0 AS DOUBLE) AS b{i}' for i in range(m))} FROM s WHERE n1 > 0 AND n1 < n
   UNION ALL
-  SELECT {k}, step + 1, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
-    SELECT {k}, step, b0, b1, SUM(w * (p - y)) AS g0, SUM(w * (p - y) * z) + b1 AS g1, SUM(w * p * (1 - p)) AS h00, SUM(w * p * (1 - p) * z) AS h01, SUM(w * p * (1 - p) * z * z) + 1 AS h11
-    FROM (SELECT {k}, step, b0, b1, y, z, w, 1 / (1 + exp(-(b0 + b1 * z))) AS p FROM it JOIN d USING ({k}) WHERE step < 20) e GROUP BY {k}, step, b0, b1) q)
-SELECT {k}, b0, b1, mu, sd FROM it JOIN s USING ({k}) WHERE step = 20"""
+  SELECT {k}, step + 1, {', '.join(f'b{i} + x{i}' for i in range(m))} FROM ({_solved(m, system)}) q)
+SELECT {k}, {bs}, {', '.join(f'mu{i}, sd{i}' for i in range(d))} FROM it JOIN s USING ({k}) WHERE step = 20"""
+
+
+def _fit_sql(name, features):
+    """Training rows, fit and scores of one model over all tickets."""
+    d = range(len(features))
+    medians = "SELECT " + ", ".join(f"quantile_cont({f}, 0.5) AS m{i}" for i, f in enumerate(features)) + " FROM tickets"
+    fx.SQL[f"{name}_train"] = f"SELECT 0 AS g, builder_hit AS y, {', '.join(f'COALESCE({f}, m{i}) AS v{i}' for i, f in enumerate(features))} FROM tickets, ({medians}) q"
+    fx.SQL[f"{name}_fit"] = _newton(f"{name}_train", ["g"], len(features))
+    z = {i: f"(COALESCE({features[i]}, m{i}) - mu{i}) / sd{i}" for i in d}
+    margin = "b0" + "".join(f" + b{i + 1} * {z[i]}" for i in d)
+    fx.SQL[f"{name}_scored"] = f"SELECT t.*, 1 / (1 + exp(-({margin}))) AS p FROM tickets t, {name}_fit, ({medians}) q"
+    return (*fx.TICKET_FIXTURES, *(f"{name}_{x}" for x in ("train", "fit", "scored")))
+
+
+ONE = ("book_implied_prob",)
+ONE_FIT, FOUR_FIT, FIVE_FIT = _fit_sql("one", ONE), _fit_sql("four", FOUR), _fit_sql("five", FIVE)
+
 
+def _predicted_sql(name):
+    return f"SELECT builder_id, {R('p')} AS pred_prob, CAST(p >= 0.5 AS BIGINT) AS pred_hit, CAST(builder_hit AS BIGINT) AS builder_hit FROM {name}_scored"
 
-fx.SQL["one_train"] = """SELECT 0 AS g, builder_hit AS y, COALESCE(book_implied_prob, m) AS x, m FROM tickets, (SELECT quantile_cont(book_implied_prob, 0.5) AS m FROM tickets) q"""
-fx.SQL["one_fit"] = _newton("one_train", ["g"])
-fx.SQL["one_scored"] = """
-SELECT t.*, 1 / (1 + exp(-(b0 + b1 * (COALESCE(book_implied_prob, m) - mu) / sd))) AS p FROM tickets t, one_fit, (SELECT quantile_cont(book_implied_prob, 0.5) AS m FROM tickets) q"""
-ONE_FIT = (*fx.TICKET_FIXTURES, "one_train", "one_fit", "one_scored")
+
+def _predicted(spark, folder, features):
+    t = fx.stored(fx.tickets(spark, folder))
+    return outcome.predict(outcome.train(t, features), t).select("builder_id", "pred_prob", "pred_hit", "builder_hit")
 
 
-@query("train_predict", f"SELECT builder_id, {R('p')} AS pred_prob, CAST(p >= 0.5 AS BIGINT) AS pred_hit, CAST(builder_hit AS BIGINT) AS builder_hit FROM one_scored", ONE_FIT)
+@query("train_predict", _predicted_sql("five"), FIVE_FIT)
 def train_predict(spark, folder):
+    return _predicted(spark, folder, FIVE)
+
+
+@query("train_predict_one_feature", _predicted_sql("one"), ONE_FIT)
+def train_predict_one_feature(spark, folder):
+    return _predicted(spark, folder, ONE)
+
+
+@query("saved_model_predict", _predicted_sql("five"), FIVE_FIT)
+def saved_model_predict(spark, folder):
+    """The model is written as a table, read again and applied without the fitted object."""
     t = fx.stored(fx.tickets(spark, folder))
-    return outcome.predict(outcome.train(t, ONE), t).select("builder_id", "pred_prob", "pred_hit", "builder_hit")
+    table = fx.stored(outcome.model_table(outcome.train(t, FIVE), FIVE))
+    return outcome.predict_from_table(table, t).select("builder_id", "pred_prob", "pred_hit", "builder_hit")
 
 
 def _auc(rows, keys=""):
@@ -212,39 +262,43 @@ def _auc(rows, keys=""):
 SELECT {R('AVG(CAST((p >= 0.5) = (builder_hit = 1) AS INTEGER))')} AS accuracy, {R('AVG((p - builder_hit) * (p - builder_hit))')} AS brier,
   {R('AVG(-CASE WHEN builder_hit = 1 THEN ln(GREATEST(LEAST(p, 1 - 1e-7), 1e-7)) ELSE ln(1 - GREATEST(LEAST(p, 1 - 1e-7), 1e-7)) END)')} AS log_loss,
   CAST(COUNT(*) AS BIGINT) AS n_obs, {R('AVG(builder_hit)')} AS positive_rate, {R('AVG(CAST(p >= 0.5 AS INTEGER))')} AS pred_positive_rate,
-  {R(f"(SELECT auc FROM ({_auc('(SELECT p, builder_hit AS y FROM one_scored) o')}) a)")} AS roc_auc FROM one_scored""", ONE_FIT)
+  {R(f"(SELECT auc FROM ({_auc('(SELECT p, builder_hit AS y FROM five_scored) o')}) a)")} AS roc_auc FROM five_scored""", FIVE_FIT)
 def model_metrics(spark, folder):
     t = fx.stored(fx.tickets(spark, folder))
-    return outcome.evaluate_model(outcome.train(t, ONE), t)
+    return outcome.evaluate_model(outcome.train(t, FIVE), t)
 
 
-@query("feature_impact", f"""SELECT 'book_implied_prob' AS feature, {R('b1')} AS coefficient, {R('ABS(b1)')} AS abs_coefficient, {R('(SELECT AVG(book_implied_prob) FROM tickets)')} AS mean,
-  {R('(SELECT STDDEV_SAMP(book_implied_prob) FROM tickets)')} AS std, {R('(SELECT MIN(book_implied_prob) FROM tickets)')} AS "min", {R('(SELECT MAX(book_implied_prob) FROM tickets)')} AS "max" FROM one_fit""", ONE_FIT[:-1])
+@query("feature_impact", " UNION ALL ".join(f"""SELECT '{f}' AS feature, {R(f'b{i + 1}')} AS coefficient, {R(f'ABS(b{i + 1})')} AS abs_coefficient, {R(f'(SELECT AVG({f}) FROM tickets)')} AS mean,
+  {R(f'(SELECT STDDEV_SAMP({f}) FROM tickets)')} AS std, {R(f'(SELECT MIN({f}) FROM tickets)')} AS "min", {R(f'(SELECT MAX({f}) FROM tickets)')} AS "max" FROM four_fit""" for i, f in enumerate(FOUR)), FOUR_FIT[:-1])
 def feature_impact(spark, folder):
     t = fx.stored(fx.tickets(spark, folder))
-    return outcome.feature_impact(outcome.train(t, ONE), t, ONE)
+    return outcome.feature_impact(outcome.train(t, FOUR), t, FOUR)
 
 
-def _walk_sql(kind):
+def _walk_sql(kind, name, features):
     """Training rows, fits and test predictions of every fold."""
-    low = "lo" if kind == "expanding" else "lo + CAST(slot * 30 AS INTEGER)"
-    fx.SQL[f"{kind}_rows"] = f"""
-SELECT fold, y, COALESCE(v, m) AS x, m FROM (SELECT fold, builder_hit AS y, book_implied_prob AS v, quantile_cont(book_implied_prob, 0.5) OVER (PARTITION BY fold) AS m
+    low, d, walk = "lo" if kind == "expanding" else "lo + CAST(slot * 30 AS INTEGER)", range(len(features)), f"{kind}_{name}"
+    medians = ", ".join(f"quantile_cont({f}, 0.5) OVER (PARTITION BY fold) AS m{i}" for i, f in enumerate(features))
+    fx.SQL[f"{walk}_rows"] = f"""
+SELECT fold, y, {', '.join(f'COALESCE({f}, m{i}) AS v{i}, m{i}' for i, f in enumerate(features))} FROM (SELECT fold, builder_hit AS y, {', '.join(features)}, {medians}
   FROM {kind} f, tickets t, (SELECT MIN(game_date) AS lo FROM tickets) b WHERE game_date >= {low} AND game_date < lo + CAST(slot * 30 + 180 AS INTEGER)) r"""
-    fx.SQL[f"{kind}_fit"] = _newton(f"{kind}_rows", ["fold"])
-    fx.SQL[f"{kind}_tested"] = f"""
-SELECT f.fold + 1 AS fold, t.*, 1 / (1 + exp(-(b0 + b1 * (COALESCE(book_implied_prob, m) - mu) / sd))) AS p
-FROM {kind} f JOIN {kind}_fit USING (fold) JOIN (SELECT fold, ANY_VALUE(m) AS m FROM {kind}_rows GROUP BY fold) q USING (fold), tickets t, (SELECT MIN(game_date) AS lo FROM tickets) b
+    fx.SQL[f"{walk}_fit"] = _newton(f"{walk}_rows", ["fold"], len(features))
+    margin = "b0" + "".join(f" + b{i + 1} * (COALESCE({features[i]}, m{i}) - mu{i}) / sd{i}" for i in d)
+    fx.SQL[f"{walk}_tested"] = f"""
+SELECT f.fold + 1 AS fold, t.*, 1 / (1 + exp(-({margin}))) AS p
+FROM {kind} f JOIN {walk}_fit USING (fold) JOIN (SELECT fold, {', '.join(f'ANY_VALUE(m{i}) AS m{i}' for i in d)} FROM {walk}_rows GROUP BY fold) q USING (fold), tickets t, (SELECT MIN(game_date) AS lo FROM tickets) b
 WHERE game_date >= lo + CAST(slot * 30 + 180 AS INTEGER) AND game_date < lo + CAST(slot * 30 + 210 AS INTEGER)"""
-    fx.SQL[f"{kind}_trained"] = f"SELECT fold + 1 AS fold, y, 1 / (1 + exp(-(b0 + b1 * (x - mu) / sd))) AS p FROM {kind}_rows JOIN {kind}_fit USING (fold)"
-    return (*fx.TICKET_FIXTURES, kind, *(f"{kind}_{x}" for x in ("rows", "fit", "tested", "trained")))
+    z = "(v{i} - mu{i}) / sd{i}"
+    fx.SQL[f"{walk}_trained"] = f"SELECT fold + 1 AS fold, y, 1 / (1 + exp(-({_margin(len(features), z)}))) AS p FROM {walk}_rows JOIN {walk}_fit USING (fold)"
+    return (*fx.TICKET_FIXTURES, kind, *(f"{walk}_{x}" for x in ("rows", "fit", "tested", "trained")))
 
 
-def _backtest_sql(kind):
+def _backtest_sql(kind, name):
+    walk = f"{kind}_{name}"
     return f"""
 WITH m AS (SELECT fold, COUNT(*) AS n_obs, AVG(builder_hit) AS hit_rate, AVG(p) AS pred_hit_rate, AVG((p - builder_hit) * (p - builder_hit)) AS brier, SUM({TP}) / SUM(stake) AS roi, SUM({TP}) AS profit,
-  SUM({TP}) / COUNT(*) AS yield, COALESCE(AVG({TU}) / NULLIF(STDDEV_SAMP({TU}), 0), 0) AS sharpe_ratio, SUM(stake) AS total_stake FROM {kind}_tested GROUP BY fold),
-a AS ({_auc(f'{kind}_trained', 'fold')}), c AS (SELECT fold, AVG(CAST((p >= 0.5) = (y = 1) AS INTEGER)) AS accuracy FROM {kind}_trained GROUP BY fold)
+  SUM({TP}) / COUNT(*) AS yield, COALESCE(AVG({TU}) / NULLIF(STDDEV_SAMP({TU}), 0), 0) AS sharpe_ratio, SUM(stake) AS total_stake FROM {walk}_tested GROUP BY fold),
+a AS ({_auc(f'{walk}_trained', 'fold')}), c AS (SELECT fold, AVG(CAST((p >= 0.5) = (y = 1) AS INTEGER)) AS accuracy FROM {walk}_trained GROUP BY fold)
 SELECT m.fold, CAST(n_obs AS BIGINT) AS n_obs, {R('hit_rate')} AS hit_rate, {R('pred_hit_rate', 5)} AS pred_hit_rate, {R('brier', 5)} AS brier, {R('roi + 1e-10')} AS roi, {R('profit', 4)} AS profit, {R('yield + 1e-10', 5)} AS yield,
   {R('sharpe_ratio')} AS sharpe_ratio, {R('total_stake', 4)} AS total_stake, CAST(train_size AS BIGINT) AS train_n, CAST(test_size AS BIGINT) AS test_n, CAST(train_start AS VARCHAR) AS train_start, CAST(train_end AS VARCHAR) AS train_end,
   CAST(test_start AS VARCHAR) AS test_start, CAST(test_end AS VARCHAR) AS test_end, {R('accuracy')} AS train_accuracy, {R('auc')} AS train_roc_auc
@@ -257,20 +311,25 @@ def _rounded(table):
     return shifted.withColumns({c: F.rint(F.col(c) * 10.0**d) / 10.0**d for c, d in digits.items()})
 
 
-ROLLING, EXPANDING = _walk_sql("rolling"), _walk_sql("expanding")
+ROLLING, ROLLING_ONE, EXPANDING = _walk_sql("rolling", "five", FIVE), _walk_sql("rolling", "one", ONE), _walk_sql("expanding", "four", FOUR)
 
 
-@query("rolling_backtest", _backtest_sql("rolling"), ROLLING)
+@query("rolling_backtest", _backtest_sql("rolling", "five"), ROLLING)
 def rolling_backtest(spark, folder):
+    return _rounded(folds.run_backtest(fx.stored(fx.tickets(spark, folder)), CFG, FIVE)[0])
+
+
+@query("rolling_backtest_one_feature", _backtest_sql("rolling", "one"), ROLLING_ONE)
+def rolling_backtest_one_feature(spark, folder):
     return _rounded(folds.run_backtest(fx.stored(fx.tickets(spark, folder)), CFG, ONE)[0])
 
 
 @query("rolling_predictions", f"""SELECT builder_id, CAST(game_date AS VARCHAR) AS game_date, {R('p')} AS pred_prob, CAST(builder_hit AS BIGINT) AS builder_hit, {R('decimal_odds')} AS decimal_odds,
-{R('stake')} AS stake, fold FROM rolling_tested""", ROLLING[:-1])
+{R('stake')} AS stake, fold FROM rolling_five_tested""", ROLLING[:-1])
 def rolling_predictions(spark, folder):
-    return folds.run_backtest(fx.stored(fx.tickets(spark, folder)), CFG, ONE)[1]
+    return folds.run_backtest(fx.stored(fx.tickets(spark, folder)), CFG, FIVE)[1]
 
 
-@query("expanding_backtest", _backtest_sql("expanding"), EXPANDING)
+@query("expanding_backtest", _backtest_sql("expanding", "four"), EXPANDING)
 def expanding_backtest(spark, folder):
-    return _rounded(folds.run_backtest(fx.stored(fx.tickets(spark, folder)), CFG, ONE, kind="expanding")[0])
+    return _rounded(folds.run_backtest(fx.stored(fx.tickets(spark, folder)), CFG, FOUR, kind="expanding")[0])

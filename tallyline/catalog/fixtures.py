@@ -8,17 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.legs import leg_table, ticket_table
-from ..session import ensure_checkpoint_dir
+from ..session import stored  # noqa: F401  (queries store the inputs that operators read several times)
 
 SQL: dict[str, str] = {}
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Written once to the checkpoint folder: operators that pass over their input several times read it there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -208,7 +202,8 @@ FROM (
 SQL["tickets"] = """
 SELECT r.*, 1.0 / NULLIF(decimal_odds, 0) AS book_implied_prob, CAST(n_over AS DOUBLE) / n_legs AS pct_over,
        CAST(n_under AS DOUBLE) / n_legs AS pct_under, CAST(n_over = n_legs AS INTEGER) AS is_all_over,
-       CAST(n_under = n_legs AS INTEGER) AS is_all_under, CAST(n_over > 0 AND n_under > 0 AS INTEGER) AS is_mixed
+       CAST(n_under = n_legs AS INTEGER) AS is_all_under, CAST(n_over > 0 AND n_under > 0 AS INTEGER) AS is_mixed,
+       has_pts + has_fg3m + has_ast + has_reb AS n_unique_stats
 FROM (
   SELECT builder_id, MIN(game_date) AS game_date, MIN(game_id) AS game_id, COUNT(DISTINCT leg_id) AS n_legs, MIN(leg_hit) AS builder_hit,
          AVG(ABS(realised_minus_line)) AS mean_abs_edge, MAX(ABS(realised_minus_line)) AS max_abs_edge,

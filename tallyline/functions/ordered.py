@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from ..session import CHUNK_ROWS, MAX_GROUP_ROWS, ensure_checkpoint_dir, setting
+from ..session import CHUNK_ROWS, MAX_GROUP_ROWS, setting, stored
 from .exprs import percentile_from_sorted
 
 _PIECE = "_piece"
@@ -64,13 +64,10 @@ def arrange(
     rows = largest_group(df, keys) if group_rows is None else group_rows
     if rows <= setting(spark, MAX_GROUP_ROWS):
         return Arranged(df, tuple(keys), tuple(order), False)
-    ensure_checkpoint_dir(spark)
     pieces = max(2, math.ceil(df.count() / setting(spark, CHUNK_ROWS)))
-    ranged = (
+    ranged = stored(
         df.repartitionByRange(pieces, *[F.col(k) for k in keys], *order)
-        .withColumn(_PIECE, F.spark_partition_id())
-        .checkpoint()
-    )
+        .withColumn(_PIECE, F.spark_partition_id()))
     return Arranged(ranged, tuple(keys), tuple(order), True)
 
 

@@ -16,7 +16,7 @@ from ..functions.exprs import safe_corr, unpivot
 from ..functions.ordered import (
     average_ranks, arrange, cumulative_counts, finish, largest_group, quantiles, quantiles_of_counts, running, value_counts,
 )
-from ..session import MAX_GROUP_ROWS, ensure_checkpoint_dir, setting
+from ..session import MAX_GROUP_ROWS, setting, stored
 
 STATS = ("pts", "fg3m", "ast", "reb")
 
@@ -239,8 +239,7 @@ def pair_dependence(df: DataFrame, variables: Sequence[str], *, min_rows: int =
     """
     rows, pairs = _complete(df, variables), _pairs(variables, False)
     keys = ["var_x", "var_y"]
-    ensure_checkpoint_dir(df.sparkSession)
-    cells = _pair_cells(rows, pairs).checkpoint()
+    cells = stored(_pair_cells(rows, pairs))
     table = (
         _pearson(rows, pairs).filter(F.col("n") >= min_rows)
         .join(_spearman(rows, cells, variables).drop("n"), keys)

@@ -13,9 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.dist import correlation_p
-from ..functions.exprs import unpivot
-from ..functions.ordered import cumulative_counts, quantiles_of_counts
-from ..session import ensure_checkpoint_dir
+from ..functions.selection import group_medians
+from ..session import stored
 from .betting import classifier_metrics, prediction_metrics
 
 
@@ -110,23 +109,19 @@ def fold_metrics(df: DataFrame, cfg: FoldConfig, prob: str, kind: str = "rolling
     return test.groupBy("fold").agg(*prediction_metrics(prob, **columns))
 
 
-def _fold_scaling(train: DataFrame, features: Sequence[str], label: str) -> list:
-    """Per fold: median, mean and spread of each feature after filling, and class counts.
+def _fold_scaling(train: DataFrame, features: Sequence[str], label: str, medians: dict[tuple[int, str], float]) -> list:
+    """Per fold: mean and spread of each feature after filling by the fold's median, and class counts.
 
-    The result has one row per fold and is what the driver keeps.
+    The result has one row per fold and is what the driver keeps.  A feature without any value in a fold is zero.
     """
-    long = unpivot(train, ["fold"], features, "feature", "value").filter(F.col("value").isNotNull())
-    counted = long.groupBy("fold", "feature", "value").agg(F.count(F.lit(1)).alias("rows"))
-    medians = quantiles_of_counts(cumulative_counts(counted, ["fold", "feature"], "value", "rows"),
-                                  ["fold", "feature"], "value", {"median": 0.5})
-    wide = medians.groupBy("fold").pivot("feature", list(features)).agg(F.first("median"))
-    wide = wide.select("fold", *[F.col(f"`{f}`").alias(f"_med_{f}") for f in features])
-    filled = train.join(F.broadcast(wide), "fold", "left").select(
-        "fold", label, *[F.coalesce(F.col(f).cast("double"), F.col(f"_med_{f}"), F.lit(0.0)).alias(f) for f in features],
-        *[f"_med_{f}" for f in features])
+    folds = sorted({k for k, _ in medians})
+    fill = train.sparkSession.createDataFrame(
+        [(k, *(float(medians.get((k, f), 0.0)) for f in features)) for k in folds],
+        ", ".join(["fold int", *(f"_m{i} double" for i in range(len(features)))]))
+    filled = train.join(F.broadcast(fill), "fold", "left").select(  # one row per fold
+        "fold", label, *[F.coalesce(F.col(f).cast("double"), F.col(f"_m{i}"), F.lit(0.0)).alias(f) for i, f in enumerate(features)])
     return filled.groupBy("fold").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("n1"),
-        *[F.first(f"_med_{f}").alias(f"_med_{f}") for f in features],
         *[F.avg(f).alias(f"mu_{f}") for f in features], *[F.stddev_pop(f).alias(f"sd_{f}") for f in features],
     ).collect()
 
@@ -163,8 +158,9 @@ class _Scorer:
             *[F.sum(weight * p * (1 - p) * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(n) for j in range(i + 1)]]
 
 
-def fit_folds(train: DataFrame, features: Sequence[str], label: str, tolerance: float = 1e-9, rounds: int = 200) -> DataFrame:
-    """Class-balanced L2 logistic fits of every fold together, by Newton steps.
+def fit_folds(train: DataFrame, features: Sequence[str], label: str, medians: dict[tuple[int, str], float],
+              tolerance: float = 1e-9, rounds: int = 200) -> DataFrame:
+    """Class-balanced L2 logistic fits of every fold together, by Newton steps; `medians` fill missing features.
 
     Each step is one grouped sum over the training rows: per fold the gradient and
     the half Hessian, (d+1)(d+4)/2+1 numbers.  Only those sums reach the driver.
@@ -173,11 +169,11 @@ def fit_folds(train: DataFrame, features: Sequence[str], label: str, tolerance:
     """
     spark = train.sparkSession
     d = len(features)
-    stats = [r for r in _fold_scaling(train, features, label) if 0 < r["n1"] < r["n"]]
+    stats = [r for r in _fold_scaling(train, features, label, medians) if 0 < r["n1"] < r["n"]]
     fits = {}
     for r in stats:
         fits[r["fold"]] = dict(
-            med=[r[f"_med_{f}"] or 0.0 for f in features], mu=[r[f"mu_{f}"] for f in features],
+            med=[medians.get((r["fold"], f), 0.0) for f in features], mu=[r[f"mu_{f}"] for f in features],
             sd=[r[f"sd_{f}"] or 1.0 for f in features], c0=r["n"] / (2.0 * (r["n"] - r["n1"])), c1=r["n"] / (2.0 * r["n1"]),
             beta=np.zeros(d + 1), step=np.zeros(d + 1), loss=np.inf, done=False)
     score = _Scorer(features)
@@ -221,25 +217,26 @@ def run_backtest(df: DataFrame, cfg: FoldConfig, features: Sequence[str], *, lab
 
     Folds count from 1 over the usable ones; a fold that cannot be fitted keeps
     its number and has no result.  The needed columns are written once to the
-    checkpoint folder because every Newton step reads them.  `train_metrics=False` leaves out the
+    checkpoint folder because every Newton step reads them.  Medians come from counts by day, so no
+    exchange holds a row for each fold.  `train_metrics=False` leaves out the
     accuracy and AUC on the training rows, whose scores the AUC has to order.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    base = df.select(ticket, cfg.date, label, odds, stake, *features).filter(F.col(cfg.date).isNotNull()).checkpoint()
+    base = stored(df.select(ticket, cfg.date, label, odds, stake, *features).filter(F.col(cfg.date).isNotNull()))
     folds = split_summary(base, cfg, kind).collect()  # one row per fold
     ends = base.agg(F.min(cfg.date).alias("first"), F.max(cfg.date).alias("last")).first()
     bounds = F.struct(F.lit(ends["first"]).cast("date").alias("first"), F.lit(ends["last"]).cast("date").alias("last"))
     number = spark.createDataFrame([(r["slot"], r["fold"] + 1) for r in folds], "slot int, number int")
     usable = F.broadcast(number.select(F.col("slot").alias("fold")))  # one row per fold
 
-    def part(name: str) -> DataFrame:
-        placed = _with_slots(base, bounds, cfg, kind, name).withColumnRenamed("slot", "fold")
+    def part(name: str, rows: DataFrame = base) -> DataFrame:
+        placed = _with_slots(rows, bounds, cfg, kind, name).withColumnRenamed("slot", "fold")
         return placed.join(usable, "fold", "left_semi")
 
     # Inside the fit a fold goes by its grid slot.
     train = part("train")
-    params = fit_folds(train, features, label)
+    medians = group_medians(base, [cfg.date], features, lambda counts: part("train", counts))
+    params = fit_folds(train, features, label, medians)
     score = _Scorer(features)
     named = F.broadcast(number.withColumnRenamed("slot", "fold"))
     keep = [ticket, cfg.date, "pred_prob", label, odds, stake]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Rows one window partition may hold before ordered work is range-split.
 MAX_GROUP_ROWS = "spark.tallyline.maxGroupRows"
@@ -40,3 +42,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="tallyline-checkpoint-")
     context.setCheckpointDir(folder)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table as Parquet to the shared checkpoint folder and read it again, so that later passes read only their columns.
+
+    Lineage ends here and a lost executor costs nothing.  The folder goes when the driver ends.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4()}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session has ended before the driver: the folder is the cluster's to clear
+        pass
