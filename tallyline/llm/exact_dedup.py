@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import id_text, keyed_text, named, same_key, stored, unused
+from .common import id_text, keyed_text, named, same_key, stored
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -180,13 +180,23 @@ def exact_dedup(
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` that stay, columns unchanged; of rows repeating an id with an equal text one stays."""
+    """The rows of `docs` that stay, columns unchanged: of each class of equal texts one row.
+
+    A NULL text counts as empty and all empty texts are one class; a NULL id is an id.  Of rows repeating an id each stays
+    or goes by its own text; of those with an equal text the longest stays, then the one whose text sorts first, then any
+    of rows alike in both.  An empty table gives an empty one.  Texts are hashed again only for ids with several rows.
+    """
     found = stored(exact_dedup(docs, id_col, text_col, **options))
-    kept = found.filter("kept").groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
-    once, more = (kept.filter(F.col("rows") == 1 if single else F.col("rows") > 1).select(F.col("id").alias("_kept")) for single in (True, False))
+    ids = found.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.bool_or("kept").alias("any_kept")).filter("any_kept")
+    once, more = (ids.filter(F.col("rows") == 1 if single else F.col("rows") > 1).select(F.col("id").alias("_kept")) for single in (True, False))
     rows = docs.join(once, same_key(docs[id_col], once["_kept"]), "left_semi")
     if more.isEmpty():
         return rows
     again = docs.join(more, same_key(docs[id_col], more["_kept"]), "left_semi")
-    plain = unused("plain", docs.columns)
-    return rows.unionByName(again.withColumn(plain, normalised(F.coalesce(named(text_col), F.lit("")))).dropDuplicates([id_col, plain]).drop(plain))
+    text = F.coalesce(named(text_col), F.lit(""))
+    by_text = again.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), named(id_col).alias("id"), text.alias("text"),
+                           F.unhex(F.sha2(normalised(text), 256)).alias("sha"))
+    stays = found.filter("kept").select(F.col("id").alias("kept_id"), F.col("sha").alias("kept_sha")).distinct()
+    met = by_text.join(stays, same_key(F.col("id"), F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
+    chosen = met.groupBy("id", "sha").agg(F.min_by("row", F.struct(-F.char_length("text"), "text")).alias("row"))
+    return rows.unionByName(chosen.select("row.*"))

@@ -3,7 +3,8 @@
 A finding counts once it is validated: card numbers by their check digit, dates by the calendar, addresses of machines by
 their octets, social security numbers by their ranges, telephone numbers by their form, mail addresses by their parts.  A
 number is permuted within the numbers of its kind and written in its own format, so that the same value gets the same
-pseudonym in every document and different values different ones.
+pseudonym in every document and different values of one way of writing different ones.  A local part of more than 64
+signs, a domain of more than 127 labels and a number of more than 15 digits are no mail address or telephone number.
 
 A permutation is an alternating Feistel network over pairs (a, b) with a < m and b < n: each round adds a keyed hash of
 one half to the other, modulo its size.  With the key the rounds can be undone; no table of values is kept.
@@ -22,7 +23,7 @@ ROUNDS = 8
 # What may be personal data, in one pattern: later forms do not match inside earlier ones.
 _LEFT, _RIGHT = r"(?<![\p{L}\p{N}@._+-])", r"(?![\p{L}\p{N}@])"
 FORMS = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "email": r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,24}",
     "date": r"\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4}",
     "ip": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}",
     "phone": r"\+\d{1,3}[ -]?\(?\d{2,4}\)?[ -]?\d{3,4}[ -]?\d{3,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}",
@@ -119,10 +120,15 @@ def card(found: Column, key: str) -> tuple[Column, Column]:
     return valid, F.transform(F.array(permuted_digits(body, key, "card")), lambda b: in_format(found, F.concat(b, luhn(b))))[0]
 
 
+# The country codes of one and of two digits; all others have three.
+_SHORT_CODES = "1|7"
+_TWO_DIGIT_CODES = "20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|53|54|55|56|57|58|60|61|62|63|64|65|66|81|82|84|86|90|91|92|93|94|95|98"
+
+
 def phone(found: Column, key: str) -> tuple[Column, Column]:
-    """The country code (the digits up to a separator, or the first) stays, the rest is permuted."""
-    code = F.when(found.startswith("+"), F.greatest(F.lit(1), F.length(F.regexp_extract(found, r"^\+(\d{1,3})(?=[ (-])", 1)))).otherwise(0)
+    """The country code behind a plus stays, the other digits are permuted: spellings of one number stay linked."""
     digits = digits_of(found)
+    code = F.when(~found.startswith("+"), 0).when(digits.rlike(f"^(?:{_SHORT_CODES})"), 1).when(digits.rlike(f"^(?:{_TWO_DIGIT_CODES})"), 2).otherwise(3)
     rest = F.substring(digits, code + 1, F.length(digits))
     valid = (F.length(digits) >= 7) & (F.length(digits) <= 15)
     return valid, F.transform(F.array(permuted_digits(rest, key, "phone")), lambda r: in_format(found, F.concat(F.left(digits, code), r)))[0]
@@ -149,34 +155,73 @@ def ip(found: Column, key: str) -> tuple[Column, Column]:
     return valid, F.transform(F.array(pair), lambda p: F.concat_ws(".", *[x.cast("long").cast("string") for x in (F.floor(p["a"] / 256), p["a"] % 256, F.floor(p["b"] / 256), p["b"] % 256)]))[0]
 
 
-# Days of 1900-01-01 to 2099-12-31: 17 x 4297 of them.
-_FIRST, _DAYS = -25567, 73049
+# Dates are permuted within classes of days that every way of writing keeps apart: days up to 12, which a date with the
+# month first can hold, days 13 to 28, days 29 and 30 outside February, days 31, and 29 February.  Each class is a product
+# of two sizes.  The years 1900-2099 are permuted among themselves, and all other years up to 9999 among themselves.
+_LATE, _MANY, _OTHERS = 1900, 200, 9799
+_LEAPS, _LEAPS_BEFORE = 49, 460  # leap years of 1900-2099, and before 1900
+
+
+def _leaps(year: Column) -> Column:
+    """Leap years below `year`."""
+    y = year - 1
+    return F.floor(y / 4) - F.floor(y / 100) + F.floor(y / 400)
+
+
+def _leap_year(rank: Column) -> Column:
+    """The leap year with `rank` leap years below it: 97 in 400 years, 24 in each century of them and its last year."""
+    cycle, k = F.floor(rank / 97), rank % 97
+    return cycle * 400 + F.when(k == 96, 400).otherwise(F.floor(k / 24) * 100 + (k % 24 + 1) * 4)
+
+
+def permuted_day(year: Column, month: Column, day: Column, key: str) -> Column:
+    """struct(y, m, d): the pseudonym of a valid date of the years 1 to 9999, of the same class."""
+    recent = (year >= _LATE) & (year < _LATE + _MANY)
+    place = F.when(recent, year - _LATE).when(year < _LATE, year - 1).otherwise(year - 1 - _MANY)
+    years = F.when(recent, _MANY).otherwise(_OTHERS)
+    leap_place = _leaps(year) - F.when(year < _LATE, 0).when(recent, _LEAPS_BEFORE).otherwise(_LEAPS)
+    early, middle, last, leap = day <= 12, day <= 28, day == 31, (month == 2) & (day == 29)
+    long_month = F.when(month <= 7, F.floor((month - 1) / 2)).otherwise(month / 2)
+    other_month = F.when(month == 1, 0).otherwise(month - 2)
+
+    def pick(*values) -> Column:
+        a, b, c, d, e = values
+        return F.when(early, a).when(middle, b).when(leap, c).when(last, d).otherwise(e).cast("long")
+
+    a = pick(place * 12 + month - 1, place * 12 + month - 1, F.floor(leap_place / F.when(recent, 7).otherwise(125)), place, place * 11 + other_month)
+    b = pick(day - 1, day - 13, leap_place % F.when(recent, 7).otherwise(125), long_month, day - 29)
+    m = pick(years * 12, years * 12, F.when(recent, 7).otherwise(19), years, years * 11)
+    n = pick(F.lit(12), F.lit(16), F.when(recent, 7).otherwise(125), F.lit(7), F.lit(2))
+
+    def read(p: Column) -> Column:
+        a, b = p["a"], p["b"]
+        at = pick(F.floor(a / 12), F.floor(a / 12), F.lit(0), a, F.floor(a / 11))
+        plain = F.when(recent, at + _LATE).when(at < _LATE - 1, at + 1).otherwise(at + 1 + _MANY)
+        rank = a * F.when(recent, 7).otherwise(125) + b
+        rank = rank + F.when(recent, _LEAPS_BEFORE).when(rank < _LEAPS_BEFORE, 0).otherwise(_LEAPS)
+        return F.struct(
+            F.when(leap, _leap_year(rank)).otherwise(plain).cast("int").alias("y"),
+            pick(a % 12 + 1, a % 12 + 1, F.lit(2), F.when(b <= 3, b * 2 + 1).otherwise(b * 2), F.when(a % 11 == 0, 1).otherwise(a % 11 + 2)).cast("int").alias("m"),
+            pick(b + 1, b + 13, F.lit(29), F.lit(31), b + 29).cast("int").alias("d"))
+
+    return F.transform(F.array(feistel(a, b, m, n, key, "date")), read)[0]
 
 
 def date(found: Column, key: str) -> tuple[Column, Column]:
-    """Days of the years 1900-2099 are permuted among themselves, days of another year within that year."""
-    format_ = F.when(found.rlike(r"^\d{4}-"), "yyyy-MM-dd").when(found.rlike(r"^\d{4}/"), "yyyy/MM/dd").when(found.contains("."), "dd.MM.yyyy")
-    month_first = found.rlike(r"^(0[1-9]|1[0-2])/")
-    format_ = format_.when(month_first, "MM/dd/yyyy").otherwise("dd/MM/yyyy")
-    iso = F.when(format_ == "yyyy-MM-dd", found).when(format_ == "yyyy/MM/dd", F.replace(found, F.lit("/"), F.lit("-"))).otherwise(
-        F.concat_ws("-", F.substring(found, 7, 4), F.when(format_ == "MM/dd/yyyy", F.substring(found, 1, 2)).otherwise(F.substring(found, 4, 2)),
-                    F.when(format_ == "MM/dd/yyyy", F.substring(found, 4, 2)).otherwise(F.substring(found, 1, 2))))
-    day = F.try_to_date(iso, "yyyy-MM-dd")
-    number = F.unix_date(day).cast("long") - _FIRST
-    recent = (number >= 0) & (number < _DAYS)
-    leap = F.dayofyear(F.make_date(F.year(day), F.lit(12), F.lit(31))) == 366
-    m, n = (F.when(recent, a).when(leap, b).otherwise(c) for a, b, c in ((17, 6, 5), (4297, 61, 73)))
-    inner = F.when(recent, number).otherwise(F.dayofyear(day) - 1)
-    pair = feistel(F.floor(inner / n), inner % n, m, n, key, "date")
+    """One day gets one pseudonym however it is written.  With slashes the month comes first where it can."""
+    year_first, slashes = found.rlike(r"^\d{4}"), found.contains("/")
+    month_first = slashes & found.rlike(r"^(0[1-9]|1[0-2])/")
+    first, second = F.substring(found, 1, 2), F.substring(found, 4, 2)
+    y = F.when(year_first, F.substring(found, 1, 4)).otherwise(F.substring(found, 7, 4))
+    m = F.when(year_first, F.substring(found, 6, 2)).when(month_first, first).otherwise(second)
+    d = F.when(year_first, F.substring(found, 9, 2)).when(month_first, second).otherwise(first)
+    day = F.try_to_date(F.concat_ws("-", y, m, d), "yyyy-MM-dd")
+    mark = F.when(slashes, "/").when(found.contains("."), ".").otherwise("-")
 
     def written(p: Column) -> Column:
-        at = (p["a"] * n + p["b"]).cast("int")
-        new = F.when(recent, F.date_add(F.lit("1900-01-01").cast("date"), at)).otherwise(F.date_add(F.trunc(day, "year"), at))
-        text = F.lpad(F.year(new).cast("string"), 4, "0"), F.lpad(F.month(new).cast("string"), 2, "0"), F.lpad(F.dayofmonth(new).cast("string"), 2, "0")
-        y, mo, d = text
-        return F.when(format_ == "yyyy-MM-dd", F.concat_ws("-", y, mo, d)).when(format_ == "yyyy/MM/dd", F.concat_ws("/", y, mo, d)).when(
-            format_ == "dd.MM.yyyy", F.concat_ws(".", d, mo, y)).when(format_ == "MM/dd/yyyy", F.concat_ws("/", mo, d, y)).otherwise(F.concat_ws("/", d, mo, y))
-    return day.isNotNull(), F.transform(F.array(pair), written)[0]
+        year, month, day = (F.lpad(p[k].cast("string"), n, "0") for k, n in (("y", 4), ("m", 2), ("d", 2)))
+        return F.when(year_first, F.concat(year, mark, month, mark, day)).when(month_first, F.concat(month, mark, day, mark, year)).otherwise(F.concat(day, mark, month, mark, year))
+    return day.isNotNull() & (y >= "0001"), F.transform(F.array(permuted_day(y.cast("int"), m.cast("int"), d.cast("int"), key)), written)[0]
 
 
 KINDS: dict[str, Callable[[Column, str], tuple[Column, Column]]] = {"email": email, "date": date, "ip": ip, "phone": phone, "ssn": ssn, "card": card}

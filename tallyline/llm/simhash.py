@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import keyed_text, map_batches, same_key, stored
+from .common import keyed_text, map_batches, named, same_key, stored, unused
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
@@ -245,7 +245,24 @@ def near_groups(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its near-duplicate group, columns unchanged."""
-    groups = near_groups(docs, id_col, text_col, **options)
-    kept = groups.filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_kept")).distinct()
-    return docs.join(kept, same_key(docs[id_col], kept["_kept"]), "left_semi")
+    """One row of `docs` of each near-duplicate group, the one with the smallest id; columns unchanged.
+
+    A NULL text counts as empty; texts without words link like any other.  A NULL id stays only in a group without other
+    ids, then one row of each fingerprint.  Of rows repeating an id each stays or goes by its own text, and of those in one group any one stays.  An empty
+    table gives an empty one.  Only rows of ids that come several times are fingerprinted again.
+    """
+    groups = stored(near_groups(docs, id_col, text_col, **options)).withColumn("kept", F.col("id").eqNullSafe(F.col("component")))
+    ids = groups.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.bool_or("kept").alias("any_kept")).filter("any_kept")
+    once, more = (ids.filter(F.col("rows") == 1 if single else F.col("rows") > 1).select(F.col("id").alias("_kept")) for single in (True, False))
+    rows = docs.join(once, same_key(docs[id_col], once["_kept"]), "left_semi")
+    if more.isEmpty():
+        return rows
+    row = unused("row", docs.columns)
+    again = stored(docs.join(more, same_key(docs[id_col], more["_kept"]), "left_semi").withColumn(row, F.monotonically_increasing_id()))
+    prints = fingerprints(again, row, text_col, options.get("shingle_words", 3)).select(F.col("id").alias("place"), "fp")
+    places = again.select(named(id_col).alias("id"), F.col(row).alias("at")).join(prints, F.col("at") == F.col("place")).select("id", "at", "fp")
+    # A kept id is its group's label, so its rows that stay are all of one group.
+    members = groups.filter("kept").select(F.col("id").alias("kept_id"), F.col("fp").alias("kept_fp")).distinct()
+    stays = places.join(members, same_key(F.col("id"), F.col("kept_id")) & (F.col("fp") == F.col("kept_fp")))
+    first = stays.groupBy("kept_id", F.when(F.col("kept_id").isNull(), F.col("fp")).alias("print")).agg(F.min("at").alias("_at"))
+    return rows.unionByName(again.join(first, again[row] == first["_at"], "left_semi").drop(row))

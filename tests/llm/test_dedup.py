@@ -157,3 +157,14 @@ def test_close_edges(spark, kind):
         groups[found.get(v, v)].add(v)
         want[l].add(v)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+@pytest.mark.parametrize("keep", [keep_first, simhash.keep_one])
+def test_an_id_of_which_one_row_goes(spark, keep):
+    """(5, one) is a copy of 3 and goes although another row of 5 stays; of equal rows of an id one stays."""
+    one, two, three = ("alpha beta gamma delta", "another text with quite other words in it", "a third text that nobody else has written")
+    rows = [(3, one, 1), (5, one, 2), (5, two, 3), (7, three, 4), (7, three, 5), (8, None, 6), (8, "", 7), (None, "no id here at all, only words", 8)]
+    got = keep(spark.createDataFrame(rows, "doc_id long, text string, row int"))
+    kept = sorted(((r["doc_id"], r["text"] or "") for r in got.collect()), key=str)
+    assert got.columns == ["doc_id", "text", "row"]
+    assert kept == sorted([(3, one), (5, two), (7, three), (8, ""), (None, rows[-1][1])], key=str)

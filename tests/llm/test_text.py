@@ -266,3 +266,91 @@ def test_pseudonyms_leave_the_rest(docs, none, odd, corpus):
     assert pii.pseudonymised(none, "k").count() == 0 and pii.pseudonymised(odd, "k").count() == odd.count()
     plan = pii.pseudonymised(docs, "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_every_slash_date_has_its_own(spark):
+    """All days of 1900-2099 in every way of writing: as many pseudonyms as dates, one day linked across ways, validity kept."""
+    days = spark.range(73_049).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("day"))
+    ways = {"iso": "yyyy-MM-dd", "dots": "dd.MM.yyyy", "month": "MM/dd/yyyy", "first": "dd/MM/yyyy"}
+    rows = days.select("day", *[F.date_format("day", f).alias(w) for w, f in ways.items()])
+    got = rows.select("*", *[pii.pseudonym(F.col(w), "k").alias(f"p_{w}") for w in ways]).collect()
+    slashes = {r[w]: r[f"p_{w}"] for r in got for w in ("month", "first")}
+    assert len(slashes) == 117_298 and len(set(slashes.values())) == len(slashes)
+    for r in got:
+        iso = date.fromisoformat(r["p_iso"])
+        assert 1900 <= iso.year <= 2099 and r["p_dots"] == iso.strftime("%d.%m.%Y") and r["p_month"] == iso.strftime("%m/%d/%Y")
+        assert (iso.day <= 12) == (r["day"].day <= 12)
+        if r["day"].day > 12:
+            assert r["p_first"] == iso.strftime("%d/%m/%Y")
+    assert len({r["p_iso"] for r in got}) == len(got)
+
+
+def test_other_years(spark):
+    days = [date(y, m, d) for y in (*range(1, 120), *range(1880, 1900), *range(2100, 2140), 9996, 9999) for m, d in ((1, 1), (1, 31), (2, 28), (2, 29), (7, 30), (8, 31), (12, 31)) if m != 2 or d != 29 or (y % 4 == 0 and (y % 100 != 0 or y % 400 == 0))]
+    frame = spark.createDataFrame([(i, d.isoformat()) for i, d in enumerate(days)], "doc_id long, text string")
+    got = [r["text"] for r in pii.pseudonymised(frame, "k").collect()]
+    assert len(set(got)) == len(days) and all(not 1900 <= date.fromisoformat(g).year <= 2099 for g in got)
+    assert pii.pseudonymised(spark.createDataFrame([(1, "0000-01-01 and 2023-02-29")], "doc_id long, text string"), "k").first()["n_found"] == 0
+
+
+def test_spellings_of_a_number(spark):
+    ways = ["+49301234567", "+49 30 1234567", "+4930 1234567", "+49-30-123-4567", "+49 (30) 1234567"]
+    got = [one(spark, w)[0] for w in ways]
+    digits = {re.sub(r"\D", "", g) for g in got}
+    assert len(digits) == 1 and digits.pop().startswith("49") and [re.sub(r"\d", "0", g) for g in got] == [re.sub(r"\d", "0", w) for w in ways]
+    assert all(one(spark, w)[0].startswith(w[:k]) and one(spark, w)[0] != w for w, k in (("+1 434 555 2368", 2), ("+7 495 123 4567", 2), ("+352 621 123 456", 4), ("+420 601 123 456", 4)))
+
+
+def found_by_hand(text):
+    """Spans of valid findings, by plain rules over candidate substrings."""
+    out, at = [], 0
+    forms = [(k, re.compile(f)) for k, f in pii.FORMS.items()]
+    edge = re.compile(r"[\w@.+-]")
+    while at < len(text):
+        if at and (text[at - 1].isalnum() or text[at - 1] in "@._+-"):
+            at += 1
+            continue
+        for _, form in forms:
+            m = form.match(text, at)
+            while m and m.end() < len(text) and (text[m.end()].isalnum() or text[m.end()] == "@"):
+                m = next((x for e in range(m.end() - 1, at, -1) if (x := form.fullmatch(text, at, e)) and not (text[e].isalnum() or text[e] == "@")), None)
+            if m:
+                out.append(m[0])
+                at = m.end()
+                break
+        else:
+            at += 1
+    return out
+
+
+def valid_by_hand(found):
+    digits = re.sub(r"\D", "", found)
+    full = {k for k, f in pii.FORMS.items() if re.fullmatch(f, found)}
+    if "email" in full and re.search("[A-Za-z0-9]", found.split("@")[0]):
+        return True
+    if "date" in full:
+        y, m, d = (found[:4], found[5:7], found[8:]) if found[:4].isdigit() else (found[6:], found[3:5], found[:2])
+        if "/" in found and not found[:4].isdigit() and 1 <= int(found[:2]) <= 12:
+            m, d = found[:2], found[3:5]
+        try:
+            date(int(y), int(m), int(d))
+            return True
+        except ValueError:
+            pass
+    if "ip" in full and all(int(o) <= 255 for o in found.split(".")):
+        return True
+    if "phone" in full and 7 <= len(digits) <= 15:
+        return True
+    if "ssn" in full and digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000":
+        return True
+    return "card" in full and 13 <= len(digits) and luhn_ok(digits)
+
+
+def test_finding_against_plain_rules(spark):
+    rng = random.Random(12)
+    bits = ["4111 1111 1111 1111", "4111111111111112", "10.0.0.1", "300.1.1.1", "2021-02-28", "2021-02-30", "31/12/1999", "12/31/1999", "13/13/2000", "+49 30 1234567", "555-123-4567",
+            "(434) 555-2368", "123-45-6789", "666-12-1234", "a.b@c.org", "x@y", "..@d.com", "word", "1234567", "é", "@", ".", "0000-00-00", "a@b.c.d.e.f.g.h.i.j.k.org", "378282246310005"]
+    texts = ["".join(rng.choice(bits) + rng.choice([" ", ", ", "\n", "", "-", " x"]) for _ in range(rng.randint(1, 8))) for _ in range(300)]
+    got = pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()
+    for r in got:
+        assert r["n_found"] == sum(map(valid_by_hand, found_by_hand(texts[r["id"]]))), texts[r["id"]]
