@@ -71,6 +71,27 @@ def arrange(
     return Arranged(ranged, tuple(keys), tuple(order), True)
 
 
+def before_piece(keys: Sequence[str]) -> WindowSpec:
+    """Over one row per group and piece: the group's earlier pieces."""
+    return Window.partitionBy(*keys).orderBy(_PIECE).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def with_carry(arranged: Arranged, rows: DataFrame, summary: DataFrame, carry: dict[str, Column]) -> DataFrame:
+    """Rows of a split layout with what their group hands on from its earlier pieces (NULL in its first one).
+
+    `summary` has one row per group and piece, `carry` window expressions over it.  A piece continues at most one group,
+    so what is broadcast has at most one row per piece.
+    """
+    keys = list(arranged.keys)
+    earlier = F.count(F.lit(1)).over(before_piece(keys)) > 0
+    handed = summary.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(_PIECE).alias("_k_piece"),
+                            *[c.alias(n) for n, c in carry.items()], earlier.alias("_continues")).filter("_continues").drop("_continues")
+    same = F.col(_PIECE) == F.col("_k_piece")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(F.broadcast(handed), same, "left").drop("_k_piece", *[f"_k_{k}" for k in keys])
+
+
 def running(arranged: Arranged, totals: dict[str, tuple[str, Column]]) -> DataFrame:
     """Add running aggregates up to and including the current row.
 
@@ -82,37 +103,13 @@ def running(arranged: Arranged, totals: dict[str, tuple[str, Column]]) -> DataFr
     if not arranged.split:
         return local
     keys = list(arranged.keys)
-    before = Window.partitionBy(*keys).orderBy(_PIECE).rowsBetween(Window.unboundedPreceding, -1)
-    # A piece continues at most one group, so the carry has at most one row per piece.
-    carry = (
-        arranged.df.groupBy(*keys, _PIECE)
-        .agg(*[combine[how](c).alias(f"_c_{n}") for n, (how, c) in totals.items()], F.lit(True).alias("_any"))
-        .select(
-            *keys,
-            _PIECE,
-            *[combine[how](f"_c_{n}").over(before).alias(f"_c_{n}") for n, (how, _) in totals.items()],
-            F.max("_any").over(before).alias("_continues"),
-        )
-        .filter("_continues")
-        .drop("_continues")
-    )
-    renamed = carry.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(_PIECE).alias("_k_piece"),
-                           *[f"_c_{n}" for n in totals])
-    same = F.col(_PIECE) == F.col("_k_piece")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    joined = local.join(F.broadcast(renamed), same, "left")
+    summary = arranged.df.groupBy(*keys, _PIECE).agg(*[combine[how](c).alias(f"_t_{n}") for n, (how, c) in totals.items()])
+    joined = with_carry(arranged, local, summary, {f"_c_{n}": combine[how](f"_t_{n}").over(before_piece(keys)) for n, (how, _) in totals.items()})
     merged = {}
     for n, (how, _) in totals.items():
         here, there = F.col(n), F.col(f"_c_{n}")
-        if how == "sum":
-            total = F.when(here.isNull(), there).otherwise(here + F.coalesce(there, F.lit(0)))
-            merged[n] = total
-        else:
-            merged[n] = F.greatest(here, there)
-    return joined.withColumns(merged).drop(
-        "_k_piece", *[f"_k_{k}" for k in keys], *[f"_c_{n}" for n in totals]
-    )
+        merged[n] = F.when(here.isNull(), there).otherwise(here + F.coalesce(there, F.lit(0))) if how == "sum" else F.greatest(here, there)
+    return joined.withColumns(merged).drop(*[f"_c_{n}" for n in totals])
 
 
 def finish(df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from ..functions.exprs import safe_corr, unpivot
 from ..functions.ordered import (
     average_ranks, arrange, cumulative_counts, finish, largest_group, quantiles, quantiles_of_counts, running, value_counts,
 )
-from ..session import MAX_GROUP_ROWS, setting, stored
+from ..session import BROADCAST_ROWS, MAX_GROUP_ROWS, setting, stored
 
 STATS = ("pts", "fg3m", "ast", "reb")
 
@@ -81,28 +81,43 @@ def _pearson(rows: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
         safe_corr("x", "y").alias("pearson"), F.count(F.lit(1)).alias("n"))
 
 
-def _rank_cells(rows: DataFrame, cells: DataFrame, variables: Sequence[str]) -> DataFrame:
-    """Pair cells with ranks centred on (n+1)/2."""
-    long = unpivot(rows, [], variables, "variable", "value")
-    ranks = average_ranks(long, ["variable"], "value").select(
-        "variable", "value", (F.col("avg_rank") - (F.col("n") + 1) / 2.0).alias("rank"))
-    rx = ranks.select(F.col("variable").alias("var_x"), F.col("value").alias("x"), F.col("rank").alias("rx"))
-    ry = ranks.select(F.col("variable").alias("var_y"), F.col("value").alias("y"), F.col("rank").alias("ry"))
-    return cells.join(rx, ["var_x", "x"]).join(ry, ["var_y", "y"])
-
+def _ranked_columns(rows: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """Each variable's tie-averaged rank, centred on (n+1)/2, in the variable's place.
 
-def _spearman(rows: DataFrame, cells: DataFrame, variables: Sequence[str]) -> DataFrame:
-    w, rx, ry = F.col("cell"), F.col("rx"), F.col("ry")
-    return _rank_cells(rows, cells, variables).groupBy("var_x", "var_y").agg(
-        F.try_divide(F.sum(w * rx * ry), F.sqrt(F.sum(w * rx * rx) * F.sum(w * ry * ry))).alias("spearman"),
-        F.sum(w).alias("n"))
+    Each variable is ranked once, over its distinct values.  Rank tables that together are small, by count, go to every
+    task and no row moves; larger ones meet the rows by value and the rows come together again by number, so that
+    what is shuffled is twice a row for each variable, however many pairs there are.
+    """
+    spark = rows.sparkSession
+    long = unpivot(rows, [], variables, "variable", "value")
+    ranks = stored(average_ranks(long, ["variable"], "value").select(
+        "variable", "value", (F.col("avg_rank") - (F.col("n") + 1) / 2.0).alias("rank")))
+    if ranks.count() <= setting(spark, BROADCAST_ROWS):
+        for v in variables:
+            table = ranks.filter(F.col("variable") == v).select(F.col("value").alias("_value"), F.col("rank").alias(f"_r_{v}"))
+            rows = rows.join(F.broadcast(table), F.col(v) == F.col("_value")).drop("_value")
+        return rows.select(*[F.col(f"_r_{v}").alias(v) for v in variables])
+    numbered = stored(rows.withColumn("_row", F.monotonically_increasing_id()))
+    met = unpivot(numbered, ["_row"], variables, "variable", "value").join(ranks, ["variable", "value"])
+    return met.groupBy("_row").agg(*[F.max(F.when(F.col("variable") == v, F.col("rank"))).alias(v) for v in variables]).drop("_row")
+
+
+def _spearman(rows: DataFrame, pairs: Sequence[tuple[str, str]], variables: Sequence[str]) -> DataFrame:
+    """(var_x, var_y, spearman, n) of all pairs from one pass over ranked rows."""
+    squares = [F.sum(F.col(v) * F.col(v)).alias(f"_s_{v}") for v in variables]
+    products = [F.sum(F.col(a) * F.col(b)).alias(f"_p{i}") for i, (a, b) in enumerate(pairs)]
+    wide = _ranked_columns(rows, variables).agg(F.count(F.lit(1)).alias("n"), *squares, *products).filter("n > 0")
+    return wide.select("n", F.explode(F.array(*[
+        F.struct(F.lit(a).alias("var_x"), F.lit(b).alias("var_y"),
+                 F.try_divide(F.col(f"_p{i}"), F.sqrt(F.col(f"_s_{a}") * F.col(f"_s_{b}"))).alias("spearman"))
+        for i, (a, b) in enumerate(pairs)])).alias("p")).select("p.*", "n")
 
 
 def global_correlation(df: DataFrame, stats: Sequence[str] = STATS, *, method: str = "spearman") -> DataFrame:
     """(stat_x, stat_y, corr, n_obs, method) over complete rows."""
     rows, pairs = _complete(df, stats), _pairs(stats, True)
     if method == "spearman":
-        table = _spearman(rows, _pair_cells(rows, pairs), stats)
+        table = _spearman(rows, pairs, stats)
     elif method == "pearson":
         table = _pearson(rows, pairs)
     else:
@@ -234,15 +249,15 @@ def tail_dependence(rows: DataFrame, pairs: Sequence[tuple[str, str]], *, upper:
 def pair_dependence(df: DataFrame, variables: Sequence[str], *, min_rows: int = 50) -> DataFrame:
     """Pearson, Spearman and Kendall with p-values, tail correlations, type and strength per pair.
 
-    The (pair, x, y) counts are written once to the checkpoint folder: ranks, ties
-    and every step of the discordance count read them.
+    The (pair, x, y) counts are written once to the checkpoint folder: Kendall's ties and every step of the
+    discordance count read them.
     """
     rows, pairs = _complete(df, variables), _pairs(variables, False)
     keys = ["var_x", "var_y"]
     cells = stored(_pair_cells(rows, pairs))
     table = (
         _pearson(rows, pairs).filter(F.col("n") >= min_rows)
-        .join(_spearman(rows, cells, variables).drop("n"), keys)
+        .join(_spearman(rows, pairs, variables).drop("n"), keys)
         .join(_kendall(cells), keys)
         .join(tail_dependence(rows, pairs), keys)
     )

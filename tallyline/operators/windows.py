@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.ordered import Arranged, arrange, finish, running, with_row_frames
+from ..functions.ordered import Arranged, arrange, before_piece, finish, running, with_carry, with_row_frames
 
 
 def rest_days(df: DataFrame, *, entity: str = "player_id", date: str = "game_date",
@@ -56,13 +56,26 @@ def profit(hit: str, odds: str, stake: str | Column) -> Column:
 
 
 def _curve(df: DataFrame, keys: Sequence[str], order: Sequence[str], hit: str, odds: str, stake: str) -> Arranged:
+    """Rows with profit, cum_profit, running_max and drawdown.
+
+    Of a split layout each piece is summed up by its total and its highest running sum; those compose, so one pass over
+    the rows gives what every piece starts from, and a second one the rows.
+    """
     staked = df.withColumn("profit", profit(hit, odds, stake))
     arranged = arrange(staked, keys, [F.col(o).asc() for o in order])
-    summed = running(arranged, {"cum_profit": ("sum", F.col("profit"))})
-    peaks = running(Arranged(summed, arranged.keys, arranged.order, arranged.split),
-                    {"running_max": ("max", F.col("cum_profit"))})
-    below = peaks.withColumn("drawdown", F.col("running_max") - F.col("cum_profit"))
-    return Arranged(below, arranged.keys, arranged.order, arranged.split)
+    upto = arranged.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = arranged.df.withColumn("cum_profit", F.sum("profit").over(upto)).withColumn("running_max", F.max("cum_profit").over(upto))
+    if arranged.split:
+        earlier = before_piece(keys)
+        pieces = rows.groupBy(*keys, "_piece").agg(F.sum("profit").alias("_total"), F.max("cum_profit").alias("_top"))
+        pieces = pieces.withColumn("_sum", F.sum("_total").over(earlier))
+        peak = F.max(F.col("_top") + F.coalesce("_sum", F.lit(0.0))).over(earlier)
+        carried = with_carry(arranged, rows, pieces, {"_sum": F.col("_sum"), "_peak": peak})
+        start = F.coalesce("_sum", F.lit(0.0))
+        rows = carried.withColumns({
+            "cum_profit": F.when(F.col("cum_profit").isNull(), F.col("_sum")).otherwise(F.col("cum_profit") + start),
+            "running_max": F.greatest("_peak", F.col("running_max") + start)}).drop("_sum", "_peak")
+    return Arranged(rows.withColumn("drawdown", F.col("running_max") - F.col("cum_profit")), arranged.keys, arranged.order, arranged.split)
 
 
 def equity_curve(df: DataFrame, *, order: Sequence[str], hit: str = "builder_hit", odds: str = "decimal_odds",
@@ -78,43 +91,64 @@ def drawdown_summary(df: DataFrame, *, order: Sequence[str], hit: str = "builder
                      stake: str = "stake", keys: Sequence[str] = ()) -> DataFrame:
     """max_drawdown, max_drawdown_period, final_profit, max_profit, roi_pct, n_bets.
 
-    A period is a run of rows below the peak.  Rows at the peak number the runs;
-    run lengths are then counts that combine before the shuffle.
+    A period is a run of rows below the peak; rows at the peak number the runs of a piece.  What a piece of a split
+    layout leaves is its longest run and the runs open at its two ends, which join those of its neighbours.
     """
-    runs = running(_curve(df, keys, order, hit, odds, stake), {
-        "run": ("sum", F.when(F.col("drawdown") > 0, 0).otherwise(1).cast("long")),
-    })
+    curve = _curve(df, keys, order, hit, odds, stake)
     below = F.col("drawdown") > 0
-    by_run = finish(runs).groupBy(*keys, "run").agg(
+    upto = curve.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = curve.df.withColumn("_run", F.sum(F.when(below, 0).otherwise(1)).over(upto))
+    piece = ["_piece"] if curve.split else []
+    by_run = numbered.groupBy(*keys, *piece, "_run").agg(
         F.count_if(below).alias("length"), F.max("drawdown").alias("deepest"), F.max("cum_profit").alias("top"),
         F.sum("profit").alias("profit"), F.sum(stake).alias("staked"), F.count(F.lit(1)).alias("bets"),
     )
-    return by_run.groupBy(*keys).agg(
-        F.max("deepest").alias("max_drawdown"), F.max("length").alias("max_drawdown_period"),
-        F.sum("profit").alias("final_profit"), F.max("top").alias("max_profit"),
-        (F.try_divide(F.sum("profit"), F.sum("staked")) * 100.0).alias("roi_pct"), F.sum("bets").alias("n_bets"),
-    )
+    sums = [F.max("deepest").alias("deepest"), F.max("length").alias("longest"), F.sum("profit").alias("profit"), F.max("top").alias("top"),
+            F.sum("staked").alias("staked"), F.sum("bets").alias("bets")]
+    if curve.split:
+        pieces = by_run.groupBy(*keys, "_piece").agg(
+            *sums, F.max("_run").alias("peaks"), F.coalesce(F.max(F.when(F.col("_run") == 0, F.col("length"))), F.lit(0)).alias("lead"),
+            F.max_by("length", "_run").alias("trail"))
+        first = F.coalesce(F.sum("peaks").over(before_piece(keys)), F.lit(0))
+        ends = pieces.withColumn("_first", first).select(*keys, F.explode(F.array(
+            F.struct(F.col("_first").alias("run"), F.col("lead").alias("length")),
+            F.struct((F.col("_first") + F.col("peaks")).alias("run"), F.when(F.col("peaks") > 0, F.col("trail")).otherwise(0).alias("length")))).alias("e"))
+        joined = ends.groupBy(*keys, "e.run").agg(F.sum("e.length").alias("longest"))
+        none = [F.lit(None).cast(pieces.schema[n].dataType).alias(n) for n in ("deepest", "profit", "top", "staked", "bets")]
+        columns = [*keys, "deepest", "longest", "profit", "top", "staked", "bets"]
+        by_run = pieces.select(*columns).unionByName(joined.select(*keys, "longest", *none).select(*columns)).withColumnRenamed("longest", "length")
+    return by_run.groupBy(*keys).agg(*sums).select(
+        *keys, F.col("deepest").alias("max_drawdown"), F.col("longest").alias("max_drawdown_period"), F.col("profit").alias("final_profit"),
+        F.col("top").alias("max_profit"), (F.try_divide("profit", "staked") * 100.0).alias("roi_pct"), F.col("bets").alias("n_bets"))
 
 
 def streaks(df: DataFrame, won: str, *, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """win_streak and loss_streak at each row.
+    """win_streak and loss_streak at each row; a row without an outcome starts a streak of its own.
 
-    The row where the outcome last changed is the latest row whose outcome
-    differs from the one before it; both streaks count rows since then.
+    Of a split layout a piece is summed up by its ends and the run open at its end, so rows are read twice.
     """
-    sort = [F.col(o).asc() for o in order]
-    changed = with_row_frames(df, list(keys), sort, lambda w: {
-        "_new": F.coalesce((F.col(won) != F.lag(won).over(w)), F.lit(True)).cast("int")}, reach=1)
-    arranged = arrange(changed, keys, sort)
-    numbered = running(arranged, {"_pos": ("sum", F.lit(1).cast("long"))})
-    marked = numbered.withColumn("_start", F.when(F.col("_new") == 1, F.col("_pos")))
-    started = running(Arranged(marked, arranged.keys, arranged.order, arranged.split),
-                      {"_from": ("max", F.col("_start"))})
-    length = F.col("_pos") - F.col("_from") + 1
-    return finish(started.withColumns({
+    arranged = arrange(df, keys, [F.col(o).asc() for o in order])
+    w = arranged.window()
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = arranged.df.withColumn("_row", F.row_number().over(w))
+    new = F.coalesce(F.col(won) != F.lag(won).over(w), F.lit(True))
+    rows = rows.withColumn("_start", F.when(new, F.col("_row"))).withColumn("_from", F.max("_start").over(upto))
+    length = (F.col("_row") - F.col("_from") + 1).cast("long")
+    if arranged.split:
+        by_piece = Window.partitionBy(*keys).orderBy("_piece")
+        pieces = rows.withColumn("_length", length).groupBy(*keys, "_piece").agg(
+            F.min_by(F.struct(F.col(won).alias("v")), "_row").alias("_first"), F.max_by(F.struct(F.col(won).alias("v")), "_row").alias("_last"),
+            F.count("_start").alias("_runs"), F.max_by("_length", "_row").alias("_open"))
+        pieces = pieces.withColumn("_goes_on", F.coalesce(F.col("_first.v") == F.lag("_last").over(by_piece)["v"], F.lit(False)))
+        pieces = pieces.withColumn("_chain", F.sum(F.when(F.col("_goes_on") & (F.col("_runs") == 1), 0).otherwise(1)).over(by_piece))
+        chain = Window.partitionBy(*keys, "_chain").orderBy("_piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        pieces = pieces.withColumn("_length", F.sum("_open").over(chain))
+        rows = with_carry(arranged, rows, pieces, {"_more": F.when(F.col("_goes_on"), F.lag("_length").over(by_piece))})
+        length = length + F.when(F.col("_from") == 1, F.coalesce("_more", F.lit(0))).otherwise(0)
+    return finish(rows.withColumns({
         "win_streak": F.when(F.col(won), length).otherwise(0).cast("long"),
         "loss_streak": F.when(~F.col(won), length).otherwise(0).cast("long"),
-    }).drop("_new", "_pos", "_start", "_from"))
+    }).drop("_start", "_from", "_more"))
 
 
 def longest_streaks(df: DataFrame, won: str, *, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

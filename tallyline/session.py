@@ -13,7 +13,10 @@ MAX_GROUP_ROWS = "spark.tallyline.maxGroupRows"
 # Target rows per range-split piece.
 CHUNK_ROWS = "spark.tallyline.chunkRows"
 
-_DEFAULTS = {MAX_GROUP_ROWS: 4_000_000, CHUNK_ROWS: 2_000_000}
+# Rows that a counted lookup table may have to be sent to every task.
+BROADCAST_ROWS = "spark.tallyline.broadcastRows"
+
+_DEFAULTS = {MAX_GROUP_ROWS: 4_000_000, CHUNK_ROWS: 2_000_000, BROADCAST_ROWS: 500_000}
 
 
 def setting(spark: SparkSession, key: str) -> int:
