@@ -110,13 +110,19 @@ def drawdown_summary(df: DataFrame, *, order: Sequence[str], hit: str = "builder
             *sums, F.max("_run").alias("peaks"), F.coalesce(F.max(F.when(F.col("_run") == 0, F.col("length"))), F.lit(0)).alias("lead"),
             F.max_by("length", "_run").alias("trail"))
         first = F.coalesce(F.sum("peaks").over(before_piece(keys)), F.lit(0))
-        ends = pieces.withColumn("_first", first).select(*keys, F.explode(F.array(
-            F.struct(F.col("_first").alias("run"), F.col("lead").alias("length")),
-            F.struct((F.col("_first") + F.col("peaks")).alias("run"), F.when(F.col("peaks") > 0, F.col("trail")).otherwise(0).alias("length")))).alias("e"))
-        joined = ends.groupBy(*keys, "e.run").agg(F.sum("e.length").alias("longest"))
-        none = [F.lit(None).cast(pieces.schema[n].dataType).alias(n) for n in ("deepest", "profit", "top", "staked", "bets")]
-        columns = [*keys, "deepest", "longest", "profit", "top", "staked", "bets"]
-        by_run = pieces.select(*columns).unionByName(joined.select(*keys, "longest", *none).select(*columns)).withColumnRenamed("longest", "length")
+        measured = ["deepest", "profit", "top", "staked", "bets"]
+
+        def part(run: Column, length: Column, own: bool) -> Column:
+            values = [(F.col(n) if own else F.lit(None).cast(pieces.schema[n].dataType)).alias(n) for n in measured]
+            return F.struct(run.alias("run"), length.alias("length"), *values)
+
+        # A piece's own figures go under no run; the runs open at its ends add to those of its neighbours.
+        parts = pieces.withColumn("_first", first).select(*keys, F.explode(F.array(
+            part(F.lit(None).cast("long"), F.col("longest"), True), part(F.col("_first"), F.col("lead"), False),
+            part(F.col("_first") + F.col("peaks"), F.when(F.col("peaks") > 0, F.col("trail")).otherwise(0), False))).alias("e")).select(*keys, "e.*")
+        by_run = parts.groupBy(*keys, "run").agg(
+            F.max("deepest").alias("deepest"), F.sum("profit").alias("profit"), F.max("top").alias("top"), F.sum("staked").alias("staked"), F.sum("bets").alias("bets"),
+            F.when(F.col("run").isNull(), F.max("length")).otherwise(F.sum("length")).alias("length"))
     return by_run.groupBy(*keys).agg(*sums).select(
         *keys, F.col("deepest").alias("max_drawdown"), F.col("longest").alias("max_drawdown_period"), F.col("profit").alias("final_profit"),
         F.col("top").alias("max_profit"), (F.try_divide("profit", "staked") * 100.0).alias("roi_pct"), F.col("bets").alias("n_bets"))
