@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import dependence as ops
+from ..operators.neighbours import knn_mutual_information
 from . import fixtures as fx
 from .registry import R, query
 
@@ -249,3 +250,39 @@ SELECT CAST(floor(u * 30) AS BIGINT) AS bin_x, CAST(floor(v * 30) AS BIGINT) AS
          (RANK() OVER (ORDER BY l_discount) + (COUNT(*) OVER (PARTITION BY l_discount) - 1) / 2.0) / (COUNT(*) OVER () + 1) AS v FROM item) t GROUP BY 1, 2""", ("item",))
 def rank_density_2d(spark, folder):
     return ops.rank_density(item(spark, folder), "l_quantity", "l_discount")
+
+
+# One row per customer; the SQL compares every two of them, in whole multiples of 2^-30 standard deviations.
+KNN_VARS = ("balance", "spent", "orders")
+fx.SQL["spenders"] = """SELECT o_custkey, ANY_VALUE(c_acctbal) AS balance, round_even(SUM(o_totalprice) * 100, 0) AS spent, CAST(COUNT(*) AS DOUBLE) AS orders
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey"""
+fx.SQL["spender_units"] = "SELECT o_custkey AS id, " + ", ".join(f"CAST(round_even({v} / (SELECT STDDEV_POP({v}) FROM spenders) * 1073741824, 0) AS BIGINT) AS {v}" for v in KNN_VARS) + " FROM spenders"
+
+
+def spenders(spark, folder):
+    orders, customer = fx.table(spark, folder, "orders"), fx.table(spark, folder, "customer")
+    met = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    return met.groupBy("o_custkey").agg(F.first("c_acctbal").alias("balance"), F.rint(F.sum("o_totalprice") * 100).alias("spent"), F.count(F.lit(1)).cast("double").alias("orders"))
+
+
+def _digamma(n):
+    z = f"({n} + 8.0)"
+    return f"(ln({z}) - 0.5 / {z} - 1.0 / (12.0 * {z} * {z}) + 1.0 / (120.0 * pow({z}, 4)) - 1.0 / (252.0 * pow({z}, 6))" + "".join(f" - 1.0 / ({n} + {i}.0)" for i in range(8)) + ")"
+
+
+def _knn_sql(a, b, k=3):
+    return f"""
+SELECT '{a}' AS var_x, '{b}' AS var_y, {R(f"GREATEST({_digamma('COUNT(*)')} + {_digamma(f'{k}')} - AVG({_digamma('nx')} + {_digamma('ny')}), 0)")} AS mi, CAST(COUNT(*) AS BIGINT) AS n FROM (
+  SELECT d.id, COUNT(*) FILTER (WHERE ABS(o.{a} - d.{a}) <= GREATEST(r - 1, 0)) AS nx, COUNT(*) FILTER (WHERE ABS(o.{b} - d.{b}) <= GREATEST(r - 1, 0)) AS ny
+  FROM (SELECT p.id, ANY_VALUE(p.{a}) AS {a}, ANY_VALUE(p.{b}) AS {b}, list_sort(list(GREATEST(ABS(p.{a} - q.{a}), ABS(p.{b} - q.{b}))))[{k}] AS r
+        FROM spender_units p JOIN spender_units q ON p.id <> q.id GROUP BY p.id) d, spender_units o GROUP BY d.id) c"""
+
+
+@query("knn_mi", " UNION ALL ".join(_knn_sql(a, b) for i, a in enumerate(KNN_VARS) for b in KNN_VARS[i + 1:]), ("spenders", "spender_units"))
+def knn_mi(spark, folder):
+    return knn_mutual_information(spenders(spark, folder), KNN_VARS)
+
+
+@query("top_knn_mi", f"SELECT * FROM ({' UNION ALL '.join(_knn_sql(a, b) for i, a in enumerate(KNN_VARS) for b in KNN_VARS[i + 1:])}) m ORDER BY mi DESC, var_x, var_y LIMIT 10", ("spenders", "spender_units"))
+def top_knn_mi(spark, folder):
+    return ops.top_pairs(knn_mutual_information(spenders(spark, folder), KNN_VARS), "mi", 10)

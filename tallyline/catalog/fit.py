@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, goodness as ops
+from ..operators.likelihood import mle_fits
 from . import fixtures as fx
 from .dependence import VARS, item
 from .registry import R, query
@@ -233,3 +234,46 @@ SELECT variable AS "column", {R('g')} AS skew, {R('iqr')} AS iqr, CASE WHEN ABS(
 FROM s JOIN q USING (variable)""", ("item", "item_long"))
 def skew_notes(spark, folder):
     return ops.skew_notes(item(spark, folder), VARS)
+
+
+# Maximum likelihood by Newton steps in recursive queries; digamma and trigamma by their series eight places on.
+MLE_VARS = ("PTS", "REB", "STL", "FT_PCT")
+
+
+def _psi(x, order=0):
+    z = f"({x} + 8.0)"
+    if order:
+        return f"(1.0 / {z} + 0.5 / ({z} * {z}) + 1.0 / (6.0 * pow({z}, 3)) - 1.0 / (30.0 * pow({z}, 5)) + 1.0 / (42.0 * pow({z}, 7))" + "".join(f" + 1.0 / (({x} + {i}.0) * ({x} + {i}.0))" for i in range(8)) + ")"
+    return f"(ln({z}) - 0.5 / {z} - 1.0 / (12.0 * {z} * {z}) + 1.0 / (120.0 * pow({z}, 4)) - 1.0 / (252.0 * pow({z}, 6))" + "".join(f" - 1.0 / ({x} + {i}.0)" for i in range(8)) + ")"
+
+
+fx.SQL["mle_counts"] = " UNION ALL ".join(f"""SELECT '{v}' AS variable, CAST("{v}" AS DOUBLE) AS v, CAST(COUNT(*) AS DOUBLE) AS w FROM games WHERE "{v}" IS NOT NULL GROUP BY "{v}" """ for v in MLE_VARS)
+fx.SQL["mle_stats"] = """SELECT variable, SUM(w) AS n, SUM(w * v) / SUM(w) AS mean, SUM(w * v * v) / SUM(w) - pow(SUM(w * v) / SUM(w), 2) AS var, MIN(v) AS low, MAX(v) AS high, bool_and(v = floor(v)) AS whole,
+  SUM(w * CASE WHEN v > 0 THEN ln(v) END) / SUM(w) AS ml, SUM(w * CASE WHEN v < 1 THEN ln(1 - v) END) / SUM(w) AS mr FROM mle_counts GROUP BY variable"""
+_GAMMA = f"""SELECT variable, 0 AS step, (3 - s + sqrt((s - 3) * (s - 3) + 24 * s)) / (12 * s) AS k, s FROM (SELECT variable, ln(mean) - ml AS s FROM mle_stats WHERE low > 0 AND low < high) q
+  UNION ALL SELECT variable, step + 1, k - (ln(k) - {_psi('k')} - s) / (1 / k - {_psi('k', 1)}), s FROM gamma_steps WHERE step < 30"""
+_BETA = f"""SELECT variable, 0 AS step, mean * (mean * (1 - mean) / var - 1) AS a, (1 - mean) * (mean * (1 - mean) / var - 1) AS b, ml, mr FROM mle_stats WHERE low > 0 AND high < 1 AND low < high
+  UNION ALL SELECT variable, step + 1, a - (ga * (t - tb) - gb * t) / ((t - ta) * (t - tb) - t * t), b - (gb * (t - ta) - ga * t) / ((t - ta) * (t - tb) - t * t), ml, mr FROM (
+    SELECT *, {_psi('(a + b)')} - {_psi('a')} + ml AS ga, {_psi('(a + b)')} - {_psi('b')} + mr AS gb, {_psi('(a + b)', 1)} AS t, {_psi('a', 1)} AS ta, {_psi('b', 1)} AS tb FROM beta_steps WHERE step < 30) q"""
+_WEIBULL = """SELECT variable, 0 AS step, GREATEST(pow(sqrt(var) / mean, -1.086), 0.05) AS k FROM mle_stats WHERE low > 0 AND low < high
+  UNION ALL SELECT variable, step + 1, k - (s1 / s0 - 1 / k - (ml - ln(high))) / (s2 / s0 - s1 * s1 / (s0 * s0) + 1 / (k * k)) FROM (
+    SELECT variable, step, k, ANY_VALUE(ml) AS ml, ANY_VALUE(high) AS high, SUM(w * exp(k * ln(v / high))) AS s0, SUM(w * exp(k * ln(v / high)) * ln(v / high)) AS s1, SUM(w * exp(k * ln(v / high)) * ln(v / high) * ln(v / high)) AS s2
+    FROM weibull_steps JOIN mle_stats USING (variable) JOIN mle_counts USING (variable) WHERE step < 30 GROUP BY variable, step, k) q"""
+_NEGATIVE = f"""SELECT variable, 0 AS step, mean * mean / (var - mean) AS r FROM mle_stats WHERE whole AND low >= 0 AND low < high AND var > mean
+  UNION ALL SELECT variable, step + 1, r - g / h FROM (
+    SELECT variable, step, r, SUM(w * ({_psi('(v + r)')} - {_psi('r')})) / ANY_VALUE(n) + ln(r / (r + ANY_VALUE(mean))) AS g, SUM(w * ({_psi('(v + r)', 1)} - {_psi('r', 1)})) / ANY_VALUE(n) + 1 / r - 1 / (r + ANY_VALUE(mean)) AS h
+    FROM negative_steps JOIN mle_stats USING (variable) JOIN mle_counts USING (variable) WHERE step < 30 GROUP BY variable, step, r) q"""
+
+
+fx.SQL["mle_found"] = f"""WITH RECURSIVE gamma_steps AS ({_GAMMA}), beta_steps AS ({_BETA}), weibull_steps AS ({_WEIBULL}), negative_steps AS ({_NEGATIVE}),
+f AS (SELECT variable, 'gamma' AS family, k AS a, mean / k AS b FROM gamma_steps JOIN mle_stats USING (variable) WHERE step = 30
+  UNION ALL SELECT variable, 'beta', a, b FROM beta_steps WHERE step = 30
+  UNION ALL SELECT variable, 'weibull', k, ANY_VALUE(high) * pow(SUM(w * exp(k * ln(v / high))) / ANY_VALUE(n), 1 / k) FROM weibull_steps JOIN mle_stats USING (variable) JOIN mle_counts USING (variable) WHERE step = 30 GROUP BY variable, k
+  UNION ALL SELECT variable, 'negative_binomial', r, r / (r + mean) FROM negative_steps JOIN mle_stats USING (variable) WHERE step = 30)
+SELECT variable, family, a, b, n FROM f JOIN mle_stats USING (variable)"""
+
+
+@query("mle_fits", f"SELECT variable, family, {R('a')} AS a, {R('b')} AS b, true AS settled, CAST(n AS BIGINT) AS n FROM mle_found", ("games", "mle_counts", "mle_stats", "mle_found"))
+def mle_fits_query(spark, folder):
+    found = mle_fits(fx.games(spark, folder), MLE_VARS)
+    return found.select("variable", "family", "a", "b", (F.col("gradient") < 1e-8).alias("settled"), "n")
