@@ -286,3 +286,32 @@ def knn_mi(spark, folder):
 @query("top_knn_mi", f"SELECT * FROM ({' UNION ALL '.join(_knn_sql(a, b) for i, a in enumerate(KNN_VARS) for b in KNN_VARS[i + 1:])}) m ORDER BY mi DESC, var_x, var_y LIMIT 10", ("spenders", "spender_units"))
 def top_knn_mi(spark, folder):
     return ops.top_pairs(knn_mutual_information(spenders(spark, folder), KNN_VARS), "mi", 10)
+
+
+# One row per nation: few enough rows without ties for Kendall's exact p-value, by the recurrence of inversion counts.
+NATION_VARS = ("balance", "supply", "spent")
+NATION_PAIRS = [(a, b) for i, a in enumerate(NATION_VARS) for b in NATION_VARS[i + 1:]]
+fx.SQL["nations"] = """
+SELECT c.n, c.balance, s.supply, o.spent FROM (SELECT c_nationkey AS n, SUM(c_acctbal) AS balance FROM customer GROUP BY 1) c
+JOIN (SELECT s_nationkey AS n, SUM(s_acctbal) AS supply FROM supplier GROUP BY 1) s USING (n)
+JOIN (SELECT c_nationkey AS n, SUM(o_totalprice) AS spent FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) o USING (n)"""
+fx.SQL["orders_of"] = """
+WITH RECURSIVE f AS (SELECT 1 AS n, [CAST(1 AS DOUBLE)] AS c UNION ALL
+  SELECT n + 1, list_transform(range(n * (n + 1) // 2 + 1), lambda d: list_sum(c[greatest(1, d - n + 1):d + 1]) / (n + 1)) FROM f WHERE n < 33)
+SELECT n, c FROM f"""
+
+
+def nations(spark, folder):
+    customer, supplier, orders = (fx.table(spark, folder, t) for t in ("customer", "supplier", "orders"))
+    balance = customer.groupBy(F.col("c_nationkey").alias("n")).agg(F.sum("c_acctbal").alias("balance"))
+    supply = supplier.groupBy(F.col("s_nationkey").alias("n")).agg(F.sum("s_acctbal").alias("supply"))
+    spent = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("n")).agg(F.sum("o_totalprice").alias("spent"))
+    return balance.join(supply, "n").join(spent, "n")
+
+
+@query("kendall_exact_p", " UNION ALL ".join(f"""
+SELECT '{a}' AS var_x, '{b}' AS var_y, {R('1 - 2.0 * disc / (n * (n - 1) / 2)')} AS kendall,
+       {R('LEAST(2 * list_sum(c[1:CAST(LEAST(disc, n * (n - 1) // 2 - disc) AS BIGINT) + 1]), 1)')} AS kendall_p FROM (
+  SELECT (SELECT COUNT(*) FROM nations) AS n, (SELECT COUNT(*) FROM nations p JOIN nations q ON p.{a} < q.{a} AND p.{b} > q.{b}) AS disc) k JOIN orders_of USING (n)""" for a, b in NATION_PAIRS), ("nations", "orders_of"))
+def kendall_exact_p(spark, folder):
+    return ops.kendall_table(fx.stored(nations(spark, folder)).select(*NATION_VARS), NATION_PAIRS)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import betting, legs as ops, windows
+from ..operators.dependence import global_correlation
 from ..sources import writers
 from . import fixtures as fx
 from .registry import R, query
@@ -88,6 +89,26 @@ def correlation_risk(spark, folder):
     return risky.groupBy("high_correlation_risk").agg(F.count(F.lit(1)).alias("n_tickets"), F.sum("builder_hit").alias("hits"))
 
 
+STAT_NAMES = ("pts", "fg3m", "ast", "reb")
+_MOMENTS = "CASE WHEN VAR_POP({0}) * VAR_POP({1}) > 0 THEN COVAR_POP({0}, {1}) / sqrt(VAR_POP({0}) * VAR_POP({1})) END"
+fx.SQL["stat_table"] = " UNION ALL ".join(f"SELECT '{a}' AS sx, '{b}' AS sy, {_MOMENTS.format(a, b)} AS corr FROM box" for a in STAT_NAMES for b in STAT_NAMES)
+fx.SQL["ticket_pairs"] = """
+SELECT builder_id, COUNT(*) AS n_pairs, AVG(corr) AS mean_corr, MAX(corr) AS max_corr FROM (
+  SELECT a.builder_id, CASE WHEN a.stat = b.stat THEN COALESCE(corr, 1.0) ELSE corr END AS corr
+  FROM (SELECT DISTINCT builder_id, leg_id, stat FROM leg_rows) a JOIN (SELECT DISTINCT builder_id, leg_id, stat FROM leg_rows) b ON a.builder_id = b.builder_id AND (a.leg_id, a.stat) < (b.leg_id, b.stat)
+  JOIN stat_table t ON t.sx = a.stat AND t.sy = b.stat) p WHERE corr IS NOT NULL GROUP BY builder_id"""
+
+
+@query("ticket_pair_correlation", f"""
+SELECT l.builder_id, CAST(l.n AS BIGINT) AS n_legs, CAST(COALESCE(n_pairs, 0) AS BIGINT) AS n_pairs, {R('mean_corr')} AS mean_pair_corr, {R('max_corr')} AS max_pair_corr,
+       CAST(COALESCE(mean_corr >= 0.7, false) AS BIGINT) AS high_correlation_risk
+FROM (SELECT builder_id, COUNT(*) AS n FROM (SELECT DISTINCT builder_id, leg_id, stat FROM leg_rows) d GROUP BY builder_id) l LEFT JOIN ticket_pairs USING (builder_id)""",
+       ("box", "legs", "quoted", "leg_rows", "stat_table", "ticket_pairs"))
+def ticket_pair_correlation(spark, folder):
+    box = fx.stored(fx.box(spark, folder))
+    return ops.ticket_pair_correlation(fx.leg_rows(spark, folder), global_correlation(box, STAT_NAMES, method="pearson"))
+
+
 @query("legs_per_ticket", """
 SELECT n_legs AS value, CAST(COUNT(*) AS BIGINT) AS n_tickets FROM tickets GROUP BY n_legs""", TICKET)
 def legs_per_ticket(spark, folder):
@@ -121,12 +142,18 @@ def ticket_returns(spark, folder):
     return _thousandths(table, "profit", "total_stake")
 
 
-@query("returns_report", """
-SELECT 'overall' AS section, 'n_obs' AS key, CAST(COUNT(*) AS VARCHAR) AS value FROM tickets
-UNION ALL SELECT 'overall', 'n_hits', CAST(CAST(SUM(builder_hit) AS BIGINT) AS VARCHAR) FROM tickets""", TICKET)
+_REPORT = {
+    "n_obs": "CAST(COUNT(*) AS VARCHAR)", "n_hits": "CAST(CAST(SUM(builder_hit) AS BIGINT) AS VARCHAR)", "hit_rate": "AVG(builder_hit)", "total_stake": "SUM(stake)",
+    "profit": f"SUM({PROFIT})", "roi": f"SUM({PROFIT}) / SUM(stake)", "yield": f"SUM({PROFIT}) / COUNT(*)", "sharpe_ratio": f"COALESCE(AVG({UNIT}) / NULLIF(STDDEV_SAMP({UNIT}), 0), 0)"}
+
+
+@query("returns_report", " UNION ALL ".join(
+    f"SELECT 'overall' AS section, '{k}' AS key, {e if 'VARCHAR' in e else f'CAST(CAST(round_even(({e}) * 1000, 0) AS BIGINT) AS VARCHAR)'} AS value FROM tickets" for k, e in _REPORT.items()), TICKET)
 def returns_report(spark, folder):
-    one = fx.tickets(spark, folder).agg(F.count(F.lit(1)).alias("n_obs"), F.sum("builder_hit").alias("n_hits"))
-    return writers.key_values(one, "overall")
+    """Every key of the overall section; measures that are not counts in whole thousandths, so that both sides write them alike."""
+    one = fx.tickets(spark, folder).agg(F.count(F.lit(1)).alias("n_obs"), F.sum("builder_hit").alias("n_hits"), F.avg("builder_hit").alias("hit_rate"), *betting.return_metrics())
+    names = [k for k in _REPORT if k not in ("n_obs", "n_hits")]
+    return writers.key_values(one.select("n_obs", "n_hits", *[F.rint(F.col(k) * 1000).cast("bigint").alias(k) for k in names]), "overall")
 
 
 CURVE = f"""

@@ -213,7 +213,24 @@ def _tie_sums(cells: DataFrame, side: str) -> DataFrame:
         F.sum(t * (t - 1) * (2 * t + 5)).alias(f"v_{side}"))
 
 
+# Up to this many rows without ties Kendall's p-value is exact.
+EXACT_ROWS = 33
+
+
+def _inversion_shares(most: int) -> list[tuple[int, int, float]]:
+    """(n, d, share of the orders of n things with at most d inversions), by the recurrence over n."""
+    out, shares = [], [1.0]
+    for n in range(1, most + 1):
+        sums = [math.fsum(shares[max(0, d - n + 1):d + 1]) / n for d in range(n * (n - 1) // 2 + 1)]
+        shares, upto = sums, 0.0
+        for d, share in enumerate(sums):
+            upto += share
+            out.append((n, d, upto))
+    return out
+
+
 def _kendall(cells: DataFrame) -> DataFrame:
+    """tau-b with its p-value: exact for up to EXACT_ROWS rows without ties, else the tie-corrected normal one."""
     keys = ["var_x", "var_y"]
     c = F.col("cell").cast("double")
     both = cells.groupBy(*keys).agg(F.sum(c).alias("n"), F.sum(c * (c - 1) / 2).alias("tie_xy"))
@@ -224,9 +241,16 @@ def _kendall(cells: DataFrame) -> DataFrame:
     spread = n * (n - 1)
     var = (spread * (2 * n + 5) - F.col("v_x") - F.col("v_y")) / 18 + F.try_divide(2 * tx * ty, spread) + F.try_divide(
         F.col("t3_x") * F.col("t3_y"), 9 * spread * (n - 2))
-    return table.select(*keys, F.try_divide(diff, F.sqrt((total - tx) * (total - ty))).alias("kendall"),
-                        F.try_divide(diff, F.sqrt(var)).alias("_z")).withColumn(
-        "kendall_p", F.when(F.col("_z").isNotNull(), two_sided_normal_p("_z"))).drop("_z")
+    untied = (tx == 0) & (ty == 0) & (n <= EXACT_ROWS)
+    fewer = F.when(untied, F.least("discordant", total - F.col("discordant"))).cast("int")
+    measured = table.select(*keys, F.try_divide(diff, F.sqrt((total - tx) * (total - ty))).alias("kendall"), F.try_divide(diff, F.sqrt(var)).alias("_z"),
+                            n.cast("int").alias("_n"), fewer.alias("_d"))
+    # A few thousand rows, whatever the data.
+    shares = cells.sparkSession.createDataFrame(_inversion_shares(EXACT_ROWS), "_sn int, _sd int, _share double")
+    met = measured.join(F.broadcast(shares), (F.col("_n") == F.col("_sn")) & (F.col("_d") == F.col("_sd")), "left")
+    normal = F.when(F.col("_z").isNotNull(), two_sided_normal_p("_z"))
+    exact = F.least(2.0 * F.col("_share"), F.lit(1.0))
+    return met.withColumn("kendall_p", F.when(F.col("_share").isNotNull() & F.col("kendall").isNotNull(), exact).otherwise(normal)).select(*keys, "kendall", "kendall_p")
 
 
 def tail_dependence(rows: DataFrame, pairs: Sequence[tuple[str, str]], *, upper: float = 0.9, lower: float = 0.1,

@@ -134,3 +134,35 @@ def ticket_table(leg_df: DataFrame, *, ticket: str = "builder_id", order: Sequen
 def correlation_risk(tickets: DataFrame) -> DataFrame:
     """Tickets whose legs are all of one player are flagged as risky."""
     return tickets.withColumn("high_correlation_risk", F.col("is_single_player"))
+
+
+def ticket_pair_correlation(leg_df: DataFrame, correlations: DataFrame, *, ticket: str = "builder_id", leg: str = "leg_id", stats: Sequence[str] = STATS,
+                            threshold: float = 0.7, x: str = "stat_x", y: str = "stat_y", corr: str = "corr") -> DataFrame:
+    """(ticket, n_legs, n_pairs, mean_pair_corr, max_pair_corr, high_correlation_risk): how alike the legs of a ticket move.
+
+    Every two legs of a ticket take the correlation of their stats from the table, whichever way round it names them; pairs
+    of a stat with itself take its diagonal, or 1 where it has none.  Pairs the table does not know, such as those of other
+    stats, are left out; a ticket without a known pair has NULL means and no risk.  Legs are told by `leg`.  Only the number
+    of legs of each stat matters, so no pair of legs is formed, however many a ticket has; a row per two stats is looked up.
+    """
+    two = F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    known = correlations.filter(F.col(x).isin(*stats) & F.col(y).isin(*stats) & F.col(corr).isNotNull()).groupBy(two.alias("p")).agg(F.first(corr).alias("c"))
+    # At most one entry for every two stats.
+    lookup = known.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "p.a", "p.b"), "c")))).scalar()
+    legs = leg_df.filter(F.col(ticket).isNotNull()).select(F.col(ticket).alias("ticket"), F.col(leg).alias("leg"), "stat").distinct()
+    counts = legs.groupBy("ticket").agg(F.count(F.lit(1)).alias("n_legs"), *[F.count_if(F.col("stat") == s).alias(f"n_{s}") for s in stats])
+    placed = counts.withColumn("known", lookup)
+
+    def entry(i: int, j: int) -> Column:
+        a, b = sorted((stats[i], stats[j]))
+        n, m = F.col(f"n_{stats[i]}"), F.col(f"n_{stats[j]}")
+        found = F.try_element_at("known", F.lit(f"{a}|{b}"))
+        return F.struct((n * (n - 1) / 2 if i == j else n * m).cast("bigint").alias("n"), (F.coalesce(found, F.lit(1.0)) if i == j else found).alias("c"))
+
+    pairs = F.array(*[entry(i, j) for i in range(len(stats)) for j in range(i, len(stats))])
+    met = placed.withColumn("pairs", F.filter(pairs, lambda p: (p["n"] > 0) & p["c"].isNotNull()))
+    n_pairs = F.aggregate("pairs", F.lit(0).cast("bigint"), lambda s, p: s + p["n"])
+    total = F.aggregate("pairs", F.lit(0.0), lambda s, p: s + p["n"] * p["c"])
+    mean = F.try_divide(total, n_pairs)
+    return met.select(F.col("ticket").alias(ticket), "n_legs", n_pairs.alias("n_pairs"), mean.alias("mean_pair_corr"),
+                      F.array_max(F.transform("pairs", lambda p: p["c"])).alias("max_pair_corr"), flag(F.coalesce(mean >= threshold, F.lit(False))).alias("high_correlation_risk"))
