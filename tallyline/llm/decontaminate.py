@@ -94,9 +94,9 @@ def _scanner(items: Broadcast, size: int) -> Scanner:
     return _BUILT[1]
 
 
-def item_blocks(items: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[object, str]]]:
-    """The items in blocks of about `block_chars` characters, so that what is broadcast at once has a measured bound."""
-    rows = items.select(named(item_col).alias("item"), F.coalesce(named(text_col), F.lit("")).alias("text")).filter("item IS NOT NULL")
+def item_blocks(items: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[str, str]]]:
+    """The items in blocks of about `block_chars` characters, each read when it is asked for; ids as text, whatever their type."""
+    rows = items.select(named(item_col).cast("string").alias("item"), F.coalesce(named(text_col), F.lit("")).alias("text")).filter("item IS NOT NULL")
     total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(total / block_chars))
     if blocks == 1:
@@ -113,11 +113,10 @@ def scan_documents(
 ) -> DataFrame:
     """`judge` makes the output of a batch from its words, hit ranges and item ids.
 
-    With several blocks of items, one pass over the texts for each: what earlier passes found travels beside the rows.
+    With several blocks of items, one pass over the texts for each: what earlier passes found travels beside the rows.  A
+    block is broadcast for its pass alone, so the driver and an executor never hold more than one.
     """
     context = docs.sparkSession.sparkContext
-    blocks = [context.broadcast(block) for block in item_blocks(items, item_col, item_text_col, block_chars)]
-    item_type = items.schema[item_col].dataType.simpleString()
     width, at = len(docs.columns), docs.columns.index(text_col)
     carried = [unused("ranges", docs.columns), unused("items", docs.columns)]
 
@@ -136,17 +135,22 @@ def scan_documents(
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = scanned(batch, block)
             ranges = pa.array([[{"a": a, "b": b} for a, b in f[1]] for f in found], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
-            met = pa.array([list(f[2]) for f in found], pa.list_(pa.from_numpy_dtype("int64") if item_type == "bigint" else pa.string() if item_type == "string" else pa.int32()))
+            met = pa.array([list(f[2]) for f in found], pa.list_(pa.string()))
             return pa.RecordBatch.from_arrays([*batch.columns[:width], ranges, met], [*batch.schema.names[:width], *carried])
         return work
 
+    base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    now: Broadcast | None = None
+    for block in item_blocks(items, item_col, item_text_col, block_chars):
+        if now is not None:  # the table written ends this block's lineage
+            docs = stored(map_batches(docs, passing(now), f"{base}, `{carried[0]}` array<struct<a:int,b:int>>, `{carried[1]}` array<string>"))
+            now.destroy()
+        now = context.broadcast(block)
+
     def finishing(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = scanned(batch, blocks[-1])
+        found = scanned(batch, now)
         return judge(batch, [f[0] for f in found], [f[1] for f in found], [f[2] for f in found])
 
-    base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    for block in blocks[:-1]:
-        docs = stored(map_batches(docs, passing(block), f"{base}, `{carried[0]}` array<struct<a:int,b:int>>, `{carried[1]}` array<{item_type}>"))
     return map_batches(docs, finishing, schema)
 
 
@@ -170,7 +174,7 @@ def contamination(
         where = [[{"start": a, "end": b} for a, b in spans(t, r)] for t, r in zip(batch.column(1).to_pylist(), ranges)]
         return pa.RecordBatch.from_arrays([
             batch.column(0), pa.array(map(len, words), pa.int64()), pa.array([sum(b - a for a, b in r) for r in ranges], pa.int64()),
-            pa.array([sorted(map(str, m)) for m in met], pa.list_(pa.string())), pa.array(where, span_type),
+            pa.array([sorted(m) for m in met], pa.list_(pa.string())), pa.array(where, span_type),
         ], ["id", "n_words", "n_hit", "items", "spans"])
 
     return scan_documents(rows, items, judge, f"id {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:int,end:int>>",
@@ -185,7 +189,11 @@ def keep_clean(
     docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     size: int = 13, share: float = 0.05, block_chars: int = 2_000_000,
 ) -> DataFrame:
-    """The rows of `docs` of whose words less than `share` (or none) are hit, columns unchanged; no row moves."""
+    """The rows of `docs` of whose words less than `share` (or none) are hit, columns unchanged; no row moves.
+
+    A NULL or empty text has no words and stays; a NULL item id is no item; rows repeating a document id, equal ones too, are
+    judged each by its own text; without documents there are no rows, without items all stay.
+    """
     def judge(batch, words, ranges, met) -> pa.RecordBatch:
         clean = [not is_contaminated(len(w), sum(b - a for a, b in r), share) for w, r in zip(words, ranges)]
         own = pa.RecordBatch.from_arrays(batch.columns[:len(names)], names)

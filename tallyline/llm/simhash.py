@@ -182,12 +182,15 @@ def local_edges(values: np.ndarray, home: np.ndarray, reach: int) -> tuple[np.nd
 def close_edges(points: DataFrame, reach: int = 2, shard_points: int = 4_000, sample_points: int = 20_000) -> DataFrame:
     """(a, b): edges between distinct fingerprints `fp` whose connected groups are those of all pairs within `reach` bits.
 
-    The tree is learned from at most `sample_points` fingerprints, which bounds what is broadcast; every point is searched.
+    The tree is learned from a sample chosen by hash and every point is searched.  The sample has `sample_points`
+    fingerprints, or sixteen a leaf where that is more (8 bytes for every 250th point), so that a shard stays near
+    `shard_points` however many points there are.
     """
     spark = points.sparkSession
     total = points.count()
-    chosen = points.orderBy(F.xxhash64("fp"), "fp").limit(sample_points).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    tree = spark.sparkContext.broadcast(VantageTree(chosen, min(sample_points // 16, math.ceil(total / shard_points))))
+    leaves = max(1, math.ceil(total / shard_points))
+    chosen = points.orderBy(F.xxhash64("fp"), "fp").limit(max(sample_points, 16 * leaves)).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    tree = spark.sparkContext.broadcast(VantageTree(chosen, leaves))
 
     def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
         values = batch.column(0).to_numpy().astype(np.int64).view(np.uint64)

@@ -168,3 +168,17 @@ def test_an_id_of_which_one_row_goes(spark, keep):
     kept = sorted(((r["doc_id"], r["text"] or "") for r in got.collect()), key=str)
     assert got.columns == ["doc_id", "text", "row"]
     assert kept == sorted([(3, one), (5, two), (7, three), (8, ""), (None, rows[-1][1])], key=str)
+
+
+def test_shards_stay_small(spark, monkeypatch):
+    """More leaves than a sixteenth of the sample asked for: the sample grows and no shard does."""
+    rng = np.random.default_rng(4)
+    values = np.unique(rng.integers(0, 2**64, 6000, dtype=np.uint64))
+    frame = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long").repartition(4)
+    trees = []
+    monkeypatch.setattr(simhash, "VantageTree", lambda sample, leaves, make=simhash.VantageTree: trees.append((make(sample, leaves), len(sample))) or trees[-1][0])
+    simhash.close_edges(frame, shard_points=50, sample_points=64).count()
+    tree, sampled = trees[0]
+    _, leaf, home = tree.place(values, 0)
+    sizes = np.bincount(leaf[home])
+    assert sampled == 16 * 120 and (sizes > 0).sum() > 100 and sizes.max() <= 5 * 50

@@ -354,3 +354,31 @@ def test_finding_against_plain_rules(spark):
     got = pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()
     for r in got:
         assert r["n_found"] == sum(map(valid_by_hand, found_by_hand(texts[r["id"]]))), texts[r["id"]]
+
+
+def test_blocks_one_at_a_time_and_ids_of_any_type(spark, bench, monkeypatch):
+    """Many blocks: one broadcast lives at once; ids that are dates give the hits that numbers give."""
+    from pyspark import SparkContext
+
+    from tallyline.llm import decontaminate
+    _, _, items, docs = bench
+    dated = items.withColumn("item_id", F.date_add(F.lit("2020-01-01").cast("date"), F.col("item_id").cast("int")))
+    live, most = [0], [0]
+
+    def counted(self, value, make=SparkContext.broadcast):
+        found = make(self, value)
+        live[0] += 1
+        most[0] = max(most[0], live[0])
+        destroy = found.destroy
+        found.destroy = lambda *a: (live.__setitem__(0, live[0] - 1), destroy(*a))
+        return found
+
+    def hits(rows):
+        return sorted(((r["id"], r["n_words"], r["n_hit"], len(r["items"])) for r in rows.collect()), key=str)
+
+    whole = hits(contamination(docs, items, size=5))
+    monkeypatch.setattr(SparkContext, "broadcast", counted)
+    asked = []
+    monkeypatch.setattr(decontaminate, "item_blocks", lambda *a, make=decontaminate.item_blocks: (asked.append(1) or b for b in make(*a)))
+    got = hits(contamination(docs, dated, size=5, block_chars=150))
+    assert got == whole and len(asked) > 3 and most[0] == 1
