@@ -176,7 +176,8 @@ def test_shards_stay_small(spark, monkeypatch):
     values = np.unique(rng.integers(0, 2**64, 6000, dtype=np.uint64))
     frame = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long").repartition(4)
     trees = []
-    monkeypatch.setattr(simhash, "VantageTree", lambda sample, leaves, make=simhash.VantageTree: trees.append((make(sample, leaves), len(sample))) or trees[-1][0])
+    make = simhash.VantageTree.__init__
+    monkeypatch.setattr(simhash.VantageTree, "__init__", lambda self, sample, leaves: trees.append((self, len(sample))) or make(self, sample, leaves))
     simhash.close_edges(frame, shard_points=50, sample_points=64).count()
     tree, sampled = trees[0]
     _, leaf, home = tree.place(values, 0)
