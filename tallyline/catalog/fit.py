@@ -273,7 +273,8 @@ f AS (SELECT variable, 'gamma' AS family, k AS a, mean / k AS b FROM gamma_steps
 SELECT variable, family, a, b, n FROM f JOIN mle_stats USING (variable)"""
 
 
-@query("mle_fits", f"SELECT variable, family, {R('a')} AS a, {R('b')} AS b, true AS settled, CAST(n AS BIGINT) AS n FROM mle_found", ("games", "mle_counts", "mle_stats", "mle_found"))
+@query("mle_fits", f"SELECT variable, family, {R('a', 4)} AS a, {R('b', 4)} AS b, true AS settled, CAST(n AS BIGINT) AS n FROM mle_found", ("games", "mle_counts", "mle_stats", "mle_found"))
 def mle_fits_query(spark, folder):
+    """Parameters to four places: the size of a nearly Poisson variable rests on differences of sums and is sure to some 1e-7 of itself."""
     found = mle_fits(fx.games(spark, folder), MLE_VARS)
-    return found.select("variable", "family", "a", "b", (F.col("gradient") < 1e-8).alias("settled"), "n")
+    return found.select("variable", "family", *[(F.rint(F.col(c) * 1e4) / 1e4).alias(c) for c in "ab"], (F.col("gradient") < 1e-8).alias("settled"), "n")

@@ -92,11 +92,11 @@ def mle_fits(df: DataFrame, variables: Sequence[str], *, tolerance: float = 1e-9
         var = r["square"] - r["mean"] ** 2
         if r["low"] > 0:
             out.append((r["variable"], "gamma", *gamma_fit(r["mean"], r["log_mean"]), r["n"]))
-            open_fits[r["variable"], "weibull"] = [max((math.sqrt(var) / r["mean"]) ** -1.086, 0.05), r, None]
+            open_fits[r["variable"], "weibull"] = [max((math.sqrt(var) / r["mean"]) ** -1.086, 0.05), r, None, False]
         if 0 < r["low"] and r["high"] < 1:
             out.append((r["variable"], "beta", *beta_fit(r["mean"], var, r["log_mean"], r["log_rest"]), r["n"]))
         if r["whole"] and r["low"] >= 0 and var > r["mean"]:
-            open_fits[r["variable"], "negative_binomial"] = [r["mean"] ** 2 / (var - r["mean"]), r, None]
+            open_fits[r["variable"], "negative_binomial"] = [r["mean"] ** 2 / (var - r["mean"]), r, None, False]
     # Powers are of value / highest value, so that no sum overflows.
     u, k = F.ln(v) - F.ln("high"), F.col("at")
     power = w * F.exp(k * u)
@@ -120,9 +120,10 @@ def mle_fits(df: DataFrame, variables: Sequence[str], *, tolerance: float = 1e-9
             else:
                 g, h = r["d1"] / of["n"] + math.log(x / (x + of["mean"])), r["d2"] / of["n"] + 1 / x - 1 / (x + of["mean"])
                 b = x / (x + of["mean"])
-            if abs(g) < tolerance:
+            if abs(g) < tolerance and (abs(g / h) < 1e-10 * x or f[3]):
                 f[2] = (x, b, abs(g))
             else:
+                f[3] = abs(g) < tolerance  # one more step: a small gradient may still be some way off
                 step = g / h
                 f[0] = x - step if x / 4 < x - step < 4 * x else (x / 2 if step > 0 else x * 2)
     unfinished = [name for name, f in open_fits.items() if f[2] is None]
