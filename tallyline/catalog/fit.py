@@ -140,6 +140,34 @@ def anderson_darling(spark, folder):
     return ops.anderson_darling(item(spark, folder), VARS).withColumn("ad", F.rint(F.col("ad") * 1e3) / 1e3)
 
 
+# A rational approximation of the normal quantile, good to 1e-9, for the middle and for the tails.
+_MIDDLE = ((-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02, 1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00),
+           (-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02, 6.680131188771972e+01, -1.328068155288572e+01, 1.0))
+_TAIL = ((-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00, -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00),
+         (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754408661907416e+00, 1.0))
+
+
+def _poly(values, x):
+    out = str(values[0])
+    for v in values[1:]:
+        out = f"({out} * {x} + {v})"
+    return out
+
+
+# The sorted rows one by one, each with its own score, those of the lower half turned over; the tail of the normal by Simpson's rule.
+@query("shapiro_francia", f"""
+WITH r AS (SELECT variable, value, row_number() OVER (PARTITION BY variable ORDER BY value) AS i, COUNT(*) OVER (PARTITION BY variable) AS n, AVG(value) OVER (PARTITION BY variable) AS mu FROM item_long WHERE value IS NOT NULL),
+q AS (SELECT *, (LEAST(i, n + 1 - i) - 0.375) / (n + 0.25) AS p, CASE WHEN 2 * i > n THEN -1.0 ELSE 1.0 END AS side FROM r),
+t AS (SELECT *, sqrt(-2 * ln(p)) AS g, p - 0.5 AS y, (p - 0.5) * (p - 0.5) AS y2 FROM q),
+m AS (SELECT *, side * CASE WHEN p < 0.02425 THEN {_poly(_TAIL[0], 'g')} / {_poly(_TAIL[1], 'g')} ELSE y * {_poly(_MIDDLE[0], 'y2')} / {_poly(_MIDDLE[1], 'y2')} END AS score FROM t),
+w AS (SELECT variable, COUNT(*) AS n, LEAST(pow(SUM((value - mu) * score), 2) / (SUM(score * score) * SUM((value - mu) * (value - mu))), 1.0) AS w, ln(COUNT(*)) AS u FROM m GROUP BY variable),
+z AS (SELECT *, (ln(1 - w) - (-1.2725 + 1.0521 * (ln(u) - u))) / (1.0308 - 0.26758 * (ln(u) + 2 / u)) AS z FROM w),
+p AS (SELECT *, (SELECT SUM(CASE WHEN k = 0 OR k = 4000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(GREATEST(z, -10) + k * 0.005, 2) / 2)) FROM generate_series(0, 4000) AS s(k)) * 0.005 / 3 / sqrt(2 * pi()) AS p FROM z)
+SELECT variable, n, {R('w')} AS w, {R('z', 3)} AS z, {R('p')} AS p, p > 0.05 AS is_normal FROM p""", ("item", "item_long"))
+def shapiro_francia(spark, folder):
+    return ops.shapiro_francia(item(spark, folder), VARS).withColumn("z", F.rint(F.col("z") * 1e3) / 1e3)
+
+
 @query("histogram", f"""
 SELECT CAST(l_quantity - (SELECT MIN(l_quantity) FROM item) AS BIGINT) AS bin, {R('l_quantity')} AS "left", {R('l_quantity + 1')} AS "right",
   CAST(COUNT(*) AS DOUBLE) AS weight, {R('COUNT(*) * 1.0 / (SELECT COUNT(*) FROM item)')} AS density,
@@ -208,6 +236,27 @@ def kde_bounded(spark, folder):
     return ops.kde_grid(pct(spark, folder), "pct", 300, bandwidth_scale=1.8, clip_unit=True)
 
 
+# Prices take many values: divided between nodes, and again compared value by value.
+fx.SQL["price_in"] = "SELECT l_extendedprice AS v FROM lineitem WHERE l_extendedprice IS NOT NULL"
+fx.SQL["price_limits"] = "SELECT COUNT(*) AS n, STDDEV_SAMP(v) * pow(COUNT(*), -0.2) AS h, MIN(v) AS lo, LEAST(MAX(v), 1.2 * quantile_cont(v, 0.95)) AS hi FROM price_in"
+KDE_TOLERANCE = 1e-4
+
+
+# Densities of prices are small: given as a share of a kernel's peak.
+@query("kde_binned", f"""
+WITH g AS (SELECT *, sqrt(8 * {KDE_TOLERANCE}) * h AS gap FROM price_limits),
+c AS (SELECT floor((v - lo) / gap) AS node, (v - lo) / gap - floor((v - lo) / gap) AS share, lo, gap FROM price_in, g),
+b AS (SELECT lo + node * gap AS v, SUM(w) AS w FROM (SELECT node, 1 - share AS w, lo, gap FROM c UNION ALL SELECT node + 1, share, lo, gap FROM c) x GROUP BY node, lo, gap)
+SELECT point, {R('ANY_VALUE(lo + point * (hi - lo) / 199.0)', 3)} AS x, {R('SUM(w * exp(-pow((v - (lo + point * (hi - lo) / 199.0)) / h, 2) / 2)) / ANY_VALUE(n)')} AS peak_share
+FROM b, g, generate_series(0, 199) AS s(point) GROUP BY point""", ("price_in", "price_limits"))
+def kde_binned(spark, folder):
+    rows = fx.table(spark, folder, "lineitem").select("l_extendedprice")
+    n, s = F.count("l_extendedprice").cast("double"), F.stddev_samp("l_extendedprice")
+    peak = rows.agg(1 / (s * F.pow(n, F.lit(-0.2)) * F.sqrt(2 * F.pi()))).scalar()
+    table = ops.kde_grid(rows, "l_extendedprice", tolerance=KDE_TOLERANCE)
+    return table.select("point", (F.rint(F.col("x") * 1e3) / 1e3).alias("x"), (F.col("density") / peak).alias("peak_share"))
+
+
 def _box(source, value, by=None):
     key = f"{by}, " if by else ""
     part = f"PARTITION BY {by}" if by else ""
