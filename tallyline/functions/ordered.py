@@ -150,14 +150,35 @@ def with_row_frames(
     return finish(repeated.withColumns(columns(spec)).filter(own))
 
 
-def join_spread(left: DataFrame, right: DataFrame, keys: Sequence[str], salts: int = 8) -> DataFrame:
+def heavy_keys(df: DataFrame, keys: Sequence[str], tasks: int) -> dict[int, int]:
+    """Hash of each key that holds more rows than an even share of `tasks`, and how many shares it holds, rounded up.
+
+    Counted by a map-side sketch of bounded size, so that a table's keys are never shuffled for it.  Fewer than `tasks` keys
+    can exceed a share, which bounds what the driver is told.
+    """
+    key = F.xxhash64(*[F.col(f"`{k}`") for k in keys]).alias("_k")
+    room = 1 << max(10, (16 * tasks - 1).bit_length())
+    told = df.select(key).agg(F.count(F.lit(1)).alias("rows"), F.expr(f"approx_top_k(_k, {tasks}, {room})").alias("top")).first()
+    share = max(1.0, told["rows"] / tasks)
+    return {r["item"]: math.ceil(r["count"] / share) for r in told["top"] or [] if r["count"] > share}
+
+
+def join_spread(left: DataFrame, right: DataFrame, keys: Sequence[str], tasks: int | None = None) -> DataFrame:
     """Inner join to a table with one row per key, a hot key's rows going to several tasks.
 
-    A grouping by the same keys right after a plain join would keep a hot key in the
-    join's one partition.  The salt is a hash of the row, so a repeated task agrees.
+    A grouping by the same keys right after a plain join would keep a hot key in the join's one partition.  Keys with more
+    rows of `left` than an even share of the tasks (the session's shuffle partitions) are found by a sketch; each is dealt
+    over as many salts as it holds shares, and only its row of `right` is repeated.  Without one this is a plain join.  The
+    salt is a hash of the row, so a repeated task agrees.  A NULL key meets nothing.
     """
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    tasks = tasks or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = heavy_keys(left.dropna(subset=list(keys)), keys, tasks)
+    if not heavy:
+        return left.join(right, list(keys))
+    table = F.create_map(*[F.lit(x) for pair in heavy.items() for x in pair])
+    salts = F.coalesce(F.try_element_at(table, F.xxhash64(*[F.col(f"`{k}`") for k in keys])), F.lit(1))
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), salts).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return salted.join(copies, [*keys, "_salt"]).drop("_salt")
 
 
