@@ -20,8 +20,10 @@ from .common import keyed_text, labelled_sample, map_batches
 
 BITS = 18
 MEMO = 400_000
-# Longer tokens, as in writing without blanks or in encoded data, are read in pieces, so that all of them counts.
-LONG, PIECE = 64, 2
+# Every token is read in pieces of so many characters, the last one shorter: words of writing without blanks or encoded data
+# would else each be a feature of its own that no other text has.
+PIECE = 8
+EPOCHS = 2000
 _WORD = re.compile(r"[^\W\d_]+")
 _KINDS = re.compile(r"([A-ZÀ-ÖØ-Þ]+)|([^\W\d_A-ZÀ-ÖØ-Þ]+)|(\d+)|(\s+)")
 _EDGE = ".,;:!?\"'()[]"
@@ -34,15 +36,14 @@ def shape(token: str) -> str:
 
 
 class Tokens(dict):
-    """Maps a token to the hashes of its word and of its shape, packed into one number; a bounded memo."""
+    """Maps a piece to the hashes of its word and of its shape, packed into one number; a bounded memo."""
 
     def __missing__(self, token: str) -> int:
         word = token.strip(_EDGE).lower()
         value = zlib.crc32(word.encode()) << 31 | zlib.crc32(shape(token).encode()) >> 1
-        if len(token) <= LONG:
-            if len(self) >= MEMO:
-                self.clear()
-            self[token] = value
+        if len(self) >= MEMO:
+            self.clear()
+        self[token] = value
         return value
 
 
@@ -60,11 +61,8 @@ def _bucket(kind: int, *parts: np.ndarray) -> np.ndarray:
 
 
 def cut(text: str) -> list[str]:
-    """The tokens of a text; a token of more than LONG characters is its consecutive pieces of PIECE characters."""
-    tokens = text.split()
-    if all(len(t) <= LONG for t in tokens):
-        return tokens
-    return [piece for t in tokens for piece in ([t] if len(t) <= LONG else [t[i:i + PIECE] for i in range(0, len(t), PIECE)])]
+    """The tokens of a text, each as its consecutive pieces of PIECE characters."""
+    return [piece for t in text.split() for piece in ([t] if len(t) <= PIECE else [t[i:i + PIECE] for i in range(0, len(t), PIECE)])]
 
 
 def indicators(text: str) -> np.ndarray:
@@ -89,11 +87,11 @@ def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray, smoothing: floa
     return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: int = 30, tolerance: float = 0.01) -> tuple[np.ndarray, float]:
+def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: int = EPOCHS, tolerance: float = 0.01) -> tuple[np.ndarray, float]:
     """Weights and bias of min |w|^2/2 + cost * sum max(0, 1 - y (w x + b)), the bias being a feature of value one.
 
     Each step solves one dual variable exactly; it ends when the projected gradients of an epoch differ by less than
-    `tolerance`.
+    `tolerance`, and raises an error if they still do not after `epochs`.
     """
     weights, bias = np.zeros(1 << BITS), 0.0
     y = np.where(labels > 0, 1.0, -1.0)
@@ -115,9 +113,9 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], la
                 step = (alpha[i] - before) * y[i]
                 weights[row] += step * value
                 bias += step
-        if high - low < tolerance:
-            break
-    return weights, bias
+        if high - low < tolerance or not len(order):
+            return weights, bias
+    raise ArithmeticError(f"the linear model did not converge in {epochs} epochs")
 
 
 class QualityModel:
@@ -135,18 +133,27 @@ class QualityModel:
 
 
 def logistic_map(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Platt's map (slope, shift) with his smoothed targets, by damped Newton steps."""
+    """Platt's map (slope, shift) with his smoothed targets, by Newton steps, each halved until the loss falls."""
     positive, negative = float((labels > 0).sum()), float((labels <= 0).sum())
     target = np.where(labels > 0, (positive + 1) / (positive + 2), 1 / (negative + 2))
-    design, theta = np.stack([margins, np.ones(len(margins))]), np.zeros(2)
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(theta @ design, -50, 50)))
-        hessian = (design * (p * (1 - p))) @ design.T + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hessian, design @ (target - p) - 1e-3 * theta)
-        theta += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(theta[0]), float(theta[1])
+    design, theta, ridge = np.stack([margins, np.ones(len(margins))]), np.zeros(2), 1e-3
+
+    def loss(at: np.ndarray) -> float:
+        odds = at @ design
+        return float(np.logaddexp(0, odds).sum() - target @ odds + ridge / 2 * at @ at)
+
+    now = loss(theta)
+    for _ in range(1000):
+        p = 1 / (1 + np.exp(-np.clip(theta @ design, -700, 700)))
+        hessian = (design * (p * (1 - p))) @ design.T + ridge * np.eye(2)
+        step = np.linalg.solve(hessian, design @ (target - p) - ridge * theta)
+        # Below this the loss differs by less than its own rounding.
+        if np.abs(step).max() < 1e-7 * (1 + np.abs(theta).max()):
+            return float(theta[0]), float(theta[1])
+        while (then := loss(theta + step)) > now and np.abs(step).max() > 1e-12:
+            step = step / 2
+        theta, now = theta + step, then
+    raise ArithmeticError("the logistic map did not converge")
 
 
 def train(rows: list[np.ndarray], labels: np.ndarray, min_rows: int = 3, folds: int = 5) -> QualityModel:
