@@ -305,7 +305,8 @@ def packed(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # one row for each length
     slots = pieces.sparkSession.sparkContext.broadcast(pack_histogram(totals, capacity).arrays())
-    ranked = pieces.join(bases, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("base")).drop("base", "part")
+    # One row for each task and length: it grows with the tasks, so it is never sent to all of them.
+    ranked = pieces.join(bases.hint("merge"), ["part", "length"]).withColumn("rank", F.col("rank") + F.col("base")).drop("base", "part")
     names = ranked.columns
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
