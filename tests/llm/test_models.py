@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -176,6 +177,45 @@ def test_quality_reads_the_whole_of_long_tokens(spark):
     assert all((scores[i] >= 0.5) == bool(i % 2) for i in scores if zlib.crc32(str(i).encode()) % 5 == 0)
 
 
+def test_quality_treats_all_lengths_alike():
+    """A character more at the end changes the last piece alone, at 64 characters as anywhere."""
+    token = "Ab3" * 50
+    assert quality.cut("") == [] and quality.cut("short words") == ["short", "words"]
+    for n in range(1, 149):
+        now, more = quality.cut(token[:n]), quality.cut(token[:n + 1])
+        assert "".join(now) == token[:n] and now[:len(more) - 1] == more[:-1] and {len(p) for p in more[:-1]} <= {quality.PIECE}
+
+
+def test_unfinished_fits_raise():
+    rows, values = [np.arange(2, dtype=np.int32)] * 40, list(np.random.default_rng(4).normal(size=(40, 2)))
+    labels = np.arange(40) % 2
+    with pytest.raises(ArithmeticError):
+        quality.dual_coordinate_descent(rows, values, labels, epochs=1, tolerance=1e-12)
+    w, b = quality.dual_coordinate_descent(rows, values, labels)
+    assert np.isfinite(w).all() and np.isfinite(b)
+
+
+def test_logistic_map_at_its_optimum():
+    rng = np.random.default_rng(2)
+    for margins in (rng.normal(size=60) * 3, np.arange(60) - 30.0, np.zeros(60), rng.normal(size=60) * 1e3):
+        labels = (margins + rng.normal(size=60) > 0).astype(int)
+        slope, shift = quality.logistic_map(margins, labels)
+        n = labels.sum()
+        target = np.where(labels > 0, (n + 1) / (n + 2), 1 / (60 - n + 2))
+        left = target - 1 / (1 + np.exp(-np.clip(slope * margins + shift, -700, 700)))
+        assert abs(left @ margins - 1e-3 * slope) < 1e-3 * (1 + np.abs(margins).sum()) and abs(left.sum() - 1e-3 * shift) < 1e-3
+
+
+def test_decoding_of_long_runs_is_linear():
+    model = toxicity.CharModel([(a, b, 3) for a, b in toxicity.CharModel.grams("trash")])
+    took = []
+    for n in (4_000, 32_000):
+        begin = time.process_time()
+        assert set(toxicity.decode(("t r 4 s h " * n)[:n], model))
+        took.append(time.process_time() - begin)
+    assert took[1] < 24 * took[0]
+
+
 def test_dual_coordinate_descent():
     """At the optimum no margin row is wrongly bounded: the duality gap closes."""
     rng = np.random.default_rng(1)
