@@ -271,6 +271,51 @@ def test_clean_texts(judged, text):
     assert judged[3].score(text) < 0.3
 
 
+def test_families(spark):
+    """One word of a family says nothing where two different ones are toxic; repeats of a word are one word."""
+    rng, ends = random.Random(12), "ba ne ti so mar lu ki do fe gu".split()
+    rows, labels = [], []
+    for i in range(500):
+        bad = i % 5 == 0
+        kin = rng.sample(ends, rng.randint(2, 4) if bad else rng.randint(0, 1))
+        tokens = prose(rng).split() + ["vorrel" + e for e in kin] + ["vorrel" + e for e in kin[:1]]
+        rng.shuffle(tokens)
+        rows.append((i, " ".join(tokens)))
+        labels.append((i, int(bad)))
+    frame, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit_labels(frame, marks, lambda c: remainder(c, 4) != 2)
+    assert any(f.endswith("+") and "vorrel".startswith(f[:-1]) for f in model.weights)
+    scores = {r["id"]: r["score"] for r in toxicity.toxicity(frame, model).collect()}
+    held = [i for i in range(500) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all((scores[i] >= 0.3) == (i % 5 == 0) for i in held)
+    assert model.score("ba vorrelne vorrelne! soti") < 0.3 <= model.score("ba vorrelne soti VORRELKI!")
+    assert sorted(toxicity.families(["abcd", "abce", "abc", "xyz"])) == ["abc+"] and toxicity.families([]) == []
+
+
+def test_weights_are_at_their_optimum():
+    rng = random.Random(13)
+    held = [sorted(rng.sample(range(5), rng.randint(0, 3))) for _ in range(200)]
+    y = np.array([float(rng.random() < (0.9 if 4 in h else 0.1 + 0.2 * len(h))) for h in held])
+    weights = np.array([2.0, 1.0, 3.0, 2.5, 0.5])
+    adds, shift = toxicity.logistic(held, y, weights)
+    design = np.array([[float(f in h) for f in range(5)] for h in held] + [[0.0] * 5] * 2)
+    labels, counts = np.append(y, [0.0, 1.0]), np.append(np.ones(200), [0.5, 0.5])
+
+    def loss(own, slope, moved):
+        z = design @ (slope * weights + own) + moved
+        return counts @ (np.logaddexp(0, z) - labels * z) + 0.5 * (own @ own + 1e-3 * (slope ** 2 + moved ** 2))
+
+    # The best split of what a feature adds between the slope and its own part.
+    slope = (weights @ adds) / (weights @ weights + 1e-3)
+    best = loss(adds - slope * weights, slope, shift)
+    steps = np.random.default_rng(1)
+    for _ in range(300):
+        own, moved = adds - slope * weights + steps.normal(size=5) * 0.02, shift + steps.normal() * 0.02
+        assert loss(own, slope + steps.normal() * 0.02, moved) >= best - 1e-9
+    adds, shift = toxicity.logistic([[], []], np.array([0.0, 1.0]), np.zeros(0))
+    assert len(adds) == 0 and abs(shift) < 1e-6
+
+
 def test_restored(judged):
     model = judged[3].reader().model
     assert toxicity.restored("the 8r0lk and z i n t u p", model).endswith("zintup") and "brolk" in toxicity.restored("the 8r0lk", model)
