@@ -26,20 +26,26 @@ _SEED = 42  # fixed value of the contract
 _LEAF = 256
 
 
-def fingerprint(text: bytes, shingle_words: int) -> int:
-    """64 bits; a bit is set when more than half of the shingle hashes have it, repeats counted; no words give zero."""
+def shingles(text: bytes, shingle_words: int) -> np.ndarray:
+    """A hash of each shingle, repeats included; of fewer words the whole sequence is one, of no words there is none."""
     words = text.translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) < shingle_words:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), _SEED)], np.uint64)
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
-        ends = ends.tolist()
-        digest, last = xxhash.xxh64_intdigest, shingle_words - 1
-        hashes = np.fromiter((digest(joined[a:b], _SEED) for a, b in zip(starts, ends[last:])), np.uint64, len(words) - last)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), _SEED)], np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
+    ends = ends.tolist()
+    digest, last = xxhash.xxh64_intdigest, shingle_words - 1
+    return np.fromiter((digest(joined[a:b], _SEED) for a, b in zip(starts, ends[last:])), np.uint64, len(words) - last)
+
+
+def fingerprint(text: bytes, shingle_words: int) -> int:
+    """64 bits; a bit is set when more than half of the shingle hashes have it, repeats counted; no words give zero."""
+    hashes = shingles(text, shingle_words)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 100_000):
         bits = np.unpackbits(hashes[at:at + 100_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -269,3 +275,60 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     stays = places.join(members, same_key(F.col("id"), F.col("kept_id")) & (F.col("fp") == F.col("kept_fp")))
     first = stays.groupBy("kept_id", F.when(F.col("kept_id").isNull(), F.col("fp")).alias("print")).agg(F.min("at").alias("_at"))
     return rows.unionByName(again.join(first, again[row] == first["_at"], "left_semi").drop(row))
+
+
+def views(hashes: np.ndarray, count: int, width: int) -> list[int]:
+    """`count` keys of a set of hashes, each of the smallest ones under `width` permutations: two sets share a key with the
+    probability similarity ** width."""
+    factors = np.random.default_rng(_SEED).integers(0, 2**63, count * width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(count * width, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        least = np.minimum(least, (hashes[at:at + 4096, None] * factors).min(axis=0))
+    return [xxhash.xxh64_intdigest(key.tobytes(), _SEED) for key in least.reshape(count, width)]
+
+
+def similar_links(rows: DataFrame, similarity: float = 0.8, shingle_words: int = 5, count: int = 12, width: int = 4) -> DataFrame:
+    """(a, b): pairs of `place` of (place, text) whose sets of shingles have at least `similarity` (Jaccard), each checked on
+    the whole sets.
+
+    Texts that share a key of `views` form a group.  Each is compared with two of its group, the first by place and the first
+    by a hash that differs from view to view, so pairs follow the texts however large a group is.  A pair of which neither
+    text is the first of a shared group is found only where both link to a third.  Texts without words link to none.
+    """
+    def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(shingles(t.encode(), shingle_words)) for t in batch.column(1).to_pylist()]
+        keys = [np.array(views(h, count, width) if len(h) else [], np.uint64).view(np.int64) for h in sets]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["place", "size", "views"])
+
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(shingles(t.encode(), shingle_words)).view(np.int64) for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["place", "hashes"])
+
+    made = stored(map_batches(rows.select("place", "text"), sketch, "place bigint, size bigint, views array<bigint>"))
+    keyed = made.select(F.struct("place", "size").alias("own"), F.posexplode("views").alias("view", "key"))
+    groups = keyed.groupBy("view", "key").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("first"), F.min_by("own", F.xxhash64("own.place", "view")).alias("other"))
+    met = keyed.join(groups.filter("n > 1").drop("n"), ["view", "key"]).select("own", F.explode(F.array_distinct(F.array("first", "other"))).alias("with"))
+    fits = F.least("own.size", "with.size") >= F.lit(similarity) * F.greatest("own.size", "with.size")
+    pairs = met.filter((F.col("own.place") != F.col("with.place")) & fits)
+    pairs = stored(pairs.select(F.greatest("own.place", "with.place").alias("a"), F.least("own.place", "with.place").alias("b")).distinct())
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
+    sets = stored(map_batches(rows.join(asked, F.col("place") == F.col("asked"), "left_semi").select("place", "text"), whole, "place bigint, hashes array<bigint>"))
+    one, two = (sets.select(F.col("place").alias(c), F.col("hashes").alias(f"{c}_set")) for c in "ab")
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    return pairs.join(one, "a").join(two, "b").filter(both >= F.lit(similarity) * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
+
+
+def keep_unlike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of `docs` of each group linked by `similar_links`, the one with the smallest id; columns unchanged.
+
+    A NULL text counts as empty and stays, as do texts without words.  A NULL id counts as larger than any.  Rows repeating
+    an id are rows of their own; of equal ids in one group any one stays.  An empty table gives an empty one.
+    """
+    place = unused("place", docs.columns)
+    rows = stored(docs.withColumn(place, F.monotonically_increasing_id()))
+    texts = rows.select(F.col(place).alias("place"), F.coalesce(named(text_col), F.lit("")).alias("text"))
+    groups = stored(components(similar_links(texts, **options)))
+    ids = rows.select(F.col(place).alias("node"), named(id_col).alias("id")).join(groups, "node")
+    first = ids.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("first"))
+    gone = groups.join(first, "label").filter("node <> first.node").select(F.col("node").alias("_gone"))
+    return rows.join(gone, rows[place] == gone["_gone"], "left_anti").drop(place)

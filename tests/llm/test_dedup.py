@@ -1,16 +1,20 @@
 """Exact, line and near deduplication against brute force."""
 
+import random
 import re
 from collections import defaultdict
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tallyline.llm import simhash
 from tallyline.llm.exact_dedup import FuseFilter, exact_dedup, keep_first
 from tallyline.llm.line_dedup import dedup_lines
 
+from .conftest import sentence
+
 
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 100, 5_000, 60_000])
 def test_fuse_filter(n):
@@ -183,3 +187,44 @@ def test_shards_stay_small(spark, monkeypatch):
     _, leaf, home = tree.place(values, 0)
     sizes = np.bincount(leaf[home])
     assert sampled == 16 * 120 and (sizes > 0).sum() > 100 and sizes.max() <= 5 * 50
+
+
+# ---- similar shingles
+
+def five_words(text):
+    ws = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    return {" ".join(ws[i:i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+
+def test_keep_unlike(spark, docs, none, odd):
+    """Links are exact, nearly all copies of similarity 0.8 or more of a text go, the others stay."""
+    rng = random.Random(21)
+    rows = []
+    for family in range(60):
+        base = sentence(rng, rng.randint(60, 200)).split()
+        rows.append((len(rows) * 10, " ".join(base)))
+        for _ in range(rng.randint(0, 6)):
+            copy = list(base)
+            for _ in range(rng.randint(1, 8)):
+                copy[rng.randrange(len(copy))] = "other"
+            rows.append((len(rows) * 10, " ".join(copy)))
+    rows += [(9_999_990 + i, t) for i, t in enumerate(["", None, "few words", "Few  words"])]
+    sets = [five_words(t) for _, t in rows]
+    like = lambda x, y: bool(x and y) and 5 * len(x & y) >= 4 * len(x | y)
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "place long, text string").repartition(5)
+    frame = frame.withColumn("text", F.coalesce("text", F.lit("")))
+    links = {(r["a"], r["b"]) for r in simhash.similar_links(frame).collect()}
+    assert links and all(a > b and like(sets[a], sets[b]) for a, b in links)
+    root = list(range(len(rows)))
+    found = list(range(len(rows)))
+    for labels, pairs in ((root, [(a, b) for a in range(len(rows)) for b in range(a) if like(sets[a], sets[b])]), (found, sorted(links))):
+        for a, b in pairs:
+            old, new = sorted((labels[a], labels[b]))[::-1]
+            labels[:] = [new if v == old else v for v in labels]
+    assert sum(f != i for i, f in enumerate(found)) >= 0.97 * sum(r != i for i, r in enumerate(root)) > 30
+    kept = simhash.keep_unlike(spark.createDataFrame(rows, "doc_id long, text string").withColumn("place", F.lit("x")))
+    assert kept.columns == ["doc_id", "text", "place"]
+    ids = sorted(r["doc_id"] for r in kept.collect())
+    assert ids == sorted(i for n, (i, _) in enumerate(rows) if found[n] == n)
+    assert simhash.keep_unlike(none).count() == 0 and simhash.keep_unlike(docs).columns == docs.columns
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in simhash.keep_unlike(odd.fillna("")).collect()) == [(-1, ""), (5, "alpha beta gamma delta"), (5, "another text here now"), (6, "")]
