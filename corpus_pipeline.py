@@ -9,7 +9,7 @@ from tallyline.llm.decontaminate import keep_clean
 from tallyline.llm.exact_dedup import keep_first
 from tallyline.llm.packing import pack_documents
 from tallyline.llm.queries import PACKING_TOKENIZER, TOXIC_FOLDS, TOXIC_HELD_OUT, public_tokenizer, table
-from tallyline.llm.simhash import keep_one
+from tallyline.llm.simhash import keep_one, keep_unlike
 from tallyline.llm.toxicity import fit_labels, keep_mild
 
 
@@ -25,8 +25,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by fingerprints the smallest id stays."""
-    return keep_one(docs)
+    """Of documents linked by fingerprints the smallest id stays, then of those that share 0.8 of their five-word shingles."""
+    return keep_unlike(keep_one(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
