@@ -1,4 +1,8 @@
-"""Documents to training sequences, in stages; each stage's rows are written as Parquet and read as the next one's documents."""
+"""Documents to training sequences, in stages; each stage's rows are written as Parquet and read as the next one's documents.
+
+In every stage a NULL text counts as empty, a NULL id is an id of its own, rows repeating an id are judged each by their own
+text, ties go to the smallest id, an empty table gives an empty one, and further columns pass unread until the last stage.
+"""
 
 from __future__ import annotations
 
