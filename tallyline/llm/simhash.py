@@ -287,35 +287,97 @@ def views(hashes: np.ndarray, count: int, width: int) -> list[int]:
     return [xxhash.xxh64_intdigest(key.tobytes(), _SEED) for key in least.reshape(count, width)]
 
 
-def similar_links(rows: DataFrame, similarity: float = 0.8, shingle_words: int = 5, count: int = 12, width: int = 4) -> DataFrame:
+def similar_links(
+    rows: DataFrame, similarity: float = 0.8, shingle_words: int = 5, count: int = 12, width: int = 4, rounds: int = 4, block_rows: int = 2_000
+) -> DataFrame:
     """(a, b): pairs of `place` of (place, text) whose sets of shingles have at least `similarity` (Jaccard), each checked on
     the whole sets.
 
-    Texts that share a key of `views` form a group.  Each is compared with two of its group, the first by place and the first
-    by a hash that differs from view to view, so pairs follow the texts however large a group is.  A pair of which neither
-    text is the first of a shared group is found only where both link to a third.  Texts without words link to none.
+    Texts that share a key of `views` form a group.  The links given join whatever all pairs of all groups would join: texts
+    of equal sets are one from the start; in each of a few rounds a text is compared with one or two of its group that it is
+    not yet joined to, so that pairs follow the texts; then every pair left of texts of one group that are not joined is
+    compared, a group being met block by block.  Pairs already joined, through others too, need no comparison.  Texts
+    without words link to none.
     """
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [np.unique(shingles(t.encode(), shingle_words)) for t in batch.column(1).to_pylist()]
         keys = [np.array(views(h, count, width) if len(h) else [], np.uint64).view(np.int64) for h in sets]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["place", "size", "views"])
+        digests = [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+            ["place", "size", "digest", "views"])
+
+    made = stored(map_batches(rows.select("place", "text"), sketch, "place bigint, size bigint, digest binary, views array<bigint>").filter("size > 0"))
+    firsts = stored(made.groupBy("digest").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")))
+    equal = made.select("place", "digest").join(firsts.filter("n > 1"), "digest").filter("place <> first").select(F.col("place").alias("a"), F.col("first").alias("b"))
+    links = [stored(equal)]
+    alone = made.join(firsts.select(F.col("first").alias("place")), "place", "left_semi")
+    keyed = alone.select("place", "size", F.posexplode("views").alias("view", "key"))
+    groups = keyed.groupBy("view", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = stored(keyed.join(groups.drop("n"), ["view", "key"]).withColumn("label", F.col("place")))
+    for at in range(rounds + 1):
+        sizes = members.groupBy("view", "key", "label").agg(F.count(F.lit(1)).alias("n"))
+        waiting = sizes.groupBy("view", "key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("joined"))
+        told = waiting.agg(F.sum("n").alias("members"), F.sum((F.col("n") * F.col("n") - F.col("joined")) / 2).alias("pairs")).first()
+        if not told["pairs"]:
+            break
+        last = at == rounds or told["pairs"] <= told["members"]
+        found = _alike(rows, _rest(members, similarity, block_rows) if last else _some(members, similarity, at), similarity, shingle_words)
+        links.append(found)
+        if last:
+            break
+        labels = members.select("place", "label").distinct()
+        one, two = (labels.select(F.col("place").alias(c), F.col("label").alias(f"_{c}")) for c in "ab")
+        joined_ = components(found.join(one, "a").join(two, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+        moved = members.join(joined_.select(F.col("label").alias("_to"), F.col("node").alias("label")), "label", "left")
+        moved = moved.select("view", "key", "place", "size", F.coalesce("_to", "label").alias("label"))
+        # Groups that are joined throughout are done.
+        open_ = moved.groupBy("view", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("view", "key")
+        members = stored(moved.join(open_, ["view", "key"]))
+    out = links[0]
+    for more in links[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _pairs(met: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of (own, with) that are not joined and of sizes that can be as similar."""
+    fits = F.least("own.size", "with.size") >= F.lit(similarity) * F.greatest("own.size", "with.size")
+    pairs = met.filter((F.col("own.label") != F.col("with.label")) & fits)
+    return stored(pairs.select(F.greatest("own.place", "with.place").alias("a"), F.least("own.place", "with.place").alias("b")).distinct())
+
 
+def _some(members: DataFrame, similarity: float, at: int) -> DataFrame:
+    """Each member of a group with two of the group, of different labels: the first by place in the first round, else by hashes."""
+    own = F.struct("place", "size", "label")
+    by = F.col("place") if at == 0 else F.xxhash64("label", F.lit(at))
+    ends = members.groupBy("view", "key").agg(F.min_by(own, by).alias("low"), F.max_by(own, by).alias("high"))
+    few = F.array("low") if at == 0 else F.array("low", "high")
+    return _pairs(members.select("view", "key", own.alias("own")).join(ends, ["view", "key"]).select("own", F.explode(few).alias("with")), similarity)
+
+
+def _rest(members: DataFrame, similarity: float, block_rows: int) -> DataFrame:
+    """All pairs of a group that are not joined; every two blocks of a large group meet apart, so that no task holds more of it."""
+    groups = members.groupBy("view", "key").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    dealt = members.join(groups, ["view", "key"]).withColumn("block", F.pmod(F.xxhash64("place"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "view", "key", F.least("block", "to").alias("one"), F.greatest("block", "to").alias("two"), "block", F.struct("place", "size", "label").alias("own"))
+    other = met.withColumnsRenamed({"own": "with", "block": "_block"})
+    both = met.join(other, ["view", "key", "one", "two"]).filter((F.col("own.place") > F.col("with.place")) & ((F.col("one") == F.col("two")) | (F.col("block") != F.col("_block"))))
+    return _pairs(both, similarity)
+
+
+def _alike(rows: DataFrame, pairs: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
+    """The pairs (a, b) of `place` whose whole sets are as similar."""
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [np.unique(shingles(t.encode(), shingle_words)).view(np.int64) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["place", "hashes"])
 
-    made = stored(map_batches(rows.select("place", "text"), sketch, "place bigint, size bigint, views array<bigint>"))
-    keyed = made.select(F.struct("place", "size").alias("own"), F.posexplode("views").alias("view", "key"))
-    groups = keyed.groupBy("view", "key").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("first"), F.min_by("own", F.xxhash64("own.place", "view")).alias("other"))
-    met = keyed.join(groups.filter("n > 1").drop("n"), ["view", "key"]).select("own", F.explode(F.array_distinct(F.array("first", "other"))).alias("with"))
-    fits = F.least("own.size", "with.size") >= F.lit(similarity) * F.greatest("own.size", "with.size")
-    pairs = met.filter((F.col("own.place") != F.col("with.place")) & fits)
-    pairs = stored(pairs.select(F.greatest("own.place", "with.place").alias("a"), F.least("own.place", "with.place").alias("b")).distinct())
     asked = pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
     sets = stored(map_batches(rows.join(asked, F.col("place") == F.col("asked"), "left_semi").select("place", "text"), whole, "place bigint, hashes array<bigint>"))
     one, two = (sets.select(F.col("place").alias(c), F.col("hashes").alias(f"{c}_set")) for c in "ab")
     both = F.size(F.array_intersect("a_set", "b_set"))
-    return pairs.join(one, "a").join(two, "b").filter(both >= F.lit(similarity) * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
+    return stored(pairs.join(one, "a").join(two, "b").filter(both >= F.lit(similarity) * (F.size("a_set") + F.size("b_set") - both)).select("a", "b"))
 
 
 def keep_unlike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

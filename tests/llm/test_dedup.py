@@ -228,3 +228,39 @@ def test_keep_unlike(spark, docs, none, odd):
     assert ids == sorted(i for n, (i, _) in enumerate(rows) if found[n] == n)
     assert simhash.keep_unlike(none).count() == 0 and simhash.keep_unlike(docs).columns == docs.columns
     assert sorted((r["doc_id"] or -1, r["text"]) for r in simhash.keep_unlike(odd.fillna("")).collect()) == [(-1, ""), (5, "alpha beta gamma delta"), (5, "another text here now"), (6, "")]
+
+
+def test_pairs_without_a_first_text_are_linked(spark):
+    """All pairs that share a key are settled: the links join what comparing every pair would, whatever a group's first texts are."""
+    rng = random.Random(33)
+    rows, near = [], []
+    for _ in range(12):
+        words = sentence(rng, 400).split()
+        for version in range(8):  # versions differ too much from each other; each has two copies that link to it
+            mine = list(words)
+            for i in rng.sample(range(400), 14):
+                mine[i] = f"v{version}x{i}"
+            for copy in range(3):
+                text = list(mine)
+                for i in rng.sample(range(400), 2 * copy):
+                    text[i] = f"c{copy}"
+                rows.append(" ".join(text))
+    rng.shuffle(rows)
+    rows += rows[:3]
+    sets = [five_words(t) for t in rows]
+    keys = [dict(enumerate(simhash.views(np.unique(simhash.shingles(t.encode(), 5)), 12, 4))) for t in rows]
+    want = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if any(keys[a][v] == keys[b][v] for v in keys[a]) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                new, old = sorted((want[a], want[b]))
+                want = [new if w == old else w for w in want]
+    frame = spark.createDataFrame(list(enumerate(rows)), "place long, text string").repartition(4)
+    for options in ({}, {"rounds": 0, "block_rows": 3}, {"rounds": 1, "block_rows": 2}):
+        links = [tuple(r) for r in simhash.similar_links(frame, **options).collect()]
+        got = list(range(len(rows)))
+        for a, b in links:
+            assert a > b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+            new, old = sorted((got[a], got[b]))
+            got = [new if g == old else g for g in got]
+        assert got == want
