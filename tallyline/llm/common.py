@@ -81,17 +81,20 @@ def remainder(id_column: Column, modulus: int) -> Column:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, use: Callable[[Column], Column], fit_rows: int,
+    docs: DataFrame, labels: DataFrame, label: str, use: Callable[[Column], Column], fit_rows: int | None = None,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """(id, text, label): at most `fit_rows` labelled documents of which `use(id)` holds, chosen by a hash of the id.
+    """(id, text, label): the labelled documents of which `use(id)` holds, all of them or at most `fit_rows` chosen by a hash of the id.
 
-    The bound makes the chosen ids fit to broadcast, so that no text moves.  A missing label or id is no label; of several
+    A bound makes the chosen ids fit to broadcast, so that no text moves.  A missing label or id is no label; of several
     labels of a document the largest counts; of equal texts the one with the smallest id stays.
     """
     ids = labels.select(named(id_col).alias("labelled"), named(label).cast("int").alias("label")).filter("labelled IS NOT NULL AND label IS NOT NULL")
     chosen = ids.filter(use(F.col("labelled"))).groupBy("labelled").agg(F.max("label").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64(id_text(F.col("labelled"))), "labelled").limit(fit_rows)
     rows = keyed_text(docs, id_col, text_col)
-    met = rows.join(F.broadcast(chosen), rows["id"] == chosen["labelled"])
+    if fit_rows is None:
+        rows = rows.filter(use(F.col("id")))
+    else:
+        chosen = F.broadcast(chosen.orderBy(F.xxhash64(id_text(F.col("labelled"))), "labelled").limit(fit_rows))
+    met = rows.join(chosen, rows["id"] == chosen["labelled"])
     return met.groupBy(F.sha2("text", 256).alias("same")).agg(F.min(F.struct("id", "text", "label")).alias("r")).select("r.*")

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 
@@ -20,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import keyed_text, labelled_sample, map_batches, stored
+from .simhash import components, similar_links
 
 # What a character can stand for besides itself.
 LOOKALIKES = {
@@ -32,8 +32,12 @@ LOOKALIKE, REPEAT, MARK, BREAK = -0.5, -0.5, -0.7, -1.5
 SPLIT, GLUE = -1.5, "\0"
 ORDER = 5
 MEMO = 400_000
-# Texts of the sample count as one where half of their runs of SHINGLE words are the same, told from SKETCH hashes of each.
-SHINGLE, SKETCH, ALIKE = 5, 64, 0.5
+# Labelled texts count as one where half of their runs of SHINGLE words are the same; those of similarity 0.5 meet with a probability of 0.99.
+SHINGLE, ALIKE, VIEWS, WIDTH = 5, 0.5, 16, 2
+# Near copies of one text that a task holds together, and features it counts before it hands them on.
+TOGETHER, HELD = 256, 100_000
+# Up to this many different sets of features are fitted on the driver, more by sums over the tasks.
+LOCAL_SETS = 50_000
 
 _PLAIN = re.compile(r"[^\W\d_]+")
 _DECORATION = re.compile(r"([^\w\s])\1{2,}$")
@@ -338,88 +342,82 @@ def restored(text: str, model: CharModel) -> str:
     return re.sub(r"\S+", token, runs)
 
 
-def sketches(texts: list[str]) -> list[list[int]]:
-    """For each text the smallest hashes of its runs of SHINGLE words."""
-    out = []
-    for text in texts:
-        words = text.lower().split()
-        runs = {" ".join(words[i:i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
-        hashes = np.fromiter((zlib.crc32(r.encode()) for r in runs), np.uint64, len(runs)) * np.uint64(0x9E3779B97F4A7C15)
-        out.append(np.unique((hashes >> np.uint64(32)).astype(np.int64))[:SKETCH].tolist())
-    return out
-
-
-def alike(found: list[list[int]]) -> np.ndarray:
-    """For each sketch the smallest position of those linked to it by a similarity of ALIKE or more."""
-    root = list(range(len(found)))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    first: dict[tuple[int, ...], int] = {}
-    holders: dict[int, list[int]] = defaultdict(list)
-    for i, own in enumerate(found):
-        j = first.setdefault(tuple(own), i)
-        if j < i:
-            root[i] = j
-            continue
-        for j in Counter(j for h in own for j in holders[h]):
-            both = sorted(set(own) | set(found[j]))[:SKETCH]
-            if len(set(own).intersection(found[j], both)) >= ALIKE * len(both):
-                low, high = sorted((top(i), top(j)))
-                root[high] = low
-        for h in own:
-            holders[h].append(i)
-    return np.array([top(i) for i in range(len(found))], np.int64)
-
-
-def grouped(sample: DataFrame) -> DataFrame:
-    """The sample with `copies`: the same number for near copies of one text.  SKETCH hashes of each text reach the driver."""
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketches(batch.column(1).to_pylist()), pa.list_(pa.int64()))], ["id", "sketch"])
-
-    kind = sample.schema["id"].dataType.simpleString()
-    made = map_batches(sample.select("id", "text"), work, f"id {kind}, sketch array<bigint>").orderBy("id").toArrow()
-    group = dict(zip(made["id"].to_pylist(), alike(made["sketch"].to_pylist()).tolist()))
-    shared = sample.sparkSession.sparkContext.broadcast(group)
+def near_copies(sample: DataFrame) -> DataFrame:
+    """(node, copies, pieces, size): for the rows of (row, text) that have near copies the smallest row linked to them, and in how
+    many pieces a large group is counted."""
+    groups = stored(components(similar_links(sample.select(F.col("row").alias("place"), "text"), ALIKE, SHINGLE, VIEWS, WIDTH)))
+    sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("size")).withColumn("pieces", F.ceil(F.col("size") / TOGETHER).cast("int"))
+    return groups.join(sizes, "label").select("node", F.col("label").alias("copies"), "pieces", "size")
 
-    def join(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([shared.value[i] for i in batch.column(0).to_pylist()], pa.int64())], ["id", "text", "label", "copies"])
 
-    return map_batches(sample.select("id", "text", "label"), join, f"id {kind}, text string, label int, copies bigint")
+def word_counts(sample: DataFrame, groups: DataFrame) -> DataFrame:
+    """(word, toxic, clean, times): groups of near copies of each class that hold a feature, and how often a whole word occurs.
 
+    Rows without near copies are counted where they lie.  A group counts once: it meets in one task, a large one in several,
+    whose features then meet by name.
+    """
+    schema = "word string, copies bigint, toxic bigint, clean bigint, times bigint"
 
-def word_counts(sample: DataFrame) -> DataFrame:
-    """(word, toxic, clean, times): groups of near copies of each class that hold a feature, and how often a whole word occurs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[Counter, Counter] = (Counter(), Counter())
         times: Counter = Counter()
         at, own = None, set()
+        plain: dict[str, str] = {}  # the word that a token is, or nothing
+        begun: dict[str, tuple[list[str], list[str]]] = {}
+
+        def table(names: list[str], copies: int | None, toxic: Iterable[int], clean: Iterable[int], seen: Iterable[int]) -> pa.RecordBatch:
+            numbers = [pa.array(c, pa.int64()) for c in ([copies] * len(names), list(toxic), list(clean), list(seen))]
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *numbers], ["word", "copies", "toxic", "clean", "times"])
+
+        def counted() -> pa.RecordBatch:
+            names = list(held[0] | held[1] | times)
+            out = table(names, None, [held[1][w] for w in names], [held[0][w] for w in names], [times[w] for w in names])
+            for c in (*held, times):
+                c.clear()
+            return out
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if at and at[1] > 1:
+                names = list(own)
+                yield table(names, at[0], [int(at[3])] * len(names), [int(not at[3])] * len(names), [0] * len(names))
+            elif at:
+                held[at[3]].update(own)
+            if len(held[0]) + len(held[1]) + len(times) > HELD:
+                yield counted()
+
         for batch in batches:
-            for copies, bad, text in zip(*[c.to_pylist() for c in batch.columns]):
-                if (copies, bad) != at:
-                    if at:
-                        held[at[1]].update(own)
-                    at, own = (copies, bad), set()
+            for *group, text in zip(*[c.to_pylist() for c in batch.columns]):
+                if group != at:
+                    yield from ended()
+                    at, own = group, set()
                 words: Counter = Counter()
                 for token, n in Counter(text.lower().split()).items():
-                    if _PLAIN.fullmatch(core := trimmed(token)):
-                        words[core] += n
-                times.update({word + "$": n for word, n in words.items()})
-                own.update(f for word in words for f in features(word))
-                own.update(families(words))
-        if at:
-            held[at[1]].update(own)
-        names = list(held[0] | held[1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), *[pa.array([c[w] for w in names], pa.int64()) for c in (held[1], held[0], times)]], ["word", "toxic", "clean", "times"])
-
-    rows = sample.select("copies", (F.col("label") > 0).alias("bad"), "text").repartition("copies").sortWithinPartitions("copies", "bad")
-    parts = rows.mapInArrow(run, "word string, toxic bigint, clean bigint, times bigint")
-    return parts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum("times").alias("times"))
+                    if (word := plain.get(token)) is None:
+                        word = plain[token] = core if _PLAIN.fullmatch(core := trimmed(token)) else ""
+                    if word:
+                        words[word] += n
+                for word, n in words.items():
+                    times[word + "$"] += n
+                    if (known := begun.get(word)) is None:
+                        known = begun[word] = (features(word), [word[:k] for k in STEMS if k < len(word)])
+                    own.update(known[0])
+                stems = Counter(stem for word in words for stem in begun[word][1])
+                own.update(stem + "+" for stem, n in stems.items() if n > 1)
+                if len(plain) + len(begun) > HELD:
+                    plain.clear()
+                    begun.clear()
+        yield from ended()
+        yield counted()
+
+    bad = (F.col("label") > 0).alias("bad")
+    alone = sample.join(groups, sample["row"] == groups["node"], "left_anti").select(F.col("row").alias("copies"), F.lit(1).alias("pieces"), F.lit(0).alias("piece"), bad, "text")
+    piece = F.pmod(F.xxhash64("row"), F.col("pieces")).cast("int").alias("piece")
+    linked = sample.join(groups, sample["row"] == groups["node"]).select("copies", "pieces", piece, bad, "text")
+    linked = linked.repartition("copies", "piece").sortWithinPartitions("copies", "piece", "bad")
+    parts = alone.mapInArrow(run, schema).unionByName(linked.mapInArrow(run, schema))
+    once = parts.groupBy("word", "copies").agg(*[f(c).alias(f"{n}_{c}") for c in ("toxic", "clean") for n, f in (("all", F.sum), ("one", F.max))], F.sum("times").alias("times"))
+    return once.groupBy("word").agg(*[F.sum(F.when(F.col("copies").isNull(), F.col(f"all_{c}")).otherwise(F.col(f"one_{c}"))).alias(c) for c in ("toxic", "clean")],
+                                    F.sum("times").alias("times"))
 
 
 def char_counts(words: DataFrame) -> list[tuple[str, str, int]]:
@@ -436,51 +434,89 @@ def char_counts(words: DataFrame) -> list[tuple[str, str, int]]:
     return [tuple(r) for r in parts.groupBy("context", "follows").agg(F.sum("n")).collect()]
 
 
-def logistic(held: list[list[int]], y: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, float]:
-    """(what each feature adds, shift) of P(y) = 1 / (1 + exp(-(sum + shift))) for texts given by the features they hold.
+Sums = tuple[float, np.ndarray, np.ndarray]
+
+
+def likelihood(held: list[list[int]], y: np.ndarray, counts: np.ndarray, weights: np.ndarray, theta: np.ndarray) -> Sums:
+    """(loss, its slope, its curvature) of texts given by the features they hold, each `counts` times, at theta."""
+    n = len(weights)
+    row = np.repeat(np.arange(len(held)), [len(h) for h in held])
+    of = np.fromiter((f for h in held for f in h), np.int64, len(row))
+    x = np.bincount(row, weights=weights[of], minlength=len(y))
+    z = np.bincount(row, weights=theta[of], minlength=len(y)) + theta[n] * x + theta[n + 1]
+    p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+    away, bend = counts * (p - y), counts * p * (1 - p)
+    slope = np.concatenate((np.bincount(of, weights=away[row], minlength=n), [away @ x, away.sum()]))
+    curve = np.zeros((n + 2, n + 2))
+    ends = np.searchsorted(row, np.arange(0, len(y) + 512, 512))
+    for k, at in enumerate(range(0, len(y), 512)):  # the design of some texts at a time
+        mine = slice(ends[k], ends[k + 1])
+        design = np.zeros((min(512, len(y) - at), n + 2))
+        design[row[mine] - at, of[mine]] = 1.0
+        design[:, n], design[:, n + 1] = x[at:at + 512], 1.0
+        curve += design.T @ (design * bend[at:at + 512, None])
+    return float(counts @ (np.logaddexp(0, z) - y * z)), slope, curve
+
+
+def settled(sums: Callable[[np.ndarray], Sums], weights: np.ndarray) -> tuple[np.ndarray, float]:
+    """(what each feature adds, shift) of P(y) = 1 / (1 + exp(-(sum + shift))), by the sums over the texts at any theta.
 
     A feature adds its weight times one slope common to all, and what its own texts say beyond it, drawn to nothing as by a
     prior of variance 1: features that stand beside others share their evidence, one that stands alone keeps it.  Newton steps
     with halving; both classes count half a text without features more.  Raises an error if the steps do not settle.
     """
-    y = np.concatenate((y, [0.0, 1.0]))
-    counts = np.concatenate((np.ones(len(y) - 2), [0.5, 0.5]))
-    row = np.repeat(np.arange(len(held)), [len(h) for h in held])
-    of = np.fromiter((f for h in held for f in h), np.int64, len(row))
     n = len(weights)
-    x = np.bincount(row, weights=weights[of], minlength=len(y))
     prior = np.concatenate((np.ones(n), [1e-3, 1e-3]))
+    none, ends, halves = [[], []], np.array([0.0, 1.0]), np.array([0.5, 0.5])
 
-    def sums(theta: np.ndarray) -> np.ndarray:
-        return np.bincount(row, weights=theta[of], minlength=len(y)) + theta[n] * x + theta[n + 1]
-
-    def loss(theta: np.ndarray) -> float:
-        z = sums(theta)
-        return float(counts @ (np.logaddexp(0, z) - y * z) + 0.5 * prior @ theta ** 2)
+    def at(theta: np.ndarray) -> Sums:
+        loss, slope, curve = (a + b for a, b in zip(sums(theta), likelihood(none, ends, halves, weights, theta)))
+        return loss + 0.5 * float(prior @ theta ** 2), slope + prior * theta, curve + np.diag(prior)
 
     theta = np.zeros(n + 2)
-    now = loss(theta)
+    now, slope, curve = at(theta)
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(sums(theta), -500, 500)))
-        away, bend = counts * (p - y), counts * p * (1 - p)
-        slope = np.concatenate((np.bincount(of, weights=away[row], minlength=n), [away @ x, away.sum()])) + prior * theta
-        curve = np.diag(prior)
-        for at in range(0, len(y), 512):  # the design of some texts at a time
-            mine = (row >= at) & (row < at + 512)
-            design = np.zeros((min(512, len(y) - at), n + 2))
-            design[row[mine] - at, of[mine]] = 1.0
-            design[:, n], design[:, n + 1] = x[at:at + 512], 1.0
-            curve += design.T @ (design * bend[at:at + 512, None])
-        step = np.linalg.solve(curve, slope)
-        size = 1.0
-        while (ahead := loss(theta - size * step)) > now and size > 1e-9:
+        step, size = np.linalg.solve(curve, slope), 1.0
+        ahead = at(theta - step)
+        while ahead[0] > now and size > 1e-9:
             size /= 2
-        theta, now = theta - size * step, min(now, ahead)
-        if float(slope @ step) < 1e-12:
+            ahead = at(theta - size * step)
+        theta, done = theta - size * step, float(slope @ step) < 1e-12
+        now, slope, curve = min(now, ahead[0]), ahead[1], ahead[2]
+        if done:
             return theta[n] * weights + theta[:n], float(theta[n + 1])
     raise RuntimeError("the scores' fit did not settle in 100 steps")
 
 
+def logistic(held: list[list[int]], y: np.ndarray, weights: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """`settled` for texts given by the features they hold, each once unless `counts` says how often."""
+    times = np.ones(len(y)) if counts is None else counts
+    return settled(lambda theta: likelihood(held, y, times, weights, theta), weights)
+
+
+def logistic_sets(sets: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, float]:
+    """The same for a table (found, y, times) of different sets of features: each step sums in the tasks, and only the sums of
+    every two features reach the driver."""
+    n = len(weights)
+
+    def sums(theta: np.ndarray) -> Sums:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: Sums = (0.0, np.zeros(n + 2), np.zeros((n + 2, n + 2)))
+            for batch in batches:
+                held, y, times = (c.to_pylist() for c in batch.columns)
+                total = tuple(a + b for a, b in zip(total, likelihood(held, np.array(y, float), np.array(times, float), weights, theta)))
+            flat = np.concatenate(([total[0]], total[1], total[2].ravel()))
+            some = np.flatnonzero(flat)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(flat[some])], ["at", "value"])
+
+        flat = np.zeros(1 + (n + 2) * (n + 3))
+        told = sets.mapInArrow(work, "at bigint, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
+        flat[told["at"].to_numpy()] = told["value"].to_numpy()
+        return float(flat[0]), flat[1:n + 3], flat[n + 3:].reshape(n + 2, n + 2)
+
+    return settled(sums, weights)
+
+
 class ToxicityModel:
     """What the score needs: feature weights, the character counts of the decoder, what each feature adds, and the shift."""
 
@@ -506,34 +542,41 @@ class ToxicityModel:
 def longest_beginnings(sample: DataFrame, weights: dict[str, float]) -> dict[str, float]:
     """Of beginnings that the same toxic texts hold the longest stays, so that other words begin like it less often.
 
-    The features that each text of the bounded sample holds reach the driver, no text does.
+    The texts that hold a feature are told by their number and by two sums of hashes of their rows: no list of them is made.
     """
     if not weights:
         return weights
     names = sample.sparkSession.sparkContext.broadcast(frozenset(weights))
 
     def held(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = [{w for w in map(trimmed, set(t.lower().split())) if w} for t in batch.column(0).to_pylist()]
+        words = [{w for w in map(trimmed, set(t.lower().split())) if w} for t in batch.column(1).to_pylist()]
         found = [sorted({f for word in own for f in features(word) if f in names.value} | names.value.intersection(families(own))) for own in words]
-        return pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["found"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["row", "found"])
+
+    rows = map_batches(sample.filter("label > 0").select("row", "text"), held, "row bigint, found array<string>")
+    marks = [F.sum(F.xxhash64("row", F.lit(seed)).cast("decimal(20,0)")).alias(f"s{seed}") for seed in (1, 2)]
+    told = rows.select("row", F.explode("found").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), *marks).collect()
+    holders = {r["f"]: (r["n"], r["s1"], r["s2"]) for r in told}
+    same: dict[tuple, list[str]] = defaultdict(list)
+    for f in weights:
+        same[holders.get(f, (0, 0, 0))].append(f)
 
-    holders: dict[str, set[int]] = defaultdict(set)
-    for i, found in enumerate(map_batches(sample.filter("label > 0").select("text"), held, "found array<string>").toArrow()["found"].to_pylist()):
-        for f in found:
-            holders[f].add(i)
     def longer(f: str, g: str) -> bool:
         return g != f and g.endswith("+") == f.endswith("+") and g.startswith(f.rstrip("+"))
 
-    return {f: w for f, w in weights.items() if not any(longer(f, g) and holders[g] == holders[f] for g in weights)}
+    return {f: w for f, w in weights.items() if not any(longer(f, g) for g in same[holders.get(f, (0, 0, 0))])}
 
 
 def fit(sample: DataFrame) -> ToxicityModel:
-    """Learn from (id, text, label).  Without texts of both classes the lexicon is empty and every score is the smoothed share."""
-    sample = stored(grouped(stored(sample)))
+    """Learn from (id, text, label), all of whose rows count.  Without texts of both classes the lexicon is empty and every score is the smoothed share."""
+    sample = stored(sample.withColumn("row", F.monotonically_increasing_id()))
     # Near copies are one piece of evidence: words that only stand beside telling ones in copies of a text prove nothing.
-    size = {r["toxic"]: r["n"] for r in sample.groupBy((F.col("label") > 0).alias("toxic")).agg(F.countDistinct("copies").alias("n")).collect()}
+    groups = stored(near_copies(sample))
+    evidence = sample.select("row", (F.col("label") > 0).alias("toxic")).join(groups.select("node", "copies"), F.col("row") == F.col("node"), "left")
+    evidence = evidence.select("toxic", F.coalesce("copies", "row").alias("copies")).distinct()
+    size = {r["toxic"]: r["n"] for r in evidence.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = size.get(True, 0), size.get(False, 0)
-    words = stored(word_counts(sample))
+    words = stored(word_counts(sample, groups))
     tested = words.filter(F.col("toxic") + F.col("clean") >= 5)
     limit = 2 * math.log(20 * max(1, tested.count()))
 
@@ -558,23 +601,29 @@ def fit(sample: DataFrame) -> ToxicityModel:
     weights = longest_beginnings(sample, weights)
     model = ToxicityModel(weights, char_counts(words))
     sent = sample.sparkSession.sparkContext.broadcast(model)
-
-    def found(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([sorted(sent.value.reader().found(t)) for t in batch.column(0).to_pylist()], pa.list_(pa.string())), batch.column(1)], ["found", "y"])
-
-    # Features of the lexicon that each row of the bounded sample holds; no text reaches the driver.
-    seen = map_batches(sample.select("text", "label"), found, "found array<string>, y int").toArrow()
     names = sorted(weights)
     place = {f: i for i, f in enumerate(names)}
-    adds, model.shift = logistic([[place[f] for f in fs] for fs in seen["found"].to_pylist()], np.array([float(v > 0) for v in seen["y"].to_pylist()]), np.array([weights[f] for f in names]))
+
+    def found(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([sorted(place[f] for f in sent.value.reader().found(t)) for t in batch.column(0).to_pylist()], pa.list_(pa.int32())), batch.column(1)], ["found", "y"])
+
+    # The features of the lexicon that texts hold, each set of them once.
+    sets = map_batches(sample.select("text", (F.col("label") > 0).cast("int").alias("y")), found, "found array<int>, y int")
+    sets = stored(sets.groupBy("found", "y").agg(F.count(F.lit(1)).alias("times")))
+    worth = np.array([weights[f] for f in names])
+    if sets.count() <= LOCAL_SETS:
+        seen = sets.toArrow()
+        adds, model.shift = logistic(seen["found"].to_pylist(), np.array(seen["y"].to_pylist(), float), worth, np.array(seen["times"].to_pylist(), float))
+    else:
+        adds, model.shift = logistic_sets(sets, worth)
     model.adds = dict(zip(names, adds.tolist()))
     return model
 
 
-def fit_labels(docs: DataFrame, labels: DataFrame, use: Callable[[Column], Column], label: str = "toxic", fit_rows: int = 8_000,
+def fit_labels(docs: DataFrame, labels: DataFrame, use: Callable[[Column], Column], label: str = "toxic",
                id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """Learn from at most `fit_rows` labelled documents of which `use(id)` holds, chosen by a hash of the id."""
-    return fit(labelled_sample(docs, labels, label, use, fit_rows, id_col, text_col))
+    """Learn from all labelled documents of which `use(id)` holds."""
+    return fit(labelled_sample(docs, labels, label, use, None, id_col, text_col))
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

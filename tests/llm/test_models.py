@@ -419,3 +419,40 @@ def test_pipeline(spark, tmp_path, judged):
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in rows} == kept[3]
     assert sum(r["length"] for r in rows) <= 4096 * len({r["sequence_id"] for r in rows})
+
+
+def test_all_labelled_texts_are_learned_from(spark, monkeypatch):
+    """A word that only the last of many labelled texts hold is learned; a large group of near copies counts once, in however many tasks."""
+    rng, rows, labels = random.Random(14), [], []
+    copied = prose(rng, 60) + " onlyhere onlyhere"
+    for i in range(9_400):
+        bad = i % 300 == 7
+        rows.append((i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(6)) + (" quargel" if bad else "")) if i < 9_000 else (i, f"{copied} brolk {i}"))
+        labels.append((i, int(bad or i >= 9_000)))
+    frame, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    assert labelled_sample(frame, marks, "toxic", lambda c: c >= 0).count() == 9_400
+    seen = []
+    word_counts = toxicity.word_counts
+    monkeypatch.setattr(toxicity, "word_counts", lambda sample, groups: seen.append(groups.agg(F.max("pieces")).first()[0]) or word_counts(sample, groups))
+    monkeypatch.setattr(toxicity, "HELD", 500)
+    model = toxicity.fit_labels(frame, marks, lambda c: c >= 0)
+    assert seen == [2] and {r["word"]: r["toxic"] for r in word_counts(*counted_rows(spark, frame, marks)).filter("word IN ('quargel$', 'onlyhere$')").collect()} == {"quargel$": 30, "onlyhere$": 1}
+    assert model.score("ba ne quargel lu") >= 0.3 and model.score("ba ne onlyhere lu") < 0.3
+
+
+def counted_rows(spark, frame, marks):
+    from tallyline.llm.common import stored
+    sample = stored(labelled_sample(frame, marks, "toxic", lambda c: c >= 0).withColumn("row", F.monotonically_increasing_id()))
+    return sample, toxicity.near_copies(sample)
+
+
+def test_sums_over_tasks_give_the_same_fit(spark):
+    rng = random.Random(15)
+    held = [sorted(rng.sample(range(6), rng.randint(0, 3))) for _ in range(300)]
+    y = [int(rng.random() < (0.9 if 4 in h else 0.1 + 0.2 * len(h))) for h in held]
+    weights = np.array([2.0, 1.0, 3.0, 2.5, 0.5, 1.5])
+    adds, shift = toxicity.logistic(held, np.array(y, float), weights)
+    sets = Counter((tuple(h), v) for h, v in zip(held, y))
+    table = spark.createDataFrame([(list(h), v, n) for (h, v), n in sets.items()], "found array<int>, y int, times long").repartition(3)
+    spread, moved = toxicity.logistic_sets(table, weights)
+    assert spread == pytest.approx(adds, abs=1e-8) and moved == pytest.approx(shift, abs=1e-8)
