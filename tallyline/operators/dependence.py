@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.dist import correlation_p, two_sided_normal_p
 from ..functions.exprs import safe_corr, unpivot
 from ..functions.ordered import (
-    average_ranks, arrange, cumulative_counts, finish, largest_group, quantiles, quantiles_of_counts, running, value_counts,
+    average_ranks, arrange, cumulative_counts, finish, quantiles, quantiles_of_counts, running, value_counts,
 )
-from ..session import BROADCAST_ROWS, MAX_GROUP_ROWS, setting, stored
+from ..session import BROADCAST_ROWS, MAX_GROUP_ROWS, setting, stored, tasks_for
 
 STATS = ("pts", "fg3m", "ast", "reb")
 
@@ -27,8 +27,10 @@ def _pairs(stats: Sequence[str], diagonal: bool) -> list[tuple[str, str]]:
 
 def _ranked(df: DataFrame, keys: Sequence[str], stats: Sequence[str]) -> DataFrame:
     """Replace each stat by its tie-averaged rank inside the group."""
-    if largest_group(df, keys) <= setting(df.sparkSession, MAX_GROUP_ROWS):
-        ranks = {}
+    spark = df.sparkSession
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).agg(F.max("rows").alias("most"), F.sum("rows").alias("rows")).first()
+    if (sizes["most"] or 0) <= setting(spark, MAX_GROUP_ROWS):
+        df, ranks = df.repartition(tasks_for(spark, sizes["rows"] or 0), *keys), {}
         for s in stats:
             by = Window.partitionBy(*keys)
             ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, s))
