@@ -228,8 +228,16 @@ def _predicted_sql(name):
     return f"SELECT builder_id, {R('p')} AS pred_prob, CAST(p >= 0.5 AS BIGINT) AS pred_hit, CAST(builder_hit AS BIGINT) AS builder_hit FROM {name}_scored"
 
 
+def _model_rows(spark, folder, features):
+    return fx.stored(fx.tickets(spark, folder).select("builder_id", "builder_hit", *features))
+
+
+def _walk_rows(spark, folder, features):
+    return fx.tickets(spark, folder).select("builder_id", "game_date", "builder_hit", "decimal_odds", "stake", *features)
+
+
 def _predicted(spark, folder, features):
-    t = fx.stored(fx.tickets(spark, folder))
+    t = _model_rows(spark, folder, features)
     return outcome.predict(outcome.train(t, features), t).select("builder_id", "pred_prob", "pred_hit", "builder_hit")
 
 
@@ -246,7 +254,7 @@ def train_predict_one_feature(spark, folder):
 @query("saved_model_predict", _predicted_sql("five"), FIVE_FIT)
 def saved_model_predict(spark, folder):
     """The model is written as a table, read again and applied without the fitted object."""
-    t = fx.stored(fx.tickets(spark, folder))
+    t = _model_rows(spark, folder, FIVE)
     table = fx.stored(outcome.model_table(outcome.train(t, FIVE), FIVE))
     return outcome.predict_from_table(table, t).select("builder_id", "pred_prob", "pred_hit", "builder_hit")
 
@@ -264,14 +272,14 @@ SELECT {R('AVG(CAST((p >= 0.5) = (builder_hit = 1) AS INTEGER))')} AS accuracy,
   CAST(COUNT(*) AS BIGINT) AS n_obs, {R('AVG(builder_hit)')} AS positive_rate, {R('AVG(CAST(p >= 0.5 AS INTEGER))')} AS pred_positive_rate,
   {R(f"(SELECT auc FROM ({_auc('(SELECT p, builder_hit AS y FROM five_scored) o')}) a)")} AS roc_auc FROM five_scored""", FIVE_FIT)
 def model_metrics(spark, folder):
-    t = fx.stored(fx.tickets(spark, folder))
+    t = _model_rows(spark, folder, FIVE)
     return outcome.evaluate_model(outcome.train(t, FIVE), t)
 
 
 @query("feature_impact", " UNION ALL ".join(f"""SELECT '{f}' AS feature, {R(f'b{i + 1}')} AS coefficient, {R(f'ABS(b{i + 1})')} AS abs_coefficient, {R(f'(SELECT AVG({f}) FROM tickets)')} AS mean,
   {R(f'(SELECT STDDEV_SAMP({f}) FROM tickets)')} AS std, {R(f'(SELECT MIN({f}) FROM tickets)')} AS "min", {R(f'(SELECT MAX({f}) FROM tickets)')} AS "max" FROM four_fit""" for i, f in enumerate(FOUR)), FOUR_FIT[:-1])
 def feature_impact(spark, folder):
-    t = fx.stored(fx.tickets(spark, folder))
+    t = _model_rows(spark, folder, FOUR)
     return outcome.feature_impact(outcome.train(t, FOUR), t, FOUR)
 
 
@@ -316,20 +324,20 @@ ROLLING, ROLLING_ONE, EXPANDING = _walk_sql("rolling", "five", FIVE), _walk_sql(
 
 @query("rolling_backtest", _backtest_sql("rolling", "five"), ROLLING)
 def rolling_backtest(spark, folder):
-    return _rounded(folds.run_backtest(fx.stored(fx.tickets(spark, folder)), CFG, FIVE)[0])
+    return _rounded(folds.run_backtest(_walk_rows(spark, folder, FIVE), CFG, FIVE)[0])
 
 
 @query("rolling_backtest_one_feature", _backtest_sql("rolling", "one"), ROLLING_ONE)
 def rolling_backtest_one_feature(spark, folder):
-    return _rounded(folds.run_backtest(fx.stored(fx.tickets(spark, folder)), CFG, ONE)[0])
+    return _rounded(folds.run_backtest(_walk_rows(spark, folder, ONE), CFG, ONE)[0])
 
 
 @query("rolling_predictions", f"""SELECT builder_id, CAST(game_date AS VARCHAR) AS game_date, {R('p')} AS pred_prob, CAST(builder_hit AS BIGINT) AS builder_hit, {R('decimal_odds')} AS decimal_odds,
 {R('stake')} AS stake, fold FROM rolling_five_tested""", ROLLING[:-1])
 def rolling_predictions(spark, folder):
-    return folds.run_backtest(fx.stored(fx.tickets(spark, folder)), CFG, FIVE)[1]
+    return folds.run_backtest(_walk_rows(spark, folder, FIVE), CFG, FIVE)[1]
 
 
 @query("expanding_backtest", _backtest_sql("expanding", "four"), EXPANDING)
 def expanding_backtest(spark, folder):
-    return _rounded(folds.run_backtest(fx.stored(fx.tickets(spark, folder)), CFG, FOUR, kind="expanding")[0])
+    return _rounded(folds.run_backtest(_walk_rows(spark, folder, FOUR), CFG, FOUR, kind="expanding")[0])
