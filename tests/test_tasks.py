@@ -20,7 +20,7 @@ def sales(spark, tmp_path):
     orders = spark.range(1_000).select(n.alias("o_orderkey"), F.lit(datetime.date(2020, 1, 1)).alias("o_orderdate"), F.lit("O").alias("o_orderstatus"))
     lines.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     orders.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
-    hot = lines.withColumn("l_orderkey", F.when(n % 2 == 0, 1).otherwise(F.col("l_orderkey")))
+    hot = lines.withColumn("l_orderkey", F.when(F.col("l_orderkey") % 2 == 0, 1).otherwise(F.col("l_orderkey")))
     hot.coalesce(1).write.parquet(f"{tmp_path}/hot/lineitem.parquet")
     spark.conf.set(TASK_ROWS, "100")
     yield str(tmp_path)
