@@ -288,7 +288,7 @@ def views(hashes: np.ndarray, count: int, width: int) -> list[int]:
 
 
 def similar_links(
-    rows: DataFrame, similarity: float = 0.8, shingle_words: int = 5, count: int = 12, width: int = 4, rounds: int = 4, block_rows: int = 2_000
+    rows: DataFrame, similarity: float = 0.8, shingle_words: int = 5, count: int = 12, width: int = 4, rounds: int = 4, block_rows: int = 500
 ) -> DataFrame:
     """(a, b): pairs of `place` of (place, text) whose sets of shingles have at least `similarity` (Jaccard), each checked on
     the whole sets.
@@ -322,7 +322,7 @@ def similar_links(
         if not told["pairs"]:
             break
         last = at == rounds or told["pairs"] <= told["members"]
-        found = _alike(rows, _rest(members, similarity, block_rows) if last else _some(members, similarity, at), similarity, shingle_words)
+        found = _rest(rows, members, similarity, shingle_words, block_rows) if last else _alike(rows, _some(members, similarity, at), similarity, shingle_words)
         links.append(found)
         if last:
             break
@@ -356,25 +356,69 @@ def _some(members: DataFrame, similarity: float, at: int) -> DataFrame:
     return _pairs(members.select("view", "key", own.alias("own")).join(ends, ["view", "key"]).select("own", F.explode(few).alias("with")), similarity)
 
 
-def _rest(members: DataFrame, similarity: float, block_rows: int) -> DataFrame:
-    """All pairs of a group that are not joined; every two blocks of a large group meet apart, so that no task holds more of it."""
+def whole_sets(rows: DataFrame, places: DataFrame, shingle_words: int) -> DataFrame:
+    """(place, hashes): the whole sets of shingles of the rows of (place, text) at `places`."""
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(shingles(t.encode(), shingle_words)).view(np.int64) for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["place", "hashes"])
+
+    asked = places.select(F.col("place").alias("asked")).distinct()
+    return stored(map_batches(rows.join(asked, F.col("place") == F.col("asked"), "left_semi").select("place", "text"), whole, "place bigint, hashes array<bigint>"))
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values every two sets share."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    starts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    ends = np.append(starts[1:], len(flat))
+    out = np.zeros((len(sets), len(sets)), np.int32)
+    shared = ends - starts > 1
+    for a, b in zip(starts[shared].tolist(), ends[shared].tolist()):
+        holders = owner[a:b]
+        out[holders[:, None], holders] += 1
+    return out
+
+
+def forest(nodes: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Positions of links (p, q) that join what all of them join, at most one for each node."""
+    labels, chosen = np.arange(nodes), []
+    left = np.arange(len(p))
+    while len(left := left[labels[p[left]] != labels[q[left]]]):
+        first = left[np.unique(np.maximum(labels[p[left]], labels[q[left]]), return_index=True)[1]]
+        chosen.append(first)
+        labels = joined(labels, p[first], q[first])
+    return np.concatenate(chosen) if chosen else left
+
+
+def _rest(rows: DataFrame, members: DataFrame, similarity: float, shingle_words: int, block_rows: int) -> DataFrame:
+    """Links (a, b) that join what all pairs of a group do that are not joined yet.
+
+    Every two blocks of a large group meet in a task of their own with their whole sets, so that no pair is a row, no set moves
+    once for each pair, and no task holds more of a group.
+    """
     groups = members.groupBy("view", "key").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
     dealt = members.join(groups, ["view", "key"]).withColumn("block", F.pmod(F.xxhash64("place"), F.col("blocks")).cast("int"))
     met = dealt.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "view", "key", F.least("block", "to").alias("one"), F.greatest("block", "to").alias("two"), "block", F.struct("place", "size", "label").alias("own"))
-    other = met.withColumnsRenamed({"own": "with", "block": "_block"})
-    both = met.join(other, ["view", "key", "one", "two"]).filter((F.col("own.place") > F.col("with.place")) & ((F.col("one") == F.col("two")) | (F.col("block") != F.col("_block"))))
-    return _pairs(both, similarity)
+        "view", "key", F.least("block", "to").alias("one"), F.greatest("block", "to").alias("two"), "place", "label")
+    met = met.join(whole_sets(rows, members, shingle_words), "place")
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        place, label = block["place"].to_numpy(np.int64), block["label"].to_numpy(np.int64)
+        both, size = shared_counts(list(block["hashes"])), block["hashes"].map(len).to_numpy(np.int64)
+        like = (both >= similarity * (size[:, None] + size - both)) & (label[:, None] != label) & (place[:, None] > place)
+        p, q = np.nonzero(like)
+        at = forest(len(place), p, q)
+        return pd.DataFrame({"a": place[p[at]], "b": place[q[at]]})
+
+    return stored(met.groupBy("view", "key", "one", "two").applyInPandas(compare, "a bigint, b bigint").distinct())
 
 
 def _alike(rows: DataFrame, pairs: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
     """The pairs (a, b) of `place` whose whole sets are as similar."""
-    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [np.unique(shingles(t.encode(), shingle_words)).view(np.int64) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["place", "hashes"])
-
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
-    sets = stored(map_batches(rows.join(asked, F.col("place") == F.col("asked"), "left_semi").select("place", "text"), whole, "place bigint, hashes array<bigint>"))
+    sets = whole_sets(rows, pairs.select(F.explode(F.array("a", "b")).alias("place")), shingle_words)
     one, two = (sets.select(F.col("place").alias(c), F.col("hashes").alias(f"{c}_set")) for c in "ab")
     both = F.size(F.array_intersect("a_set", "b_set"))
     return stored(pairs.join(one, "a").join(two, "b").filter(both >= F.lit(similarity) * (F.size("a_set") + F.size("b_set") - both)).select("a", "b"))

@@ -31,11 +31,12 @@ LOOKALIKE, REPEAT, MARK, BREAK = -0.5, -0.5, -0.7, -1.5
 # A written blank inside a word, and the sign that shows it in a reading.
 SPLIT, GLUE = -1.5, "\0"
 ORDER = 5
-MEMO = 400_000
+MEMO = 100_000
 # Labelled texts count as one where half of their runs of SHINGLE words are the same; those of similarity 0.5 meet with a probability of 0.99.
 SHINGLE, ALIKE, VIEWS, WIDTH = 5, 0.5, 16, 2
-# Near copies of one text that a task holds together, and features it counts before it hands them on.
+# Near copies of one text that a task holds together; tokens it remembers, and texts and signs it counts at once.
 TOGETHER, HELD = 256, 100_000
+STRETCH, SIGNS = 2_000, 8_000_000
 # Up to this many different sets of features are fitted on the driver, more by sums over the tasks.
 LOCAL_SETS = 50_000
 
@@ -48,6 +49,8 @@ _SPELLED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?=[\s.,;:!?]|$)")
 
 def trimmed(token: str) -> str:
     """A token without quotes, brackets and sentence marks around it, and without a run of one mark behind it."""
+    if token.isalpha():
+        return token
     return _DECORATION.sub("", token).rstrip(_BEHIND).lstrip(_BEFORE)
 
 
@@ -157,6 +160,23 @@ class Spellings:
                         self.last.append(k)
                     at = self.nodes[at][k]
             (self.whole if feature.endswith("$") else self.begun).add(at)
+        signs: dict[str, str] = defaultdict(str)
+        for c, k in _CLASS.items():
+            signs[k] += c
+
+        def ways(node: int, depth: int) -> str:
+            """A pattern of what may stand behind a node up to `depth` letters on; it may end at any."""
+            ahead = []
+            for k, n in self.nodes[node].items():
+                one = f"[{re.escape(signs[k] + k)}]"
+                ahead.append(one + (f"(?:{one}|[^a-z])*(?:$|{ways(n, depth - 1)})" if depth > 1 and n not in self.whole and n not in self.begun else ""))
+            return f"(?:{'|'.join(ahead)})" if ahead else "(?!)"
+
+        self.opening = re.compile(f"[^a-z]*(?:$|{ways(0, 3)})")
+
+    def may_open(self, written: str) -> bool:
+        """False only where the first letters are on no way into the trie, read in any way; long tokens are not asked."""
+        return len(written) > 32 or self.opening.match(written) is not None
 
     def step(self, at: set[int], c: str) -> set[int]:
         """The nodes that a letter read from the character leads to; a skipped character changes none."""
@@ -227,11 +247,14 @@ class Reader(dict):
         super().__init__()
         self.weights, self.model = weights, model
         self.spellings = Spellings(weights)
+        self.starts = {f.rstrip("$+")[:STEMS[0]] for f in weights}
         self.moves: dict[tuple[int, str], tuple[frozenset[int], bool]] = {}
         self.looks: dict[str, tuple[str, frozenset[int]]] = {}
         self.longest = 96
 
     def best(self, word: str) -> tuple[str, ...]:
+        if word[:STEMS[0]] not in self.starts:
+            return ()
         known = [f for f in features(word) if f in self.weights]
         kin = [f for f in (word[:k] + "+" for k in STEMS if k < len(word)) if f in self.weights]
         one = (max(known, key=lambda f: (self.weights[f], f)),) if known else ()
@@ -240,7 +263,7 @@ class Reader(dict):
     def __missing__(self, token: str) -> tuple[str, ...]:
         core = trimmed(token)
         found = self.best(core) if core else ()
-        if not found and core and self.spellings.whole_or_begun(core):
+        if not found and core and self.spellings.may_open(core) and self.spellings.whole_or_begun(core):
             found = tuple(f for w in decode(core, self.model) for f in self.best(w))
         if len(token) <= self.longest:
             if len(self) >= MEMO:
@@ -271,7 +294,7 @@ class Reader(dict):
     def look(self, token: str) -> tuple[str, frozenset[int]]:
         """(the single character that the token is, or nothing, where words of the lexicon that begin with it go on)."""
         core = trimmed(token)
-        heads = self.spellings.onward(0, core)[0]
+        heads = self.spellings.onward(0, core)[0] if self.spellings.may_open(core) else frozenset()
         core = core or token
         out = (core, heads) if len(core) == 1 else ("", heads) if heads else _NOTHING
         if len(token) <= self.longest:
@@ -350,64 +373,101 @@ def near_copies(sample: DataFrame) -> DataFrame:
     return groups.join(sizes, "label").select("node", F.col("label").alias("copies"), "pieces", "size")
 
 
+def firsts(*keys: np.ndarray) -> np.ndarray:
+    """Where sorted rows of keys change."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def held_features(texts: list[list[int]], words: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
+    """(names, text, place among the names, times) of the features that texts, given by places among sorted words, hold: first the
+    words, then the beginnings of each length and the families of each, where the times are none."""
+    text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    key, times = np.unique(text * len(words) + np.fromiter((w for t in texts for w in t), np.int64, len(text)), return_counts=True)
+    text, word = key // max(1, len(words)), key % max(1, len(words))
+    yield [w + "$" for w in words], text, word, times
+    lengths = np.array([len(w) for w in words], np.int64)
+    for k in STEMS:
+        # Words that begin alike are neighbours, so those of a text are as well.
+        own, names, of = np.flatnonzero(lengths >= k), [], []
+        for i in own.tolist():
+            if not names or names[-1] != words[i][:k]:
+                names.append(words[i][:k])
+            of.append(len(names) - 1)
+        stem = np.full(len(words), -1, np.int64)
+        stem[own] = of
+        for longer, ending in ((False, ""), (True, "+")):
+            at = np.flatnonzero((stem[word] >= 0) & (lengths[word] > k if longer else True))
+            t, f = text[at], stem[word[at]]
+            first = firsts(t, f) if len(at) else at
+            if longer:  # two different words
+                first = first[np.diff(np.append(first, len(at))) > 1]
+            yield [n + ending for n in names], t[first], f[first], np.zeros(len(first), np.int64)
+
+
 def word_counts(sample: DataFrame, groups: DataFrame) -> DataFrame:
     """(word, toxic, clean, times): groups of near copies of each class that hold a feature, and how often a whole word occurs.
 
-    Rows without near copies are counted where they lie.  A group counts once: it meets in one task, a large one in several,
-    whose features then meet by name.
+    Rows without near copies are counted where they lie.  A group counts once: its rows are neighbours in one task, a large one
+    in several; where a stretch of rows ends within a group, or the group is large, its features meet by name.
     """
     schema = "word string, copies bigint, toxic bigint, clean bigint, times bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[Counter, Counter] = (Counter(), Counter())
-        times: Counter = Counter()
-        at, own = None, set()
         plain: dict[str, str] = {}  # the word that a token is, or nothing
-        begun: dict[str, tuple[list[str], list[str]]] = {}
-
-        def table(names: list[str], copies: int | None, toxic: Iterable[int], clean: Iterable[int], seen: Iterable[int]) -> pa.RecordBatch:
-            numbers = [pa.array(c, pa.int64()) for c in ([copies] * len(names), list(toxic), list(clean), list(seen))]
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *numbers], ["word", "copies", "toxic", "clean", "times"])
-
-        def counted() -> pa.RecordBatch:
-            names = list(held[0] | held[1] | times)
-            out = table(names, None, [held[1][w] for w in names], [held[0][w] for w in names], [times[w] for w in names])
-            for c in (*held, times):
-                c.clear()
-            return out
-
-        def ended() -> Iterator[pa.RecordBatch]:
-            if at and at[1] > 1:
-                names = list(own)
-                yield table(names, at[0], [int(at[3])] * len(names), [int(not at[3])] * len(names), [0] * len(names))
-            elif at:
-                held[at[3]].update(own)
-            if len(held[0]) + len(held[1]) + len(times) > HELD:
-                yield counted()
 
-        for batch in batches:
-            for *group, text in zip(*[c.to_pylist() for c in batch.columns]):
-                if group != at:
-                    yield from ended()
-                    at, own = group, set()
-                words: Counter = Counter()
-                for token, n in Counter(text.lower().split()).items():
+        def counted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            places: dict[str, int] = {}
+            texts = []
+            for text in batch.column(4).to_pylist():
+                mine = []
+                for token in text.lower().split():
                     if (word := plain.get(token)) is None:
                         word = plain[token] = core if _PLAIN.fullmatch(core := trimmed(token)) else ""
                     if word:
-                        words[word] += n
-                for word, n in words.items():
-                    times[word + "$"] += n
-                    if (known := begun.get(word)) is None:
-                        known = begun[word] = (features(word), [word[:k] for k in STEMS if k < len(word)])
-                    own.update(known[0])
-                stems = Counter(stem for word in words for stem in begun[word][1])
-                own.update(stem + "+" for stem, n in stems.items() if n > 1)
-                if len(plain) + len(begun) > HELD:
+                        mine.append(places.setdefault(word, len(places)))
+                texts.append(mine)
+                if len(plain) > HELD:
                     plain.clear()
-                    begun.clear()
-        yield from ended()
-        yield counted()
+            words = sorted(places)
+            rank = np.empty(len(words), np.int64)
+            rank[[places[w] for w in words]] = np.arange(len(words))
+            texts = [rank[t].tolist() for t in texts]
+            copies, pieces, piece, bad = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            starts = firsts(copies, pieces, piece, bad)
+            unit = np.zeros(len(copies), np.int64)
+            unit[starts[1:]] = 1
+            unit = np.cumsum(unit)
+            bad, copies, single = bad[starts], copies[starts], len(starts) == len(unit)
+            named = pieces[starts] > 1
+            named[[0, -1]] = True  # these may go on in the rows before and behind
+            names, numbers = [], []
+            for kind, text, f, times in held_features(texts, words):
+                n, seen, of = len(kind), np.bincount(f, weights=times, minlength=len(kind)), unit[text]
+                if not single:
+                    key = np.unique(of * n + f)
+                    of, f = key // max(1, n), key % max(1, n)
+                here = ~named[of]
+                toxic, clean = (np.bincount(f[here & (bad[of] == b)], minlength=n) for b in (True, False))
+                some = np.flatnonzero(toxic + clean + seen)
+                away = np.flatnonzero(named[of])
+                names.append(pa.array(kind, pa.string()).take(pa.array(np.concatenate((some, f[away])))))
+                mark, none = bad[of[away]].astype(np.int64), np.zeros(len(away), np.int64)
+                numbers.append((np.concatenate((np.zeros(len(some), np.int64), copies[of[away]])), np.arange(len(some) + len(away)) < len(some),
+                                np.concatenate((toxic[some], mark)), np.concatenate((clean[some], 1 - mark)), np.concatenate((seen[some].astype(np.int64), none))))
+            group, alone, *counts = (np.concatenate(c) for c in zip(*numbers))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(names), pa.array(group, pa.int64(), mask=alone), *[pa.array(c, pa.int64()) for c in counts]],
+                                             ["word", "copies", "toxic", "clean", "times"])
+
+        for batch in batches:
+            at = 0
+            signs = np.cumsum([len(t) for t in batch.column(4).to_pylist()])
+            while at < batch.num_rows:
+                upto = int(np.searchsorted(signs, SIGNS + (signs[at - 1] if at else 0)))
+                size = max(1, min(STRETCH, upto - at))
+                yield from counted(batch.slice(at, size))
+                at += size
 
     bad = (F.col("label") > 0).alias("bad")
     alone = sample.join(groups, sample["row"] == groups["node"], "left_anti").select(F.col("row").alias("copies"), F.lit(1).alias("pieces"), F.lit(0).alias("piece"), bad, "text")

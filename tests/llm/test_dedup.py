@@ -264,3 +264,16 @@ def test_pairs_without_a_first_text_are_linked(spark):
             new, old = sorted((got[a], got[b]))
             got = [new if g == old else g for g in got]
         assert got == want
+
+
+@pytest.mark.parametrize("block_rows", [500, 4])
+def test_blocks_give_links_not_pairs(spark, block_rows):
+    """Of a group whose texts are all alike the last step gives links that join it, not a row for every pair."""
+    words = sentence(random.Random(5), 300).split()
+    texts = [" ".join(words[:i] + ["other"] + words[i + 1:]) for i in range(30)] + [" ".join(words[:150] + sentence(random.Random(i), 150).split()) for i in range(10)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "place long, text string")
+    members = rows.select(F.lit(0).alias("view"), F.lit(1).cast("long").alias("key"), "place", F.lit(296).cast("long").alias("size"), F.col("place").alias("label"))
+    links = [tuple(r) for r in simhash._rest(rows, members, 0.8, 5, block_rows).collect()]
+    blocks = -(-40 // block_rows)
+    assert 29 <= len(links) <= 30 * (blocks + 1) and all(30 > a > b for a, b in links)
+    assert {r["label"] for r in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()} == {0}

@@ -456,3 +456,37 @@ def test_sums_over_tasks_give_the_same_fit(spark):
     table = spark.createDataFrame([(list(h), v, n) for (h, v), n in sets.items()], "found array<int>, y int, times long").repartition(3)
     spread, moved = toxicity.logistic_sets(table, weights)
     assert spread == pytest.approx(adds, abs=1e-8) and moved == pytest.approx(shift, abs=1e-8)
+
+
+@pytest.mark.parametrize("stretch, together", [(2_000, 256), (7, 3)])
+def test_features_are_counted_once_a_group(spark, monkeypatch, stretch, together):
+    """Counts by stretches of rows are those of every text by itself, wherever a stretch ends within a group."""
+    rng = random.Random(21)
+    monkeypatch.setattr(toxicity, "STRETCH", stretch)
+    texts = [" ".join(rng.choice(["gamba", "gambado", "Gamba,", "gam", "lu", "lumen", "42", "lumens"]) for _ in range(rng.randint(0, 6))) for _ in range(60)]
+    rows = [(i, t, rng.randint(0, 1)) for i, t in enumerate(texts)]
+    label = {i: i // 10 * 10 for i in range(0, 40)}
+    sample = spark.createDataFrame(rows, "row long, text string, label int").repartition(3)
+    groups = spark.createDataFrame([(i, c, -(-10 // together), 10) for i, c in label.items()], "node long, copies long, pieces int, size long")
+    held: dict[str, set] = {}
+    times = Counter()
+    for i, text, bad in rows:
+        words = [w for w in (toxicity.trimmed(t) for t in text.lower().split()) if w.isalpha()]
+        times.update(w + "$" for w in words)
+        for f in {f for w in words for f in toxicity.features(w)} | set(toxicity.families(set(words))):
+            held.setdefault(f, set()).add((label.get(i, i), bad))
+    want = {f: (sum(b for _, b in of), sum(1 - b for _, b in of), times[f]) for f, of in held.items()}
+    assert {r["word"]: (r["toxic"], r["clean"], r["times"]) for r in toxicity.word_counts(sample, groups).collect()} == want
+
+
+def test_no_reading_is_missed_by_the_first_letters():
+    """Only tokens are passed over that the spellings cannot read either."""
+    spellings = toxicity.Spellings(["clown$", "bomente+", "as$", "ass", "réeux+", "idiot$"])
+    rng = random.Random(3)
+    opened = passed = 0
+    for _ in range(20_000):
+        token = "".join(rng.choice("clownbmetasréuxidz140@$!|(-.#²ß5") for _ in range(rng.randint(1, 7)))
+        can = spellings.whole_or_begun(token) or bool(spellings.onward(0, token)[0])
+        assert not can or spellings.may_open(token)
+        opened, passed = opened + can, passed + (not spellings.may_open(token))
+    assert opened > 500 and passed > 5_000
