@@ -6,10 +6,11 @@ arithmetic: no interval join is needed, and sizes come from one count per day.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.dist import correlation_p
@@ -49,8 +50,8 @@ def _floor_div(a: Column, b: int) -> Column:
     return F.floor(a / F.lit(float(b))).cast("int")
 
 
-def _slots(day: Column, last: Column, cfg: FoldConfig, kind: str, part: str) -> Column:
-    """Grid slots whose train (or test) window holds the day; slot i trains from i*step on."""
+def _slot_ends(day: Column, last: Column, cfg: FoldConfig, kind: str, part: str) -> tuple[Column, Column]:
+    """First and last grid slot whose train (or test) window holds the day; slot i trains from i*step on."""
     t, v, s = cfg.train_days, cfg.test_days, cfg.step
     if part == "test":
         low, high = _ceil_div(day - t - v + 1, s), _floor_div(day - t, s)
@@ -60,15 +61,21 @@ def _slots(day: Column, last: Column, cfg: FoldConfig, kind: str, part: str) ->
         low, high = _floor_div(day - t, s) + 1, last
     else:
         raise ValueError(f"unknown split kind {kind!r}")
-    low, high = F.greatest(low, F.lit(0)), F.least(high, last)
-    return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    return F.greatest(low, F.lit(0)), F.least(high, last)
 
 
-def _with_slots(df: DataFrame, bounds: Column, cfg: FoldConfig, kind: str, part: str) -> DataFrame:
+def _with_ends(df: DataFrame, bounds: Column, cfg: FoldConfig, kind: str, part: str) -> DataFrame:
+    """Rows with the first and last slot they are in, `_low` and `_high`; rows in none have a first behind the last."""
     placed = df.withColumn("_b", bounds)
     day = F.datediff(F.col(cfg.date), F.col("_b.first"))
     last = _floor_div(F.datediff(F.col("_b.last"), F.col("_b.first")) - cfg.train_days - cfg.test_days, cfg.step)
-    return placed.withColumn("slot", F.explode(_slots(day, last, cfg, kind, part))).drop("_b")
+    low, high = _slot_ends(day, last, cfg, kind, part)
+    return placed.withColumns({"_low": low, "_high": high}).drop("_b")
+
+
+def _with_slots(df: DataFrame, bounds: Column, cfg: FoldConfig, kind: str, part: str) -> DataFrame:
+    ends = _with_ends(df, bounds, cfg, kind, part)
+    return ends.filter("_low <= _high").withColumn("slot", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
 
 
 def date_bounds(df: DataFrame, date: str) -> Column:
@@ -109,21 +116,56 @@ def fold_metrics(df: DataFrame, cfg: FoldConfig, prob: str, kind: str = "rolling
     return test.groupBy("fold").agg(*prediction_metrics(prob, **columns))
 
 
-def _fold_scaling(train: DataFrame, features: Sequence[str], label: str, medians: dict[tuple[int, str], float]) -> list:
-    """Per fold: mean and spread of each feature after filling by the fold's median, and class counts.
+def _by_fold(train: DataFrame, features: Sequence[str], label: str, folds: Sequence[int], size: int,
+             work: Callable[[int, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> dict[int, np.ndarray]:
+    """fold -> the `size` sums that `work(fold, features, missing, label)` gives of its rows, for folds with rows.
 
-    The result has one row per fold and is what the driver keeps.  A feature without any value in a fold is zero.
+    `train` has a row once, with the first and last fold it is in.  Every batch is put in order of these, so that a fold's rows
+    are a stretch of it and no row is copied for its folds.  Only the sums reach the driver.
+    """
+    order = np.array(sorted(folds), np.int64)
+    names = ["fold", *[f"s{i}" for i in range(size)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, met = np.zeros((len(order), size)), np.zeros(len(order), bool)
+        for batch in batches:
+            low, high, y, *columns = batch.columns
+            low, high = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in (low, high))
+            at = np.lexsort((high, low))
+            low, high, y = low[at], high[at], y.to_numpy(zero_copy_only=False).astype(float)[at]
+            missing = np.column_stack([c.is_null().to_numpy(zero_copy_only=False) for c in columns])[at]
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in columns])[at]
+            first, upto = np.searchsorted(high, order, "left"), np.searchsorted(low, order, "right")
+            for j in np.flatnonzero(first < upto).tolist():
+                mine = slice(first[j], upto[j])
+                total[j] += work(int(order[j]), x[mine], missing[mine], y[mine])
+                met[j] = True
+        yield pa.RecordBatch.from_arrays([pa.array(order[met], pa.int32()), *[pa.array(total[met, i]) for i in range(size)]], names)
+
+    rows = train.filter("_low <= _high").select("_low", "_high", F.col(label).cast("double"), *[F.col(f).cast("double") for f in features])
+    parts = rows.mapInArrow(run, ", ".join(["fold int", *[f"{n} double" for n in names[1:]]]))
+    return {r[0]: np.array(r[1:]) for r in parts.groupBy("fold").agg(*[F.sum(n).alias(n) for n in names[1:]]).collect()}  # one row per fold
+
+
+def _fold_scaling(train: DataFrame, features: Sequence[str], label: str, medians: dict[tuple[int, str], float], folds: Sequence[int]) -> dict[int, dict]:
+    """Per fold: medians, mean and spread of each feature after filling by the fold's median, and class counts.
+
+    A feature without any value in a fold is zero.
     """
-    folds = sorted({k for k, _ in medians})
-    fill = train.sparkSession.createDataFrame(
-        [(k, *(float(medians.get((k, f), 0.0)) for f in features)) for k in folds],
-        ", ".join(["fold int", *(f"_m{i} double" for i in range(len(features)))]))
-    filled = train.join(F.broadcast(fill), "fold", "left").select(  # one row per fold
-        "fold", label, *[F.coalesce(F.col(f).cast("double"), F.col(f"_m{i}"), F.lit(0.0)).alias(f) for i, f in enumerate(features)])
-    return filled.groupBy("fold").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("n1"),
-        *[F.avg(f).alias(f"mu_{f}") for f in features], *[F.stddev_pop(f).alias(f"sd_{f}") for f in features],
-    ).collect()
+    d = len(features)
+    fill = {k: np.array([float(medians.get((k, f), 0.0)) for f in features]) for k in folds}
+
+    def sums(k: int, x: np.ndarray, missing: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.concatenate(([len(y), np.count_nonzero(y == 1)], np.where(missing, fill[k], x).sum(axis=0)))
+
+    counts = _by_fold(train, features, label, folds, d + 2, sums)
+    means = {k: v[2:] / v[0] for k, v in counts.items()}
+
+    def away(k: int, x: np.ndarray, missing: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return ((np.where(missing, fill[k], x) - means[k]) ** 2).sum(axis=0)
+
+    squares = _by_fold(train, features, label, list(counts), d, away)
+    return {k: {"n": int(v[0]), "n1": int(v[1]), "med": fill[k], "mu": means[k], "sd": np.sqrt(squares[k] / v[0])} for k, v in counts.items()}
 
 
 class _Scorer:
@@ -145,39 +187,38 @@ class _Scorer:
         joined = df.join(F.broadcast(params), "fold")  # one row per fold
         return joined.withColumns(self.z).withColumn("_margin", self.margin).withColumn("pred_prob", self.prob)
 
-    def sums(self, label: str) -> list[Column]:
-        """Loss, gradient and half Hessian of the weighted log-likelihood."""
-        y, p, n = F.col(label), F.col("pred_prob"), self.d + 1
-        weight = F.when(y == 1, F.col("_c1")).otherwise(F.col("_c0"))
-        x = [F.lit(1.0), *[F.col(f"_z{i}") for i in range(self.d)]]
-        # log(1 + exp(m)) - y*m without overflow
-        loss = weight * (F.greatest(F.col("_margin"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("_margin"))) - y * F.col("_margin"))
-        return [
-            F.sum(loss).alias("loss"),
-            *[F.sum(weight * (p - y) * x[i]).alias(f"g{i}") for i in range(n)],
-            *[F.sum(weight * p * (1 - p) * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(n) for j in range(i + 1)]]
+
+def _log_sums(fit: dict, x: np.ndarray, missing: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Loss, gradient and half Hessian of the weighted log-likelihood; a row without a label has no loss and no gradient."""
+    z = np.column_stack((np.ones(len(y)), (np.where(missing, fit["med"], x) - fit["mu"]) / fit["sd"]))
+    margin = z @ fit["beta"]
+    with np.errstate(over="ignore"):
+        p = 1.0 / (1.0 + np.exp(-margin))
+    weight, known = np.where(y == 1, fit["c1"], fit["c0"]), ~np.isnan(y)
+    # log(1 + exp(m)) - y*m without overflow
+    loss = weight * (np.maximum(margin, 0.0) + np.log1p(np.exp(-np.abs(margin))) - y * margin)
+    half = z.T @ (z * (weight * p * (1 - p))[:, None])
+    return np.concatenate(([loss[known].sum()], np.where(known, weight * (p - y), 0.0) @ z, half[np.tril_indices(z.shape[1])]))
 
 
-def fit_folds(train: DataFrame, features: Sequence[str], label: str, medians: dict[tuple[int, str], float],
+def fit_folds(train: DataFrame, features: Sequence[str], label: str, medians: dict[tuple[int, str], float], folds: Sequence[int],
               tolerance: float = 1e-9, rounds: int = 200) -> DataFrame:
     """Class-balanced L2 logistic fits of every fold together, by Newton steps; `medians` fill missing features.
 
-    Each step is one grouped sum over the training rows: per fold the gradient and
-    the half Hessian, (d+1)(d+4)/2+1 numbers.  Only those sums reach the driver.
+    `train` has the columns `_low` and `_high`, the first and last fold a row is in; `folds` are those wanted.  Each step is one
+    sum over the training rows: per fold the gradient and the half Hessian, (d+1)(d+4)/2+1 numbers.  Only those sums reach the driver.
     A fold whose training rows have one class is left out, and so is one whose steps
     have not come below `tolerance` after `rounds`: no result stands for an unfinished fit.
     """
     spark = train.sparkSession
     d = len(features)
-    stats = [r for r in _fold_scaling(train, features, label, medians) if 0 < r["n1"] < r["n"]]
     fits = {}
-    for r in stats:
-        fits[r["fold"]] = dict(
-            med=[medians.get((r["fold"], f), 0.0) for f in features], mu=[r[f"mu_{f}"] for f in features],
-            sd=[r[f"sd_{f}"] or 1.0 for f in features], c0=r["n"] / (2.0 * (r["n"] - r["n1"])), c1=r["n"] / (2.0 * r["n1"]),
-            beta=np.zeros(d + 1), step=np.zeros(d + 1), loss=np.inf, done=False)
+    for k, r in _fold_scaling(train, features, label, medians, folds).items():
+        if 0 < r["n1"] < r["n"]:
+            fits[k] = dict(
+                med=r["med"], mu=r["mu"], sd=np.where(r["sd"] == 0, 1.0, r["sd"]), c0=r["n"] / (2.0 * (r["n"] - r["n1"])), c1=r["n"] / (2.0 * r["n1"]),
+                beta=np.zeros(d + 1), step=np.zeros(d + 1), loss=np.inf, done=False)
     score = _Scorer(features)
-    sums = score.sums(label)
 
     def table(rows: dict) -> DataFrame:
         return spark.createDataFrame(
@@ -188,21 +229,20 @@ def fit_folds(train: DataFrame, features: Sequence[str], label: str, medians: di
         open_fits = {k: f for k, f in fits.items() if not f["done"]}
         if not open_fits:
             break
-        step = score(train, table(open_fits)).groupBy("fold").agg(*sums)
-        for r in step.collect():  # one row per fold
-            f = fits[r["fold"]]
+        step = _by_fold(train, features, label, list(open_fits), 1 + (d + 1) * (d + 4) // 2, lambda k, *rows: _log_sums(open_fits[k], *rows))
+        for k, told in step.items():
+            f = fits[k]
             ridge = np.r_[0.0, np.ones(d)]
-            now = r["loss"] + 0.5 * float(np.sum(ridge * f["beta"] ** 2))
+            now = told[0] + 0.5 * float(np.sum(ridge * f["beta"] ** 2))
             if now > f["loss"] + 1e-9 * abs(now):
                 f["step"] = f["step"] / 2
                 f["beta"] = f["beta"] - f["step"]
                 continue
             f["loss"] = now
-            g = np.array([r[f"g{i}"] for i in range(d + 1)]) + ridge * f["beta"]
+            g = told[1:d + 2] + ridge * f["beta"]
             h = np.zeros((d + 1, d + 1))
-            for i in range(d + 1):
-                for j in range(i + 1):
-                    h[i, j] = h[j, i] = r[f"h{i}_{j}"]
+            h[np.tril_indices(d + 1)] = told[d + 2:]
+            h = h + np.tril(h, -1).T
             h += np.diag(ridge)
             f["step"] = -np.linalg.solve(h, g)
             f["beta"] = f["beta"] + f["step"]
@@ -222,7 +262,8 @@ def run_backtest(df: DataFrame, cfg: FoldConfig, features: Sequence[str], *, lab
     accuracy and AUC on the training rows, whose scores the AUC has to order.
     """
     spark = df.sparkSession
-    base = stored(df.select(ticket, cfg.date, label, odds, stake, *features).filter(F.col(cfg.date).isNotNull()))
+    needed = df.select(ticket, cfg.date, label, odds, stake, *features).filter(F.col(cfg.date).isNotNull())
+    base = stored(needed.sortWithinPartitions(cfg.date))  # a batch then holds few dates
     folds = split_summary(base, cfg, kind).collect()  # one row per fold
     ends = base.agg(F.min(cfg.date).alias("first"), F.max(cfg.date).alias("last")).first()
     bounds = F.struct(F.lit(ends["first"]).cast("date").alias("first"), F.lit(ends["last"]).cast("date").alias("last"))
@@ -236,7 +277,7 @@ def run_backtest(df: DataFrame, cfg: FoldConfig, features: Sequence[str], *, lab
     # Inside the fit a fold goes by its grid slot.
     train = part("train")
     medians = group_medians(base, [cfg.date], features, lambda counts: part("train", counts))
-    params = fit_folds(train, features, label, medians)
+    params = fit_folds(_with_ends(base, bounds, cfg, kind, "train"), features, label, medians, [r["slot"] for r in folds])
     score = _Scorer(features)
     named = F.broadcast(number.withColumnRenamed("slot", "fold"))
     keep = [ticket, cfg.date, "pred_prob", label, odds, stake]

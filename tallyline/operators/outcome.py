@@ -38,7 +38,8 @@ def train(df: DataFrame, features: Sequence[str] = FEATURES, label: str = "build
     def one_fold(rows: DataFrame) -> DataFrame:
         return rows.withColumn("fold", F.lit(0))
 
-    fit = fit_folds(one_fold(data), features, label, group_medians(data, [], features, one_fold)).first()
+    whole = data.withColumns({"_low": F.lit(0), "_high": F.lit(0)})
+    fit = fit_folds(whole, features, label, group_medians(data, [], features, one_fold), [0]).first()
     if fit is None:
         raise ArithmeticError("the outcome model did not converge")
     scaled = ", ".join(
