@@ -165,3 +165,11 @@ def test_backtest_summary_trend(spark):
     p = 1 - 2 / math.pi * (math.atan(t / math.sqrt(3)) + t / math.sqrt(3) / (1 + t * t / 3))
     assert math.isclose(r["p_value"], p, rel_tol=1e-9) and r["significant"] == (p < 0.05)
     assert math.isclose(r["overall_roi"], sum(roi) / 5) and r["win_rate"] == 0.8
+
+
+def test_sums_of_a_fold_need_no_row_for_each_fold(spark):
+    """Rows in many folds are met once; a stretch of them is each fold's."""
+    spans = [(0, 2, 1.0), (1, 4, None), (1, 3, 2.0), (2, 5, 4.0), (3, 2, 8.0)]
+    df = spark.createDataFrame([(*s, 1) for s in spans], "_low int, _high int, x double, y int").repartition(2)
+    got = folds._by_fold(df, ["x"], "y", [0, 2, 4, 9], 2, lambda k, x, missing, y: np.array([len(y), np.where(missing, 0.5, x).sum()]))
+    assert {k: v.tolist() for k, v in got.items()} == {0: [1, 1.0], 2: [4, 7.5], 4: [2, 4.5]}
