@@ -24,6 +24,8 @@ _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 _SEED = 42  # fixed value of the contract
 _LEAF = 256
+# Up to this many edges (16 bytes each) are joined in one task, more by rounds over all tasks.
+LOCAL_EDGES = 200_000
 
 
 def shingles(text: bytes, shingle_words: int) -> np.ndarray:
@@ -211,13 +213,26 @@ def close_edges(points: DataFrame, reach: int = 2, shard_points: int = 4_000, sa
     return dealt.groupBy("leaf").applyInPandas(search, "a bigint, b bigint").distinct()
 
 
+def _joined_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label) of a few edges (a, b)."""
+    edges = [[c.to_numpy() for c in batch.columns] for batch in batches]
+    if edges:
+        a, b = (np.concatenate(c) for c in zip(*edges))
+        nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+        labels = joined(np.arange(len(nodes)), at[:len(a)], at[len(a):])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(nodes[labels], pa.int64())], ["node", "label"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable over edges (a, b); nodes without an edge are absent.
 
-    Alternates large-star and small-star contractions until no edge changes; each round is stored.
+    Up to LOCAL_EDGES different edges are joined in one task.  More alternate large-star and small-star contractions until no
+    edge changes; each round is stored.
     """
     two = F.col("a") != F.col("b")
     now = stored(edges.filter(two).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if now.count() <= LOCAL_EDGES:
+        return now.coalesce(1).mapInArrow(_joined_groups, "node bigint, label bigint")
     mark = (0, None)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -13,6 +13,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -57,13 +58,30 @@ def trimmed(token: str) -> str:
 class CharModel:
     """log10 P(next | up to ORDER - 1 characters before it in the word), Witten-Bell smoothed; "^" begins a word, "$" ends it."""
 
-    def __init__(self, counts: Iterable[tuple[str, str, int]]):
-        self.after: dict[str, dict[str, int]] = defaultdict(dict)
-        for context, follows, n in counts:
-            self.after[context][follows] = n
-        self.total = {c: sum(f.values()) for c, f in self.after.items()}
+    def __init__(self, counts: pa.Table | Iterable[tuple[str, str, int]]):
+        """From (context, follows, n), kept as sorted arrays: only what is asked for becomes Python objects."""
+        if not isinstance(counts, pa.Table):
+            counts = pa.table(dict(zip(("context", "follows", "n"), (list(c) for c in zip(*counts)))) or {"context": [], "follows": [], "n": []})
+        contexts = np.array(counts["context"].to_pylist(), f"U{ORDER - 1}")
+        order = np.argsort(contexts, kind="stable")
+        self.contexts, self.starts = np.unique(contexts[order], return_index=True)
+        self.follows = np.array(counts["follows"].to_pylist(), "U1")[order]
+        self.counts = counts["n"].to_numpy().astype(np.int64)[order]
+        self.seen: dict[str, tuple[dict[str, int], int]] = {}
         self.known: dict[tuple[str, str], float] = {}
 
+    def after(self, context: str) -> tuple[dict[str, int], int]:
+        """(how often each character follows the context, their sum)."""
+        if context not in self.seen:
+            if len(self.seen) >= MEMO:
+                self.seen.clear()
+            at, found = int(np.searchsorted(self.contexts, context)), {}
+            if at < len(self.contexts) and self.contexts[at] == context:
+                mine = slice(self.starts[at], self.starts[at + 1] if at + 1 < len(self.starts) else None)
+                found = dict(zip(self.follows[mine].tolist(), self.counts[mine].tolist()))
+            self.seen[context] = (found, sum(found.values()))
+        return self.seen[context]
+
     @staticmethod
     def grams(word: str) -> list[tuple[str, str]]:
         line = f"^{word}$"
@@ -71,15 +89,17 @@ class CharModel:
 
     def share(self, context: str, follows: str) -> float:
         shorter = self.share(context[1:], follows) if context else 1 / 1_114_112
-        seen = self.after.get(context)
+        seen, n = self.after(context)
         if not seen:
             return shorter
-        kinds, n = len(seen), self.total[context]
+        kinds = len(seen)
         return (seen.get(follows, 0) + kinds * shorter) / (n + kinds)
 
     def log(self, context: str, follows: str) -> float:
         key = (context, follows)
         if key not in self.known:
+            if len(self.known) >= MEMO:
+                self.known.clear()
             self.known[key] = math.log10(self.share(context, follows))
         return self.known[key]
 
@@ -232,7 +252,24 @@ def families(words: Iterable[str]) -> list[str]:
     return [stem + "+" for stem, n in Counter(word[:k] for word in words for k in STEMS if k < len(word)).items() if n > 1]
 
 
-_NOTHING: tuple[str, frozenset[int]] = ("", frozenset())
+class Heads(dict):
+    """Maps the first three characters of a token to whether nothing of the lexicon can stand in it or begin with it, whatever
+    follows; a bounded memo.
+
+    So it is where the token begins with two letters or more that lead nowhere in the spellings: no mark before them is
+    trimmed, and letters may not be skipped.
+    """
+
+    def __init__(self, spellings: Spellings):
+        super().__init__()
+        self.spellings = spellings
+
+    def __missing__(self, head: str) -> bool:
+        letters = "".join(takewhile(str.isalpha, head))
+        if len(self) >= MEMO:
+            self.clear()
+        self[head] = len(letters) > 1 and self.spellings.onward(0, letters) == (frozenset(), False)
+        return self[head]
 
 
 class Reader(dict):
@@ -248,6 +285,7 @@ class Reader(dict):
         self.weights, self.model = weights, model
         self.spellings = Spellings(weights)
         self.starts = {f.rstrip("$+")[:STEMS[0]] for f in weights}
+        self.heads = Heads(self.spellings)
         self.moves: dict[tuple[int, str], tuple[frozenset[int], bool]] = {}
         self.looks: dict[str, tuple[str, frozenset[int]]] = {}
         self.longest = 96
@@ -296,7 +334,7 @@ class Reader(dict):
         core = trimmed(token)
         heads = self.spellings.onward(0, core)[0] if self.spellings.may_open(core) else frozenset()
         core = core or token
-        out = (core, heads) if len(core) == 1 else ("", heads) if heads else _NOTHING
+        out = (core if len(core) == 1 else "", heads)
         if len(token) <= self.longest:
             if len(self.looks) >= MEMO:
                 self.looks.clear()
@@ -315,41 +353,51 @@ class Reader(dict):
         return {f for f in read if f in self.weights} | {f for f, n in members.items() if n > 1}
 
     def read(self, text: str) -> set[str]:
-        tokens = text.lower().split()
+        tokens, shut = text.lower().split(), self.heads
+        asked = [i for i, token in enumerate(tokens) if not shut[token[:3]]]
         out: set[str] = set()
-        for token in set(tokens):
-            if features_ := self[token]:
-                out.update(features_)
+        for token in {tokens[i] for i in asked}:
+            out.update(self[token])
         single: list[str] = []
         open_: dict[int, int] = {}  # nodes reached by the tokens so far, and the latest token that leads there
-        looks = self.looks
-        for i, token in enumerate(tokens):
-            seen = looks.get(token) or self.look(token)
-            if seen is _NOTHING and not open_ and not single:
-                continue
-            one, heads = seen
-            if open_:
-                ahead: dict[int, int] = {}
-                hits = set()
-                for node, start in open_.items():
-                    nodes, hit = self.move(node, token)
-                    if hit:
-                        hits.add(start)
-                    for n in nodes:
-                        ahead[n] = max(start, ahead.get(n, -1))
-                for start in hits:
-                    out.update(self.glued(tokens[start:i + 1]))
-                open_ = ahead
-            for n in heads:
-                open_[n] = i
-            if one:
-                single.append(one)
-            elif single:
-                if len(single) > 2:
-                    out.update(self.spelled("".join(single)))
-                single = []
-        if len(single) > 2:
-            out.update(self.spelled("".join(single)))
+
+        def go_on(i: int) -> dict[int, int]:
+            ahead: dict[int, int] = {}
+            hits = set()
+            for node, start in open_.items():
+                nodes, hit = self.move(node, tokens[i])
+                if hit:
+                    hits.add(start)
+                for n in nodes:
+                    ahead[n] = max(start, ahead.get(n, -1))
+            for start in hits:
+                out.update(self.glued(tokens[start:i + 1]))
+            return ahead
+
+        def ended() -> list[str]:
+            if len(single) > 2:
+                out.update(self.spelled("".join(single)))
+            return []
+
+        at, looks = 0, self.looks  # the tokens before `at` are read
+        for i in [*asked, len(tokens)]:
+            if at < i and single:
+                single = ended()
+            while open_ and at < i:  # tokens not asked only go on with what is open
+                open_ = go_on(at)
+                at += 1
+            if i < len(tokens):
+                one, heads = looks.get(tokens[i]) or self.look(tokens[i])
+                if open_:
+                    open_ = go_on(i)
+                for n in heads:
+                    open_[n] = i
+                if one:
+                    single.append(one)
+                elif single:
+                    single = ended()
+                at = i + 1
+        ended()
         return out
 
 
@@ -480,18 +528,33 @@ def word_counts(sample: DataFrame, groups: DataFrame) -> DataFrame:
                                     F.sum("times").alias("times"))
 
 
-def char_counts(words: DataFrame) -> list[tuple[str, str, int]]:
+def gram_counts(words: list[str], times: np.ndarray) -> Iterator[tuple[list[str], list[str], np.ndarray]]:
+    """(contexts, characters behind them, how often) of words that end with "$", each counted `times` times; for each length of
+    the context the same that `CharModel.grams` lists, no pair twice."""
+    line = "".join("^" + word for word in words)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    offset = np.arange(len(line)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    times = np.repeat(times, lengths)
+    signs, own = np.unique(np.frombuffer(line.encode("utf-32-le"), np.uint32), return_inverse=True)
+    run = np.zeros(len(line), np.int64)  # a number for the run of characters that ends at each place
+    for k in range(ORDER):
+        at = np.flatnonzero(offset >= k)
+        kinds, first, run[at] = np.unique(run[at - 1] * len(signs) + own[at] if k else own[at], return_index=True, return_inverse=True)
+        n = np.bincount(run[at], weights=np.where(offset[at] > 0, times[at], 0), minlength=len(kinds)).astype(np.int64)
+        some = np.flatnonzero(n)
+        ends = at[first[some]].tolist()
+        yield [line[i - k:i] for i in ends], [line[i] for i in ends], n[some]
+
+
+def char_counts(words: DataFrame) -> pa.Table:
     """n-gram counts of the words; contexts of ORDER - 1 characters at most bound them."""
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        grams: Counter = Counter()
-        for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for gram in CharModel.grams(word[:-1]):
-                grams[gram] += n
-        return pa.RecordBatch.from_arrays([pa.array([g[0] for g in grams], pa.string()), pa.array([g[1] for g in grams], pa.string()), pa.array(list(grams.values()), pa.int64())],
+        parts = list(gram_counts(batch.column(0).to_pylist(), batch.column(1).to_numpy()))
+        return pa.RecordBatch.from_arrays([pa.array(chain.from_iterable(p[i] for p in parts), pa.string()) for i in (0, 1)] + [pa.array(np.concatenate([p[2] for p in parts]))],
                                           ["context", "follows", "n"])
 
     parts = map_batches(words.filter("times > 0").select("word", "times"), work, "context string, follows string, n bigint")
-    return [tuple(r) for r in parts.groupBy("context", "follows").agg(F.sum("n")).collect()]
+    return parts.groupBy("context", "follows").agg(F.sum("n").alias("n")).toArrow()
 
 
 Sums = tuple[float, np.ndarray, np.ndarray]
@@ -580,7 +643,7 @@ def logistic_sets(sets: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, flo
 class ToxicityModel:
     """What the score needs: feature weights, the character counts of the decoder, what each feature adds, and the shift."""
 
-    def __init__(self, weights: dict[str, float], grams: list[tuple[str, str, int]]):
+    def __init__(self, weights: dict[str, float], grams: pa.Table | list[tuple[str, str, int]]):
         self.weights, self.grams, self.adds, self.shift = weights, grams, dict.fromkeys(weights, 0.0), 0.0
         self._reader: Reader | None = None
 

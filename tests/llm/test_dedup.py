@@ -277,3 +277,14 @@ def test_blocks_give_links_not_pairs(spark, block_rows):
     blocks = -(-40 // block_rows)
     assert 29 <= len(links) <= 30 * (blocks + 1) and all(30 > a > b for a, b in links)
     assert {r["label"] for r in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()} == {0}
+
+
+@pytest.mark.parametrize("most", [-1, 10**6])
+def test_components_in_one_task_and_by_rounds(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "LOCAL_EDGES", most)
+    edges = [(i, i + 1) for i in range(1, 40)] + [(-5, 60), (60, 61), (60, 60), (70, 70), (61, -5)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    want = {i: 1 for i in range(1, 41)} | {-5: -5, 60: -5, 61: -5}
+    got = [(r["node"], r["label"]) for r in simhash.components(frame).collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert simhash.components(frame.filter("a > 1000")).collect() == []

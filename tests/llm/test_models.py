@@ -8,10 +8,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallyline.llm import quality, suffix_tree, toxicity
+from tallyline.llm import common, quality, suffix_tree, toxicity
 from tallyline.llm.common import labelled_sample, remainder
 
 SLURS = ["brolk", "zintup", "quargel"]
@@ -490,3 +491,54 @@ def test_no_reading_is_missed_by_the_first_letters():
         assert not can or spellings.may_open(token)
         opened, passed = opened + can, passed + (not spellings.may_open(token))
     assert opened > 500 and passed > 5_000
+
+
+def test_few_rows_without_a_label_move(spark):
+    frame = spark.range(2_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 1_500).alias("text"))
+    frame = frame.unionByName(spark.createDataFrame([(None, "text 3"), (3, "text 3"), (3, "other"), (7, None)], "doc_id long, text string"))
+    marks = spark.createDataFrame([(i, i % 2) for i in range(0, 2_000, 40)] + [(3, 0), (3, 1), (7, 1), (None, 1), (9, None), (-5, 1)], "doc_id long, toxic int")
+    wanted = marks.filter("doc_id IS NOT NULL")
+    among = [r["doc_id"] for r in common.may_be_among(frame, "doc_id", wanted, "doc_id").collect()]
+    ids = {r["doc_id"] for r in wanted.collect()}
+    assert sorted(i for i in among if i in ids) == sorted(r["doc_id"] for r in frame.collect() if r["doc_id"] in ids)
+    assert len(among) < 1_000
+    text = marks.withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert common.may_be_among(frame, "doc_id", text, "doc_id").count() == frame.count()
+    labels = {}
+    for i, label in ((r["doc_id"], r["toxic"]) for r in marks.collect() if r["doc_id"] is not None and r["toxic"] is not None):
+        labels[i] = max(label, labels.get(i, 0))
+    least = {}
+    for i, words in ((r["doc_id"], r["text"] or "") for r in frame.collect()):
+        if i in labels:
+            least[words] = min(i, least.get(words, i))
+    for asked in (marks, text):
+        got = labelled_sample(frame, asked, "toxic", lambda c: F.coalesce(c.cast("string"), F.lit("")) >= "")
+        assert sorted(map(tuple, got.collect())) == sorted((i, words, labels[i]) for words, i in least.items())
+
+
+def test_gram_counts():
+    words, times = ["trash", "aa", "aa", "é", "字字字字字字", "^", "𝒳y"], [3, 1, 4, 1, 5, 9, 2]
+    want = Counter()
+    for word, n in zip(words, times):
+        for gram in toxicity.CharModel.grams(word):
+            want[gram] += n
+    got = [(g, n) for contexts, follows, counts in toxicity.gram_counts([w + "$" for w in words], np.array(times)) for *g, n in zip(contexts, follows, counts.tolist())]
+    assert len(got) == len(want) and {tuple(g): n for g, n in got} == dict(want)
+    assert list(toxicity.gram_counts([], np.zeros(0, np.int64)))[0][0] == []
+
+
+def test_words_off_the_lexicon_are_not_looked_at():
+    reader = toxicity.Reader({"trash$": 5.0, "idi": 4.0}, toxicity.CharModel([(*g, 3) for w in ("trash", "idiot") for g in toxicity.CharModel.grams(w)]))
+    assert reader.found("wordy " * 50 + "other words, that; go nowhere. über") == set()
+    assert not dict(reader) and not reader.looks
+    for text, want in (("so tr ash now", {"trash$"}), ("a t r a s h b", {"trash$"}), ("tras h", {"trash$"}), ("words 1d!0t words", {"idi"}), ("'Trash!!! it", {"trash$"}), ("t. r. a. s. h", {"trash$"})):
+        assert reader.found(text) == want, text
+
+
+def test_the_character_model_stays_packed():
+    grams = [(*g, 2) for g in toxicity.CharModel.grams("trash")]
+    model = toxicity.CharModel(grams)
+    assert not model.seen and model.contexts.dtype.itemsize == 4 * (toxicity.ORDER - 1)
+    table = pa.table({"context": [g[0] for g in grams], "follows": [g[1] for g in grams], "n": [g[2] for g in grams]})
+    assert toxicity.CharModel(table).share("^tr", "a") == model.share("^tr", "a") > 0.5
+    assert toxicity.CharModel([]).share("ab", "c") == 1 / 1_114_112
