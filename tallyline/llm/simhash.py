@@ -24,6 +24,8 @@ _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 _SEED = 42  # fixed value of the contract
 _LEAF = 256
+# Texts whose sets of shingles a task makes at once.
+_STRETCH = 1_000
 # Up to this many edges (16 bytes each) are joined in one task, more by rounds over all tasks.
 LOCAL_EDGES = 200_000
 
@@ -322,7 +324,7 @@ def similar_links(
             [batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
             ["place", "size", "digest", "views"])
 
-    made = stored(map_batches(rows.select("place", "text"), sketch, "place bigint, size bigint, digest binary, views array<bigint>").filter("size > 0"))
+    made = stored(map_batches(rows.select("place", "text"), sketch, "place bigint, size bigint, digest binary, views array<bigint>", _STRETCH).filter("size > 0"))
     firsts = stored(made.groupBy("digest").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")))
     equal = made.select("place", "digest").join(firsts.filter("n > 1"), "digest").filter("place <> first").select(F.col("place").alias("a"), F.col("first").alias("b"))
     links = [stored(equal)]
@@ -378,7 +380,7 @@ def whole_sets(rows: DataFrame, places: DataFrame, shingle_words: int) -> DataFr
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["place", "hashes"])
 
     asked = places.select(F.col("place").alias("asked")).distinct()
-    return stored(map_batches(rows.join(asked, F.col("place") == F.col("asked"), "left_semi").select("place", "text"), whole, "place bigint, hashes array<bigint>"))
+    return stored(map_batches(rows.join(asked, F.col("place") == F.col("asked"), "left_semi").select("place", "text"), whole, "place bigint, hashes array<bigint>", _STRETCH))
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:

@@ -17,6 +17,7 @@ from itertools import chain, takewhile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import keyed_text, labelled_sample, map_batches, stored
@@ -37,7 +38,7 @@ MEMO = 100_000
 SHINGLE, ALIKE, VIEWS, WIDTH = 5, 0.5, 16, 2
 # Near copies of one text that a task holds together; tokens it remembers, and texts and signs it counts at once.
 TOGETHER, HELD = 256, 100_000
-STRETCH, SIGNS = 2_000, 8_000_000
+STRETCH, SIGNS = 1_000, 4_000_000
 # Up to this many different sets of features are fitted on the driver, more by sums over the tasks.
 LOCAL_SETS = 50_000
 
@@ -510,7 +511,7 @@ def word_counts(sample: DataFrame, groups: DataFrame) -> DataFrame:
 
         for batch in batches:
             at = 0
-            signs = np.cumsum([len(t) for t in batch.column(4).to_pylist()])
+            signs = np.cumsum(pc.utf8_length(batch.column(4)).to_numpy(zero_copy_only=False).astype(np.int64))
             while at < batch.num_rows:
                 upto = int(np.searchsorted(signs, SIGNS + (signs[at - 1] if at else 0)))
                 size = max(1, min(STRETCH, upto - at))
@@ -676,7 +677,7 @@ def longest_beginnings(sample: DataFrame, weights: dict[str, float]) -> dict[str
         found = [sorted({f for word in own for f in features(word) if f in names.value} | names.value.intersection(families(own))) for own in words]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["row", "found"])
 
-    rows = map_batches(sample.filter("label > 0").select("row", "text"), held, "row bigint, found array<string>")
+    rows = map_batches(sample.filter("label > 0").select("row", "text"), held, "row bigint, found array<string>", STRETCH)
     marks = [F.sum(F.xxhash64("row", F.lit(seed)).cast("decimal(20,0)")).alias(f"s{seed}") for seed in (1, 2)]
     told = rows.select("row", F.explode("found").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), *marks).collect()
     holders = {r["f"]: (r["n"], r["s1"], r["s2"]) for r in told}
@@ -731,7 +732,7 @@ def fit(sample: DataFrame) -> ToxicityModel:
         return pa.RecordBatch.from_arrays([pa.array([sorted(place[f] for f in sent.value.reader().found(t)) for t in batch.column(0).to_pylist()], pa.list_(pa.int32())), batch.column(1)], ["found", "y"])
 
     # The features of the lexicon that texts hold, each set of them once.
-    sets = map_batches(sample.select("text", (F.col("label") > 0).cast("int").alias("y")), found, "found array<int>, y int")
+    sets = map_batches(sample.select("text", (F.col("label") > 0).cast("int").alias("y")), found, "found array<int>, y int", STRETCH)
     sets = stored(sets.groupBy("found", "y").agg(F.count(F.lit(1)).alias("times")))
     worth = np.array([weights[f] for f in names])
     if sets.count() <= LOCAL_SETS:
@@ -763,7 +764,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text
         scores = [m.probability(fs) for fs in found]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(found, pa.list_(pa.string()))], ["id", "score", "found"])
 
-    return map_batches(rows, work, f"id {rows.schema['id'].dataType.simpleString()}, score double, found array<string>")
+    return map_batches(rows, work, f"id {rows.schema['id'].dataType.simpleString()}, score double, found array<string>", STRETCH)
 
 
 def keep_mild(docs: DataFrame, model: ToxicityModel, text_col: str = "text", limit: float = 0.3) -> DataFrame:
@@ -775,4 +776,4 @@ def keep_mild(docs: DataFrame, model: ToxicityModel, text_col: str = "text", lim
         mild = [shared.value.score(t or "") < limit for t in batch.column(at).to_pylist()]
         return pa.RecordBatch.from_arrays(batch.columns, names).filter(pa.array(mild, pa.bool_()))
 
-    return map_batches(docs, work, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return map_batches(docs, work, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), STRETCH)
