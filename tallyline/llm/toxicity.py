@@ -33,7 +33,7 @@ LOOKALIKE, REPEAT, MARK, BREAK = -0.5, -0.5, -0.7, -1.5
 # A written blank inside a word, and the sign that shows it in a reading.
 SPLIT, GLUE = -1.5, "\0"
 ORDER = 5
-MEMO = 100_000
+MEMO = 20_000
 # Labelled texts count as one where half of their runs of SHINGLE words are the same; those of similarity 0.5 meet with a probability of 0.99.
 SHINGLE, ALIKE, VIEWS, WIDTH = 5, 0.5, 16, 2
 # Near copies of one text that a task holds together; tokens it remembers, and texts and signs it counts at once.
