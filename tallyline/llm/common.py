@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -58,6 +59,24 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def discard(table: DataFrame) -> None:
+    """Remove the files of a stored table that no later step reads."""
+    for path in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        _remove(table.sparkSession, path)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark removes the shuffle files of a step when its result is written, not when the driver happens to collect garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int | None = None) -> DataFrame:
     """Apply a function of one Arrow batch to every batch, or to stretches of `rows` rows of it; each may give none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,11 @@
 """Language-model, quality and toxicity scores, and the pipeline."""
 
+import contextlib
 import math
+import pathlib
 import random
 import re
+import threading
 import time
 import zlib
 from collections import Counter
@@ -120,6 +123,52 @@ def test_scores_are_those_of_the_whole_tree(spark, min_share):
         assert r["score"] - r["base_score"] == pytest.approx(tree.gains(laid[r["id"]], 3)[2:].sum(), abs=1e-8)
 
 
+def test_split_branches_score_alike(spark, monkeypatch):
+    """Scores do not depend on whether branches are split, on who gets their pairs, or on the size of blocks and pieces."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["new york city hall", "hot and cold", "a b", "red", "a b", "a red b"]) for _ in range(rng.randint(0, 25)))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def scores(**parameters):
+        return {r["id"]: r["score"] for r in suffix_tree.score_texts(docs, lambda c: remainder(c, 7) == 2, **parameters).collect()}
+
+    whole = scores()
+    monkeypatch.setattr(suffix_tree, "TOLD", 0)
+    monkeypatch.setattr(suffix_tree, "PIECE", 50)
+    assert scores(min_share=0.02) == pytest.approx(whole, abs=1e-8)
+
+
+def test_scores_need_little_disk(spark, tmp_path):
+    """A text moves in few bytes a word: not every run of words of every text is written and shuffled (some 86 bytes a word before)."""
+    rng, known = random.Random(8), [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(rng.choices(known, k=1000))) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "docs"))
+    folders = [*spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString(), re.sub("^file:", "", spark.sparkContext.getCheckpointDir() or str(tmp_path / "none"))]
+    most, over = [], threading.Event()
+
+    def used():
+        found = (p for folder in folders for p in pathlib.Path(folder).rglob("*") if re.search(r"shuffle_|part-", p.name))
+        total = 0
+        for p in found:
+            with contextlib.suppress(OSError):
+                total += p.stat().st_size
+        return total
+
+    def watch():
+        while not over.wait(0.1):
+            most.append(used())
+
+    before = used()
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        assert suffix_tree.score_texts(spark.read.parquet(str(tmp_path / "docs")), lambda c: remainder(c, 7) == 2).count() == 400
+    finally:
+        over.set()
+        watcher.join()
+    assert max(most) - before < 40 * 400_000
+
+
 # ---- labels
 
 def test_labelled_sample(spark, docs):
