@@ -424,7 +424,7 @@ def score_texts(
         # The start mark stands as often as the end mark.
         least = WIDE if min_share is None else min_share * size
         ends = every.filter(F.col("word") == F.lit(word_hash(END))).select(F.lit(START).alias("number"), "train", "times")
-        frequent = sorted(tuple(r) for r in named.select("number", "train", "times").unionByName(ends).filter(F.col("times") > least).select("number", "train").collect())
+        frequent = sorted(tuple(r) for r in named.select("number", "train", "times").unionByName(ends).filter(F.col("times") > least).select("number", "train").collect()) if depth else []
         wide, seen = (np.array([r[i] for r in frequent], np.int64) for i in (0, 1))
         known = named.select("word", "number").unionByName(every.filter("train = 1 AND times > train").select("word", F.lit(RARE).alias("number")))
         told = words.select("block", "place", "word", "train").join(known, "word").filter((F.col("number") != RARE) | (F.col("train") == 0))
