@@ -149,7 +149,7 @@ SELECT 'n_games' AS metric, CAST(COUNT(DISTINCT game_id) AS DOUBLE) AS value FRO
 UNION ALL SELECT 'n_tickets', CAST(COUNT(*) AS DOUBLE) FROM tickets UNION ALL SELECT 'n_legs', CAST(SUM(n_legs) AS DOUBLE) FROM tickets
 UNION ALL SELECT 'mean_legs', {R('AVG(n_legs)')} FROM tickets UNION ALL SELECT 'hit_rate', {R('AVG(builder_hit)')} FROM tickets""", fx.TICKET_FIXTURES)
 def run_summary(spark, folder):
-    return checks.run_summary(fx.box(spark, folder), fx.tickets(spark, folder))
+    return checks.run_summary(fx.box(spark, folder), fx.tickets(spark, folder, "n_legs", "builder_hit"))
 
 
 @query("numeric_coercion", f"""SELECT event_type, CAST(COUNT(value) AS BIGINT) - CAST(SUM(CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS readable,
