@@ -102,7 +102,7 @@ CFG = FoldConfig(train_days=180, test_days=30, min_train=200)
 
 
 def settled(spark, folder):
-    return fx.stored(fx.tickets(spark, folder).select("game_date", "book_implied_prob", "builder_hit", "decimal_odds", "stake"))
+    return fx.tickets(spark, folder, "game_date", "book_implied_prob", "builder_hit", "decimal_odds", "stake")
 
 
 def _folds_sql(kind):
@@ -126,12 +126,12 @@ CAST(test_end AS VARCHAR) AS test_end, CAST(train_size AS BIGINT) AS train_size,
 
 @query("rolling_folds", f"SELECT {FOLD_COLUMNS} FROM rolling", (*fx.TICKET_FIXTURES, "rolling"))
 def rolling_folds(spark, folder):
-    return folds.split_summary(fx.stored(fx.tickets(spark, folder).select("game_date")), CFG).drop("slot")
+    return folds.split_summary(fx.tickets(spark, folder, "game_date"), CFG).drop("slot")
 
 
 @query("expanding_folds", f"SELECT {FOLD_COLUMNS} FROM expanding", (*fx.TICKET_FIXTURES, "expanding"))
 def expanding_folds(spark, folder):
-    return folds.split_summary(fx.stored(fx.tickets(spark, folder).select("game_date")), CFG, "expanding").drop("slot")
+    return folds.split_summary(fx.tickets(spark, folder, "game_date"), CFG, "expanding").drop("slot")
 
 
 TP = "CASE WHEN builder_hit = 1 THEN stake * (decimal_odds - 1) ELSE -stake END"
@@ -229,11 +229,11 @@ def _predicted_sql(name):
 
 
 def _model_rows(spark, folder, features):
-    return fx.stored(fx.tickets(spark, folder).select("builder_id", "builder_hit", *features))
+    return fx.tickets(spark, folder, "builder_id", "builder_hit", *features)
 
 
 def _walk_rows(spark, folder, features):
-    return fx.tickets(spark, folder).select("builder_id", "game_date", "builder_hit", "decimal_odds", "stake", *features)
+    return fx.tickets(spark, folder, "builder_id", "game_date", "builder_hit", "decimal_odds", "stake", *features)
 
 
 def _predicted(spark, folder, features):

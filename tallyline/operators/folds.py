@@ -11,11 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.dist import correlation_p
 from ..functions.selection import group_medians
-from ..session import stored
+from ..session import FOLD_ROWS, SHUFFLES_REMOVED, setting, settings, stored, tables_removed
 from .betting import classifier_metrics, prediction_metrics
 
 
@@ -73,8 +73,11 @@ def _with_ends(df: DataFrame, bounds: Column, cfg: FoldConfig, kind: str, part:
     return placed.withColumns({"_low": low, "_high": high}).drop("_b")
 
 
-def _with_slots(df: DataFrame, bounds: Column, cfg: FoldConfig, kind: str, part: str) -> DataFrame:
+def _with_slots(df: DataFrame, bounds: Column, cfg: FoldConfig, kind: str, part: str, only: tuple[int, int] | None = None) -> DataFrame:
+    """A row for each slot that a row is in; `only` gives the first and last of the slots wanted."""
     ends = _with_ends(df, bounds, cfg, kind, part)
+    if only:
+        ends = ends.withColumns({"_low": F.greatest("_low", F.lit(only[0])), "_high": F.least("_high", F.lit(only[1]))})
     return ends.filter("_low <= _high").withColumn("slot", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
 
 
@@ -250,6 +253,34 @@ def fit_folds(train: DataFrame, features: Sequence[str], label: str, medians: di
     return table({k: f for k, f in fits.items() if f["done"]})
 
 
+def _together(sizes: Sequence[tuple[int, int]], most: int) -> list[list[tuple[int, int]]]:
+    """Neighbouring (fold, rows) in stretches of at most `most` rows, or of one fold."""
+    groups, held = [], 0
+    for fold, rows in sorted(sizes):
+        if not groups or held + rows > most:
+            groups.append([])
+            held = 0
+        groups[-1].append((fold, rows))
+        held += rows
+    return groups
+
+
+def _train_scores(spark: SparkSession, train: Callable[[tuple[int, int]], DataFrame], score: Callable[[DataFrame], DataFrame], label: str,
+                  sizes: Sequence[tuple[int, int]]) -> list[tuple[int, float, float]]:
+    """(fold, accuracy, AUC) on the training rows of each fold; `train` gives those of a stretch of folds.
+
+    The AUC orders the scores of every fold, so each fold's rows are shuffled.  Folds are taken a stretch at a time and its
+    shuffle files and tables removed before the next, so that disk holds FOLD_ROWS rows however many folds a row is in.
+    """
+    told = []
+    for group in _together(sizes, setting(spark, FOLD_ROWS)):
+        with settings(spark, SHUFFLES_REMOVED), tables_removed(spark):
+            rows = score(train((group[0][0], group[-1][0]))).select("fold", label, "pred_prob")
+            measured = classifier_metrics(rows, "pred_prob", label, ["fold"], max(n for _, n in group))
+            told += [(r["fold"], r["accuracy"], r["roc_auc"]) for r in measured.select("fold", "accuracy", "roc_auc").collect()]  # one row per fold
+    return told
+
+
 def run_backtest(df: DataFrame, cfg: FoldConfig, features: Sequence[str], *, label: str = "builder_hit",
                  ticket: str = "builder_id", odds: str = "decimal_odds", stake: str = "stake",
                  kind: str = "rolling", train_metrics: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -270,14 +301,14 @@ def run_backtest(df: DataFrame, cfg: FoldConfig, features: Sequence[str], *, lab
     number = spark.createDataFrame([(r["slot"], r["fold"] + 1) for r in folds], "slot int, number int")
     usable = F.broadcast(number.select(F.col("slot").alias("fold")))  # one row per fold
 
-    def part(name: str, rows: DataFrame = base) -> DataFrame:
-        placed = _with_slots(rows, bounds, cfg, kind, name).withColumnRenamed("slot", "fold")
+    def part(name: str, rows: DataFrame = base, only: tuple[int, int] | None = None) -> DataFrame:
+        placed = _with_slots(rows, bounds, cfg, kind, name, only).withColumnRenamed("slot", "fold")
         return placed.join(usable, "fold", "left_semi")
 
     # Inside the fit a fold goes by its grid slot.
-    train = part("train")
-    medians = group_medians(base, [cfg.date], features, lambda counts: part("train", counts))
-    params = fit_folds(_with_ends(base, bounds, cfg, kind, "train"), features, label, medians, [r["slot"] for r in folds])
+    with settings(spark, SHUFFLES_REMOVED):
+        medians = group_medians(base, [cfg.date], features, lambda counts: part("train", counts))
+        params = fit_folds(_with_ends(base, bounds, cfg, kind, "train"), features, label, medians, [r["slot"] for r in folds])
     score = _Scorer(features)
     named = F.broadcast(number.withColumnRenamed("slot", "fold"))
     keep = [ticket, cfg.date, "pred_prob", label, odds, stake]
@@ -288,9 +319,10 @@ def run_backtest(df: DataFrame, cfg: FoldConfig, features: Sequence[str], *, lab
     measured = predictions.groupBy("fold").agg(*prediction_metrics("pred_prob", label, odds, stake)).join(F.broadcast(dates), "fold")
     if not train_metrics:
         return measured, predictions
-    on_train = classifier_metrics(score(train, params).select("fold", label, "pred_prob"), "pred_prob", label, ["fold"]).join(named, "fold").select(
-        F.col("number").alias("fold"), F.col("accuracy").alias("train_accuracy"), F.col("roc_auc").alias("train_roc_auc"))
-    return measured.join(on_train, "fold"), predictions
+    numbers = {r["slot"]: r["fold"] + 1 for r in folds}
+    told = _train_scores(spark, lambda only: part("train", base, only), lambda rows: score(rows, params), label, [(r["slot"], r["train_size"]) for r in folds])
+    on_train = spark.createDataFrame([(numbers[k], *measures) for k, *measures in told], "fold int, train_accuracy double, train_roc_auc double")
+    return measured.join(F.broadcast(on_train), "fold"), predictions
 
 
 def backtest_summary(results: DataFrame, order: str = "test_start") -> DataFrame:

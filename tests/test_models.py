@@ -1,6 +1,7 @@
 """Folds, the logistic model and walk-forward backtests against direct computation."""
 
 import math
+import os
 from datetime import date, timedelta
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.ml import PipelineModel
 
 from tallyline.operators import folds, outcome
 from tallyline.operators.folds import FoldConfig
+from tallyline.session import FOLD_ROWS
 from tallyline.sources.writers import write_model
 
 FEATURES = ["a", "b", "c"]
@@ -153,6 +155,32 @@ def test_backtest(df, data, kind):
     assert fitted == len(got) and fitted < len(brute_folds(data, cfg, kind))
 
 
+def test_training_rows_are_scored_some_folds_at_a_time(spark, df, split, monkeypatch):
+    """Before, the rows of all folds were shuffled together; the scores of a stretch go before the next one is taken."""
+    cfg, held, measure = FoldConfig(21, 14, 30), [], folds.classifier_metrics
+    whole = rows(folds.run_backtest(df, cfg, FEATURES, kind="expanding")[0], "fold")
+    largest = max(r["train_n"] for r in whole)
+
+    def counted(scored, *rest):
+        held.append(scored.count())
+        return measure(scored, *rest)
+
+    def stored_tables():
+        return len(os.listdir(spark.sparkContext.getCheckpointDir().removeprefix("file:")))
+
+    monkeypatch.setattr(folds, "classifier_metrics", counted)
+    spark.conf.set(FOLD_ROWS, str(largest + 30))
+    before = stored_tables()
+    try:
+        parts = rows(folds.run_backtest(df, cfg, FEATURES, kind="expanding")[0], "fold")
+    finally:
+        spark.conf.unset(FOLD_ROWS)
+    assert len(held) > 1 and max(held) <= largest + 30 and stored_tables() == before + 1
+    assert [r["fold"] for r in parts] == [r["fold"] for r in whole]
+    for a, b in zip(parts, whole):
+        assert math.isclose(a["train_accuracy"], b["train_accuracy"]) and math.isclose(a["train_roc_auc"], b["train_roc_auc"])
+
+
 def test_backtest_summary_trend(spark):
     roi = [0.1, -0.2, 0.05, 0.3, 0.25]
     df = spark.createDataFrame([(i + 1, date(2024, 1, 1 + i), r, r * 10, 10.0) for i, r in enumerate(roi)], "fold int, test_start date, roi double, profit double, total_stake double")
