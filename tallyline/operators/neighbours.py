@@ -2,8 +2,9 @@
 
 Distances are the larger of the two coordinate gaps.  Coordinates are read as whole multiples of 2^-30 standard deviations,
 so that distances and counts are exact.  Points are dealt to the leaves of a tree of boxes: a leaf finds each point's k
-nearest within itself, and a point whose ball leaves its box asks the other boxes that the ball meets.  The numbers of
-points nearer than that along each axis alone come from one running count over values and bounds.
+nearest within itself, and a point whose ball leaves its box asks the other boxes that the ball meets.  A leaf's points lie
+in small cells and only the cells that a ball meets are compared, so the work grows with the points.  The numbers of points
+nearer than that along each axis alone come from one running count over values and bounds.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ordered import arrange, finish, running
-from ..session import stored
+from ..session import stored, tasks_for
 
 _UNIT = float(1 << 30)
 _FAR = 1 << 62
@@ -46,14 +47,19 @@ class Boxes:
             column.append(-1)
         if leaves > 1 and len(sample) > 1:
             axis = int(np.argmax(np.ptp(sample.astype(float), axis=0)))
-            cut = int(np.sort(sample[:, axis])[len(sample) // 2])
-            below = sample[:, axis] < cut
+            values = sample[:, axis]
+            cut = int(np.partition(values, len(values) // 2)[len(values) // 2])
+            below = values < cut
+            if not below.any() and (values > cut).any():  # half of the values or more are the least one
+                cut = int(values[values > cut].min())
+                below = values < cut
             if below.any():
                 left, right = box.copy(), box.copy()
                 left[2 + axis] = right[axis] = cut
                 self.axis[node], self.cut[node] = axis, cut
-                self.low[node] = self._grow(sample[below], leaves // 2, left)
-                self.high[node] = self._grow(sample[~below], leaves - leaves // 2, right)
+                share = min(max(round(leaves * np.count_nonzero(below) / len(values)), 1), leaves - 1)
+                self.low[node] = self._grow(sample[below], share, left)
+                self.high[node] = self._grow(sample[~below], leaves - share, right)
                 return node
         self.leaf[node] = len(self.bounds)
         self.bounds.append(box)
@@ -77,7 +83,7 @@ class Boxes:
         return np.concatenate(rows), np.concatenate(leaves)
 
 
-def nearest(x: np.ndarray, y: np.ndarray, of_x: np.ndarray, of_y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _compare(x: np.ndarray, y: np.ndarray, of_x: np.ndarray, of_y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(distances, places) of up to k + 1 of the points (x, y) nearest to each of (of_x, of_y), nearest first."""
     most = min(k + 1, len(x))
     step = max(1, 4_000_000 // max(1, len(x)))
@@ -92,6 +98,61 @@ def nearest(x: np.ndarray, y: np.ndarray, of_x: np.ndarray, of_y: np.ndarray, k:
     return np.concatenate(distances), np.concatenate(places)
 
 
+class Cells:
+    """The points of a leaf in cells of some `size` points."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, size: int = 48):
+        self.x, self.y = x, y
+        self.tree = Boxes(np.column_stack((x, y)), -(-len(x) // size))
+        rows, cell = self.tree.meets(x, y, np.zeros(len(x), np.int64))
+        order = np.argsort(cell, kind="stable")
+        self.members = np.split(rows[order], np.searchsorted(cell[order], np.arange(1, len(self.tree.bounds))))
+
+    def nearest(self, of_x: np.ndarray, of_y: np.ndarray, reach: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(distances, places) of the k + 1 points nearest to each of (of_x, of_y), nearest first, of those in cells within `reach`.
+
+        Where there are fewer the distance is _FAR.
+        """
+        who, cell = self.tree.meets(of_x, of_y, reach)
+        order = np.argsort(cell, kind="stable")
+        asked = np.split(who[order], np.searchsorted(cell[order], np.arange(1, len(self.members))))
+        found = []
+        for mine, at in zip(self.members, asked):
+            if len(mine) and len(at):
+                d, near = _compare(self.x[mine], self.y[mine], of_x[at], of_y[at], k)
+                found.append((np.repeat(at, d.shape[1]), d.ravel(), mine[near].ravel()))
+        distances, places = np.full((len(of_x), k + 1), _FAR), np.zeros((len(of_x), k + 1), np.int64)
+        if found:
+            who, d, place = (np.concatenate(c) for c in zip(*found))
+            order = np.lexsort((d, who))
+            who, d, place = who[order], d[order], place[order]
+            rank = np.arange(len(who)) - np.searchsorted(who, who)
+            kept = rank <= k
+            distances[who[kept], rank[kept]], places[who[kept], rank[kept]] = d[kept], place[kept]
+        return distances, places
+
+    def first_reach(self, w: np.ndarray, k: int) -> np.ndarray:
+        """The distance at which each point reaches k others within its own cell."""
+        r = np.full(len(self.x), _FAR)
+        for mine in self.members:
+            if len(mine):
+                d, near = _compare(self.x[mine], self.y[mine], self.x[mine], self.y[mine], k)
+                r[mine] = _kth(d, np.where(near == np.arange(len(mine))[:, None], 0, w[mine][near]), w[mine] - 1, k)
+        return r
+
+    def leave(self, r: np.ndarray) -> np.ndarray:
+        """Whether a point's ball leaves its cell."""
+        out = np.ones(len(r), bool)
+        for mine, box in zip(self.members, self.tree.bounds):
+            out[mine] = ~_holds(box, self.x[mine], self.y[mine], r[mine])
+        return out
+
+
+def _holds(box: np.ndarray, x: np.ndarray, y: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Whether the ball of each point lies in the box."""
+    return (r < _FAR) & (x - r >= box[0]) & (y - r >= box[1]) & (x + r < box[2]) & (y + r < box[3])
+
+
 def _kth(d: np.ndarray, w: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
     """The distance at which k others are reached; `own` points lie at the point itself besides it."""
     reached = own[:, None] + np.cumsum(w, axis=1) >= k
@@ -123,32 +184,42 @@ def kth_distances(points: DataFrame, k: int = 3, leaf_points: int = 4_000) -> Da
     def within(part: pd.DataFrame) -> pd.DataFrame:
         x, y, w = (part[c].to_numpy(np.int64) for c in ("x", "y", "w"))
         box = sent.value[part["pair"].iloc[0]].bounds[part["leaf"].iloc[0]]
-        d, near = nearest(x, y, x, y, k)
-        weights = np.where(near == np.arange(len(x))[:, None], 0, w[near])
-        r = _kth(d, weights, w - 1, k)
-        inside = (r < _FAR) & (x - r >= box[0]) & (y - r >= box[1]) & (x + r < box[2]) & (y + r < box[3])
-        return part.assign(r=r, inside=inside, d=list(d), dw=list(weights))
+        cells = Cells(x, y)
+        r = cells.first_reach(w, k)
+        open_ = np.flatnonzero(cells.leave(r) | ~_holds(box, x, y, r))
+        d, near = cells.nearest(x[open_], y[open_], np.minimum(r[open_], 1 << 61), k)
+        weights = np.where((near == open_[:, None]) | (d == _FAR), 0, w[near])
+        r[open_] = _kth(d, weights, w[open_] - 1, k)
+        inside = _holds(box, x, y, r)
+        lists = {"d": np.full(len(x), None), "dw": np.full(len(x), None)}  # told of points that ask other boxes alone
+        for i in np.flatnonzero(~inside[open_]).tolist():
+            lists["d"][open_[i]], lists["dw"][open_[i]] = d[i], weights[i]
+        return part.assign(r=r, inside=inside, **lists)
 
     def ask(batches):
         for b in batches:
             for pair, part in b.groupby("pair"):
                 x, y, r = (part[c].to_numpy(np.int64) for c in ("x", "y", "r"))
                 rows, leaf = sent.value[pair].meets(x, y, np.minimum(r, 1 << 61))
-                asked = part.iloc[rows].assign(home=part["leaf"].to_numpy()[rows], leaf=leaf)
-                yield asked.loc[asked["home"] != asked["leaf"], ["pair", "leaf", "x", "y", "w"]]
+                asked = part.iloc[rows].assign(home=part["leaf"].to_numpy()[rows], leaf=leaf, r=np.minimum(r, 1 << 61)[rows])
+                yield asked.loc[asked["home"] != asked["leaf"], ["pair", "leaf", "x", "y", "w", "r"]]
 
     def answer(questions: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
         if not len(questions) or not len(part):
             return questions.iloc[:0][["pair", "x", "y", "w"]].assign(d=pd.Series([], dtype=object), dw=pd.Series([], dtype=object))
-        d, near = nearest(*(part[c].to_numpy(np.int64) for c in ("x", "y")), *(questions[c].to_numpy(np.int64) for c in ("x", "y")), k)
-        return questions[["pair", "x", "y", "w"]].assign(d=list(d), dw=list(part["w"].to_numpy(np.int64)[near]))
+        px, py, w = (part[c].to_numpy(np.int64) for c in ("x", "y", "w"))
+        d, near = Cells(px, py).nearest(*(questions[c].to_numpy(np.int64) for c in ("x", "y", "r")), k)
+        weights, met = np.where(d == _FAR, 0, w[near]), d[:, 0] < _FAR
+        return questions.loc[met, ["pair", "x", "y", "w"]].assign(d=list(d[met]), dw=list(weights[met]))
 
     placed = stored(points.select("pair", "x", "y", "w").mapInPandas(place, "pair int, x bigint, y bigint, w bigint, leaf int"))
     lists = "d array<bigint>, dw array<bigint>"
-    local = stored(placed.groupBy("pair", "leaf").applyInPandas(within, f"pair int, x bigint, y bigint, w bigint, leaf int, r bigint, inside boolean, {lists}"))
+    tasks = tasks_for(spark, total)  # by bytes a few tasks would hold them all
+    dealt = placed.repartition(tasks, "pair", "leaf")
+    local = stored(dealt.groupBy("pair", "leaf").applyInPandas(within, f"pair int, x bigint, y bigint, w bigint, leaf int, r bigint, inside boolean, {lists}"))
     open_points = local.filter("NOT inside")
-    questions = open_points.select("pair", "leaf", "x", "y", "w", "r").mapInPandas(ask, "pair int, leaf int, x bigint, y bigint, w bigint")
-    answers = questions.groupBy("pair", "leaf").cogroup(placed.groupBy("pair", "leaf")).applyInPandas(answer, f"pair int, x bigint, y bigint, w bigint, {lists}")
+    questions = open_points.select("pair", "leaf", "x", "y", "w", "r").mapInPandas(ask, "pair int, leaf int, x bigint, y bigint, w bigint, r bigint")
+    answers = questions.repartition(tasks, "pair", "leaf").groupBy("pair", "leaf").cogroup(dealt.groupBy("pair", "leaf")).applyInPandas(answer, f"pair int, x bigint, y bigint, w bigint, {lists}")
     columns = ["pair", "x", "y", "w", F.arrays_zip("d", "dw").alias("near")]
     # A ball meets few boxes, and each gives at most k + 1 distances.
     both = open_points.select(*columns).unionByName(answers.select(*columns)).groupBy("pair", "x", "y", "w").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
@@ -163,7 +234,7 @@ def knn_mutual_information(df: DataFrame, variables: Sequence[str], *, k: int =
     Each variable is divided by its standard deviation; constant ones have no row.  No noise is added: points at the same
     place are neighbours at distance 0, and a point whose k-th neighbour lies there counts the values equal to its own.
     """
-    rows = df.select(*[F.col(v).cast("double").alias(v) for v in variables]).dropna()
+    rows = stored(df.select(*[F.col(v).cast("double").alias(v) for v in variables]).dropna())
     scale = rows.agg(F.count(F.lit(1)).alias("n"), *[F.stddev_pop(v).alias(v) for v in variables]).first()
     names = [v for v in variables if scale[v]]
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]

@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tallyline.operators.neighbours import Boxes, knn_mutual_information, kth_distances
+from tallyline.operators import neighbours
+from tallyline.operators.neighbours import Boxes, Cells, knn_mutual_information, kth_distances
 
 
 def psi(n):
@@ -66,5 +67,28 @@ def test_boxes_cover_the_plane():
     assert sorted(rows.tolist()) == list(range(200)) and len(tree.bounds) == 12
 
 
+def test_boxes_part_values_that_half_the_points_share():
+    """Before, a box whose least value held half of its sample was not split again, and its points were all compared."""
+    rng = np.random.default_rng(3)
+    sample = np.column_stack((rng.choice([0, 5], 640, p=[0.7, 0.3]) * 10**6, rng.integers(0, 10**6, 640)))
+    tree = Boxes(sample, 16)
+    _, leaf = tree.meets(sample[:, 0], sample[:, 1], np.zeros(640, np.int64))
+    assert len(tree.bounds) == 16 and np.bincount(leaf).max() < 80
+
+
+def test_cells_compare_few_points(monkeypatch):
+    """Before, every two points of a leaf were compared."""
+    rng = np.random.default_rng(4)
+    x, y = (rng.integers(-10**6, 10**6, 3_000) for _ in "xy")
+    compared, compare = [], neighbours._compare
+    monkeypatch.setattr(neighbours, "_compare", lambda x, y, of_x, of_y, k: compared.append(len(x) * len(of_x)) or compare(x, y, of_x, of_y, k))
+    cells, ones = Cells(x, y), np.ones(3_000, np.int64)
+    r = cells.first_reach(ones, 3)
+    d, near = cells.nearest(x, y, r, 3)
+    gaps = np.maximum(abs(x[:, None] - x), abs(y[:, None] - y))
+    assert (d == np.sort(gaps, axis=1)[:, :4]).all() and (np.take_along_axis(gaps, near, 1) == d).all()
+    assert (d[~cells.leave(r), 3] == r[~cells.leave(r)]).all() and sum(compared) < 3_000**2 / 10
+
+
 def test_few_rows(spark, data):
     assert knn_mutual_information(spark.createDataFrame(data.head(20)), ["a", "few"]).count() == 0
